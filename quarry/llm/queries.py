@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import sharding, urls
+from . import lines, sharding, urls
 
 
 def queries() -> dict:
     return {
+        "op2_line_dedup": lines.op2_line_dedup,
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
         "op8_url_filters": urls.op8_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": urls.SQL}
+    return {
+        "op2_line_dedup": lines.SQL,
+        "op8_url_filters": urls.SQL,
+    }
