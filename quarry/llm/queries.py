@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines, sharding, urls
+from . import lines, packing, sharding, urls
 
 
 def queries() -> dict:
     return {
         "op2_line_dedup": lines.op2_line_dedup,
+        "op3_packing": packing.op3_packing,
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
         "op8_url_filters": urls.op8_url_filters,
     }
