@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, packing, sharding, urls
+from . import jaccard, lines, packing, sharding, urls
 
 
 def queries() -> dict:
     return {
         "op2_line_dedup": lines.op2_line_dedup,
         "op3_packing": packing.op3_packing,
+        "op5_jaccard_join": jaccard.op5_jaccard_join,
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
         "op8_url_filters": urls.op8_url_filters,
     }
@@ -17,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": lines.SQL,
+        "op5_jaccard_join": jaccard.SQL,
         "op8_url_filters": urls.SQL,
     }
