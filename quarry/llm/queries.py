@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, packing, sharding, urls
+from . import decontamination, jaccard, lines, packing, sharding, urls
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_line_dedup": lines.op2_line_dedup,
         "op3_packing": packing.op3_packing,
         "op5_jaccard_join": jaccard.op5_jaccard_join,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_line_dedup": lines.SQL,
         "op5_jaccard_join": jaccard.SQL,
         "op8_url_filters": urls.SQL,
