@@ -23,8 +23,8 @@ def deal(bucket: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
     """One row for each bucket that has values."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-    stop = np.append(edge[1:], len(bucket))
+    edge, length = runs(bucket)
+    stop = edge + length
     columns = [pa.array(bucket[edge].astype(np.int32))]
     for a in arrays:
         a = np.ascontiguousarray(a[order])
@@ -59,4 +59,4 @@ def dealt(df: DataFrame, send: Callable, dtypes: list[str], receive: Callable, s
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values of a sorted array."""
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return start, np.diff(np.append(start, len(keys)))
+    return start, np.diff(start, append=len(keys)) if len(keys) else start

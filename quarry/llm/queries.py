@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, lines, packing, sharding, urls
+from . import decontamination, jaccard, lines, packing, sharding, spans, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_line_dedup": lines.op2_line_dedup,
         "op3_packing": packing.op3_packing,
+        "op4_sentence_spans": spans.op4_sentence_spans,
         "op5_jaccard_join": jaccard.op5_jaccard_join,
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
         "op8_url_filters": urls.op8_url_filters,
@@ -18,7 +19,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_decontamination": decontamination.op1_decontamination,
         "op2_line_dedup": lines.SQL,
         "op5_jaccard_join": jaccard.SQL,
         "op8_url_filters": urls.SQL,

@@ -61,6 +61,11 @@ def _segment_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and len(texts) + 1 offsets into them."""
+    return word_places(texts)[:2]
+
+
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes, each word's start in the lower-cased texts joined by newlines, and that buffer."""
     whole = b"\n".join(texts).lower()
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     buf = np.frombuffer(whole, dtype=np.uint8)
@@ -76,7 +81,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at = end
     h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return h, np.searchsorted(s, bounds)
+    return h, np.searchsorted(s, bounds), s, buf
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
