@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, lines, packing, sharding, spans, urls
+from . import decontamination, jaccard, lines, packing, secrets, sharding, spans, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_jaccard_join": jaccard.op5_jaccard_join,
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
         "op8_url_filters": urls.op8_url_filters,
+        "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
