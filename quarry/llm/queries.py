@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, lines, packing, secrets, sharding, spans, urls
+from . import decontamination, jaccard, lines, packing, rules, secrets, sharding, spans, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_sentence_spans": spans.op4_sentence_spans,
         "op5_jaccard_join": jaccard.op5_jaccard_join,
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
+        "op7_quality_rules": rules.op7_quality_rules,
         "op8_url_filters": urls.op8_url_filters,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
