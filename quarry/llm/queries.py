@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, lines, packing, rules, secrets, sharding, spans, urls
+from . import decontamination, jaccard, licenses, lines, packing, rules, secrets, sharding, spans, urls
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
         "op7_quality_rules": rules.op7_quality_rules,
         "op8_url_filters": urls.op8_url_filters,
+        "op9_license_scan": licenses.op9_license_scan,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
