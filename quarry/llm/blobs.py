@@ -8,15 +8,14 @@ with the number of buckets.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 
-def schema_of(dtypes: list[str]) -> str:
-    return ", ".join(["bucket int", *(f"a{i} binary" for i in range(len(dtypes)))])
+def schema_of(arrays: int) -> str:
+    return ", ".join(["bucket int", *(f"a{i} binary" for i in range(arrays))])
 
 
 def deal(bucket: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
@@ -32,6 +31,23 @@ def deal(bucket: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["bucket", *(f"a{i}" for i in range(len(arrays)))])
 
 
+def deal_owned(bucket: np.ndarray, owner: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """deal() with the owners as runs: values of one owner must be adjacent.
+
+    The first two arrays of the rows are owner ids and run lengths, so an owner's id is sent once for
+    each bucket and not with every value.
+    """
+    order = np.argsort(bucket, kind="stable")
+    bucket, owner = bucket[order], owner[order]
+    new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))) if len(bucket) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    length = np.diff(at, append=len(bucket)).astype("<u4")
+    heads = deal(bucket[at], [owner[at].astype("<i8"), length])
+    values = deal(bucket, [a[order] for a in arrays])
+    columns = [*heads.columns, *values.columns[1:]]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", *(f"a{i}" for i in range(len(columns) - 1))])
+
+
 def gather(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> list[np.ndarray]:
     parts: list[list[bytes]] = [[] for _ in dtypes]
     for b in batches:
@@ -40,22 +56,6 @@ def gather(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> list[np.ndar
     return [np.frombuffer(b"".join(p), dtype=t) for p, t in zip(parts, dtypes, strict=True)]
 
 
-def dealt(df: DataFrame, send: Callable, dtypes: list[str], receive: Callable, schema: str, partitions: int) -> DataFrame:
-    """send: Arrow batches to (bucket, arrays) pairs; receive: arrays to Arrow batches of ``schema``."""
-
-    def mapper(batches):
-        for bucket, arrays in send(batches):
-            if len(bucket):
-                yield deal(bucket, [a.astype(t, copy=False) for a, t in zip(arrays, dtypes, strict=True)])
-
-    def reducer(batches):
-        arrays = gather(batches, dtypes)
-        if len(arrays[0]):
-            yield from receive(*arrays)
-
-    return df.mapInArrow(mapper, schema_of(dtypes)).repartition(partitions, "bucket").mapInArrow(reducer, schema)
-
-
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values of a sorted array."""
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)

@@ -5,8 +5,8 @@ num / den.  A link needs need(n) = ceil(n * num / den) common shingles of either
 n - need(n) + l shingles of x (an l-match prefix) at least l are in y.
 
 1. Classes: equal sets are one class, represented by its least id.
-2. Pruning: every class sends its 1-match prefix in hash order; a class none of whose prefix
-   shingles another class sends can't link and leaves.
+2. Pruning: every document sends a multi-match prefix in hash order; one that meets too few of
+   its shingles elsewhere can't link and leaves.
 3. Order: among the classes left, shingles are ordered by how many classes have them, rarest
    first.  Classes with fewer than need(n) shared shingles leave; the others' 1-match prefixes
    in this order connect them into loose clusters, which no link crosses.
@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import dealt, runs
+from .blobs import deal, deal_owned, gather, runs, schema_of
 from .common import scratch, table
 from .components import connected_components
-from .vectext import shingle_hashes, text_bytes, word_hashes
+from .vectext import mix, shingle_hashes, text_bytes, word_hashes
 
 K, NUM, DEN = 5, 80, 100
 NO_ID = (1 << 63) - 1
+NOBODY = -NO_ID
+SAMPLE = 5  # one shingle in so many is a required match of the pruning prefix
 CHUNK = 4 << 20
 
 
@@ -47,6 +49,11 @@ def need(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
+def sample_match(n: int, num: int, den: int) -> int:
+    """Matches that the pruning prefix, of n - need(n) + so many shingles, must have."""
+    return min(need(n, num, den), -(-n // SAMPLE))
+
+
 def document_sets(batch: pa.RecordBatch, k: int):
     """(id, sorted distinct shingle hashes) of each row; memory follows CHUNK and the longest text."""
     ids = [NO_ID if i is None else i for i in batch.column(0).to_pylist()]
@@ -79,44 +86,60 @@ def summaries(k: int):
     return run
 
 
-def active_prints(docs: DataFrame, k: int, num: int, den: int, partitions: int) -> DataFrame:
-    """p1: first print halves of the classes that share a prefix shingle with another class."""
-    buckets = 4 * partitions
+def shared_counts(docs: DataFrame, k: int, num: int, den: int, partitions: int) -> DataFrame:
+    """(id, shared): how many shingles of each document's pruning prefix other documents send too.
+
+    The prefix is in hash order and allows sample_match(n) matches: a document that links has at
+    least so many shared shingles in it.  Shingles travel as 48 bits besides their bucket; equal
+    ones of different shingles only prune less.  A batch sends one row for a shingle that several of its
+    documents have and counts it for them at once, so that a shingle of a third of all
+    documents reaches its task once a batch.
+    """
 
     def send(batches):
         for b in batches:
             tokens, owners = [], []
-            for _, s in document_sets(b, k):
-                if len(s):
-                    p = s[: len(s) - need(len(s), num, den) + 1]
-                    tokens.append(p)
-                    owners.append(np.full(len(p), np.frombuffer(xxhash.xxh3_128_digest(s.tobytes())[:8], dtype="<i8")[0]))
-            if not tokens:
+            for i, s in document_sets(b, k):
+                n = len(s)
+                tokens.append(s[: n - need(n, num, den) + sample_match(n, num, den)])
+                owners.append(np.full(len(tokens[-1]), i))
+            t, o = np.concatenate(tokens), np.concatenate(owners).astype(np.int64)
+            if not len(t):
                 continue
-            t, o = np.concatenate(tokens), np.concatenate(owners)
-            order = np.lexsort((o, t))
-            t, o = t[order], o[order]
-            new = np.concatenate(([True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])))
-            t, o = t[new], o[new]
-            start, count = runs(t)
-            # Shingles several classes of this batch share: those are active, one speaks for them.
-            met = np.unique(o[np.repeat(count > 1, count)])
-            yield (t[start] % np.uint64(buckets)).astype(np.int32), [t[start], o[start]]
-            yield (met.view(np.uint64) % np.uint64(buckets)).astype(np.int32), [np.zeros(len(met), np.uint64), met]
-
-    def receive(t, o):
-        out = [o[t == 0]]
-        t, o = t[t != 0], o[t != 0]
-        order = np.lexsort((o, t))
-        t, o = t[order], o[order]
-        if len(t):
-            new = np.concatenate(([True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])))
-            t, o = t[new], o[new]
-            _, count = runs(t)
-            out.append(o[np.repeat(count > 1, count)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["p1"])
-
-    return dealt(docs, send, ["<u8", "<i8"], receive, "p1 long", partitions).distinct()
+            _, inverse, count = np.unique(t, return_inverse=True, return_counts=True)
+            often = count[inverse] > 1
+            first = np.zeros(len(count), dtype=np.int64)
+            first[inverse[::-1]] = np.arange(len(t))[::-1]
+            sent = ~often
+            sent[first[count > 1]] = True
+            speaker = np.where(often, NOBODY, o)[sent]
+            t = t[sent]
+            yield deal_owned(((t >> np.uint64(48)) % np.uint64(partitions)).astype(np.int32), speaker, [t.astype("<u4"), (t >> np.uint64(32)).astype("<u2")])
+            who, counts = np.unique(o[often], return_counts=True)
+            if len(who):
+                known = deal((mix(who.view(np.uint64)) % np.uint64(partitions)).astype(np.int32), [who, counts.astype("<u4")])
+                empty = pa.array([b""] * known.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([*known.columns, empty, empty], ["bucket", "a0", "a1", "a2", "a3"])
+
+    def count(batches):
+        known, rest = [], []
+        for b in batches:
+            is_known = np.array([len(x) == 0 for x in b.column(3).to_pylist()], dtype=bool)
+            known.append(b.filter(pa.array(is_known)))
+            rest.append(b.filter(pa.array(~is_known)))
+        ids, counts = gather(known, ["<i8", "<u4"])
+        owner, length, low, high = gather(rest, ["<i8", "<u4", "<u4", "<u2"])
+        owner = np.repeat(owner, length)
+        t = (high.astype(np.uint64) << np.uint64(32)) | low
+        order = np.argsort(t, kind="stable")
+        _, c = runs(t[order])
+        shared = owner[order][np.repeat(c, c) > 1]
+        who, n = np.unique(np.concatenate((shared[shared != NOBODY], np.repeat(ids, counts))), return_counts=True)
+        if len(who):
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n.astype(np.int64))], ["id", "shared"])
+
+    sent = docs.mapInArrow(send, schema_of(4)).repartition(partitions, "bucket")
+    return sent.mapInArrow(count, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
 
 
 def set_rows(k: int):
@@ -141,52 +164,50 @@ def list_parts(column) -> tuple[np.ndarray, np.ndarray]:
 
 def cluster_edges(sets: DataFrame, num: int, den: int, partitions: int) -> DataFrame:
     """(a, b): each class and the least class that shares a shingle of their rarest-first prefixes."""
-    buckets = 4 * partitions
+
+    def place(x):
+        return (mix(x.view(np.uint64)) % np.uint64(partitions)).astype(np.int32)
 
     def by_token(batches):
         for b in batches:
             values, offsets = list_parts(b.column(1))
-            n = np.diff(offsets)
             ids = np.array(b.column(0).to_pylist(), dtype=np.int64)
-            yield (values % np.uint64(buckets)).astype(np.int32), [values, np.repeat(ids, n), np.repeat(n, n)]
-
-    def count(t, i, n):
-        order = np.argsort(t, kind="stable")
-        t, i, n = t[order], i[order], n[order]
-        _, c = runs(t)
-        df = np.repeat(c, c)
+            if len(values):
+                yield deal_owned(place(values), np.repeat(ids, np.diff(offsets)), [values])
+
+    def count(batches):
+        owner, length, t = gather(batches, ["<i8", "<u4", "<u8"])
+        owner = np.repeat(owner, length)
+        _, inverse, c = np.unique(t, return_inverse=True, return_counts=True)
+        df = c[inverse]
+        # Shingles of one class only are sent back as their number: they fill the front of its prefix.
+        alone, n_alone = np.unique(owner[df == 1], return_counts=True)
         on = df > 1
-        t, i, n, df = t[on], i[on], n[on], df[on]
-        if len(t):
-            from .blobs import deal
-
-            yield deal((i.view(np.uint64) % np.uint64(buckets)).astype(np.int32), [t, i, n.astype("<u4"), df.astype("<u4")])
-
-    shared = dealt(sets, by_token, ["<u8", "<i8", "<u4"], count, "bucket int, a0 binary, a1 binary, a2 binary, a3 binary", partitions)
+        who = np.concatenate((owner[on], alone))
+        order = np.argsort(who, kind="stable")
+        values = np.concatenate((t[on], n_alone.astype("<u8")))[order]
+        degree = np.concatenate((df[on], np.zeros(len(alone), df.dtype)))[order].astype("<u4")
+        if len(who):
+            yield deal_owned(place(who[order]), who[order], [values, degree])
 
     def prefixes(batches):
-        from .blobs import deal, gather
-
-        t, i, n, df = gather(batches, ["<u8", "<i8", "<u4", "<u4"])
+        owner, length, t, df = gather(batches, ["<i8", "<u4", "<u8", "<u4"])
         if not len(t):
             return
-        order = np.lexsort((t, df, i))
-        t, i, n = t[order], i[order], n[order].astype(np.int64)
-        start, count = runs(i)
-        n = n[start]
-        required = -(-n * num // den)
-        # The unique shingles, all rarer, fill the front of the prefix.
-        length = np.maximum(0, n - required + 1 - (n - count))
-        place = np.arange(len(t)) - np.repeat(start, count)
-        on = place < np.repeat(length, count)
+        owner = np.repeat(owner, length)
+        order = np.lexsort((t, df, owner))
+        owner, t, df = owner[order], t[order], df[order]
+        start, count = runs(owner)
+        alone = np.add.reduceat(np.where(df == 0, t, np.uint64(0)), start).astype(np.int64)
+        marks = np.add.reduceat((df == 0).astype(np.int64), start)
+        n = count - marks + alone
+        length = np.maximum(0, n + n * num // -den + 1 - alone)  # n - need(n) + 1 less the lonely ones
+        position = np.arange(len(t)) - np.repeat(start + marks, count)
+        on = (position >= 0) & (position < np.repeat(length, count))
         if on.any():
-            yield deal((t[on] % np.uint64(buckets)).astype(np.int32), [t[on], i[on]])
-
-    spread = shared.repartition(partitions, "bucket").mapInArrow(prefixes, "bucket int, a0 binary, a1 binary")
+            yield deal(place(t[on]), [t[on], owner[on]])
 
     def edges(batches):
-        from .blobs import gather
-
         t, i = gather(batches, ["<u8", "<i8"])
         if not len(t):
             return
@@ -197,7 +218,11 @@ def cluster_edges(sets: DataFrame, num: int, den: int, partitions: int) -> DataF
         pairs = np.unique(np.stack([i[i != low], low[i != low]], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    return spread.repartition(partitions, "bucket").mapInArrow(edges, "a long, b long").distinct()
+    steps = [(by_token, schema_of(3)), (count, schema_of(4)), (prefixes, schema_of(2)), (edges, "a long, b long")]
+    out = sets
+    for i, (step, schema) in enumerate(steps):
+        out = (out.repartition(partitions, "bucket") if i else out).mapInArrow(step, schema)
+    return out.distinct()
 
 
 def join_block(ids: list[int], sets: list[np.ndarray], num: int, den: int, max_match: int = 8) -> list[int]:
@@ -318,7 +343,9 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     all_docs = scratch(texts.mapInArrow(summaries(k), "id long, n long, p1 long, p2 long"), "jaccard-docs")
     classes = all_docs.where("n > 0").groupBy("p1", "p2").agg(F.min("id").alias("class_id"))
-    active = classes.join(active_prints(texts, k, num, den, partitions), "p1", "left_semi").select(F.col("class_id").alias("__id"))
+    required = F.least(F.ceil(F.col("n") * num / den), F.ceil(F.col("n") / SAMPLE))
+    met = all_docs.join(shared_counts(texts, k, num, den, partitions), "id").where(F.col("shared") >= required)
+    active = classes.join(met.select("p1", "p2").distinct(), ["p1", "p2"]).select(F.col("class_id").alias("__id"))
     active = scratch(active.distinct(), "jaccard-active")
     few = active.count() <= broadcast_ids
     chosen = texts.withColumn("__id", F.coalesce(F.col(id_col), F.lit(NO_ID))).join(

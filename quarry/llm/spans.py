@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blobs import deal, gather, runs
+from .blobs import deal, gather, runs, schema_of
 from .common import table
 from .vectext import mix, text_bytes, word_places
 
@@ -142,8 +142,8 @@ def repeated_spans(
         )
 
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    first = texts.mapInArrow(send, "bucket int, " + ", ".join(f"a{i} binary" for i in range(6)))
-    later = first.repartition(partitions, "bucket").mapInArrow(receive, "bucket int, " + ", ".join(f"a{i} binary" for i in range(4)))
+    first = texts.mapInArrow(send, schema_of(6))
+    later = first.repartition(partitions, "bucket").mapInArrow(receive, schema_of(4))
     return later.repartition(partitions, "bucket").mapInArrow(merge, SCHEMA)
 
 
