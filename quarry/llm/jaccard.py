@@ -136,10 +136,20 @@ def shared_counts(docs: DataFrame, k: int, num: int, den: int, partitions: int)
         shared = owner[order][np.repeat(c, c) > 1]
         who, n = np.unique(np.concatenate((shared[shared != NOBODY], np.repeat(ids, counts))), return_counts=True)
         if len(who):
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n.astype(np.int64))], ["id", "shared"])
+            yield deal((mix(who.view(np.uint64)) % np.uint64(partitions)).astype(np.int32), [who, n.astype("<u4")])
 
-    sent = docs.mapInArrow(send, schema_of(4)).repartition(partitions, "bucket")
-    return sent.mapInArrow(count, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
+    def total(batches):
+        who, n = gather(batches, ["<i8", "<u4"])
+        order = np.argsort(who, kind="stable")
+        start, _ = runs(who[order])
+        if len(start):
+            sums = np.add.reduceat(n[order].astype(np.int64), start)
+            yield pa.RecordBatch.from_arrays([pa.array(who[order][start]), pa.array(sums)], ["id", "shared"])
+
+    out = docs.mapInArrow(send, schema_of(4))
+    for step, schema in ((count, schema_of(2)), (total, "id long, shared long")):
+        out = out.repartition(partitions, "bucket").mapInArrow(step, schema)
+    return out
 
 
 def set_rows(k: int):
