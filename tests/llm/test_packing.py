@@ -1,0 +1,75 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer as Slow
+
+from quarry.llm.packing import HARD_PENALTY, Tokenizer, best_cuts, pack_documents
+
+
+def brute_cost(at, penalty, size):
+    best = {-1: 0}
+    where = [0, *at]
+    for j in range(len(at)):
+        best[j] = min(best[i] + size - (at[j] - where[i + 1]) + penalty[j] for i in range(-1, j) if at[j] - where[i + 1] <= size)
+    return best[len(at) - 1]
+
+
+def test_queue_finds_the_optimum():
+    rng = random.Random(2)
+    for _ in range(200):
+        at = list(np.cumsum([rng.randint(1, 20) for _ in range(rng.randint(1, 40))]))
+        penalty = [rng.choice([0, 3, 9]) for _ in at]
+        cuts = best_cuts([int(x) for x in at], penalty, 30)
+        places = dict(zip(at, penalty, strict=True))
+        assert cuts[-1] == at[-1] and all(b - a <= 30 for a, b in zip([0, *cuts], cuts, strict=False))
+        cost = sum(30 - (b - a) + places[b] for a, b in zip([0, *cuts], cuts, strict=False))
+        assert cost == brute_cost(at, penalty, 30)
+
+
+def test_fast_ids_are_the_tokenizers(corpus):
+    fast, slow = Tokenizer(), Slow.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t for _, t in corpus if t] + ["a <|endoftext|> b", " " * 3000, "🙂" * 50, "\x00\x1f", "don't  stop\n\n\n"]
+    for t in texts:
+        assert fast.ids(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+
+
+def test_every_id_in_one_piece(docs, corpus):
+    slow = Slow.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for size, block in ((2048, 1 << 20), (128, 1000)):
+        rows = pack_documents(docs, size=size, block_tokens=block).collect()
+        pieces, sequences = defaultdict(list), defaultdict(list)
+        for r in rows:
+            pieces[r.doc_id].append(r)
+            sequences[r.sequence_id].append(r)
+        for i, text in corpus:
+            ids = np.array([*(slow.encode(text or "", add_special_tokens=False).ids), 1], dtype="<u4")
+            at = 0
+            for r in sorted(pieces[i], key=lambda r: r.start):
+                assert r.start == at and r.doc_tokens == len(ids)
+                assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+                at += r.length
+            assert at == len(ids)
+        for part in sequences.values():
+            at = 0
+            for r in sorted(part, key=lambda r: r.offset):
+                assert r.offset == at
+                at += r.length
+            assert at <= size and {r.sequence_tokens for r in part} == {at}
+
+
+def test_empty_table_repeats_and_nulls(spark, empty_docs):
+    assert pack_documents(empty_docs).count() == 0
+    rows = [(None, None, 1)] * 2 + [(5, "same text", 2)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, start int").coalesce(1)
+    out = pack_documents(df).collect()
+    assert sorted((r.doc_id is None, r.length) for r in out) == [(False, 3), (False, 3), (True, 1), (True, 1)]
+
+
+def test_long_run_without_sentences_is_cut(spark):
+    df = spark.createDataFrame([(1, "word " * 20000)], "doc_id long, text string")
+    rows = pack_documents(df).collect()
+    assert sum(r.length for r in rows) == rows[0].doc_tokens > 20000
+    assert len(rows) <= rows[0].doc_tokens // (2048 - HARD_PENALTY) + 2
