@@ -1,7 +1,7 @@
 """Shuffles of numpy arrays: rows of (bucket, one binary per array) instead of a row per value.
 
 A mapper deals its values out to buckets and sends each bucket's slices as binaries; after
-``repartition`` by bucket the receiver joins the slices of its partition again.  Every value
+``exchange`` the receiver joins the slices of its partition again.  Every value
 costs its own bytes and no row overhead.  Partitions, and with them a task's memory, shrink
 with the number of buckets.
 """
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def schema_of(arrays: int) -> str:
@@ -56,6 +57,11 @@ def gather(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> list[np.ndar
     return [np.frombuffer(b"".join(p), dtype=t) for p, t in zip(parts, dtypes, strict=True)]
 
 
+def exchange(df: DataFrame, partitions: int) -> DataFrame:
+    """Rows to the partition their bucket names, so that buckets fill partitions evenly."""
+    return df.repartitionById(partitions, "bucket")
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values of a sorted array."""
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)

@@ -47,11 +47,13 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     This cuts lineage with files every executor can reread, so a lost executor costs a
     reread and not a recomputation.
     """
-    spark = df.sparkSession
-    path = new_scratch_path(spark, label)
-    schema = df.schema
+    return scratch_at(df, new_scratch_path(df.sparkSession, label))
+
+
+def scratch_at(df: DataFrame, path: str) -> DataFrame:
+    """As scratch, at a path that the caller may drop."""
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, scratch
+from .common import drop_path, new_scratch_path, scratch_at
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,13 +29,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     folder; the number of rounds grows with the logarithm of the components' size.
     """
     spark = edges.sparkSession
-    now = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    path = new_scratch_path(spark, "edges")
+    now = scratch_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
     before = None
     for _ in range(max_rounds):
-        new = scratch(_star(_star(now, True), False), "edges")
-        n, s = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_path(spark, now.inputFiles()[0].rsplit("/", 1)[0]) if now.inputFiles() else None
-        now = new
+        last, path = path, new_scratch_path(spark, "edges")
+        now = scratch_at(_star(_star(now, True), False), path)
+        n, s = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        drop_path(spark, last)
         if (n, s) == before:
             return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

@@ -14,8 +14,8 @@ n - need(n) + l shingles of x (an l-match prefix) at least l are in y.
    sheds, at the cost of verifying them, outweigh the postings it has to read, and requires
    correspondingly more shared prefix shingles before an exact count.  Pairs that links already
    connect are not counted again, so a large group of copies costs a pass for a few probes and
-   never all its pairs.  Clusters over ``block_tokens`` shingles are split: every two of their
-   blocks meet in one task, and the links found are connected afterwards.
+   never all its pairs.  Clusters over ``block_tokens`` shingles are first thinned out around a
+   pivot, then split: every two of their blocks meet in one task, and the links are connected.
 
 Values move as arrays (see blobs).  No step sends pairs of a group.
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import deal, deal_owned, gather, runs, schema_of
+from .blobs import deal, deal_owned, exchange, gather, runs, schema_of
 from .common import scratch, table
 from .components import connected_components
 from .vectext import mix, shingle_hashes, text_bytes, word_hashes
@@ -41,8 +41,9 @@ from .vectext import mix, shingle_hashes, text_bytes, word_hashes
 K, NUM, DEN = 5, 80, 100
 NO_ID = (1 << 63) - 1
 NOBODY = -NO_ID
+SENT = 500_000  # shingles that a task holds before it sends them
 SAMPLE = 5  # one shingle in so many is a required match of the pruning prefix
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def need(n: int, num: int, den: int) -> int:
@@ -98,28 +99,33 @@ def shared_counts(docs: DataFrame, k: int, num: int, den: int, partitions: int)
 
     def send(batches):
         for b in batches:
-            tokens, owners = [], []
+            tokens, owners, held = [], [], 0
             for i, s in document_sets(b, k):
                 n = len(s)
                 tokens.append(s[: n - need(n, num, den) + sample_match(n, num, den)])
-                owners.append(np.full(len(tokens[-1]), i))
-            t, o = np.concatenate(tokens), np.concatenate(owners).astype(np.int64)
-            if not len(t):
-                continue
-            _, inverse, count = np.unique(t, return_inverse=True, return_counts=True)
-            often = count[inverse] > 1
-            first = np.zeros(len(count), dtype=np.int64)
-            first[inverse[::-1]] = np.arange(len(t))[::-1]
-            sent = ~often
-            sent[first[count > 1]] = True
-            speaker = np.where(often, NOBODY, o)[sent]
-            t = t[sent]
-            yield deal_owned(((t >> np.uint64(48)) % np.uint64(partitions)).astype(np.int32), speaker, [t.astype("<u4"), (t >> np.uint64(32)).astype("<u2")])
-            who, counts = np.unique(o[often], return_counts=True)
-            if len(who):
-                known = deal((mix(who.view(np.uint64)) % np.uint64(partitions)).astype(np.int32), [who, counts.astype("<u4")])
-                empty = pa.array([b""] * known.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([*known.columns, empty, empty], ["bucket", "a0", "a1", "a2", "a3"])
+                owners.append(np.full(len(tokens[-1]), i, dtype=np.int64))
+                held += len(tokens[-1])
+                if held >= SENT:
+                    yield from dealt(np.concatenate(tokens), np.concatenate(owners))
+                    tokens, owners, held = [], [], 0
+            if held:
+                yield from dealt(np.concatenate(tokens), np.concatenate(owners))
+
+    def dealt(t, o):
+        _, inverse, count = np.unique(t, return_inverse=True, return_counts=True)
+        often = count[inverse] > 1
+        first = np.zeros(len(count), dtype=np.int64)
+        first[inverse[::-1]] = np.arange(len(t))[::-1]
+        sent = ~often
+        sent[first[count > 1]] = True
+        speaker = np.where(often, NOBODY, o)[sent]
+        t = t[sent]
+        yield deal_owned(((t >> np.uint64(48)) % np.uint64(partitions)).astype(np.int32), speaker, [t.astype("<u4"), (t >> np.uint64(32)).astype("<u2")])
+        who, counts = np.unique(o[often], return_counts=True)
+        if len(who):
+            known = deal((mix(who.view(np.uint64)) % np.uint64(partitions)).astype(np.int32), [who, counts.astype("<u4")])
+            empty = pa.array([b""] * known.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([*known.columns, empty, empty], ["bucket", "a0", "a1", "a2", "a3"])
 
     def count(batches):
         known, rest = [], []
@@ -148,7 +154,7 @@ def shared_counts(docs: DataFrame, k: int, num: int, den: int, partitions: int)
 
     out = docs.mapInArrow(send, schema_of(4))
     for step, schema in ((count, schema_of(2)), (total, "id long, shared long")):
-        out = out.repartition(partitions, "bucket").mapInArrow(step, schema)
+        out = exchange(out, partitions).mapInArrow(step, schema)
     return out
 
 
@@ -231,7 +237,7 @@ def cluster_edges(sets: DataFrame, num: int, den: int, partitions: int) -> DataF
     steps = [(by_token, schema_of(3)), (count, schema_of(4)), (prefixes, schema_of(2)), (edges, "a long, b long")]
     out = sets
     for i, (step, schema) in enumerate(steps):
-        out = (out.repartition(partitions, "bucket") if i else out).mapInArrow(step, schema)
+        out = (exchange(out, partitions) if i else out).mapInArrow(step, schema)
     return out.distinct()
 
 
@@ -333,6 +339,31 @@ def join_blocks(num: int, den: int):
     return run
 
 
+def around_pivots(placed: DataFrame, large: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Large clusters thinned out by one pivot each: (placed with ``blocks``, links to pivots).
+
+    The Jaccard distance is a metric.  Members that link to the pivot are connected already; one of
+    them can only matter to a member x that doesn't link to the pivot, and only if its own
+    distance to the pivot is within the threshold of x's.  The others leave, so a group of near
+    copies around its pivot costs one pass over it, however large it is.
+    """
+    inside = placed.join(large, "component")
+    first = inside.groupBy("component").agg(F.min_by(F.struct("id", "tokens"), "id").alias("pivot"))
+    first = scratch(first, "jaccard-pivots")
+    common = F.size(F.array_intersect("tokens", "pivot.tokens"))
+    union = F.size("tokens") + F.size("pivot.tokens") - common
+    measured = scratch(
+        inside.join(first, "component").select("component", "id", "tokens", "blocks", F.col("pivot.id").alias("pivot"), (1 - common / union).alias("far"), (common * den >= union * num).alias("near")),
+        "jaccard-measured",
+    )
+    least = measured.where("not near").groupBy("component").agg(F.min("far").alias("least"))
+    reach = (den - num) / den + 1e-9
+    rest = measured.join(least, "component").where(~F.col("near") | (F.col("far") >= F.col("least") - reach))
+    small = placed.join(large, "component", "left_anti").withColumn("blocks", F.lit(None).cast("int"))
+    links = measured.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    return small.select("component", "id", "tokens", "blocks").unionByName(rest.select("component", "id", "tokens", "blocks")), links
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -368,7 +399,7 @@ def jaccard_components(
     large = scratch(mass.where(F.col("mass") > block_tokens).select("component", F.ceil(2 * F.col("mass") / block_tokens).cast("int").alias("blocks")), "jaccard-large")
     n_large = large.count()
     if n_large:
-        placed = placed.join(large, "component", "left")
+        placed, near = around_pivots(placed, large, num, den)
         mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         parts = F.transform(
             F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine), lambda j: F.least(j, mine) * 65536 + F.greatest(j, mine)
@@ -382,11 +413,14 @@ def jaccard_components(
         .sortWithinPartitions("component", "part", "id")
         .mapInArrow(join_blocks(num, den), "a long, b long")
     )
+    if n_large:
+        links = links.unionByName(near)
     links = scratch(links, "jaccard-links")
     roots = connected_components(links) if n_large else links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     labels = classes.join(roots, classes["class_id"] == roots["id"], "left").select(
         "p1", "p2", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
+    labels = scratch(labels, "jaccard-labels")  # both sides of the last join are plain exchanges: a hot class can be split
     out = all_docs.join(labels, ["p1", "p2"], "left")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     linked = F.col("n") > 0
