@@ -111,6 +111,8 @@ def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_
     product and sends its own k best of each question.  Ties go to the smaller id; a zero vector scores 0.
     """
     spark = vectors.sparkSession
+    kinds = [question_vectors.schema["question_id"].dataType, vectors.schema["id"].dataType]
+    schema = f"question_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
 
     def unit(rows) -> np.ndarray:
         m = np.array(rows, dtype=np.float64)
@@ -123,10 +125,12 @@ def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_
 
         def run(batches):
             import pyarrow as pa
+            from pyspark.sql.pandas.types import to_arrow_type
 
+            arrow = [to_arrow_type(k) for k in kinds]
             ids, q = shared.value
             for b in batches:
-                keys = np.array(b.column(0).to_pylist(), dtype=np.int64)
+                keys = np.array(b.column(0).to_pylist())
                 scores = np.round(q @ unit(b.column(1).to_pylist()).T, DIGITS)
                 rows = []
                 for i, question in enumerate(ids):
@@ -134,9 +138,9 @@ def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_
                     best = np.lexsort((keys[on], -scores[i, on]))[:k]
                     rows += [(question, key, s) for key, s in zip(keys[on][best].tolist(), scores[i, on][best].tolist(), strict=True)]
                 cols = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["question_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], arrow[0]), pa.array(cols[1], arrow[1]), pa.array(cols[2], pa.float64())], ["question_id", "id", "score"])
 
-        return vectors.select("id", "embedding").mapInArrow(run, "question_id long, id long, score double")
+        return vectors.select("id", "embedding").mapInArrow(run, schema)
 
     out, block = None, []
     for r in question_vectors.select("question_id", "embedding").toLocalIterator():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import rolled_date
 from ..functions.rank import normalise_expected
 from ..functions.text import is_noise, strip
-from .schemas import CASE, CHUNK, EMBEDDING, EVENT, LOG
+from .schemas import CASE, CHUNK, EMBEDDING, EVENT, LOG  # noqa: F401
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
