@@ -1,10 +1,12 @@
 """Operator 4 - substring dedup by sliding sentence spans.
 
-A sentence ends with a word that ends in . ! or ?, or at a line break; a sentence of over
-``max_words`` words counts as several.  From every sentence starts one span: the shortest run
-of at least ``sentences`` sentences that has ``min_words`` words.  Span hashes (128 bits over the
-lower-cased words) meet globally; of equal spans the first by (id, place) stays, and sentences
-covered by any other one are removed.
+A sentence ends with a word that ends in . ! or ?, or at a line break.  A sentence of over
+``max_words`` words counts as several, cut before words that their hash picks (so that a passage is
+cut alike wherever it stands) and then by length.  From every sentence starts one span, and one
+ends at every sentence: the shortest run of at least ``sentences`` sentences that has ``min_words``
+words.  Thus every sentence of a repeated passage of two sentences and 2 * min_words words lies
+in a repeated span.  Span hashes (128 bits over the lower-cased words) meet globally; of equal
+spans the first by (id, place) stays, and sentences covered by any other one are removed.
 
 A batch sends one row for each of its distinct spans: its later occurrences of a span are
 non-first whatever the rest of the corpus holds.  So a passage that a third of all documents
@@ -24,20 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blobs import deal, gather, runs, schema_of
+from .blobs import deal, exchange, gather, runs, schema_of
 from .common import table
 from .vectext import mix, text_bytes, word_places
 
-SENTENCES, MIN_WORDS, MAX_WORDS = 2, 12, 24
+SENTENCES, MIN_WORDS, MAX_WORDS = 2, 24, 24
+PICK = 12  # one word in so many is a cut of a long sentence
 NO_ID = (1 << 63) - 1
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 SCHEMA = "doc_id long, start long, n_words long, n_spans long, first_doc_id long"
 _STEPS = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _TYPES = ["<u8", "<u8", "<i8", "<u4", "<u4"]  # both hash halves, id, first word, words
 _FOUND = ["<i8", "<u4", "<u4", "<i8"]  # id, first word, words, id of an earlier holder
 
 
-def sentence_starts(places: np.ndarray, buf: np.ndarray, offsets: np.ndarray, max_words: int) -> np.ndarray:
+def sentence_starts(words: np.ndarray, places: np.ndarray, buf: np.ndarray, offsets: np.ndarray, max_words: int) -> np.ndarray:
     """Indexes of the words that start a sentence."""
     n = len(places)
     if not n:
@@ -52,6 +55,10 @@ def sentence_starts(places: np.ndarray, buf: np.ndarray, offsets: np.ndarray, ma
     first[offsets[:-1][offsets[:-1] < n]] = True
     at = np.flatnonzero(first)
     size = np.diff(np.append(at, n))
+    long_ = np.repeat(size > max_words, size)
+    first |= long_ & (words % np.uint64(PICK) == 0)
+    at = np.flatnonzero(first)
+    size = np.diff(np.append(at, n))
     pieces = -(-size // max_words)
     shift = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     return np.repeat(at, pieces) + shift * max_words
@@ -72,13 +79,17 @@ def run_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarr
 
 def spans_of(words, offsets, places, buf, sentences: int, min_words: int, max_words: int):
     """(document, first word, words, h1, h2) of every span."""
-    starts = sentence_starts(places, buf, offsets, max_words)
+    starts = sentence_starts(words, places, buf, offsets, max_words)
     doc = np.searchsorted(offsets, starts, "right") - 1
-    ends = np.append(starts[1:], len(words))
-    # The first sentence at or after i + sentences - 1 whose end leaves min_words words.
-    last = np.maximum(np.arange(len(starts)) + sentences - 1, np.searchsorted(ends, starts + min_words, "left"))
-    ok = last < len(starts)
-    i, j = np.flatnonzero(ok), last[ok]
+    ends = np.append(starts[1:], len(words)) if len(starts) else starts
+    every = np.arange(len(starts))
+    # The first sentence at or after i + sentences - 1 that brings min_words words, and so backwards.
+    last = np.maximum(every + sentences - 1, np.searchsorted(ends, starts + min_words, "left"))
+    first = np.minimum(every - sentences + 1, np.searchsorted(starts, ends - min_words, "right") - 1)
+    ahead, behind = last < len(starts), first >= 0
+    pairs = np.concatenate((every[ahead] << 32 | last[ahead], first[behind] << 32 | every[behind]))
+    pairs = np.unique(pairs)
+    i, j = pairs >> 32, pairs & 0xFFFFFFFF
     same = doc[i] == doc[j]
     i, j = i[same], j[same]
     a, b = starts[i], ends[j]
@@ -143,8 +154,8 @@ def repeated_spans(
 
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     first = texts.mapInArrow(send, schema_of(6))
-    later = first.repartition(partitions, "bucket").mapInArrow(receive, schema_of(4))
-    return later.repartition(partitions, "bucket").mapInArrow(merge, SCHEMA)
+    later = exchange(first, partitions).mapInArrow(receive, schema_of(4))
+    return exchange(later, partitions).mapInArrow(merge, SCHEMA)
 
 
 def found(i, a, n, first, buckets: int) -> pa.RecordBatch:

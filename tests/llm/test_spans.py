@@ -1,7 +1,11 @@
+import random
 import re
 from collections import defaultdict
 
-from quarry.llm.spans import MAX_WORDS, MIN_WORDS, SENTENCES, remove_spans, repeated_spans
+from texts import sentences
+
+from quarry.llm.spans import MAX_WORDS, MIN_WORDS, PICK, SENTENCES, remove_spans, repeated_spans
+from quarry.llm.vectext import word_hashes
 
 
 def brute(rows):
@@ -15,17 +19,24 @@ def brute(rows):
                 first.append(new or len(words) == 0)
                 words.append(w)
                 new = w[-1] in ".!?"
-        starts, last = [], 0
-        for k in range(len(words)):
-            if first[k] or k - last == MAX_WORDS:
-                starts.append(k)
-                last = k
+        bounds = [k for k in range(len(words)) if first[k]] + [len(words)]
+        picked = word_hashes([w.encode() for w in words])[0] % PICK == 0 if words else []
+        starts = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            last = a
+            for k in range(a, b):
+                if k == a or (b - a > MAX_WORDS and picked[k]) or k - last == MAX_WORDS:
+                    starts.append(k)
+                    last = k
         ends = [*starts[1:], len(words)]
+        runs = set()
         for s in range(len(starts)):
-            for e in range(s + SENTENCES - 1, len(starts)):
-                if ends[e] - starts[s] >= MIN_WORDS:
-                    spans[tuple(words[starts[s] : ends[e]])].append((i, starts[s], ends[e]))
-                    break
+            ahead = [e for e in range(s + SENTENCES - 1, len(starts)) if ends[e] - starts[s] >= MIN_WORDS]
+            behind = [e for e in range(s - SENTENCES + 1, -1, -1) if ends[s] - starts[e] >= MIN_WORDS]
+            runs |= {(s, ahead[0])} if ahead else set()
+            runs |= {(behind[0], s)} if behind else set()
+        for s, e in runs:
+            spans[tuple(words[starts[s] : ends[e]])].append((i, starts[s], ends[e]))
     gone = defaultdict(set)
     for where in spans.values():
         for i, a, b in sorted(where)[1:]:
@@ -58,9 +69,21 @@ def test_removal_keeps_the_rest(docs, corpus):
 
 def test_repeats_nulls_empty_and_clashes(spark, empty_docs):
     assert repeated_spans(empty_docs).count() == 0
-    text = "This is a first sentence of words. And this is a second sentence of words."
+    text = "This is a first sentence of words that has a few more. And this is a second sentence of words that has some more, too."
     df = spark.createDataFrame([(1, text, 1), (2, text, 2), (2, text, 3), (None, text, 4), (3, None, 5)], "doc_id long, text string, start int")
     got = sorted((str(r.doc_id), r.first_doc_id) for r in repeated_spans(df).collect())
     assert {g[0] for g in got} == {"2", "None"} and {g[1] for g in got} <= {1, 2}
     kept = remove_spans(df, repeated_spans(df)).collect()
     assert sorted((str(r.doc_id), r.kept_text, r.start) for r in kept) == [("1", text, 1), ("2", "", 2), ("2", "", 3), ("3", "", 5), ("None", "", 4)]
+
+
+def test_passages_are_covered_wherever_they_stand(spark):
+    rng = random.Random(21)
+    flat = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))  # no sentence ends
+    for passage in (sentences(rng, 7), flat):
+        rows = [(d, f"{sentences(rng, 5)} lead{d} in words {passage} {'tail' * (d % 2)} {sentences(rng, 5)}") for d in range(6)]
+        rows += [(100 + d, f"{sentences(rng, 1)}\n{sentences(rng, 4)}") for d in range(6)]
+        got = found(repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+        assert set(got) == {1, 2, 3, 4, 5}
+        n = len(passage.split())
+        assert all(len(v) >= (n - 14 if passage is not flat else 0.4 * n) for v in got.values())
