@@ -68,6 +68,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> int:
     """Delete every scratch table of this driver; call once results are written."""
     paths = list(_live)
+    for t in spark.catalog.listTables():
+        if t.name.startswith("quarry_run_"):
+            spark.sql(f"DROP TABLE {t.name}")
     for path in paths:
         drop_path(spark, path)
     return len(paths)

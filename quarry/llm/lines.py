@@ -5,8 +5,8 @@ Line keys are hashed to 128 bits.  ``LineStore`` keeps, in the shared folder, so
 every run, the lines whose key a run holds are dropped, and the batch's own new keys become a
 run of level 0.  When a level has ``fanout`` runs they are compacted into one run of the next
 level, so a key is rewritten once per level and a batch reads O(log batches) runs.  Runs are
-bucketed files written by key hash and sorted in each bucket, so joins against them merge
-sorted streams.
+tables bucketed by the hash and sorted in each bucket: a batch's keys are exchanged once, by
+its own aggregation, and merge with every run in place; runs are never exchanged again.
 
 ``dedup_lines`` runs a whole table through a store in batches of ascending id, which makes
 the owner of a key the smallest id that holds it: other documents lose all their lines of
@@ -75,29 +75,37 @@ class LineStore:
         self.spark, self.fanout, self.buckets = spark, fanout, buckets
         self.levels: list[list[str]] = []
 
-    SCHEMA = "h1 long, h2 long, owner long"
-
-    def run(self, path: str) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(path)
+    def runs(self) -> list[str]:
+        """Names of the runs, the largest first; a key is in one of them only."""
+        return [name for level in reversed(self.levels) for name in level]
 
     def held(self) -> DataFrame | None:
-        """All (h1, h2, owner) held; a key is in one run only."""
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else None
+        """All (h1, h2, owner) held."""
+        out = None
+        for name in self.runs():
+            part = self.spark.table(name)
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def _write(self, df: DataFrame, level: int) -> None:
         path = new_scratch_path(self.spark, f"lines-run{level}")
-        df.repartition(self.buckets, "h1").sortWithinPartitions("h1", "h2").write.parquet(path)
+        name = "quarry_run_" + path.rsplit("-", 1)[1]
+        spread = df.repartition(self.buckets, "h1", "h2")  # one file a bucket
+        spread.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+
+    def drop(self, name: str) -> None:
+        path = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first().data_type
+        self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+        drop_path(self.spark, path)
 
     def add(self, batch: DataFrame) -> None:
         """batch: (id, h1, h2).  Keys that no run holds become owned by their smallest id here."""
         own = batch.groupBy("h1", "h2").agg(F.min("id").alias("owner"))
-        held = self.held()
-        if held is not None:
-            own = own.join(held.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        for name in self.runs():
+            own = own.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         self._write(own, 0)
         self.compact()
 
@@ -106,9 +114,12 @@ class LineStore:
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
                 old, self.levels[level] = self.levels[level], []
-                self._write(self.spark.read.schema(self.SCHEMA).parquet(*old), level + 1)
-                for path in old:
-                    drop_path(self.spark, path)
+                merged = self.spark.table(old[0])
+                for name in old[1:]:
+                    merged = merged.unionByName(self.spark.table(name))
+                self._write(merged, level + 1)
+                for name in old:
+                    self.drop(name)
             level += 1
 
 

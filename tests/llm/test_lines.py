@@ -59,8 +59,10 @@ def test_store_compacts_into_levels(spark):
         assert all(len(level) < 2 for level in store.levels)
     held = store.held()
     assert held.count() == held.select("h1", "h2").distinct().count() == len({i * (b + 1) for b in range(5) for i in range(6)})
-    for path in (p for level in store.levels for p in level):
-        part = store.run(path).withColumn("f", F.input_file_name()).collect()
+    for name in store.runs():
+        part = spark.table(name).withColumn("f", F.input_file_name()).collect()
         for f in {r.f for r in part}:
-            hs = [r.h1 for r in part if r.f == f]
-            assert hs == sorted(hs)
+            keys = [(r.h1, r.h2) for r in part if r.f == f]
+            assert keys == sorted(keys)
+    plan = store.held()._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: " in plan
