@@ -601,7 +601,7 @@ def _(spark, sf):
     """Gap sessions of the events of users as a stream that has read all there is."""
     import uuid
 
-    from ..streaming.streams import gap_session_stream, run_to_table
+    from ..streaming.streams import gap_session_stream, run_to_files
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -611,7 +611,7 @@ def _(spark, sf):
     kind = t(spark, sf, "events").schema
     stream = spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     run = uuid.uuid4().hex
-    return run_to_table(gap_session_stream(stream, "ts", "user_id"), f"sessions_{run}", f"{base}/quarry-stream/{run}")
+    return run_to_files(gap_session_stream(stream, "ts", "user_id"), f"{base}/quarry-stream/{run}/out", f"{base}/quarry-stream/{run}/state")
 
 
 # --- general relational shapes ----------------------------------------------------------------

@@ -58,6 +58,13 @@ def embedding_stream(items: DataFrame, read_cache: Callable[[], DataFrame], mode
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run what is available now into Parquet files under ``path`` (append mode), and read them."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run what is available now into an in-memory table; for tests and small reports."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
