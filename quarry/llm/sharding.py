@@ -75,6 +75,7 @@ def communication_matrix(block_sizes: list[int], n_shards: int, seed: int) -> li
 def hypergeometric_shards(
     df: DataFrame,
     keys: list[str],
+    ties: list[str] | None = None,
     n_shards: int = 40,
     seed: int = 20,
     rows_per_block: int = 500_000,
@@ -82,7 +83,8 @@ def hypergeometric_shards(
 ) -> DataFrame:
     """``df`` plus ``shard`` (int, 0 to n_shards-1) and ``slot`` (long, gapless from 0 in a shard).
 
-    keys: columns that tell rows apart; rows equal in all of them are exchangeable.
+    keys: columns whose hash places a row; counting the blocks reads these alone.
+    ties: further columns that order rows of equal keys; rows equal in all are exchangeable.
     rows_per_block: rows a local permutation may hold; more rows give more blocks.
     """
     spark = df.sparkSession
@@ -109,7 +111,8 @@ def hypergeometric_shards(
     edges = spark.createDataFrame(
         rows, T.StructType([T.StructField("__block", T.IntegerType()), T.StructField("__edges", T.ArrayType(T.LongType()))])
     )
-    local = Window.partitionBy("__block").orderBy("__local", *keys)
+    ties = [*keys, *(ties or [])]
+    local = Window.partitionBy("__block").orderBy("__local", *ties)
     placed = (
         df.withColumn("__local", F.row_number().over(local))
         .join(edges, "__block")
@@ -118,7 +121,7 @@ def hypergeometric_shards(
     )
     n_parts = -(-total // (n_shards * rows_per_block)) or 1
     placed = placed.withColumn("__part", F.pmod(F.shiftright("__spread", 20), F.lit(n_parts)).cast("int"))
-    within = Window.partitionBy("shard", "__part").orderBy("__spread", *keys)
+    within = Window.partitionBy("shard", "__part").orderBy("__spread", *ties)
     placed = placed.withColumn("slot", F.row_number().over(within).cast("long") - 1)
     if n_parts > 1:  # large shards are permuted in parts; a part starts where the ones before it end
         before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,7 +143,7 @@ def op6_hypergeometric_shards(spark, sf_dir):
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    out = hypergeometric_shards(docs, ["doc_id", "text_crc32", "size"], 40)
+    out = hypergeometric_shards(docs, ["doc_id"], ["text_crc32", "size"], 40)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -23,7 +23,7 @@ def test_draw_follows_the_distribution():
 
 def test_law_rows(docs, corpus):
     for per_block in (500_000, 1):
-        rows = hypergeometric_shards(docs, ["doc_id"], 8, rows_per_block=per_block).collect()
+        rows = hypergeometric_shards(docs, ["doc_id"], n_shards=8, rows_per_block=per_block).collect()
         assert sorted(r.doc_id for r in rows) == [i for i, _ in corpus]
         sizes = Counter(r.shard for r in rows)
         assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 8
@@ -34,15 +34,15 @@ def test_law_rows(docs, corpus):
 def test_repeated_rows_nulls_empty_and_clashes(spark, empty_docs):
     rows = [(None, None, 9)] * 3 + [(1, "a", 9)] * 10
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
-    out = hypergeometric_shards(df, ["doc_id", "text"], 4).collect()
+    out = hypergeometric_shards(df, ["doc_id"], ["text"], 4).collect()
     assert len(out) == 13 and Counter(r.shard for r in out).most_common(1)[0][1] == 4
     assert Counter((r.doc_id, r.text) for r in out) == Counter((r[0], r[1]) for r in rows)
-    assert hypergeometric_shards(empty_docs, ["doc_id"], 4).count() == 0
+    assert hypergeometric_shards(empty_docs, ["doc_id"], n_shards=4).count() == 0
 
 
 def test_order_is_shuffled(spark):
     df = spark.range(4000).withColumnRenamed("id", "doc_id")
-    rows = hypergeometric_shards(df, ["doc_id"], 4).collect()
+    rows = hypergeometric_shards(df, ["doc_id"], n_shards=4).collect()
     first = sorted((r.slot, r.doc_id) for r in rows if r.shard == 0)
     ups = sum(a[1] < b[1] for a, b in zip(first, first[1:], strict=False))
     assert 400 < ups < 600
