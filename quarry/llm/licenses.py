@@ -9,7 +9,7 @@ the share of the template's words that are matched; a template is reported if it
 
 A license note is often shorter than the text's vocabulary makes unique, so a text is aligned
 inside windows: around each place where a rare word of the template stands, as many words as twice
-the template has.  Texts that lack so many of the template's words that the coverage can't be
+the template has.  A very long text goes through in overlapping stretches.  Texts that lack so many of the template's words that the coverage can't be
 reached are turned away by one set intersection.
 
 Defined results: null or empty texts match nothing; words are compared in lower case and without
@@ -57,6 +57,22 @@ def words_of(text: str) -> list[str]:
     return [w.strip(_EDGES) or w for w in _WORD.findall(text.lower())]
 
 
+def blocks_of(text: str, size: int, overlap: int):
+    """(index of the first word, words) of stretches that share ``overlap`` words with the next one."""
+    if len(text) <= size:
+        yield 0, words_of(text)
+        return
+    base, words = 0, []
+    for m in _WORD.finditer(text.lower()):
+        words.append(m[0].strip(_EDGES) or m[0])
+        if len(words) == size:
+            yield base, words
+            base += size - overlap
+            words = words[-overlap:]
+    if not base or len(words) > overlap:
+        yield base, words
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of pairs (sorted by the first) that rises in the second: patience piles."""
     tops: list[int] = []
@@ -147,32 +163,38 @@ def best_alignment(text: list[str], where: dict[str, list[int]], t: Template, mi
     return best
 
 
-def scan(templates: dict[str, str], min_coverage: float, min_density: float, best_only: bool):
+def scan(templates: dict[str, str], min_coverage: float, min_density: float, best_only: bool, block_words: int = 200_000):
     def run(batches):
         rarity = Counter(w for t in templates.values() for w in words_of(t))
         rarity += Counter({w: 1000 for w in ("the", "is", "under", "this", "to", "of", "all", "by", "in")})
         known = [Template(n, t, rarity) for n, t in templates.items()]
         vocabulary = set().union(*(t.vocabulary for t in known)) if known else set()
+        longest = max((len(t.words) for t in known), default=1)
+
+        def search(words: list[str]):
+            here = vocabulary.intersection(words)
+            where: dict[str, list[int]] | None = None
+            for t in known if here else ():
+                if len(t.vocabulary & here) < min_coverage * len(t.vocabulary) - (len(t.words) - len(t.vocabulary)):
+                    continue
+                if where is None:
+                    where = {}
+                    for i, w in enumerate(words):
+                        if w in here:
+                            where.setdefault(w, []).append(i)
+                hit = best_alignment(words, where, t, min_coverage, min_density)
+                if hit:
+                    yield t, hit
+
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = words_of(text.as_py() or "")
-                here = vocabulary.intersection(words)
-                if not here:
-                    continue
-                where = None
-                found = []
-                for t in known:
-                    if len(t.vocabulary & here) < min_coverage * len(t.vocabulary) - (len(t.words) - len(t.vocabulary)):
-                        continue
-                    if where is None:
-                        where = {}
-                        for i, w in enumerate(words):
-                            if w in here:
-                                where.setdefault(w, []).append(i)
-                    hit = best_alignment(words, where, t, min_coverage, min_density)
-                    if hit:
-                        found.append((doc_id, t.name, hit[0] / len(t.words), hit[0], len(t.words), *hit[1:]))
+                best: dict[str, tuple] = {}
+                for base, words in blocks_of(text.as_py() or "", block_words, 4 * longest):
+                    for t, hit in search(words):
+                        if t.name not in best or hit[0] > best[t.name][1][0]:
+                            best[t.name] = (t, (hit[0], hit[1] + base, *hit[2:]))
+                found = [(doc_id, n, hit[0] / len(t.words), hit[0], len(t.words), *hit[1:]) for n, (t, hit) in best.items()]
                 if best_only:  # of templates that claim the same words only the one with most of them
                     found.sort(key=lambda r: (-r[2], -r[3], r[1]))
                     clear: list[tuple] = []

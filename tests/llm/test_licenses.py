@@ -2,7 +2,7 @@ import random
 
 from texts import prose
 
-from quarry.llm.licenses import TEMPLATES, align, increasing, scan_licenses, words_of
+from quarry.llm.licenses import TEMPLATES, align, blocks_of, increasing, scan, scan_licenses, words_of
 
 
 def longest(pairs):
@@ -69,3 +69,18 @@ def test_defined_cases(spark, empty_docs):
     df = spark.createDataFrame([(None, TEMPLATES["MIT"], "a"), (1, None, "b"), (2, "", "c"), (2, TEMPLATES["MIT"], "d")], "doc_id long, text string, license string")
     assert sorted(str(r.doc_id) for r in scan_licenses(df).collect()) == ["2", "None"]
     assert scan_licenses(df, {}).count() == 0
+
+
+def test_long_texts_go_in_stretches():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = prose(rng, 5000)
+    for at in (0, 97, 1500, 4990):
+        words[at:at] = TEMPLATES["Apache-2.0"].split()
+    text = " ".join(words)
+    parts = list(blocks_of(text, 100, 40))
+    assert all(words_of(text)[base : base + len(w)] == w for base, w in parts) and parts[-1][0] + len(parts[-1][1]) == len(words)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    whole, pieces = (list(scan(TEMPLATES, 0.75, 0.6, True, n)([batch]))[0].to_pylist() for n in (10**9, 100))
+    assert whole == pieces and whole[0]["license"] == "Apache-2.0"

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from texts import sentences
 
-from quarry.llm.rules import FEATURES, LineField, judge, line_features, quality_rules, repeat_words, train_field
+from quarry.llm.rules import FEATURES, LineField, judge, line_features, quality_rules, repeat_words, repeat_words_of_long, train_field
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -42,6 +42,12 @@ def test_repeated_windows_overlap():
     assert repeat_words([b"x"] * 4) == 4
     assert repeat_words([b"x"] * 3) == 0
     assert repeat_words([]) == 0
+    rng = random.Random(1)
+    for _ in range(100):
+        words = [rng.choice(b"abcde").to_bytes() for _ in range(rng.randint(3, 60))]
+        assert repeat_words(words) == repeat_words_of_long(words)
+    words = [b"%d" % rng.randrange(300) for _ in range(60_000)]
+    assert repeat_words(words) == repeat_words_of_long(words) > 0
 
 
 def test_viterbi_is_the_best_sequence():
