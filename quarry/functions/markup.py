@@ -92,43 +92,58 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+def _image(node: Node) -> str:
+    alt = node.attrs.get("alt", "").strip()
+    return f"\n[image: {alt}]\n" if alt else ""
+
+
+#: Elements that are written without looking at their children's own form.
+LEAVES = {
+    "script": lambda n: "",
+    "style": lambda n: "",
+    "br": lambda n: "\n",
+    "img": _image,
+    "pre": lambda n: f"\n```\n{n.raw_text()}\n```\n",
+}
+#: Fixed output forms: an element's stripped content stands for %s.
+FORMS = {
+    "strong": "**%s**", "b": "**%s**", "em": "_%s_", "i": "_%s_", "code": "`%s`", "li": "\n- %s", "td": "%s | ", "th": "%s | ",
+    **{name: "\n%s\n" for name in BLOCK},
+    **{name: "\n\n" + "#" * level + " %s\n\n" for name, level in HEADINGS.items()},
+}
+
+
+def _link(node: Node, label: str, base_url: str) -> str:
+    """Markdown link; addresses that are expressions leave their label, paths get the base address."""
+    href = node.attrs.get("href", "").strip()
+    if href[:1] in ("", "{", "$"):
+        return label
+    target = base_url + href if href.startswith("/") else href
+    return f"[{label}]({target})" if label else target
+
+
 def render(node: Node | str, base_url: str = "") -> str:
-    """Markdown-like text of one node."""
-    if isinstance(node, str):
-        return re.sub(r"[ \t\n]+", " ", node)
-    name = node.name
-    if name in ("script", "style"):
-        return ""
-    if name == "pre":
-        return f"\n```\n{node.raw_text()}\n```\n"
-    if name == "br":
-        return "\n"
-    if name == "img":
-        alt = node.attrs.get("alt", "").strip()
-        return f"\n[image: {alt}]\n" if alt else ""
-    inner = "".join(render(c, base_url) for c in node.children)
-    bare = inner.strip()
-    if name == "a":
-        href = node.attrs.get("href", "").strip()
-        if not href or href[0] in "{$":
-            return bare
-        href = base_url + href if href[0] == "/" else href
-        return f"[{bare}]({href})" if bare else href
-    if name in ("strong", "b"):
-        return f"**{bare}**"
-    if name in ("em", "i"):
-        return f"_{bare}_"
-    if name == "code":
-        return f"`{bare}`"
-    if name in HEADINGS:
-        return f"\n\n{'#' * HEADINGS[name]} {bare}\n\n"
-    if name == "li":
-        return f"\n- {bare}"
-    if name in BLOCK:
-        return f"\n{bare}\n"
-    if name in ("td", "th"):
-        return f"{bare} | "
-    return inner
+    """Markdown-like text of one node, children first; a stack stands in for recursion, as markup can nest deep."""
+    written: list[list[str]] = [[]]
+    todo: list[tuple[Node | str, bool]] = [(node, False)]
+    while todo:
+        x, complete = todo.pop()
+        if isinstance(x, str):
+            written[-1].append(re.sub(r"[ \t\n]+", " ", x))
+        elif complete:
+            content = "".join(written.pop())
+            if x.name == "a":
+                content = _link(x, content.strip(), base_url)
+            elif x.name in FORMS:
+                content = FORMS[x.name] % content.strip()
+            written[-1].append(content)
+        elif x.name in LEAVES:
+            written[-1].append(LEAVES[x.name](x))
+        else:
+            written.append([])
+            todo.append((x, True))
+            todo += [(c, False) for c in reversed(x.children)]
+    return "".join(written[0])
 
 
 def tidy_text(text: str) -> str:

@@ -48,15 +48,20 @@ def thread_roots(events: DataFrame) -> DataFrame:
     return state.select("index", "root")
 
 
-def build_threads(events: DataFrame) -> DataFrame:
-    """(thread, index, ...) of cleaned events: edge threads first, loose messages by time gap."""
+def build_threads(events: DataFrame, channel: str | None = None) -> DataFrame:
+    """(thread, index, ...) of cleaned events: edge threads first, loose messages by time gap.
+
+    channel: column whose values are separate streams (indexes must then be unique over all of
+    them); without it the loose messages of the one channel are ordered in one task.
+    """
+    by = [channel] if channel else []
     roots = thread_roots(events)
     placed = roots.where("root is not null").select(F.col("root").alias("thread"), "index")
     heads = placed.select("thread").distinct().join(events.select(F.col("index").alias("thread")), "thread", "left_semi").select("thread", F.col("thread").alias("index"))
     loose = roots.where("root is null").select("index").join(heads.select("index"), "index", "left_anti").join(events, "index")
-    timed = loose.select("index", from_millis(F.col("timestamp")).alias("__ts"))
-    gaps = gap_sessions(timed, "__ts", ["index"], name="__s")
-    first = Window.partitionBy("__s")
+    timed = loose.select("index", *by, from_millis(F.col("timestamp")).alias("__ts"))
+    gaps = gap_sessions(timed, "__ts", ["index"], by, name="__s")
+    first = Window.partitionBy(*by, "__s")
     loose = gaps.select(F.min("index").over(first).alias("thread"), "index")
     members = placed.unionByName(heads).unionByName(loose).distinct()
     return cap_threads(members.join(events, "index"))

@@ -99,20 +99,23 @@ def faq_pairs(keys: DataFrame, strings: DataFrame) -> DataFrame:
     return out.where("q <> '' and a <> ''").select("position", "key", F.col("q").alias("question"), F.col("a").alias("answer"))
 
 
+#: Fixed patterns of an article registry: its imports and its entries.
+IMPORT = r'import\s+(\w+)\s+from\s+"\./(\w+)\.svelte"'
+ENTRY = (
+    r'(?s)slug:\s*"([^"]+)",\s*title:\s*"((?:[^"\\]|\\.)*)",\s*author:\s*"([^"]*)",\s*'
+    r"date:\s*new Date\((\d+),\s*(\d+),\s*(\d+)\),\s*component:\s*(\w+),"
+)
+
+
 def article_registry(source: DataFrame) -> DataFrame:
     """slug, title, author, date, file of the entries of an article registry whose component is imported.
 
     source has one text ``value``.  Months are zero-based and dates roll over.
     """
-    imports = r'import\s+(\w+)\s+from\s+"\./(\w+)\.svelte"'
-    entry = (
-        r'(?s)slug:\s*"([^"]+)",\s*title:\s*"((?:[^"\\]|\\.)*)",\s*author:\s*"([^"]*)",\s*'
-        r"date:\s*new Date\((\d+),\s*(\d+),\s*(\d+)\),\s*component:\s*(\w+),"
-    )
     all_of = lambda p, i: F.regexp_extract_all("value", F.lit(p), F.lit(i))
-    known = source.select(F.explode(F.arrays_zip(all_of(imports, 1).alias("component"), all_of(imports, 2).alias("file"))).alias("i")).select("i.*")
+    known = source.select(F.explode(F.arrays_zip(all_of(IMPORT, 1).alias("component"), all_of(IMPORT, 2).alias("file"))).alias("i")).select("i.*")
     names = ("slug", "title", "author", "y", "m", "d", "component")
-    zipped = F.arrays_zip(*[all_of(entry, i).alias(n) for i, n in enumerate(names, 1)])
+    zipped = F.arrays_zip(*[all_of(ENTRY, i).alias(n) for i, n in enumerate(names, 1)])
     entries = source.select(F.posexplode(zipped).alias("position", "e")).select("position", "e.*")
     date = rolled_date(F.col("y").cast("int"), F.col("m").cast("int"), F.col("d").cast("int"))
     return entries.join(known, "component").select("position", "slug", F.replace("title", F.lit('\\"'), F.lit('"')).alias("title"), "author", date.alias("date"), "file")

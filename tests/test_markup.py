@@ -43,3 +43,7 @@ def test_clauses():
         ("1", "General", None, "A1) first clause that is long enough to stay\n\nA2) second clause"),
         ("2", "More", "Group", "1.1 nested clause that is long enough to stay in"),
     ]
+
+
+def test_deep_nesting():
+    assert to_markdown("<p>x" * 5000).replace("\n", "") == "x" * 5000

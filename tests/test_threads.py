@@ -61,6 +61,12 @@ def test_gap_threads_and_cap(spark):
     assert groups(threads.build_threads(events(spark, many)))[0] == list(range(40))
 
 
+def test_channels_are_separate_streams(spark):
+    rows = [(i, i, "a", "x", None, None) for i in range(6)]
+    df = events(spark, rows).withColumn("channel", F.col("index") % 2)
+    assert groups(threads.build_threads(df, "channel")) == {0: [0, 2, 4], 1: [1, 3, 5]}
+
+
 def test_edges_take_messages_out_of_gap_threads(spark):
     rows = [(0, 0, "a", "x", None, None), (1, 1, "b", "x", None, None), (2, 2, "c", "x", None, 0)]
     assert groups(threads.build_threads(events(spark, rows))) == {0: [0, 2], 1: [1]}
