@@ -5,12 +5,13 @@ increasing subsequence of their places is kept, and each gap between two anchors
 same way.  Where a gap has no anchors, equal words at its two ends are matched.  Outside the
 outermost anchors only a margin as long as the template's own rest is aligned.  Coverage is
 the share of the template's words that are matched; a template is reported if it reaches
-``min_coverage``, has at least one anchor or is met whole, and its matched words stand densely enough.
+``min_coverage`` and its matched words stand densely enough (``min_density``).
 
 A license note is often shorter than the text's vocabulary makes unique, so a text is aligned
 inside windows: around each place where a rare word of the template stands, as many words as twice
-the template has.  A very long text goes through in overlapping stretches.  Texts that lack so many of the template's words that the coverage can't be
-reached are turned away by one set intersection.
+the template has.  A very long text goes through in overlapping stretches.  Texts that lack so
+many of the template's words that the coverage can't be reached are turned away by one set
+intersection.
 
 Defined results: null or empty texts match nothing; words are compared in lower case and without
 punctuation at their ends; of equally good alignments the first is reported; repeated rows and
