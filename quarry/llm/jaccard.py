@@ -91,7 +91,7 @@ def shared_counts(docs: DataFrame, k: int, num: int, den: int, partitions: int)
     """(id, shared): how many shingles of each document's pruning prefix other documents send too.
 
     The prefix is in hash order and allows sample_match(n) matches: a document that links has at
-    least so many shared shingles in it.  Shingles travel as 48 bits besides their bucket; equal
+    least so many shared shingles in it, less one for rounding.  Shingles travel as 48 bits besides their bucket; equal
     ones of different shingles only prune less.  A batch sends one row for a shingle that several of its
     documents have and counts it for them at once, so that a shingle of a third of all
     documents reaches its task once a batch.
@@ -384,7 +384,8 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     all_docs = scratch(texts.mapInArrow(summaries(k), "id long, n long, p1 long, p2 long"), "jaccard-docs")
     classes = all_docs.where("n > 0").groupBy("p1", "p2").agg(F.min("id").alias("class_id"))
-    required = F.least(F.ceil(F.col("n") * num / den), F.ceil(F.col("n") / SAMPLE))
+    # Of a linked pair the larger set gains at least as many needed shingles as allowed matches, but for rounding.
+    required = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * num / den), F.ceil(F.col("n") / SAMPLE)) - 1)
     met = all_docs.join(shared_counts(texts, k, num, den, partitions), "id").where(F.col("shared") >= required)
     active = classes.join(met.select("p1", "p2").distinct(), ["p1", "p2"]).select(F.col("class_id").alias("__id"))
     active = scratch(active.distinct(), "jaccard-active")

@@ -81,6 +81,25 @@ def test_matches_brute_force(docs, corpus):
     assert sum(c != i for i, (_, c) in expected.items()) > 10
 
 
+@pytest.mark.parametrize("num", [80, 75, 50, 90])
+def test_pairs_around_the_threshold(spark, num):
+    rng = random.Random(num)
+    rows = []
+    for i in range(0, 160, 2):
+        n = rng.randint(5, 70)
+        base = [f"v{rng.randrange(10**5)}" for _ in range(n)]
+        other = base[: max(1, n - rng.randint(0, n // 3 + 1))]
+        if rng.random() < 0.5:
+            other[rng.randrange(len(other))] = "x"
+        if rng.random() < 0.3:
+            other += [f"t{j}" for j in range(rng.randint(0, 8))]
+        rows += [(i, " ".join(base)), (i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows, num)
+    assert result(jaccard_components(df, num=num)) == expected
+    assert 8 <= sum(c != i for i, (_, c) in expected.items()) < 75
+
+
 def test_thresholds_at_the_edge(spark):
     base = [f"w{i}" for i in range(54)]
     rows = [(i, " ".join(base[: 54 - i])) for i in range(30)]  # 50 shingles, 49, 48, ...
