@@ -434,8 +434,8 @@ def jaccard_components(
 
 
 def op5_jaccard_join(spark, sf_dir):
-    """Components of all documents at five words and a similarity of 0.8."""
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("class_id")
+    """Components of all documents at five words and a similarity of 0.8, and classes of equal sets."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 SQL = r"""
@@ -451,7 +451,7 @@ WITH w AS (
            ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END) AS shingle
   FROM w
 ), n AS (
-  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+  SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS print FROM s GROUP BY doc_id
 ), p AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
   FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
@@ -465,6 +465,7 @@ WITH w AS (
     SELECT e.y, c.low FROM c JOIN e ON e.x = c.id WHERE c.low < e.y
   ) SELECT id, min(low) AS component_id FROM c GROUP BY id
 )
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id,
+       CASE WHEN n.n > 0 THEN min(d.doc_id) OVER (PARTITION BY n.print) ELSE d.doc_id END AS class_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id
 """
