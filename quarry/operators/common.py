@@ -17,4 +17,5 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def top_k(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark limits groups before and after the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    first = df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    return first.withColumn(rank, F.col(rank).cast("bigint"))

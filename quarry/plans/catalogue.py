@@ -633,3 +633,111 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return top_k(t(spark, sf, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
+
+
+# --- further operators ------------------------------------------------------------------------
+
+
+@query(
+    "event_cleaning",
+    r"""SELECT conv_id, turn FROM (SELECT conv_id, turn, role, left(text, CAST(turn * 2 + 1 AS INTEGER)) AS body FROM conversations)
+        WHERE role <> 'system' AND trim(body, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND NOT starts_with(ltrim(body, chr(32) || chr(9) || chr(10) || chr(13)), '/')
+          AND NOT regexp_full_match(body, '(?is)\s*(/\w+|[^\pL\pN]{1,4}|gm|ty|thanks|thx|lol|\+1)\s*')""",
+)
+def _(spark, sf):
+    from ..sources.readers import clean_events
+
+    c = t(spark, sf, "conversations")
+    body = F.substring("text", F.lit(1), (F.col("turn") * 2 + 1).cast("int"))
+    e = c.select("conv_id", "turn", body.alias("text"), F.lit(None).cast("boolean").alias("deleted"), (F.col("role") == "system").alias("isBot"))
+    return clean_events(e).select("conv_id", "turn")
+
+
+@query(
+    "first_last_message",
+    """SELECT conv_id, count(*) AS messages, sha256(arg_min(text, turn)) AS first, sha256(arg_max(text, turn)) AS last FROM conversations GROUP BY conv_id""",
+)
+def _(spark, sf):
+    g = t(spark, sf, "conversations").groupBy("conv_id")
+    return g.agg(F.count("*").alias("messages"), F.sha2(F.min_by("text", "turn"), 256).alias("first"), F.sha2(F.max_by("text", "turn"), 256).alias("last"))
+
+
+@query(
+    "latest_event",
+    """SELECT user_id, arg_max(event_id, struct_pack(ts := ts, id := event_id)) AS event_id FROM events GROUP BY user_id""",
+)
+def _(spark, sf):
+    return t(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query(
+    "variant_access",
+    """SELECT doc_id, coalesce(nullif(json_extract_string(j, '$.published'), ''), json_extract_string(j, '$.answered_at')) AS published
+       FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{"published": "2024-01-0' || (doc_id % 9) || '"}' WHEN 1 THEN '{"published": "", "answered_at": "2023-05-05"}' ELSE '{}' END AS j FROM documents)""",
+)
+def _(spark, sf):
+    i = F.col("doc_id")
+    j = F.when(i % 3 == 0, F.concat(F.lit('{"published": "2024-01-0'), i % 9, F.lit('"}'))).when(i % 3 == 1, '{"published": "", "answered_at": "2023-05-05"}').otherwise("{}")
+    d = t(spark, sf, "documents").select("doc_id", F.parse_json(j).alias("meta"))
+    get = lambda p: F.nullif(F.try_variant_get("meta", p, "string"), F.lit(""))
+    return d.select("doc_id", F.coalesce(get("$.published"), get("$.answered_at")).alias("published"))
+
+
+@query(
+    "usage_totals",
+    """SELECT CAST(sum(length(text)) AS BIGINT) AS tokens_in, CAST(sum(n_chars % 7) AS BIGINT) AS tokens_out, count(*) FILTER (WHERE doc_id % 11 = 0) AS parse_failures, CAST(sum(doc_id % 2) AS BIGINT) AS dropped_citations FROM documents""",
+)
+def _(spark, sf):
+    d = t(spark, sf, "documents")
+    kind = F.when(F.col("doc_id") % 11 == 0, None).otherwise("answer")
+    rows = d.select(F.length("text").alias("tokens_in"), (F.col("n_chars") % 7).alias("tokens_out"), kind.alias("response_type"), (F.col("doc_id") % 2).alias("dropped_citations"))
+    return answers.usage(rows)
+
+
+@query("expected_unresolved", "SELECT DISTINCT item_id AS case_id, x AS chunk_id FROM (SELECT item_id, unnest([item_id, item_id * 997, -item_id - 1]) AS x FROM benchmark) WHERE x NOT IN (SELECT doc_id FROM documents)")
+def _(spark, sf):
+    i = F.col("item_id")
+    cases = t(spark, sf, "benchmark").select(i.alias("id"), F.array(F.array(i), F.array(i * 997, -i - 1)).alias("expected_chunk_ids"))
+    return validate.unresolved_expected(cases, as_chunks(spark, sf))
+
+
+@query(
+    "category_shortfalls",
+    """WITH l(category, least) AS (VALUES ('answerable', 25), ('refusal', 8), ('ambiguous', 4), ('injection', 3), ('all', 40)),
+       c AS (SELECT CASE WHEN item_id % 10 < 5 THEN 'answerable' WHEN item_id % 10 < 7 THEN 'refusal' ELSE 'ambiguous' END AS category FROM benchmark WHERE item_id < 30),
+       n AS (SELECT category, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM c)
+       SELECT l.category, coalesce(n, 0) AS cases, CAST(least AS BIGINT) AS least FROM l LEFT JOIN n USING (category) WHERE coalesce(n, 0) < least""",
+)
+def _(spark, sf):
+    k = F.col("item_id") % 10
+    c = t(spark, sf, "benchmark").where("item_id < 30").select(F.when(k < 5, "answerable").when(k < 7, "refusal").otherwise("ambiguous").alias("category"))
+    return validate.category_shortfalls(c)
+
+
+@query(
+    "inline_markdown",
+    r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<a\b[^>]*?href=["'']([^"'']+)["''][^>]*>(.*?)</a>', '[\2](\1)', 'g'), '<[^>]+>', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9) || chr(13))) AS sha FROM pages""",
+)
+def _(spark, sf):
+    return t(spark, sf, "pages").select("page_id", F.sha2(text.inline_markdown(F.col("html")), 256).alias("sha"))
+
+
+@query("corpus_health", "SELECT count(*) AS corpus_size, 5 AS index_build_ms, 'bm25,dense' AS strategies FROM documents")
+def _(spark, sf):
+    from .ask import health
+
+    return health(as_chunks(spark, sf), ["dense", "bm25"], 5).withColumn("strategies", F.array_join("strategies", ","))
+
+
+@query("help_candidates")
+def _(spark, sf):
+    """Pending chunks of conversations whose first turn stands for a question and whose last for its answer."""
+    c = t(spark, sf, "conversations")
+    index = F.col("conv_id") * 1000 + F.col("turn")
+    members = c.select(F.col("conv_id").alias("thread"), index.alias("index"), index.alias("messageIndex"), (index * 60000).alias("timestamp"))
+    pairs = c.groupBy(F.col("conv_id").alias("thread")).agg(
+        F.min_by("text", "turn").alias("question"), F.max_by("text", "turn").alias("answer"), F.lit(None).cast("bigint").alias("answer_event_index"),
+        F.lit(0.9).alias("confidence"), F.lit(True).alias("self_contained"), F.lit("").alias("reason"),
+    )
+    out = threads.to_candidates(pairs, members, F.timestamp_millis(F.lit(0)), "chat/%s")
+    return out.select("id", "url", "content_hash", "status", F.col("meta.thread_size").alias("thread_size"))
