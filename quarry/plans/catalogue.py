@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import chunking, dates, rank, text
+from ..functions import chunking, dates, text
 from ..operators import answers, chunks, metrics, retrieve, review, threads, validate
 from ..operators.common import top_k
 
