@@ -34,6 +34,7 @@ SENTENCES, MIN_WORDS, MAX_WORDS = 2, 24, 24
 PICK = 12  # one word in so many is a cut of a long sentence
 NO_ID = (1 << 63) - 1
 CHUNK = 2 << 20
+SENT = 200_000  # spans that a task holds before it sends them
 SCHEMA = "doc_id long, start long, n_words long, n_spans long, first_doc_id long"
 _STEPS = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _TYPES = ["<u8", "<u8", "<i8", "<u4", "<u4"]  # both hash halves, id, first word, words
@@ -106,12 +107,12 @@ def repeated_spans(
     first_doc_id: a document that holds the stretch's first span earlier.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
+    few = max(1, partitions // 8)  # later occurrences are few beside all spans
 
     def send(batches):
         for b in batches:
             ids = np.array([NO_ID if i is None else i for i in b.column(0).to_pylist()], dtype=np.int64)
-            texts, at, parts = text_bytes(b.column(1)), 0, []
+            texts, at, parts, held = text_bytes(b.column(1)), 0, [], 0
             while at < len(texts):
                 stop, size = at, 0
                 while stop < len(texts) and (size < CHUNK or stop == at):
@@ -119,19 +120,21 @@ def repeated_spans(
                     stop += 1
                 d, a, n, h1, h2 = spans_of(*word_places(texts[at:stop]), sentences, min_words, max_words)
                 parts.append((h1, h2, ids[at + d], a.astype(np.uint32), n.astype(np.uint32)))
+                held += len(d)
+                texts[at:stop] = [None] * (stop - at)
                 at = stop
-            if not parts:
-                continue
-            yield from first_and_later(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets)
+                if held >= SENT or at == len(texts):
+                    yield from first_and_later(*(np.concatenate(x) for x in zip(*parts, strict=True)), partitions)
+                    parts, held = [], 0
 
     def receive(batches):
         parts = gather(batches, [*_TYPES, "<i8"])
         if len(parts[0]):
             h1, h2, i, a, n, first = parts
             known = first >= 0
-            yield found(i[known], a[known], n[known], first[known] - 1, buckets)
+            yield found(i[known], a[known], n[known], first[known] - 1, few)
             new = ~known
-            yield from (x for x, kind in split_first(h1[new], h2[new], i[new], a[new], n[new], buckets) if kind == "later")
+            yield from (x for x, kind in split_first(h1[new], h2[new], i[new], a[new], n[new], few) if kind == "later")
 
     def merge(batches):
         i, a, n, first = gather(batches, _FOUND)
@@ -155,7 +158,7 @@ def repeated_spans(
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     first = texts.mapInArrow(send, schema_of(6))
     later = exchange(first, partitions).mapInArrow(receive, schema_of(4))
-    return exchange(later, partitions).mapInArrow(merge, SCHEMA)
+    return exchange(later, few).mapInArrow(merge, SCHEMA)
 
 
 def found(i, a, n, first, buckets: int) -> pa.RecordBatch:
