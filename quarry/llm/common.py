@@ -56,6 +56,11 @@ def scratch_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fewer(df: DataFrame, by: int = 8) -> DataFrame:
+    """df in a ``by``-th of the shuffle partitions: for tables that are small beside what made them."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete one scratch path through Hadoop's file system layer."""
     jvm = spark.sparkContext._jvm

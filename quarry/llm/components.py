@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import drop_path, new_scratch_path, scratch_at
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b).  Large: neighbours above a node, small: those below it, move to the least one."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(
@@ -31,10 +34,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     path = new_scratch_path(spark, "edges")
     now = scratch_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
-    before = None
+    before, files = None, now.count() // ROWS_PER_FILE + 1  # rounds never add edges
     for _ in range(max_rounds):
         last, path = path, new_scratch_path(spark, "edges")
-        now = scratch_at(_star(_star(now, True), False), path)
+        now = scratch_at(_star(_star(now, True), False).coalesce(files), path)
         n, s = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_path(spark, last)
         if (n, s) == before:

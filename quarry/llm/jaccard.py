@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import deal, deal_owned, exchange, gather, runs, schema_of
-from .common import scratch, table
+from .common import fewer, scratch, table
 from .components import connected_components
 from .vectext import mix, shingle_hashes, text_bytes, word_hashes
 
@@ -97,6 +97,8 @@ def shared_counts(docs: DataFrame, k: int, num: int, den: int, partitions: int)
     documents reaches its task once a batch.
     """
 
+    few = max(1, partitions // 4)  # the sums are small beside the shingles
+
     def send(batches):
         for b in batches:
             tokens, owners, held = [], [], 0
@@ -142,7 +144,7 @@ def shared_counts(docs: DataFrame, k: int, num: int, den: int, partitions: int)
         shared = owner[order][np.repeat(c, c) > 1]
         who, n = np.unique(np.concatenate((shared[shared != NOBODY], np.repeat(ids, counts))), return_counts=True)
         if len(who):
-            yield deal((mix(who.view(np.uint64)) % np.uint64(partitions)).astype(np.int32), [who, n.astype("<u4")])
+            yield deal((mix(who.view(np.uint64)) % np.uint64(few)).astype(np.int32), [who, n.astype("<u4")])
 
     def total(batches):
         who, n = gather(batches, ["<i8", "<u4"])
@@ -153,8 +155,8 @@ def shared_counts(docs: DataFrame, k: int, num: int, den: int, partitions: int)
             yield pa.RecordBatch.from_arrays([pa.array(who[order][start]), pa.array(sums)], ["id", "shared"])
 
     out = docs.mapInArrow(send, schema_of(4))
-    for step, schema in ((count, schema_of(2)), (total, "id long, shared long")):
-        out = exchange(out, partitions).mapInArrow(step, schema)
+    for n, step, schema in ((partitions, count, schema_of(2)), (few, total, "id long, shared long")):
+        out = exchange(out, n).mapInArrow(step, schema)
     return out
 
 
@@ -388,7 +390,7 @@ def jaccard_components(
     required = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * num / den), F.ceil(F.col("n") / SAMPLE)) - 1)
     met = all_docs.join(shared_counts(texts, k, num, den, partitions), "id").where(F.col("shared") >= required)
     active = classes.join(met.select("p1", "p2").distinct(), ["p1", "p2"]).select(F.col("class_id").alias("__id"))
-    active = scratch(active.distinct(), "jaccard-active")
+    active = scratch(fewer(active.distinct()), "jaccard-active")
     few = active.count() <= broadcast_ids
     chosen = texts.withColumn("__id", F.coalesce(F.col(id_col), F.lit(NO_ID))).join(
         F.broadcast(active) if few else active.hint("shuffle_hash"), "__id", "left_semi"
@@ -397,7 +399,7 @@ def jaccard_components(
     loose = connected_components(cluster_edges(sets, num, den, partitions))
     placed = sets.join(loose.hint("shuffle_hash"), "id")
     mass = placed.groupBy("component").agg(F.sum(F.size("tokens")).alias("mass"))
-    large = scratch(mass.where(F.col("mass") > block_tokens).select("component", F.ceil(2 * F.col("mass") / block_tokens).cast("int").alias("blocks")), "jaccard-large")
+    large = scratch(mass.where(F.col("mass") > block_tokens).select("component", F.ceil(2 * F.col("mass") / block_tokens).cast("int").alias("blocks")).coalesce(1), "jaccard-large")
     n_large = large.count()
     if n_large:
         placed, near = around_pivots(placed, large, num, den)
@@ -421,7 +423,7 @@ def jaccard_components(
     labels = classes.join(roots, classes["class_id"] == roots["id"], "left").select(
         "p1", "p2", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
-    labels = scratch(labels, "jaccard-labels")  # both sides of the last join are plain exchanges: a hot class can be split
+    labels = scratch(fewer(labels), "jaccard-labels")  # both sides of the last join are plain exchanges: a hot class can be split
     out = all_docs.join(labels, ["p1", "p2"], "left")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     linked = F.col("n") > 0
