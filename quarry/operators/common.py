@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``limit`` rows; counting stops there."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows; counting stops there."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df`` with a broadcast hint if it is small."""
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def top_k(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:

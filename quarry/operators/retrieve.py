@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set, tokens
-from .common import small, top_k
+from .common import is_small, small, top_k
 
 BM25_K1, BM25_B = 1.5, 0.75
 RRF_K, RRF_DEPTH = 60, 30
@@ -32,10 +32,10 @@ def _body(chunks: DataFrame) -> DataFrame:
 
 
 def matched_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, id, tf, dl) of the wanted terms only: other tokens never leave the scan's stage."""
+    """(term, id, tf, dl) of the wanted terms only: with terms broadcast other tokens never leave the scan's stage."""
     docs = _body(chunks).select("id", tokens(F.col("body")).alias("words"))
     docs = docs.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return docs.join(small(terms.select("term").distinct()), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return docs.join(terms, "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
@@ -86,11 +86,13 @@ def bm25_scores(questions: DataFrame, chunks: DataFrame, k1: float = BM25_K1, b:
     """(question_id, id, score) of chunks that hold a question token; repeated question tokens count again."""
     n, mean = corpus_stats(chunks)
     asked = question_terms(questions)
-    hits = matched_postings(chunks, asked) if postings is None else postings.join(small(asked.select("term").distinct()), "term", "left_semi")
+    hint = F.broadcast if is_small(asked) else lambda df: df  # what is joined below has no more rows than asked
+    terms = hint(asked.select("term").distinct())
+    hits = matched_postings(chunks, terms) if postings is None else postings.join(terms, "term", "left_semi")
     idf = term_stats(hits, n).select("term", "idf")  # df of a term counts all its chunks: hits hold every one
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    joined = hits.join(small(asked.join(idf, "term")), "term")
+    joined = hits.join(hint(asked.join(idf, "term")), "term")
     return joined.groupBy("question_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 

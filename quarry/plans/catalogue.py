@@ -33,8 +33,17 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of few files over all cores: tokenising costs more than moving so little text.
+
+    Tables of at least as many files as cores are left where they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def as_chunks(spark, sf) -> DataFrame:
-    return t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_type"), F.lit("").alias("title"), "text")
+    return spread(t(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.col("source").alias("source_type"), F.lit("").alias("title"), "text")
 
 
 def as_questions(spark, sf) -> DataFrame:
