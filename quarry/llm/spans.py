@@ -12,6 +12,12 @@ A batch sends one row for each of its distinct spans: its later occurrences of a
 non-first whatever the rest of the corpus holds.  So a passage that a third of all documents
 share costs the receiving task one row per batch.
 
+Spans end at sentence ends and cuts.  With ``passage_words`` (the query: 51) every window of so many
+words counts as well, wherever it starts: a word is also removed if it stands in a non-first
+occurrence of such a window, so a longer repeated passage goes whole.  The smallest hash of
+the ANCHOR-word runs in a window picks the window's bucket; windows beside each other mostly share it and
+are sent as one run of 64-bit hashes.  Text with a period shorter than a window shrinks to its first period.
+
 Defined results: null and empty texts have no sentences and lose nothing; texts with fewer
 sentences or words than a span never lose any; rows with equal ids are ordered by their place
 in the batch and may lose to each other; a null id comes last and stays null; no rows give no
@@ -31,10 +37,12 @@ from .common import table
 from .vectext import mix, text_bytes, word_places
 
 SENTENCES, MIN_WORDS, MAX_WORDS = 2, 24, 24
+PASSAGE_WORDS, ANCHOR = 51, 24  # a passage has over 50 words
 PICK = 12  # one word in so many is a cut of a long sentence
 NO_ID = (1 << 63) - 1
 CHUNK = 2 << 20
 SENT = 200_000  # spans that a task holds before it sends them
+SENT_WINDOWS = 2_000_000
 SCHEMA = "doc_id long, start long, n_words long, n_spans long, first_doc_id long"
 _STEPS = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _TYPES = ["<u8", "<u8", "<i8", "<u4", "<u4"]  # both hash halves, id, first word, words
@@ -99,12 +107,127 @@ def spans_of(words, offsets, places, buf, sentences: int, min_words: int, max_wo
     return d, a - offsets[d], b - a, h1, h2
 
 
+def windows_of(words: np.ndarray, offsets: np.ndarray, size: int):
+    """(document, first word, hash, anchor's place, anchor's hash) of every window of ``size`` words in one text."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.uint64))
+    k = min(ANCHOR, size)
+    at = np.arange(len(words) - k + 1)
+    anchor = run_hashes(words, at, at + k)[0]
+    # Sliding minimum by doubling; of equal ones the first place, so that equal windows have equal anchors.
+    low, width, want = anchor >> np.uint64(32) << np.uint64(32) | at.astype(np.uint64), 1, size - k + 1
+    while width < want:
+        step = min(width, want - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    at = np.arange(n)
+    doc = np.searchsorted(offsets, at, "right") - 1
+    at = at[at + size <= offsets[doc + 1]]
+    doc, place = np.searchsorted(offsets, at, "right") - 1, (low[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return doc, at - offsets[doc], run_hashes(words, at, at + size)[1], place, anchor[place]
+
+
+def later_windows(h, i, a, size: int):
+    """Of windows in the order (id, place): which are the first of their hash, and (id, start, words, holder) of the later ones' stretches."""
+    order = np.argsort(h, kind="stable")
+    start, count = runs(h[order])
+    first = np.zeros(len(h), bool)
+    first[order[start]] = True
+    at = np.flatnonzero(~first)
+    holder = np.empty(len(h), np.int64)
+    holder[order] = np.repeat(i[order[start]], count)
+    # Windows that start at neighbouring words of one text are one stretch.
+    new = np.concatenate(([True], (i[at[1:]] != i[at[:-1]]) | (a[at[1:]] != a[at[:-1]] + 1))) if len(at) else np.zeros(0, bool)
+    head = np.flatnonzero(new)
+    length = np.diff(head, append=len(at))
+    at = at[head]
+    return first, (i[at], a[at], length + size - 1, holder[at])
+
+
+def repeated_windows(texts: DataFrame, size: int, partitions: int, few: int) -> DataFrame:
+    """found() rows of the non-first windows of ``size`` words of texts (id, text)."""
+
+    def flush(parts):
+        i, row, a, h, place, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((a, row, i))
+        i, row, a, h, place, key = (x[order] for x in (i, row, a, h, place, key))
+        first, stretches = later_windows(h, i, a, size)
+        none = np.zeros(len(stretches[0]), "<u8")
+        if len(none):
+            bucket = (mix(stretches[0].view(np.uint64)) % np.uint64(partitions)).astype(np.int32)
+            yield heads(bucket, *stretches, np.ones(len(none), np.int64), none)
+        i, row, a, h, place, key = (x[first] for x in (i, row, a, h, place, key))
+        if len(h):
+            same = (row[1:] == row[:-1]) & (place[1:] == place[:-1]) & (a[1:] == a[:-1] + 1)
+            at = np.flatnonzero(np.concatenate(([True], ~same)))
+            length = np.diff(at, append=len(h))
+            bucket = (key[at] % np.uint64(partitions)).astype(np.int32)
+            yield heads(bucket, i[at], a[at], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), length, h)
+
+    def heads(bucket, i, a, n, holder, length, h):
+        """One row a bucket: id, start, words (0: a run of first windows), holder and number of hashes of each run; and the hashes."""
+        runs_ = deal(bucket, [i.astype("<i8"), a.astype("<u4"), n.astype("<u4"), holder.astype("<i8"), length.astype("<u4")])
+        values = deal(np.repeat(bucket, length), [h.astype("<u8")])
+        columns = [*runs_.columns, values.columns[1]]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", *(f"a{j}" for j in range(len(columns) - 1))])
+
+    def send(batches):
+        parts, held, rows = [], 0, 0
+        for b in batches:
+            ids = np.array([NO_ID if i is None else i for i in b.column(0).to_pylist()], dtype=np.int64)
+            texts, at = text_bytes(b.column(1)), 0
+            while at < len(texts):
+                stop, length = at, 0
+                while stop < len(texts) and (length < CHUNK or stop == at):
+                    length += len(texts[stop])
+                    stop += 1
+                d, a, h, place, key = windows_of(*word_places(texts[at:stop])[:2], size)
+                parts.append((ids[at + d], rows + d, a, h, place, key))
+                held += len(d)
+                rows += stop - at
+                texts[at:stop] = [None] * (stop - at)
+                at = stop
+                if held >= SENT_WINDOWS:
+                    yield from flush(parts)
+                    parts, held = [], 0
+        if held:
+            yield from flush(parts)
+
+    def receive(batches):
+        i, a, n, holder, length, h = gather(batches, ["<i8", "<u4", "<u4", "<i8", "<u4", "<u8"])
+        if not len(i):
+            return
+        known = n > 0
+        if known.any():
+            yield found(i[known], a[known], n[known], holder[known], few)
+        h = h[~np.repeat(known, length)]
+        i, a, length = i[~known], a[~known].astype(np.int64), length[~known].astype(np.int64)
+        if not len(h):
+            return
+        a = np.repeat(a - np.cumsum(length) + length, length) + np.arange(len(h))
+        i = np.repeat(i, length)
+        order = np.lexsort((a, i))
+        stretches = later_windows(h[order], i[order], a[order], size)[1]
+        if len(stretches[0]):
+            yield found(*stretches, few)
+
+    return exchange(texts.mapInArrow(send, schema_of(6)), partitions).mapInArrow(receive, schema_of(4))
+
+
 def repeated_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sentences: int = SENTENCES,
+    min_words: int = MIN_WORDS,
+    max_words: int = MAX_WORDS,
+    passage_words: int | None = None,
 ) -> DataFrame:
-    """Stretches of sentences to remove: doc_id, start and n_words (words), n_spans, first_doc_id.
+    """Stretches to remove: doc_id, start and n_words (words), n_spans, first_doc_id.
 
-    first_doc_id: a document that holds the stretch's first span earlier.
+    n_spans: spans, and with ``passage_words`` runs of windows, in the stretch.  first_doc_id: a document
+    that holds the stretch's first span earlier.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = max(1, partitions // 8)  # later occurrences are few beside all spans
@@ -158,6 +281,8 @@ def repeated_spans(
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     first = texts.mapInArrow(send, schema_of(6))
     later = exchange(first, partitions).mapInArrow(receive, schema_of(4))
+    if passage_words:
+        later = later.unionByName(repeated_windows(texts, passage_words, partitions, few))
     return exchange(later, few).mapInArrow(merge, SCHEMA)
 
 
@@ -219,5 +344,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
 
 
 def op4_sentence_spans(spark, sf_dir):
-    """Every stretch of sentences that an earlier place of the corpus already holds."""
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    """Every stretch of sentences, and every passage of over 50 words, that an earlier place of the corpus already holds."""
+    return repeated_spans(table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS)

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from texts import sentences
 
-from quarry.llm.spans import MAX_WORDS, MIN_WORDS, PICK, SENTENCES, remove_spans, repeated_spans
+from quarry.llm.spans import MAX_WORDS, MIN_WORDS, PASSAGE_WORDS, PICK, SENTENCES, op4_sentence_spans, remove_spans, repeated_spans
 from quarry.llm.vectext import word_hashes
 
 
@@ -87,3 +87,33 @@ def test_passages_are_covered_wherever_they_stand(spark):
         assert set(got) == {1, 2, 3, 4, 5}
         n = len(passage.split())
         assert all(len(v) >= (n - 14 if passage is not flat else 0.4 * n) for v in got.values())
+
+
+def test_query_covers_unaligned_and_unpunctuated_passages_whole(spark, tmp_path):
+    rng = random.Random(5)
+    rows, where = [], {}
+    for p in range(40):
+        size = 51 + p % 12
+        text = sentences(rng, 30).split() if p % 2 else [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        at = rng.randrange(len(text) - size)
+        passage = text[at : at + size]
+        for copy in range(2):
+            body = [f"v{rng.randrange(10**9)}" for _ in range(rng.randint(0, 80))]
+            cut = rng.randint(0, len(body))
+            rows.append((2 * p + copy, " ".join([*body[:cut], *passage, *body[cut:]])))
+            where[2 * p + copy] = set(range(cut, cut + size))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = found(op4_sentence_spans(spark, str(tmp_path)))
+    assert got == {d: w for d, w in where.items() if d % 2}
+
+
+def test_windows_match_brute_force(docs, corpus):
+    expected, seen = brute(corpus), set()
+    for i, t in sorted(corpus):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        for a in range(len(words) - PASSAGE_WORDS + 1):
+            w = tuple(words[a : a + PASSAGE_WORDS])
+            if w in seen:
+                expected[i] |= set(range(a, a + PASSAGE_WORDS))
+            seen.add(w)
+    assert found(repeated_spans(docs, passage_words=PASSAGE_WORDS)) == expected
