@@ -7,7 +7,8 @@ identifiers (access, login), secrets (assign, hex, opaque) and endpoints.  Parts
 are joined by interval: a part's scope reaches ``reach`` code points to either side, bins of that
 width turn the overlap into an equi-join of neighbouring bins, and a weak candidate is
 reported only where complementary parts lie in its scope: a login or an opaque token needs the other
-role, an endpoint needs both.  A bin holds at most ``reach`` characters and so few parts, whatever the
+role, an endpoint needs both.  An opaque token that is itself the value of a login doesn't complete it.
+No kind has a longest length; an opaque token may follow '=' and may end before '.' or '-'.  A bin holds at most ``reach`` characters and so few parts, whatever the
 text's length, and only texts with a weak candidate take part.
 
 Positions come from built-in functions alone: the pieces between the matches (split) and the
@@ -33,9 +34,9 @@ HEX = r"[0-9a-f]+"
 ASSIGN_VALUE, ACCESS_MIN, HEX_MIN = 6, 20, 24
 
 #: Weak kinds.
-LOGIN = r"""(?<![A-Za-z0-9])(?i:client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""
-OPAQUE = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_.-])"
-ENDPOINT = r"""(?i:https?|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,512}"""
+LOGIN = r"""(?<![A-Za-z0-9])(?i:client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
+OPAQUE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_])"
+ENDPOINT = r"""(?i:https?|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}"""
 
 KINDS = ("assign", "access", "hex", "login", "opaque", "endpoint")
 SPAN = "struct<start:bigint,rank:int,end:bigint>"
@@ -110,6 +111,8 @@ def linked(found: DataFrame, reach: int) -> DataFrame:
     near = weak.join(parts, ["__row", "bin"]).where(
         (F.col("start") <= F.col("w_end") + reach) & (F.col("end") + reach >= F.col("w_start")) & (F.col("role") != F.col("w_role"))
     )
+    apart = (F.col("end") <= F.col("w_start")) | (F.col("w_end") <= F.col("start"))
+    near = near.where(apart | F.col("role").isin("endpoint") | F.col("w_role").isin("endpoint"))
     has = near.groupBy("__row", "span").agg(
         F.first("w_role").alias("w_role"),
         F.max(F.col("role") == "id").alias("id"),
