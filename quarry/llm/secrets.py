@@ -5,7 +5,7 @@ enough is reported as it stands.  Three more kinds are weak on their own: a logi
 id (``login``), an opaque mixed-case token (``opaque``) and an address (``endpoint``).  Parts have roles:
 identifiers (access, login), secrets (assign, hex, opaque) and endpoints.  Parts of one text
 are joined by interval: a part's scope reaches ``reach`` code points to either side, bins of that
-width turn the overlap into an equi-join of neighbouring bins, and a weak candidate is
+width turn the overlap into an equi-join (a part stands in every bin from its start to its end), and a weak candidate is
 reported only where complementary parts lie in its scope: a login or an opaque token needs the other
 role, an endpoint needs both.  An opaque token that is itself the value of a login doesn't complete it.
 No kind has a longest length; an opaque token may follow '=' and may end before '.' or '-'.  A bin holds at most ``reach`` characters and so few parts, whatever the
@@ -98,17 +98,18 @@ def linked(found: DataFrame, reach: int) -> DataFrame:
     some = found.where(F.size("weak") > 0)
     parts = some.select("__row", F.inline(F.concat("base", "weak")))
     role = F.when(F.col("rank").isin(1, 3), "id").when(F.col("rank") == 5, "endpoint").otherwise("secret")
-    parts = parts.withColumn("role", role).withColumn("bin", F.floor(F.col("start") / reach))
+    parts = parts.withColumn("role", role)
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / reach), F.floor(b / reach))).alias("bin")
     weak = parts.where("rank >= 3").select(
         "__row",
         F.struct("start", "rank", "end").alias("span"),
         F.col("start").alias("w_start"),
         F.col("end").alias("w_end"),
         F.col("role").alias("w_role"),
-        # Bins of every part that could start within reach before or after this one.
-        F.explode(F.sequence(F.floor((F.col("start") - reach - 1024) / reach), F.floor((F.col("end") + reach) / reach))).alias("bin"),
+        bins(F.col("start") - reach, F.col("end") + reach),
     )
-    near = weak.join(parts, ["__row", "bin"]).where(
+    # Both sides stand in every bin that they reach, so that the interval condition alone decides.
+    near = weak.join(parts.select("*", bins(F.col("start"), F.col("end"))), ["__row", "bin"]).where(
         (F.col("start") <= F.col("w_end") + reach) & (F.col("end") + reach >= F.col("w_start")) & (F.col("role") != F.col("w_role"))
     )
     apart = (F.col("end") <= F.col("w_start")) | (F.col("w_end") <= F.col("start"))

@@ -75,3 +75,11 @@ def test_name_value_files_sentence_ends_and_long_values(spark):
 def test_a_value_does_not_complete_its_own_name(spark):
     assert kinds(spark, f"client_id={OPAQUE}") == [] and kinds(spark, f"client_id = {OPAQUE}") == []
     assert kinds(spark, f"client_id={OPAQUE} key {OPAQUE[::-1]}") == ["login", "opaque"]
+
+
+def test_long_parts_link_at_both_ends(spark):
+    for n in (900, 1300, 5000):
+        assert kinds(spark, f"token={'Ab9' * n} user=alice") == ["assign", "login"]
+        assert kinds(spark, f"user=alice {'0f' * n}") == ["login", "hex"]
+        assert kinds(spark, f"{'0f' * n} user=alice") == ["hex", "login"]
+        assert kinds(spark, f"{'0f' * n} {'q ' * 110} user=alice") == ["hex"]
