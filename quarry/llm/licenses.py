@@ -14,7 +14,8 @@ many of the template's words that the coverage can't be reached are turned away
 intersection.
 
 Defined results: null or empty texts match nothing; words are compared in lower case and without
-punctuation at their ends; of equally good alignments the first is reported; repeated rows and
+punctuation at their ends; of equally good alignments the first is reported, of a license met several times the best;
+of alignments that share words the one with most matched words counts, and the words between those that count are searched again; repeated rows and
 null ids are judged one by one; an empty table or no templates give no rows; extra columns play no part.
 """
 
@@ -131,8 +132,8 @@ class Template:
         self.rarest = sorted(self.vocabulary, key=lambda w: (rarity[w], -len(w), w))
 
 
-def best_alignment(text: list[str], where: dict[str, list[int]], t: Template, min_coverage: float, min_density: float):
-    """(matched, start, n_words, anchors) of the best window, or None."""
+def alignments(text: list[str], where: dict[str, list[int]], t: Template, min_coverage: float, min_density: float):
+    """(matched, start, n_words, anchors) of every window that is good enough."""
     m = len(t.words)
     required = -(-m * min_coverage // 1)
     missing = m - int(required)
@@ -145,23 +146,37 @@ def best_alignment(text: list[str], where: dict[str, list[int]], t: Template, mi
         if spare > missing:
             break
     places = sorted({p for w in seeds for p in where.get(w, ())})
-    best, last = None, -1
+    last = -1
     for p in places:
         if p <= last:
             continue  # inside the window before
-        low = max(0, p - m)
-        high = min(len(text), p + 2 * m)
         last = p + m // 2
-        matches, anchors = align(text, t.words, 0, m, low, high)
-        while len(matches) > 1:  # a stray word far from the others isn't part of the note
-            span = matches[-1][1] - matches[0][1] + 1
-            if len(matches) >= min_density * span:
+        # Where words stand twice in the wide window, as in notes close together, they can't be anchors: then the tight ones.
+        wide = (max(0, p - m), min(len(text), p + 2 * m))
+        tight = [(max(0, p - j), min(len(text), p - j + m)) for j, w in enumerate(t.words) if w == text[p]]
+        for low, high in (wide, *tight):
+            matches, anchors = align(text, t.words, 0, m, low, high)
+            while len(matches) > 1:  # a stray word far from the others isn't part of the note
+                span = matches[-1][1] - matches[0][1] + 1
+                if len(matches) >= min_density * span:
+                    break
+                head, tail = matches[1][1] - matches[0][1], matches[-1][1] - matches[-2][1]
+                matches = matches[1:] if head >= tail else matches[:-1]
+            if len(matches) >= required:
+                yield len(matches), matches[0][1], matches[-1][1] - matches[0][1] + 1, anchors
                 break
-            head, tail = matches[1][1] - matches[0][1], matches[-1][1] - matches[-2][1]
-            matches = matches[1:] if head >= tail else matches[:-1]
-        if len(matches) >= required and (best is None or len(matches) > best[0]):
-            best = (len(matches), matches[0][1], matches[-1][1] - matches[0][1] + 1, anchors)
-    return best
+
+
+def clear_of(hits: list[tuple]) -> list[tuple]:
+    """Of hits (template, (matched, start, n_words, anchors)) that share words the one with most matched words, then of the best coverage."""
+    places: list[tuple[int, int]] = []
+    out = []
+    for t, h in sorted(hits, key=lambda x: (-x[1][0], -x[1][0] / len(x[0].words), x[0].name, x[1][1])):
+        at = bisect_left(places, (h[1] + h[2], -1))  # the places before it start before the hit's end
+        if not at or places[at - 1][1] <= h[1]:
+            places.insert(at, (h[1], h[1] + h[2]))
+            out.append((t, h))
+    return out
 
 
 def scan(templates: dict[str, str], min_coverage: float, min_density: float, best_only: bool, block_words: int = 200_000):
@@ -183,27 +198,36 @@ def scan(templates: dict[str, str], min_coverage: float, min_density: float, bes
                     for i, w in enumerate(words):
                         if w in here:
                             where.setdefault(w, []).append(i)
-                hit = best_alignment(words, where, t, min_coverage, min_density)
-                if hit:
+                for hit in alignments(words, where, t, min_coverage, min_density):
                     yield t, hit
 
+        def every(words: list[str]):
+            """All hits; with best_only of those that share words the best, then again in the words between those."""
+            if not best_only:
+                yield from search(words)
+                return
+            todo = [(0, len(words))]
+            while todo:
+                a, b = todo.pop()
+                found = clear_of([*search(words[a:b])])
+                at = a
+                for t, (n, start, size, anchors) in sorted(found, key=lambda x: x[1][1]):
+                    yield t, (n, a + start, size, anchors)
+                    todo.append((at, a + start))
+                    at = a + start + size
+                if found:
+                    todo.append((at, b))
+
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                hits = [(t, (hit[0], hit[1] + base, *hit[2:])) for base, words in blocks_of(text.as_py() or "", max(block_words, 8 * longest), 4 * longest) for t, hit in every(words)]
                 best: dict[str, tuple] = {}
-                for base, words in blocks_of(text.as_py() or "", block_words, 4 * longest):
-                    for t, hit in search(words):
-                        if t.name not in best or hit[0] > best[t.name][1][0]:
-                            best[t.name] = (t, (hit[0], hit[1] + base, *hit[2:]))
-                found = [(doc_id, n, hit[0] / len(t.words), hit[0], len(t.words), *hit[1:]) for n, (t, hit) in best.items()]
-                if best_only:  # of templates that claim the same words only the one with most of them
-                    found.sort(key=lambda r: (-r[2], -r[3], r[1]))
-                    clear: list[tuple] = []
-                    for r in found:
-                        if all(r[5] + r[6] <= c[5] or c[5] + c[6] <= r[5] for c in clear):
-                            clear.append(r)
-                    found = clear
-                rows += found
+                for t, hit in clear_of(hits) if best_only else hits:
+                    rank = (-hit[0] / len(t.words), -hit[0], hit[1])
+                    if t.name not in best or rank < best[t.name][0]:
+                        best[t.name] = (rank, t, hit)
+                rows += [(doc_id, n, hit[0] / len(t.words), hit[0], len(t.words), *hit[1:]) for n, (_, t, hit) in best.items()]
             names = [f.split()[0] for f in SCHEMA.split(", ")]
             types = [pa.int64(), pa.string(), pa.float64()] + [pa.int64()] * 5
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)

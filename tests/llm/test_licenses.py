@@ -84,3 +84,20 @@ def test_long_texts_go_in_stretches():
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
     whole, pieces = (list(scan(TEMPLATES, 0.75, 0.6, True, n)([batch]))[0].to_pylist() for n in (10**9, 100))
     assert whole == pieces and whole[0]["license"] == "Apache-2.0"
+
+
+def found(spark, text):
+    return {r.license for r in scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+
+
+def test_every_note_of_several_is_found(spark):
+    rng = random.Random(6)
+    for other in ("LGPL-3.0", "AGPL-3.0", "GPL-2.0"):
+        for gap in (0, 3, 12, 25, 60):
+            text = " ".join([*prose(rng, 5), TEMPLATES[other], *prose(rng, gap), TEMPLATES["GPL-3.0"], *prose(rng, 5)])
+            assert found(spark, text) == {other, "GPL-3.0"}, (other, gap)
+    names = list(TEMPLATES)
+    for _ in range(3):
+        rng.shuffle(names)
+        text = " ".join(w for n in names for w in (*prose(rng, rng.randint(1, 8)), TEMPLATES[n]))
+        assert found(spark, text) == set(TEMPLATES)
