@@ -13,6 +13,8 @@ the template has.  A very long text goes through in overlapping stretches.  Text
 many of the template's words that the coverage can't be reached are turned away by one set
 intersection.
 
+A license has several templates: a short note (TEMPLATES), and its standard header or permission text (TEXTS).
+
 Defined results: null or empty texts match nothing; words are compared in lower case and without
 punctuation at their ends; of equally good alignments the first is reported, of a license met several times the best;
 of alignments that share words the one with most matched words counts, and the words between those that count are searched again; repeated rows and
@@ -48,6 +50,65 @@ TEMPLATES = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "Proprietary": "All rights reserved.",
 }
+_GNU = """This {kind} is free software: you can redistribute it and/or modify it under the terms of the GNU {gnu}General Public License
+as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.
+This {kind} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {gnu}General Public License for more details."""
+_GNU_SHORT = """under the terms of the GNU {gnu}General Public License as published by the Free Software Foundation, either version {v} of the License"""
+_GNU_ONLY = """under the terms of the GNU {gnu}General Public License version {v} as published by the Free Software Foundation"""
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = """All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+the documentation and/or other materials provided with the distribution."""
+_NAME = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""
+_CC = "licensed under a Creative Commons {name} 4.0 International License."
+_CC_THE = "licensed under the Creative Commons {name} 4.0 International License. To view a copy of this license, visit"
+_CC_NAMES = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives"}
+
+#: Standard headers and permission texts, several a license.
+TEXTS = {
+    **{
+        f"{short}GPL-{v}.0": (
+            _GNU.format(kind="program", gnu=gnu, v=v),
+            _GNU.format(kind="library", gnu=gnu, v=v),
+            _GNU_SHORT.format(gnu=gnu, v=v),
+            _GNU_ONLY.format(gnu=gnu, v=v),
+        )
+        for short, gnu, v in (("", "", 3), ("", "", 2), ("L", "Lesser ", 3), ("A", "Affero ", 3))
+    },
+    "Apache-2.0": (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You
+        may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+        implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    "MIT": (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+        "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+        OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+        ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        "Licensed under the MIT License.",
+    ),
+    "BSD-2-Clause": (f"{_BSD} {_AS_IS}",),
+    "BSD-3-Clause": (f"{_BSD} {_NAME} {_AS_IS}",),
+    "MPL-2.0": (
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+        file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+    **{f"CC-{short}-4.0": (_CC.format(name=name), _CC_THE.format(name=name)) for short, name in _CC_NAMES.items()},
+}
+LICENSES = {name: (*((TEMPLATES[name],) if name in TEMPLATES else ()), *TEXTS.get(name, ())) for name in {**TEMPLATES, **TEXTS}}
 MIN_COVERAGE, MIN_DENSITY = 0.75, 0.6
 SCHEMA = "doc_id long, license string, coverage double, matched long, template_words long, start long, n_words long, n_anchors long"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -155,6 +216,9 @@ def alignments(text: list[str], where: dict[str, list[int]], t: Template, min_co
         wide = (max(0, p - m), min(len(text), p + 2 * m))
         tight = [(max(0, p - j), min(len(text), p - j + m)) for j, w in enumerate(t.words) if w == text[p]]
         for low, high in (wide, *tight):
+            # No alignment matches more words than the window has of the template's.
+            if len(t.vocabulary.intersection(text[low:high])) < required - (m - len(t.vocabulary)):
+                continue
             matches, anchors = align(text, t.words, 0, m, low, high)
             while len(matches) > 1:  # a stray word far from the others isn't part of the note
                 span = matches[-1][1] - matches[0][1] + 1
@@ -179,11 +243,12 @@ def clear_of(hits: list[tuple]) -> list[tuple]:
     return out
 
 
-def scan(templates: dict[str, str], min_coverage: float, min_density: float, best_only: bool, block_words: int = 200_000):
+def scan(templates: dict[str, str | tuple[str, ...]], min_coverage: float, min_density: float, best_only: bool, block_words: int = 200_000):
     def run(batches):
-        rarity = Counter(w for t in templates.values() for w in words_of(t))
+        texts = [(n, text) for n, t in templates.items() for text in ((t,) if isinstance(t, str) else t)]
+        rarity = Counter(w for _, text in texts for w in words_of(text))
         rarity += Counter({w: 1000 for w in ("the", "is", "under", "this", "to", "of", "all", "by", "in")})
-        known = [Template(n, t, rarity) for n, t in templates.items()]
+        known = [Template(n, text, rarity) for n, text in texts]
         vocabulary = set().union(*(t.vocabulary for t in known)) if known else set()
         longest = max((len(t.words) for t in known), default=1)
 
@@ -237,7 +302,7 @@ def scan(templates: dict[str, str], min_coverage: float, min_density: float, bes
 
 def scan_licenses(
     docs: DataFrame,
-    templates: dict[str, str] = TEMPLATES,
+    templates: dict[str, str | tuple[str, ...]] = LICENSES,
     id_col: str = "doc_id",
     text_col: str = "text",
     min_coverage: float = MIN_COVERAGE,

@@ -2,7 +2,7 @@ import random
 
 from texts import prose
 
-from quarry.llm.licenses import TEMPLATES, align, blocks_of, increasing, scan, scan_licenses, words_of
+from quarry.llm.licenses import TEMPLATES, TEXTS, align, blocks_of, increasing, scan, scan_licenses, words_of
 
 
 def longest(pairs):
@@ -101,3 +101,30 @@ def test_every_note_of_several_is_found(spark):
         rng.shuffle(names)
         text = " ".join(w for n in names for w in (*prose(rng, rng.randint(1, 8)), TEMPLATES[n]))
         assert found(spark, text) == set(TEMPLATES)
+
+
+def test_edited_headers_and_permission_texts(spark):
+    rng = random.Random(8)
+    rows, truth = [], set()
+    for name, texts in TEXTS.items():
+        for text in texts:
+            words = text.split()
+            for edits in (0, len(words) // 20):
+                edited = list(words)
+                for i in rng.sample(range(len(words)), edits):
+                    edited[i] = "edited"
+                rows.append((len(rows), " ".join([*prose(rng, 60), "Copyright", "(c)", "2020", "X", *edited, *prose(rng, 60)])))
+                truth.add((len(rows) - 1, name))
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in got} == truth
+
+
+def test_common_forms(spark):
+    for name, text in {
+        "GPL-3.0": "x is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or any later version.",
+        "GPL-2.0": "it is free software under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "CC-BY-4.0": "This article is licensed under a Creative Commons Attribution 4.0 International License",
+        "CC-BY-SA-4.0": "Text is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "BSD-2-Clause": TEXTS["BSD-2-Clause"][0].removeprefix("All rights reserved. "),
+    }.items():
+        assert found(spark, text) == {name}, name
