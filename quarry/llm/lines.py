@@ -1,16 +1,18 @@
 """Operator 2 - line dedup with levelled sorted runs of line hashes.
 
 Line keys are hashed to 128 bits.  ``LineStore`` keeps, in the shared folder, sorted runs
-(key hash -> owner) in levels, like a log-structured merge tree: a new batch merge-anti-joins
-every run, the lines whose key a run holds are dropped, and the batch's own new keys become a
-run of level 0.  When a level has ``fanout`` runs they are compacted into one run of the next
-level, so a key is rewritten once per level and a batch reads O(log batches) runs.  Runs are
-tables bucketed by the hash and sorted in each bucket: a batch's keys are exchanged once, by
-its own aggregation, and merge with every run in place; runs are never exchanged again.
+(key hash -> owner) in levels, like a log-structured merge tree.  A new batch's keys are exchanged
+and sorted once, by their own aggregation, and merge with every run in place.  That one merge gives both
+results: keys that a run holds, or that several documents of the batch have, are the verdict (``add`` returns the
+documents that lose their lines of such a key), and keys that no run holds, the merge-anti-join, become a run of level 0.
+When a level has ``fanout`` runs they are compacted into one run of the next level, bucket by bucket and without an
+exchange, so a key is rewritten once per level and a batch reads O(log batches) runs.  Runs are
+tables bucketed by the hash and sorted in each bucket.
 
 ``dedup_lines`` runs a whole table through a store in batches of ascending id, which makes
 the owner of a key the smallest id that holds it: other documents lose all their lines of
-that key, the owner keeps all of its own.
+that key, the owner keeps all of its own.  A store whose batches come in another order leaves a key to the batch that
+brought it first, and in it to the smallest id.
 
 Defined results: a null or empty text is one empty line; lines whose key has under
 ``min_chars`` code points always stay; of rows with one id the lines count as one document's;
@@ -21,6 +23,7 @@ through, and only the names in ``OUTPUT`` are replaced.
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_path, new_scratch_path, scratch, table
+from .common import drop_path, new_scratch_path, new_table, scratch, scratch_at, table
 from .vectext import text_bytes
 
 MIN_CHARS = 10
 SPACE = b" \t\n\x0b\x0c\r"
-OUTPUT = ("n_lines", "n_dropped", "kept_text")
+OUTPUT = ("n_lines", "n_dropped", "words_left", "words_lost", "kept_text")
 NULL_ID = -(1 << 63)
 
 
@@ -68,60 +71,99 @@ def line_hashes(min_chars: int):
     return run
 
 
+#: Up to so many keys of a verdict (24 bytes each) are broadcast to a batch's lines; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
 class LineStore:
     """Levelled sorted runs of (h1, h2, owner)."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int = 16):
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int = 16):
         self.spark, self.fanout, self.buckets = spark, fanout, buckets
-        self.levels: list[list[str]] = []
-
-    def runs(self) -> list[str]:
-        """Names of the runs, the largest first; a key is in one of them only."""
-        return [name for level in reversed(self.levels) for name in level]
-
-    def held(self) -> DataFrame | None:
-        """All (h1, h2, owner) held."""
-        out = None
-        for name in self.runs():
-            part = self.spark.table(name)
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    def _write(self, df: DataFrame, level: int) -> None:
-        path = new_scratch_path(self.spark, f"lines-run{level}")
-        name = "quarry_run_" + path.rsplit("-", 1)[1]
-        spread = df.repartition(self.buckets, "h1", "h2")  # one file a bucket
-        spread.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        self.levels: list[list[tuple[str, str]]] = []  # (table, path) of each run
+
+    def runs(self) -> list[DataFrame]:
+        """(h1, h2, owner) of every run, the largest first; a key is in one of them only."""
+        return [self._run(name) for level in reversed(self.levels) for name, _ in level]
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).where("fresh").select("h1", "h2", "owner")
+
+    def _write(self, df: DataFrame, label: str) -> tuple[str, str]:
+        """One file a bucket, by its place in the order of the key; df comes in one partition a bucket."""
+        path = new_scratch_path(self.spark, f"lines-{label}")
+        name = new_table(path)
+        with sorted_runs(self.spark):
+            df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        return name, path
+
+    def _put(self, level: int, run: tuple[str, str]) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
-
-    def drop(self, name: str) -> None:
-        path = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first().data_type
-        self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
-        drop_path(self.spark, path)
-
-    def add(self, batch: DataFrame) -> None:
-        """batch: (id, h1, h2).  Keys that no run holds become owned by their smallest id here."""
-        own = batch.groupBy("h1", "h2").agg(F.min("id").alias("owner"))
-        for name in self.runs():
-            own = own.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        self._write(own, 0)
+        self.levels[level].append(run)
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """batch: (id, h1, h2), a row for each key of a document.  Gives (id, h1, h2, owner) of the keys that documents lose."""
         self.compact()
+        merged = batch.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        owners = []
+        for i, run in enumerate(self.runs()):
+            merged = merged.join(run.withColumnRenamed("owner", f"owner{i}").hint("merge"), ["h1", "h2"], "left")
+            owners.append(F.col(f"owner{i}"))
+        held = F.coalesce(*owners) if owners else F.lit(None).cast("long")
+        owner = F.coalesce(held, "first")
+        lost = (F.col("first") != owner) | (F.col("last") != owner)
+        merged = merged.select("h1", "h2", owner.alias("owner"), held.isNull().alias("fresh"), lost.alias("lost"))
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            merged = merged.repartition(self.buckets, "h1", "h2")
+        self._put(0, self._write(merged, "run"))
+        verdict = self.spark.table(self.levels[0][-1][0]).where("lost").select("h1", "h2", "owner")
+        small = verdict.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        # A hot key's lines stay where they are, or meet it in a merge join that adaptive execution can split.
+        out = batch.join(F.broadcast(verdict) if small else verdict.hint("merge"), ["h1", "h2"]).where("id <> owner")
+        return scratch(out.select("id", "h1", "h2", "owner"), "lines-lost")
 
     def compact(self) -> None:
+        """Levels of ``fanout`` runs become one run of the next level, merged two at a time, bucket by bucket."""
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
-                old, self.levels[level] = self.levels[level], []
-                merged = self.spark.table(old[0])
-                for name in old[1:]:
-                    merged = merged.unionByName(self.spark.table(name))
-                self._write(merged, level + 1)
-                for name in old:
-                    self.drop(name)
+                (one, *others), self.levels[level] = self.levels[level], []
+                for other in others:
+                    both = self._run(one[0]).withColumnRenamed("owner", "owner1").join(
+                        self._run(other[0]).withColumnRenamed("owner", "owner2").hint("merge"), ["h1", "h2"], "full_outer"
+                    )
+                    merged = self._write(both.select("h1", "h2", F.coalesce("owner1", "owner2").alias("owner"), F.lit(True).alias("fresh")), f"run{level + 1}")
+                    drop_path(self.spark, one[1])
+                    drop_path(self.spark, other[1])
+                    one = merged
+                self._put(level + 1, one)
             level += 1
 
+    def close(self) -> None:
+        """Drop all runs."""
+        for level in self.levels:
+            for _, path in level:
+                drop_path(self.spark, path)
+        self.levels = []
+
+
+#: Inside a merge, plans read runs bucket by bucket and trust the order of their files (one a bucket).
+IN_PLACE = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+
+
+@contextmanager
+def sorted_runs(spark: SparkSession):
+    """Plans that are made inside neither exchange the runs nor sort them again."""
+    before = {k: spark.conf.get(k) for k in IN_PLACE}
+    for k, v in IN_PLACE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
 
 def gone_sets(column) -> list[set | None]:
     """Per row the digests of a list<struct<h1, h2>> column."""
@@ -140,60 +182,56 @@ def drop_lines(min_chars: int):
     def run(batches):
         for b in batches:
             at, gone_at = b.schema.get_field_index("__text"), b.schema.get_field_index("__gone")
-            n_lines, n_dropped, kept, shas = [], [], [], []
+            rows = []
             for text, drop in zip(text_bytes(b.column(at)), gone_sets(b.column(gone_at)), strict=True):
                 lines = text.split(b"\n")
-                left = lines
+                left, gone = lines, 0
                 if drop:
                     left = [x for x in lines if not (long_enough(k := line_key(x), min_chars) and key_halves(k) in drop)]
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(left))
+                    gone = len(text.split())
                 out = b"\n".join(left) if drop else text
-                kept.append(out)
-                shas.append(hashlib.sha256(out).hexdigest())
+                words = len(out.split()) if drop else None
+                rows.append((len(lines), len(lines) - len(left), words, gone - (words or 0), out, hashlib.sha256(out).hexdigest()))
+            n_lines, n_dropped, words, lost, kept, shas = zip(*rows, strict=True) if rows else [()] * 6
             keep = [i for i in range(b.num_columns) if i not in (at, gone_at)]
-            new = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(shas)]
+            new = [pa.array(x, pa.int64()) for x in (n_lines, n_dropped, words, lost)] + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(shas, pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + new, [b.schema.field(i).name for i in keep] + [*OUTPUT, "kept_sha256"])
 
     return run
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = 4, fanout: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = 4, fanout: int = 2
 ) -> DataFrame:
-    """``docs`` with n_lines, n_dropped, kept_text and kept_sha256 instead of its text.
+    """``docs`` with n_lines, n_dropped, words_left, words_lost, kept_text and kept_sha256 instead of its text.
 
-    batches: how many ascending id ranges go through the store one after another.
+    words_left is null where no line was dropped.  batches: how many ascending id ranges go through the store one after another.
     """
     spark = docs.sparkSession
     docs = docs.drop(*OUTPUT, "kept_sha256", "__text", "__gone", "__id")
     hashed = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(line_hashes(min_chars), "id long, h1 long, h2 long")
-    hashed = scratch(hashed, "lines-hashes")  # 24 bytes a line; texts are read once more, at the end
+    path = new_scratch_path(spark, "lines-hashes")
+    hashed = scratch_at(hashed, path)  # 24 bytes a line; texts are read once more, at the end
     cuts = hashed.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
     store = LineStore(spark, fanout, max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    lost = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = hashed
         if low is not None:
             part = part.where(F.col("id") > low)
         if high is not None:
             part = part.where(F.col("id") <= high)
-        store.add(part)
-    # Lines that another document owns: one more merge join, of all lines with the runs' keys.
-    lost = (
-        hashed.join(store.held().hint("merge"), ["h1", "h2"])
-        .where("id > owner")
-        .groupBy(F.col("id").alias("__id"))
-        .agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))  # at most a document's own lines
-    )
+        out = store.add(part)
+        lost = out if lost is None else lost.unionByName(out)
+    store.close()
+    drop_path(spark, path)
+    lost = lost.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))  # at most a document's own lines
     rest = [c for c in docs.columns if c != text_col]
     joined = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"))
     joined = joined.join(lost.hint("shuffle_hash"), "__id", "left").drop("__id")
-    fields = [docs.schema[c] for c in rest]
-    schema = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in fields]
-        + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())]
-    )
+    long = [T.StructField(n, T.LongType()) for n in OUTPUT[:4]]
+    schema = T.StructType([*(docs.schema[c] for c in rest), *long, T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
     return joined.mapInArrow(drop_lines(min_chars), schema)
 
 
