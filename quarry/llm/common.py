@@ -74,10 +74,14 @@ def scratch_at(df: DataFrame, path: str) -> DataFrame:
 BUCKET_BYTES = 128 << 20
 
 
+UNKNOWN_BYTES = 1 << 60  # Spark's stand-in for leaves without statistics is above it
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Bytes that the plan's leaves hold, from the files' sizes alone: nothing is read."""
+    """Bytes that the plan's leaves hold, from the files' sizes alone: nothing is read.  Leaves of unknown size don't count."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < UNKNOWN_BYTES)
 
 
 def buckets_for(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import deal, deal_owned, exchange, gather, runs, schema_of
-from .common import fewer, scratch, table
+from .common import buckets_for, fewer, mark, new_scratch_path, release, scratch, scratch_at, table
 from .components import connected_components
 from .vectext import mix, shingle_hashes, text_bytes, word_hashes
 
@@ -256,48 +256,56 @@ def join_block(ids: list[int], sets: list[np.ndarray], num: int, den: int, max_m
     members: dict[int, list[int]] = {i: [i] for i in range(m)}
     probed = np.zeros(m, dtype=bool)
 
+    counts = np.zeros(m, dtype=np.int64)  # cleared after each probe where it was touched
+
+    def read(tokens: np.ndarray) -> np.ndarray:
+        """Count the members that have these shingles; gives them, with repeats."""
+        found = np.concatenate([postings[first[t] : first[t + 1]] for t in tokens]) if len(tokens) else np.zeros(0, np.int64)
+        np.add.at(counts, found, 1)
+        return found
+
+    def open_ones(found: np.ndarray, x: int, least: int) -> np.ndarray:
+        """Members among ``found`` that may still link to x and that no link connects to it already."""
+        found = np.unique(found)
+        n = sizes[x]
+        return found[(counts[found] >= least) & (label[found] != label[x]) & (sizes[found] * num <= n * den) & (n * num <= sizes[found] * den)]
+
     def probe(x: int) -> None:
         tokens = flat[bounds[x] : bounds[x + 1]]
         tokens = tokens[np.argsort(df[tokens], kind="stable")]  # rarest first
         n = len(tokens)
         base = n - need(n, num, den)
-        open_ = label != label[x]
-        open_ &= (sizes * num <= n * den) & (n * num <= sizes * den)
-        if not open_.any():
-            return
-        counts = np.zeros(m, dtype=np.int64)
-        for t in tokens[:base]:
-            counts[postings[first[t] : first[t + 1]]] += 1
-        match, candidates = 0, None
-        while True:  # lengthen the prefix while that pays
-            t = tokens[base + match] if base + match < n else None
-            if t is None or match == max_match:
-                break
-            reading = df[t]
-            if candidates is not None and reading >= shed * n // 8:
+        touched = [read(tokens[:base])]
+        match, candidates, shed = 0, None, 0
+        while base + match < n and match < max_match:  # lengthen the prefix while that pays
+            t = tokens[base + match]
+            if candidates is not None and df[t] >= shed * n // 8:
                 break
-            counts[postings[first[t] : first[t + 1]]] += 1
+            touched.append(read(tokens[base + match : base + match + 1]))
             match += 1
-            found = np.flatnonzero(open_ & (counts >= match))
+            before = touched if candidates is None else [candidates]  # a candidate of more matches was one of fewer
+            found = open_ones(np.concatenate(before), x, match)
             shed = len(found) if candidates is None else max(1, len(candidates) - len(found))
             candidates = found
             if not len(found):
-                return
-        if len(candidates) > 32:  # one pass over the rest of the postings counts them all
-            for t in tokens[base + match :]:
-                counts[postings[first[t] : first[t + 1]]] += 1
-            common = counts[candidates]
-        else:
-            mine = np.sort(tokens)
-            common = np.array([np.isin(mine, flat[bounds[y] : bounds[y + 1]], assume_unique=True).sum() for y in candidates])
-        union = sizes[candidates] + n - common
-        for y in candidates[den * common >= num * union]:
-            a, b = label[x], label[y]
-            if a != b:
-                if len(members[a]) < len(members[b]):
-                    a, b = b, a
-                label[members[b]] = a
-                members[a] += members.pop(b)
+                break
+        if candidates is not None and len(candidates):
+            if len(candidates) > 32:  # one pass over the rest of the postings counts them all
+                touched.append(read(tokens[base + match :]))
+                common = counts[candidates]
+            else:
+                mine = np.sort(tokens)
+                common = np.array([np.isin(mine, flat[bounds[y] : bounds[y + 1]], assume_unique=True).sum() for y in candidates])
+            union = sizes[candidates] + n - common
+            for y in candidates[den * common >= num * union]:
+                a, b = label[x], label[y]
+                if a != b:
+                    if len(members[a]) < len(members[b]):
+                        a, b = b, a
+                    label[members[b]] = a
+                    members[a] += members.pop(b)
+        for found in touched:
+            counts[found] = 0
 
     # Whatever stays outside the largest group must have been probed; the largest need not be.
     center = int(np.argmax(np.add.reduceat(np.append(df[flat], 0), bounds[:-1]) / np.maximum(sizes, 1)))
@@ -382,9 +390,11 @@ def jaccard_components(
     active classes are broadcast (8 MB); beyond that the texts are shuffled to them.
     """
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    all_docs = scratch(texts.mapInArrow(summaries(k), "id long, n long, p1 long, p2 long"), "jaccard-docs")
+    partitions = buckets_for(texts)
+    since = mark()
+    kept = new_scratch_path(spark, "jaccard-docs"), new_scratch_path(spark, "jaccard-labels")
+    all_docs = scratch_at(texts.mapInArrow(summaries(k), "id long, n long, p1 long, p2 long"), kept[0])
     classes = all_docs.where("n > 0").groupBy("p1", "p2").agg(F.min("id").alias("class_id"))
     # Of a linked pair the larger set gains at least as many needed shingles as allowed matches, but for rounding.
     required = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * num / den), F.ceil(F.col("n") / SAMPLE)) - 1)
@@ -399,7 +409,7 @@ def jaccard_components(
     loose = connected_components(cluster_edges(sets, num, den, partitions))
     placed = sets.join(loose.hint("shuffle_hash"), "id")
     mass = placed.groupBy("component").agg(F.sum(F.size("tokens")).alias("mass"))
-    large = scratch(mass.where(F.col("mass") > block_tokens).select("component", F.ceil(2 * F.col("mass") / block_tokens).cast("int").alias("blocks")).coalesce(1), "jaccard-large")
+    large = scratch(mass.where(F.col("mass") > block_tokens).select("component", F.ceil(2 * F.col("mass") / block_tokens).cast("int").alias("blocks")), "jaccard-large")
     n_large = large.count()
     if n_large:
         placed, near = around_pivots(placed, large, num, den)
@@ -423,7 +433,9 @@ def jaccard_components(
     labels = classes.join(roots, classes["class_id"] == roots["id"], "left").select(
         "p1", "p2", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
-    labels = scratch(fewer(labels), "jaccard-labels")  # both sides of the last join are plain exchanges: a hot class can be split
+    labels = scratch_at(labels, kept[1])
+    release(spark, since, kept)
+    # Both sides of the last join are plain exchanges: a hot class can be split
     out = all_docs.join(labels, ["p1", "p2"], "left")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     linked = F.col("n") > 0

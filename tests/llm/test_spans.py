@@ -1,46 +1,37 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from texts import sentences
 
-from quarry.llm.spans import MAX_WORDS, MIN_WORDS, PASSAGE_WORDS, PICK, SENTENCES, op4_sentence_spans, remove_spans, repeated_spans
-from quarry.llm.vectext import word_hashes
+from quarry.llm.spans import PASSAGE_WORDS, QUERY_WORDS, SENTENCES, dedup_spans, op4_sentence_spans, remove_spans, repeated_spans
 
 
-def brute(rows):
-    """Removed word indexes per row: every non-first occurrence of a span."""
+def brute(rows, least=1):
+    """Removed word indexes per place in rows (id, text): every non-first occurrence of a span."""
     spans = defaultdict(list)
-    for i, t in rows:
-        words, first = [], []
-        for n, line in enumerate((t or "").lower().split("\n")):
+    for r, (i, t) in enumerate(rows):
+        words, starts = [], []
+        for line in (t or "").lower().split("\n"):
             new = True
             for w in re.findall(r"[^\x20\x09-\x0D]+", line):
-                first.append(new or len(words) == 0)
+                if new or not words:
+                    starts.append(len(words))
                 words.append(w)
                 new = w[-1] in ".!?"
-        bounds = [k for k in range(len(words)) if first[k]] + [len(words)]
-        picked = word_hashes([w.encode() for w in words])[0] % PICK == 0 if words else []
-        starts = []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            last = a
-            for k in range(a, b):
-                if k == a or (b - a > MAX_WORDS and picked[k]) or k - last == MAX_WORDS:
-                    starts.append(k)
-                    last = k
         ends = [*starts[1:], len(words)]
-        runs = set()
+        found = set()
         for s in range(len(starts)):
-            ahead = [e for e in range(s + SENTENCES - 1, len(starts)) if ends[e] - starts[s] >= MIN_WORDS]
-            behind = [e for e in range(s - SENTENCES + 1, -1, -1) if ends[s] - starts[e] >= MIN_WORDS]
-            runs |= {(s, ahead[0])} if ahead else set()
-            runs |= {(behind[0], s)} if behind else set()
-        for s, e in runs:
-            spans[tuple(words[starts[s] : ends[e]])].append((i, starts[s], ends[e]))
+            ahead = [e for e in range(s + SENTENCES - 1, len(starts)) if ends[e] - starts[s] >= least]
+            behind = [e for e in range(s - SENTENCES + 1, -1, -1) if ends[s] - starts[e] >= least]
+            found |= {(s, ahead[0])} if ahead else set()
+            found |= {(behind[0], s)} if behind else set()
+        for s, e in found:
+            spans[tuple(words[starts[s] : ends[e]])].append((i is None, i or 0, r, starts[s], ends[e]))
     gone = defaultdict(set)
     for where in spans.values():
-        for i, a, b in sorted(where)[1:]:
-            gone[i] |= set(range(a, b))
+        for _, _, r, a, b in sorted(where)[1:]:
+            gone[r] |= set(range(a, b))
     return gone
 
 
@@ -52,9 +43,45 @@ def found(df):
 
 
 def test_matches_brute_force(docs, corpus):
-    expected = brute(corpus)
-    assert found(repeated_spans(docs)) == expected
-    assert len(expected) > 10
+    for least in (1, 14, 24):
+        expected = brute(corpus, least)
+        assert found(repeated_spans(docs, min_words=least)) == expected
+        assert len(expected) > 10
+
+
+def test_short_runs_count(spark):
+    run = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen."
+    rows = [(d, f"{sentences(random.Random(d), 3)} {run} {sentences(random.Random(50 + d), 3)}") for d in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, QUERY_WORDS):
+        got = found(repeated_spans(df, min_words=least))
+        assert set(got) == {1, 2} and all(len(v) == 14 for v in got.values())
+    short = spark.createDataFrame([(1, "A b. C."), (2, "A b. C.")], "doc_id long, text string")
+    assert found(repeated_spans(short)) == {2: {0, 1, 2}}
+
+
+def test_repeated_rows_null_and_equal_ids_match_brute_force(spark):
+    rng = random.Random(3)
+    parts = [sentences(rng, 3) for _ in range(6)]
+    rows = [(rng.choice([1, 1, 2, 7, None]), " ".join(rng.sample(parts, rng.randint(0, 4))) or None) for _ in range(40)] + [(None, None), (1, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").coalesce(1)
+    expected = brute(rows)
+    for out in (remove_spans(df, repeated_spans(df)), dedup_spans(df)):
+        got = {r.n: r for r in out.collect()}
+        assert len(got) == len(rows)
+        for n, (i, t) in enumerate(rows):
+            words = (t or "").split()
+            assert got[n].doc_id == i and got[n].kept_text.split() == [w for k, w in enumerate(words) if k not in expected.get(n, ())]
+
+
+def test_the_first_of_equal_rows_stays(spark):
+    text = sentences(random.Random(4), 6)
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    assert sorted(r.kept_text for r in remove_spans(df, repeated_spans(df)).collect()) == ["", text]
+    other = sentences(random.Random(5), 6)
+    rows = [(1, text), (1, other), (None, f"{other} {text}"), (None, "nothing else here.")]
+    got = Counter(r.kept_text.strip() for r in dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([text, other, "", "nothing else here."])
 
 
 def test_removal_keeps_the_rest(docs, corpus):
@@ -83,10 +110,10 @@ def test_passages_are_covered_wherever_they_stand(spark):
     for passage in (sentences(rng, 7), flat):
         rows = [(d, f"{sentences(rng, 5)} lead{d} in words {passage} {'tail' * (d % 2)} {sentences(rng, 5)}") for d in range(6)]
         rows += [(100 + d, f"{sentences(rng, 1)}\n{sentences(rng, 4)}") for d in range(6)]
-        got = found(repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+        got = found(repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=PASSAGE_WORDS))
         assert set(got) == {1, 2, 3, 4, 5}
         n = len(passage.split())
-        assert all(len(v) >= (n - 14 if passage is not flat else 0.4 * n) for v in got.values())
+        assert all(len(v) >= n - 14 for v in got.values())
 
 
 def test_query_covers_unaligned_and_unpunctuated_passages_whole(spark, tmp_path):
@@ -109,7 +136,8 @@ def test_query_covers_unaligned_and_unpunctuated_passages_whole(spark, tmp_path)
 
 def test_windows_match_brute_force(docs, corpus):
     expected, seen = brute(corpus), set()
-    for i, t in sorted(corpus):
+    assert [i for i, _ in corpus] == list(range(len(corpus)))
+    for i, t in corpus:
         words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
         for a in range(len(words) - PASSAGE_WORDS + 1):
             w = tuple(words[a : a + PASSAGE_WORDS])
