@@ -1,9 +1,8 @@
 """Operator 3 - order-preserving packing by dynamic programming.
 
 Documents of a partition are tokenised in order into one stream; each ends with ``eos``.
-Windows are cut at document ends (free), at sentence ends (a small truncation penalty), before
-every fourth word (a larger one, worth it only where it saves padding) or, inside stretches
-without any, at fixed steps (the largest).  A window of n tokens costs ``size - n`` of padding.  As padding is separable,
+Windows are cut at document ends (free) and at sentence ends (a truncation penalty); only inside a sentence that is longer
+than a window there are inner cuts (a larger penalty), before words where it has some.  A window of n tokens costs ``size - n`` of padding.  As padding is separable,
 
     g[j] = size + penalty[j] + min(g[i] for i with pos[j] - size <= pos[i] < pos[j])
 
@@ -36,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import executor_env, table
 
 SIZE, EOS = 2048, 1
-SENTENCE_PENALTY, WORD_PENALTY, HARD_PENALTY = 4, 32, 64
-WORD_STEP, HARD_STEP = 4, 64
+SENTENCE_PENALTY, HARD_PENALTY = 4, 64
+HARD_STEP = 64  # tokens between two inner cuts of a sentence that is longer than a window
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
@@ -81,20 +80,23 @@ class Tokenizer:
             return self.slow(text)
 
 
-def cut_points(docs: list[np.ndarray], ends: np.ndarray, opens: np.ndarray) -> tuple[list[int], list[int]]:
-    """Candidate cut positions of a block in order (last: its end) and their penalties."""
+def cut_points(docs: list[np.ndarray], ends: np.ndarray, opens: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """Candidate cut positions of a block in order (last: its end) and their penalties; no gap is over ``size``."""
     stream = np.concatenate(docs)
     kind = np.full(len(stream) + 1, -1, dtype=np.int64)
-    kind[np.flatnonzero(opens[stream[1:]])[::WORD_STEP] + 1] = WORD_PENALTY
     kind[np.flatnonzero(ends[stream[:-1]] & opens[stream[1:]]) + 1] = SENTENCE_PENALTY
     kind[np.cumsum([len(d) for d in docs])] = 0
     at = np.flatnonzero(kind >= 0)
     gaps = np.diff(np.concatenate(([0], at)))
-    wide = np.flatnonzero(gaps > 4 * HARD_STEP)
-    if len(wide):
-        hard = np.concatenate([np.arange(at[i] - gaps[i] + HARD_STEP, at[i], HARD_STEP) for i in wide])
-        kind[hard] = np.where(kind[hard] < 0, HARD_PENALTY, kind[hard])
-        at = np.flatnonzero(kind >= 0)
+    step = max(1, min(HARD_STEP, size // 2))
+    for i in np.flatnonzero(gaps > size):
+        inner = np.arange(at[i] - gaps[i] + step, at[i], step)
+        word = np.flatnonzero(opens[stream[inner[0] - step : at[i]]]) + inner[0] - step  # starts of words in the sentence
+        near = np.searchsorted(word, inner, "right") - 1
+        word = np.append(word, -1)[near]
+        kind[np.where(word > inner - step, word, inner)] = HARD_PENALTY
+    kind[0] = -1
+    at = np.flatnonzero(kind >= 0)
     return at.tolist(), kind[at].tolist()
 
 
@@ -123,7 +125,7 @@ def best_cuts(at: list[int], penalty: list[int], size: int) -> list[int]:
 
 def pack_block(ids: list, docs: list[np.ndarray], ends: np.ndarray, opens: np.ndarray, size: int, first: int, out: dict) -> int:
     """Append the pieces of one block to out's columns; returns the next free sequence id."""
-    at, penalty = cut_points(docs, ends, opens)
+    at, penalty = cut_points(docs, ends, opens, size)
     cuts = best_cuts(at, penalty, size)
     doc, begin, sequence = 0, 0, first  # begin: where doc starts in the stream
     a = 0

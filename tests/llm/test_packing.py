@@ -4,9 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
+from texts import sentences
 from tokenizers import Tokenizer as Slow
 
-from quarry.llm.packing import HARD_PENALTY, Tokenizer, best_cuts, pack_documents
+from quarry.llm.packing import HARD_PENALTY, Tokenizer, best_cuts, cut_points, pack_documents
 
 
 def brute_cost(at, penalty, size):
@@ -36,6 +38,32 @@ def test_fast_ids_are_the_tokenizers(corpus):
         assert fast.ids(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+def test_fast_ids_are_the_tokenizers_on_the_tables(sf):
+    """The gate for reading ids from the rank file: every text of the tables at hand gives the tokenizers' own ids."""
+    fast, slow = Tokenizer(), Slow.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for name, column in (("documents", "text"), ("benchmark", "text"), ("conversations", "text"), ("pages", "html")):
+        for t in pq.read_table(f"{sf}/{name}.parquet", columns=[column])[column].to_pylist():
+            assert fast.ids(t or "").tolist() == slow.encode(t or "", add_special_tokens=False).ids
+
+
+def test_cuts_stand_at_sentence_and_document_ends():
+    """Inner cuts only in a sentence that is longer than a window."""
+    rng, tok = random.Random(6), Tokenizer()
+    long_ = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) + "."
+    for size in (64, 100, 512):
+        docs = [np.append(tok.ids(t), 1) for t in (sentences(rng, 30), long_, sentences(rng, 9) + " " + long_ + " " + sentences(rng, 9), "short")]
+        stream, at = np.concatenate(docs), 0
+        cuts, penalty = cut_points(docs, tok.ends, tok.opens, size)
+        assert cuts[-1] == len(stream) and max(np.diff([0, *cuts])) <= size
+        bounds = {0, *np.cumsum([len(d) for d in docs]).tolist()} | {i + 1 for i in range(len(stream) - 1) if tok.ends[stream[i]] and tok.opens[stream[i + 1]]}
+        whole = sorted(bounds)
+        for c, p in zip(cuts, penalty, strict=True):
+            assert (p == HARD_PENALTY) == (c not in bounds)
+            if p == HARD_PENALTY:
+                at = np.searchsorted(whole, c)
+                assert whole[at] - whole[at - 1] > size
+
+
 def test_every_id_in_one_piece(docs, corpus):
     slow = Slow.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for size, block in ((2048, 1 << 20), (128, 1000)):
