@@ -1,10 +1,12 @@
 """Operator 7 - quality rules by line sequence labelling.
 
 A linear-chain conditional random field with two states, content and boilerplate, labels a
-text's lines by Viterbi decoding.  It is trained here, on the driver, from lines of a bounded
-sample of labelled documents (``sample`` documents of each quality, least hash first, and the
-first ``sample_lines`` lines of each): a document's quality is its lines' weak label.  A document is kept
-if it passes the base rules and at least ``min_share`` of its words stand in content lines.
+text's lines by Viterbi decoding.  It is trained here, on the driver, from the whole texts of a bounded
+sample of labelled documents (``sample`` ids of each quality, least hash first).  Line labels are weak: a line of a good document is
+content, a line of a bad one boilerplate.  Training pages are spliced from runs of lines of both kinds, so that the
+field sees both states in one page and learns how they follow each other.  After each round but the last the lines of bad documents that the
+field takes for content become content, as bad documents hold ordinary lines too; a document whose lines would all change keeps its labels.
+A document is kept if it passes the base rules and at least ``min_share`` of its words stand in content lines.
 
 Base rules: under 50 words, or more than half of the words in repeated three-word windows, fail.
 
@@ -16,7 +18,9 @@ column has their name; very long texts cost memory in proportion to themselves o
 
 from __future__ import annotations
 
+import hashlib
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -28,7 +32,8 @@ from pyspark.sql import types as T
 from .common import table
 
 MIN_WORDS, MAX_REPEAT, MIN_SHARE = 50, 50, 0.5
-SAMPLE, SAMPLE_LINES = 300, 100
+SAMPLE = 300
+ROUNDS, PAGE_LINES, RUN_LINES = 2, 48, 12  # of training: rounds, lines of a spliced page, most lines of a run in it
 LONG = 50_000  # words from which windows are counted as numbers
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -106,24 +111,24 @@ class LineField:
         self.weights = np.zeros((FEATURES, 2)) if weights is None else weights
         self.transitions = np.zeros((2, 2)) if transitions is None else transitions
 
-    def fit(self, sequences: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.3, decay: float = 1e-3) -> LineField:
-        """Gradient ascent (Adam) on the mean log likelihood; sequences are padded to one length."""
-        if not sequences or len(set(labels)) < 2:
+    def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 150, rate: float = 0.3, decay: float = 1e-3) -> LineField:
+        """Gradient ascent (Adam) on the mean log likelihood; sequences are padded to one length.  labels: a state for each line."""
+        if not sequences or len(set(np.concatenate(labels).tolist())) < 2:
             return self
         longest = max(len(s) for s in sequences)
         x = np.zeros((len(sequences), longest, FEATURES))
+        y = np.zeros((len(sequences), longest), dtype=np.int64)
         on = np.zeros((len(sequences), longest), dtype=bool)
-        for i, s in enumerate(sequences):
-            x[i, : len(s)] = s
-            on[i, : len(s)] = True
-        y = np.array(labels)
+        for i, (s, states) in enumerate(zip(sequences, labels, strict=True)):
+            x[i, : len(s)], y[i, : len(s)], on[i, : len(s)] = s, states, True
         truth_x = np.zeros((FEATURES, 2))
         truth_t = np.zeros((2, 2))
-        weight = 1.0 / on.sum(1)  # every document counts the same
+        weight = 1.0 / on.sum(1)  # every sequence counts the same
         share = weight[:, None] * on
         for c in (0, 1):
-            truth_x[:, c] = np.einsum("il,ilf->f", share[y == c], x[y == c])
-            truth_t[c, c] = (weight * (on.sum(1) - 1))[y == c].sum()
+            truth_x[:, c] = np.einsum("il,ilf->f", share * (y == c), x)
+            for d in (0, 1):
+                truth_t[c, d] = ((y[:, :-1] == c) & (y[:, 1:] == d) & on[:, 1:]).sum(1) @ weight
         params = np.zeros(FEATURES * 2 + 4)
         m, v = np.zeros_like(params), np.zeros_like(params)
         for step in range(1, steps + 1):
@@ -153,7 +158,7 @@ class LineField:
             params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return LineField(params[: FEATURES * 2].reshape(FEATURES, 2), params[FEATURES * 2 :].reshape(2, 2))
 
-    def decode(self, features: list[list[float]]) -> list[int]:
+    def decode(self, features: list[list[float]] | np.ndarray) -> list[int]:
         """The best state sequence; ties go to content."""
         (t00, t01), (t10, t11) = self.transitions.tolist()
         back, a, b = [], 0.0, 0.0
@@ -189,28 +194,69 @@ def judge(text: str | None, field: LineField, min_share: float = MIN_SHARE) -> t
     return n, len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated, failed, share, not failed and share >= min_share
 
 
-def _feature_rows(max_lines: int):
-    def run(batches):
-        for b in batches:
-            kept = [(q, line_features((t or "").encode().split(b"\n")[:max_lines])[0]) for q, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            kept = [(q, np.array(f, dtype="<f4").tobytes()) for q, f in kept if f]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in kept], pa.int32()), pa.array([f for _, f in kept], pa.binary())], ["quality", "features"])
-
-    return run
-
-
-def train_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> LineField:
-    """labels: doc_id and quality (1 good, 0 bad).  At most 2 * sample feature arrays reach the driver."""
+def spliced(docs: list[np.ndarray], states: list[np.ndarray], seed: int, page: int = PAGE_LINES, run: int = RUN_LINES) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pages of about ``page`` lines made of runs of up to ``run`` lines; every line of every document stands in one of them."""
+    rng = random.Random(seed)
+    pieces = []
+    for d, n in enumerate(map(len, docs)):
+        at = 0
+        while at < n:
+            stop = min(n, at + rng.randint(1, run))
+            pieces.append((d, at, stop))
+            at = stop
+    rng.shuffle(pieces)
+    pages: list[list[tuple[int, int, int]]] = [[]]
+    lines = 0
+    for piece in pieces:
+        if lines >= page:
+            pages.append([])
+            lines = 0
+        pages[-1].append(piece)
+        lines += piece[2] - piece[1]
+    join = lambda of: [np.concatenate([of[d][a:b] for d, a, b in p]) for p in pages if p]
+    return join(docs), join(states)
+
+
+def fit_lines(docs: list[np.ndarray], bad: list[bool], rounds: int = ROUNDS, seed: int = 7) -> LineField:
+    """A field from the line features of documents and their quality."""
+    states = [np.full(len(d), int(b)) for d, b in zip(docs, bad, strict=True)]
+    field = LineField()
+    for r in range(rounds):
+        field = LineField().fit(*spliced(docs, states, seed + r))
+        for i, b in enumerate(bad):
+            if b and any(now := field.decode(docs[i])):
+                states[i] = np.array(now)
+    return field
+
+
+def _feature_rows(batches):
+    names = ["doc_id", "quality", "rank", "features"]
+    for b in batches:
+        rows = []
+        for i, q, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            raw = (t or "").encode()
+            if features := line_features(raw.split(b"\n"))[0]:
+                rows.append((i, q, hashlib.sha256(raw).digest(), np.array(features, dtype="<f4").tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+
+
+def train_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
+    """labels: doc_id and quality (1 good, 0 bad).  The features of at most 2 * sample documents reach the driver.
+
+    Of several labels of an id the worst counts; of several documents with an id the one of the least hash.
+    """
+    one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = None
     for quality in (0, 1):
-        part = labels.where(F.col("quality") == quality).select("doc_id", F.col("quality").cast("int")).orderBy(*order).limit(sample)
+        part = one.where(F.col("quality") == quality).select("doc_id", "quality").orderBy(*order).limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
-    rows = texts.mapInArrow(_feature_rows(sample_lines), "quality int, features binary").limit(4 * sample).collect()
-    rows.sort(key=lambda r: (r.quality, bytes(r.features)))
-    sequences = [np.frombuffer(bytes(r.features), dtype="<f4").reshape(-1, FEATURES).astype(float) for r in rows]
-    return LineField().fit(sequences, [1 - r.quality for r in rows])
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    found = texts.mapInArrow(_feature_rows, "doc_id long, quality int, rank binary, features binary")
+    rows = found.groupBy("doc_id").agg(F.min_by(F.struct("quality", "features"), "rank").alias("best")).select("doc_id", "best.*").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    return fit_lines([np.frombuffer(bytes(r.features), dtype="<f4").reshape(-1, FEATURES).astype(float) for r in rows], [r.quality == 0 for r in rows])
 
 
 def _judge_rows(field: LineField, min_share: float, keep_text: bool):
