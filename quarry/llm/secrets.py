@@ -3,7 +3,8 @@
 Base kinds are assign, access and hex: every leftmost non-overlapping match that is long
 enough is reported as it stands.  Three more kinds are weak on their own: a login name or client
 id (``login``), an opaque mixed-case token (``opaque``) and an address (``endpoint``).  Parts have roles:
-identifiers (access, login), secrets (assign, hex, opaque) and endpoints.  Parts of one text
+identifiers (access, login), secrets (assign, hex, opaque) and endpoints.  A login or an opaque token that overlaps a base
+span is no candidate; an endpoint may hold one, as in an address with a token.  Parts of one text
 are joined by interval: a part's scope reaches ``reach`` code points to either side, bins of that
 width turn the overlap into an equi-join (a part stands in every bin from its start to its end), and a weak candidate is
 reported only where complementary parts lie in its scope: a login or an opaque token needs the other
@@ -12,7 +13,9 @@ No kind has a longest length; an opaque token may follow '=' and may end before
 text's length, and only texts with a weak candidate take part.
 
 Positions come from built-in functions alone: the pieces between the matches (split) and the
-matches (regexp_extract_all) alternate, so their lengths add up to offsets.
+matches (regexp_extract_all) alternate, so their lengths add up to offsets.  They are added up in blocks of about the square root of the
+number of matches, so a log of a million matches costs a thousand blocks and not a million copies.  Weak kinds are
+looked for only in texts that hold what could complete them.
 
 Defined results: a null text is empty; texts without spans have counts 0, the hash of the
 empty string and an empty span list; offsets are code points, ends exclusive; rows are judged
@@ -43,48 +46,69 @@ SPAN = "struct<start:bigint,rank:int,end:bigint>"
 REACH = 200
 
 
+NO_SPANS = f"array<{SPAN}>"
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(text: Column, pattern: str, rank: int, keep=None) -> Column:
     """array<SPAN> of the pattern's matches; keep: predicate on a match's string."""
-    p = F.lit(pattern)
-    pair = lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))
-    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), pair)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(state, part):
-        begin = state["at"] + F.length(part["gap"])
-        end = begin + F.coalesce(F.length(part["hit"]), F.lit(0))
+    none = F.array().cast(NO_SPANS)
+
+    def piece(gap, hit):
+        good = hit.isNotNull() if keep is None else hit.isNotNull() & keep(hit)
+        return F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(hit), F.lit(0)).alias("hit"), good.alias("good"))
+
+    def state(at, spans):
+        return F.struct(at.cast("bigint").alias("at"), spans.cast(NO_SPANS).alias("spans"))
+
+    def step(s, part):
+        begin = s["at"] + part["gap"]
+        end = begin + part["hit"]
         span = F.struct(begin.cast("bigint").alias("start"), F.lit(rank).alias("rank"), end.cast("bigint").alias("end"))
-        good = part["hit"].isNotNull() if keep is None else part["hit"].isNotNull() & keep(part["hit"])
-        return F.struct(
-            end.cast("bigint").alias("at"),
-            F.when(good, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).cast(f"array<{SPAN}>").alias("spans"),
-        )
+        return state(end, F.when(part["good"], F.concat(s["spans"], F.array(span))).otherwise(s["spans"]))
+
+    def block_step(s, block):
+        return let(F.aggregate(block, state(s["at"], none), step), lambda r: state(r["at"], F.concat(s["spans"], r["spans"])))
+
+    def in_blocks(parts):
+        width = F.ceil(F.sqrt(F.size(parts))).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(parts), width)
+        return F.aggregate(F.transform(firsts, lambda i: F.slice(parts, i, width)), state(F.lit(0), none), block_step)["spans"]
 
-    found = F.aggregate(parts, start, step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), piece)
+    return F.when(text.rlike(pattern), let(parts, in_blocks)).otherwise(none)
 
 
-def base_spans(text: Column) -> Column:
-    """assign, access and hex spans by start, then kind.
+def where(condition: Column, spans: Column) -> Column:
+    return F.when(condition, spans).otherwise(F.array().cast(NO_SPANS))
+
+
+def with_spans(df: DataFrame) -> DataFrame:
+    """df (..., __text) with an array of spans for each kind.
 
     A run of the hex or access class that is too short can't hold a longer match, so for those two
-    the length may stand in the pattern; an assignment that is too short still uses up its text.
+    the length may stand in the pattern; an assignment that is too short still uses up its text.  Of the weak kinds a login is
+    looked for where there is an assignment sign, an opaque token where there is an identifier, an endpoint where there are both roles.
     """
+    text = F.col("__text")
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_VALUE
-    return F.array_sort(
-        F.concat(
-            located(text, ASSIGN, 0, value),
-            located(text, f"AKIA[A-Z0-9]{{{ACCESS_MIN - 4},}}", 1),
-            located(text, f"[0-9a-f]{{{HEX_MIN},}}", 2),
-        )
+    sign = text.contains("=") | text.contains(":")
+    some = lambda *kinds: F.greatest(*(F.size(f"__{k}") for k in kinds)) > 0
+    df = df.withColumns(
+        {
+            "__assign": where(sign, located(text, ASSIGN, 0, value)),
+            "__access": where(text.contains("AKIA"), located(text, f"AKIA[A-Z0-9]{{{ACCESS_MIN - 4},}}", 1)),
+            "__hex": located(text, f"[0-9a-f]{{{HEX_MIN},}}", 2),
+            "__login": where(sign, located(text, LOGIN, 3)),
+        }
     )
-
-
-def weak_spans(text: Column, base: Column) -> Column:
-    """Weak candidates that overlap no base span."""
-    weak = F.concat(located(text, LOGIN, 3), located(text, OPAQUE, 4), located(text, ENDPOINT, 5))
-    clear = lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    return F.when(F.size(weak) > 0, F.filter(weak, clear)).otherwise(weak)
+    df = df.withColumn("__opaque", where(some("access", "login"), located(text, OPAQUE, 4)))
+    ends = some("access", "login") & some("assign", "hex", "opaque") & text.contains("://")
+    return df.withColumn("__endpoint", where(ends, located(text, ENDPOINT, 5)))
 
 
 def spelled(spans: Column) -> Column:
@@ -95,11 +119,16 @@ def spelled(spans: Column) -> Column:
 
 def linked(found: DataFrame, reach: int) -> DataFrame:
     """(row, extra): the weak spans of ``found`` (row, base, weak) whose complements are in scope."""
+    span = ["__row", "start", "rank", "end"]
     some = found.where(F.size("weak") > 0)
     parts = some.select("__row", F.inline(F.concat("base", "weak")))
-    role = F.when(F.col("rank").isin(1, 3), "id").when(F.col("rank") == 5, "endpoint").otherwise("secret")
-    parts = parts.withColumn("role", role)
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / reach), F.floor(b / reach))).alias("bin")
+    binned = parts.select("*", bins(F.col("start"), F.col("end")))
+    # Logins and opaque tokens that overlap a base span are none.
+    base = binned.where("rank < 3").select("__row", "bin", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    hidden = binned.where("rank in (3, 4)").join(base, ["__row", "bin"]).where("b_start < end and start < b_end").select(span).distinct()
+    role = F.when(F.col("rank").isin(1, 3), "id").when(F.col("rank") == 5, "endpoint").otherwise("secret")
+    parts = parts.join(hidden, span, "left_anti").withColumn("role", role)
     weak = parts.where("rank >= 3").select(
         "__row",
         F.struct("start", "rank", "end").alias("span"),
@@ -125,23 +154,20 @@ def linked(found: DataFrame, reach: int) -> DataFrame:
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
     """``docs`` without its text, with n_assign, n_access, n_hex, base_sha256 and spans."""
-    own = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "base", "weak", "extra", "__row")
+    own = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "base", "weak", "extra", "__row", "__text", *(f"__{k}" for k in KINDS))
     rest = [c for c in docs.columns if c != text_col and c not in own]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(*[F.col(f"`{c}`") for c in rest], text.alias("__text"), base_spans(text).alias("base"))
-    found = found.withColumn("weak", weak_spans(F.col("__text"), F.col("base"))).drop("__text")
-    found = scratch(found.withColumn("__row", F.monotonically_increasing_id()), "secrets")  # spans only; numbers each row for good
-    out = found.join(linked(found, reach), "__row", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))))
-    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("bigint")
-    return out.select(
+    found = with_spans(docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text_col), F.lit("")).alias("__text")))
+    found = found.select(
         *[F.col(f"`{c}`") for c in rest],
-        count(0).alias("n_assign"),
-        count(1).alias("n_access"),
-        count(2).alias("n_hex"),
-        F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
-        spelled(every).alias("spans"),
+        *(F.size(f"__{k}").cast("bigint").alias(f"n_{k}") for k in KINDS[:3]),
+        F.array_sort(F.concat(*(f"__{k}" for k in KINDS[:3]))).alias("base"),
+        F.concat(*(f"__{k}" for k in KINDS[3:])).alias("weak"),
+        F.monotonically_increasing_id().alias("__row"),
     )
+    found = scratch(found, "secrets")  # spans only; numbers each row for good
+    out = found.join(linked(found, reach), "__row", "left")
+    every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(NO_SPANS))))
+    return out.select(*[F.col(f"`{c}`") for c in rest], "n_assign", "n_access", "n_hex", F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(every).alias("spans"))
 
 
 def op10_secret_scan(spark, sf_dir):
