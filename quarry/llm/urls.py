@@ -8,10 +8,11 @@ key universe its false positives are known, and level 2 encodes those; level 3 e
 listed keys that level 2 takes in by mistake, and so on until no mistake is left.  Membership
 over that universe is then exact and probing needs no join: the bitmaps are literals in the
 expression.  Level 1's rate falls with |listed| / |universe|, so every level's size follows
-the list and not the corpus.
+the list and not the corpus.  A list whose first level would take more than ``max_bytes`` is too large for literals: its
+pages' keys are joined with it instead.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path and meet no rule;
-an empty rule list allows everything; repeated rows are judged alike; columns of the input
+an empty rule list allows everything; repeated rows are judged alike; extra columns pass through, and columns of the input
 named like an output column are replaced.
 """
 
@@ -64,6 +65,9 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.transform(F.array_distinct(F.array_sort(pairs)), lambda p: p["key"])
 
 
+MAX_BYTES = 4 << 20  # of a level's bitmap in a plan
+
+
 class BloomLevel:
     """One bitmap; bit i of seed s for a key is a seeded 64-bit hash modulo the size."""
 
@@ -132,17 +136,37 @@ class BloomCascade:
         return out
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page id, host, path, rule, verdict; ``allow`` where the cascade knows no key of the URL."""
+def first_rule(base: DataFrame, keys: Column, listed: DataFrame) -> DataFrame:
+    """base with rule, the first of its keys that is listed, by a join: for lists that no literal can hold."""
+    rows = scratch(base.withColumn("__row", F.monotonically_increasing_id()), "urls-rows")
+    pairs = rows.select("__row", F.posexplode(keys).alias("pos", "key")).join(listed.select("key").distinct(), "key")
+    best = pairs.groupBy("__row").agg(F.min_by("key", "pos").alias("rule"))
+    return rows.join(best, "__row", "left").drop("__row")
+
+
+def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, url_col: str = "url", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``pages`` without its URL, with host, path, rule and verdict; ``allow`` where the cascade knows no key of the URL.
+
+    rules: (action, host, path), as a list or a table.
+    """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
-    base = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    lengths = sorted({len(p) for _, _, p in rules})
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in (url_col, "host", "path", "rule", "verdict", "__row")]
+    base = pages.select(*rest, host.alias("host"), path.alias("path"))
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "action string, host string, path string")
+    listed = scratch(rules.select(F.concat("host", "path").alias("key"), "action", F.length("path").alias("n")), "urls-listed")
+    lengths = sorted(r.n for r in listed.select("n").distinct().collect())  # path lengths: a few
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
-    schema = "key string, action string"
-    listed = spark.createDataFrame([(h + p, a) for a, h, p in rules], schema)
+    blocks = listed.where("action = 'block'").select("key")
+    if listed.count() * 5 > max_bytes * BITS:  # even one key in 2 ** 5 false ones takes more
+        found = first_rule(base, keys, listed)
+        blocked = blocks.distinct().withColumnRenamed("key", "rule").withColumn("__blocked", F.lit(True))
+        return found.join(blocked, "rule", "left").select(
+            *(F.col(c) for c in found.columns), F.when(F.col("__blocked"), "block").otherwise("allow").alias("verdict")
+        )
     member = BloomCascade.build(listed.select("key"), base.select(F.explode(keys).alias("key")))
-    blocked = BloomCascade.build(listed.where("action = 'block'").select("key"), listed.select("key"))
+    blocked = BloomCascade.build(blocks, listed.select("key"))
     rule = F.get(F.filter(keys, member.contains), F.lit(0)).alias("rule")
     return base.withColumn("rule", rule).withColumn(
         "verdict", F.when(F.col("rule").isNotNull() & blocked.contains(F.col("rule")), "block").otherwise("allow")

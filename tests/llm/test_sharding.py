@@ -1,7 +1,8 @@
+import math
 import random
 from collections import Counter
 
-from quarry.llm.sharding import communication_matrix, hypergeometric, hypergeometric_shards
+from quarry.llm.sharding import communication_matrix, hypergeometric, hypergeometric_shards, log_hypergeometric
 
 
 def test_matrix_margins():
@@ -46,3 +47,28 @@ def test_order_is_shuffled(spark):
     first = sorted((r.slot, r.doc_id) for r in rows if r.shard == 0)
     ups = sum(a[1] < b[1] for a, b in zip(first, first[1:], strict=False))
     assert 400 < ups < 600
+
+
+def test_probabilities_are_exact_at_any_size():
+    rng = random.Random(2)
+    for _ in range(200):
+        good, bad = rng.randint(1, 3000), rng.randint(1, 3000)
+        draws = rng.randint(1, good + bad - 1)
+        x = rng.randint(max(0, draws - bad), min(draws, good))
+        exact = math.log(math.comb(good, x)) + math.log(math.comb(bad, draws - x)) - math.log(math.comb(good + bad, draws))
+        assert abs(log_hypergeometric(x, good, bad, draws) - exact) < 1e-9
+    good, total, draws = 25 * 10**8, 10**11, 500_000
+    mean = draws * good // total
+    assert abs(sum(math.exp(log_hypergeometric(x, good, total - good, draws)) for x in range(mean - 1500, mean + 1500)) - 1) < 1e-9
+
+
+def test_equal_keys_and_rows_are_spread(spark):
+    """A key that all rows share, and rows that are equal: blocks, shards and slots as for any other rows."""
+    df = spark.createDataFrame([(7, "same", i if i % 2 else 0) for i in range(4000)], "doc_id long, text string, n int")
+    rows = hypergeometric_shards(df, ["doc_id"], ["text"], 4, min_blocks=16).collect()
+    assert Counter(r.shard for r in rows) == {s: 1000 for s in range(4)}
+    odd = [sum(r.n % 2 for r in rows if r.shard == s) for s in range(4)]
+    assert all(430 < x < 570 for x in odd)
+    first = [r.n for r in sorted((r for r in rows if r.shard == 0 and r.n), key=lambda r: r.slot)]
+    ups = sum(a < b for a, b in zip(first, first[1:], strict=False))
+    assert 0.42 < ups / len(first) < 0.58

@@ -50,3 +50,14 @@ def test_cascade_is_exact_over_its_universe(spark):
         assert found == set(listed)
         if n > 1:
             assert len(cascade.levels) > 1 or n < 100
+
+
+def test_lists_too_large_for_literals_give_the_same(spark):
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, html string")
+    small, large = (url_filter(df, max_bytes=b) for b in (4 << 20, 1))
+    assert small.columns == ["page_id", "html", "host", "path", "rule", "verdict"] and sorted(large.columns) == sorted(small.columns)
+    rows = [tuple(r) for r in small.collect()]
+    assert sorted(rows, key=str) == sorted((tuple(r) for r in large.select(small.columns).collect()), key=str)
+    assert {r[0]: r[2:] for r in rows} == {i: brute(u) for i, u in enumerate(URLS)}
+    table = spark.createDataFrame(RULES, "action string, host string, path string")
+    assert sorted((tuple(r) for r in url_filter(df, table).collect()), key=str) == sorted(rows, key=str)
