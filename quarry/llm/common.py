@@ -39,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 _serial = itertools.count()
 _live: dict[str, int] = {}  # paths that this driver wrote, with their order
+_broadcasts: list = []
 _tables: dict[str, str] = {}  # catalogue tables over such paths
 
 
@@ -104,6 +105,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _live.pop(path, None)
 
 
+def broadcast(spark: SparkSession, value):
+    """A broadcast variable whose copies on executors go with release."""
+    out = spark.sparkContext.broadcast(value)
+    _broadcasts.append(out)
+    return out
+
+
 def mark() -> int:
     """A point in time for release: what is written from now on."""
     return next(_serial)
@@ -114,6 +122,8 @@ def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) ->
     paths = [p for p, n in _live.items() if n >= since and p not in keep]
     for path in paths:
         drop_path(spark, path)
+    while _broadcasts:
+        _broadcasts.pop().unpersist()  # a plan that still needs one fetches it again
     return len(paths)
 
 
