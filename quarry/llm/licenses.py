@@ -16,8 +16,8 @@ intersection.
 A license has several templates: a short note (TEMPLATES), and its standard header or permission text (TEXTS).
 
 Defined results: null or empty texts match nothing; words are compared in lower case and without
-punctuation at their ends; of equally good alignments the first is reported, of a license met several times the best;
-of alignments that share words the one with most matched words counts, and the words between those that count are searched again; repeated rows and
+punctuation at their ends; every place where a license stands is a row;
+of alignments that share words the one with most matched words counts (then the best coverage, the name and the place), and the words between those that count are searched again; repeated rows and
 null ids are judged one by one; an empty table or no templates give no rows; extra columns play no part.
 """
 
@@ -287,12 +287,9 @@ def scan(templates: dict[str, str | tuple[str, ...]], min_coverage: float, min_d
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 hits = [(t, (hit[0], hit[1] + base, *hit[2:])) for base, words in blocks_of(text.as_py() or "", max(block_words, 8 * longest), 4 * longest) for t, hit in every(words)]
-                best: dict[str, tuple] = {}
-                for t, hit in clear_of(hits) if best_only else hits:
-                    rank = (-hit[0] / len(t.words), -hit[0], hit[1])
-                    if t.name not in best or rank < best[t.name][0]:
-                        best[t.name] = (rank, t, hit)
-                rows += [(doc_id, n, hit[0] / len(t.words), hit[0], len(t.words), *hit[1:]) for n, (_, t, hit) in best.items()]
+                # Stretches of a long text overlap: a hit in two of them is one.
+                for t, hit in clear_of(hits) if best_only else sorted(dict.fromkeys(hits), key=lambda x: (x[1][1], x[0].name)):
+                    rows.append((doc_id, t.name, hit[0] / len(t.words), hit[0], len(t.words), *hit[1:]))
             names = [f.split()[0] for f in SCHEMA.split(", ")]
             types = [pa.int64(), pa.string(), pa.float64()] + [pa.int64()] * 5
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
@@ -309,10 +306,13 @@ def scan_licenses(
     min_density: float = MIN_DENSITY,
     best_only: bool = True,
 ) -> DataFrame:
-    """One row per document and license met: coverage of the template, and where (in words)."""
+    """One row per place where a license stands in a document: coverage of the template, and where (in words).
+
+    best_only: of alignments that share words the best one.
+    """
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan(templates, min_coverage, min_density, best_only), SCHEMA)
 
 
 def op9_license_scan(spark, sf_dir):
-    """Licenses met in all documents."""
+    """Every place of a license in all documents."""
     return scan_licenses(table(spark, sf_dir, "documents"))

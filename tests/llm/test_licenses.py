@@ -128,3 +128,81 @@ def test_common_forms(spark):
         "BSD-2-Clause": TEXTS["BSD-2-Clause"][0].removeprefix("All rights reserved. "),
     }.items():
         assert found(spark, text) == {name}, name
+
+
+def brute_align(text, template):
+    """Patience alignment by its definition, with the increasing subsequence found by trying all; words matched of the best choice of subsequences."""
+    if not text or not template:
+        return 0
+    once = [(i, text.index(w)) for i, w in enumerate(template) if template.count(w) == 1 and text.count(w) == 1]
+    chains: list[list] = [[]]
+    for p in once:
+        chains += [[*c, p] for c in chains if not c or c[-1][1] < p[1]]
+    size = max(map(len, chains))
+    if size:
+        best = 0
+        for c in chains:
+            if len(c) == size:
+                edges = [(-1, -1), *c, (len(template), len(text))]
+                gaps = zip(edges, edges[1:], strict=False)
+                best = max(best, size + sum(brute_align(text[x + 1 : y], template[i + 1 : j]) for (i, x), (j, y) in gaps))
+        return best
+    n = 0
+    while template and text and template[0] == text[0]:
+        n, template, text = n + 1, template[1:], text[1:]
+    while template and text and template[-1] == text[-1]:
+        n, template, text = n + 1, template[:-1], text[:-1]
+    return n
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_alignment_matches_brute_force():
+    rng = random.Random(14)
+    same = 0
+    for _ in range(300):
+        template = rng.choices("abcdefghij", k=rng.randint(1, 9))
+        text = [w for w in template if rng.random() < 0.8]
+        for _ in range(rng.randint(0, 4)):
+            text.insert(rng.randint(0, len(text)), rng.choice("abcdefghijxyz"))
+        got, anchors = align(text, template, 0, len(template), 0, len(text))
+        most = brute_align(text, template)
+        assert len(got) <= most <= common(template, text)
+        same += len(got) == most
+        once = [(i, text.index(w)) for i, w in enumerate(template) if template.count(w) == 1 and text.count(w) == 1]
+        assert anchors >= longest(once)
+    assert same >= 290  # of equally long subsequences any may be taken
+    for _ in range(50):  # words that are all different: every word that is left is matched
+        template = rng.sample([f"w{i}" for i in range(400)], 60)
+        text = [f"new{i}" if rng.random() < 0.3 else w for i, w in enumerate(template)]
+        assert len(align(text, template, 0, 60, 0, 60)[0]) == sum(a == b for a, b in zip(text, template, strict=True))
+
+
+def test_every_place_is_a_row_and_matches_brute_force(spark):
+    """Edited copies of every template among prose: found where they stand, with the words left as coverage."""
+    rng = random.Random(23)
+    known = {name: TEXTS[name][0] for name in ("Apache-2.0", "MIT", "BSD-3-Clause", "GPL-2.0", "MPL-2.0")}
+    rows, truth = [], []
+    for d in range(30):
+        body, at = [], 0
+        for name in rng.sample(sorted(known), 3) + ["MIT", "MIT"]:
+            pad = [f"x{rng.randrange(10**6)}" for _ in range(rng.randint(90, 200))]
+            note = words_of(known[name])
+            edits = set(rng.sample(range(3, len(note) - 3), len(note) // 12))
+            note = [f"new{k}" if k in edits else w for k, w in enumerate(note)]
+            body += pad + note
+            truth.append((d, name, at + len(pad), len(note) - len(edits)))
+            at += len(pad) + len(note)
+        rows.append((d, " ".join(body)))
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()
+    assert sorted((r.doc_id, r.license, r.start) for r in got) == sorted(t[:3] for t in truth)
+    most = {t[:3]: t[3] for t in truth}
+    assert all(0.97 * most[r.doc_id, r.license, r.start] <= r.matched <= most[r.doc_id, r.license, r.start] for r in got)
