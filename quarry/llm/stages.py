@@ -1,7 +1,15 @@
-"""The corpus pipeline's stages: each takes documents and gives documents, the last one pieces."""
+"""The corpus pipeline's stages: each takes documents and gives documents, the last one pieces.
+
+Defined results, for every stage but the last: the columns of documents and no others, rows of equal ids judged one by one
+in quality rules and line dedup, and together where a decision is an id's (near copies, leaks); a null id stays unless its own text is rejected; a null
+text counts as empty and fails the quality rules; an empty table gives an empty table; columns that a stage uses inside
+never reach its result, and clashing ones pass through as they came.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,43 +18,67 @@ from .decontamination import decontaminate
 from .jaccard import jaccard_components
 from .lines import dedup_lines
 from .packing import pack_documents
-from .rules import quality_rules, train_field
+from .rules import MIN_WORDS, quality_rules, train_field
 
 #: Up to so many ids (8 bytes each) are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """docs less those whose doc_id is in ids (one column, __id); null ids stay."""
+def listed(docs: DataFrame, ids: DataFrame, label: str, how: str) -> DataFrame:
+    """docs whose doc_id is in ids (one column, __id; how: left_semi), or is not (left_anti: null ids stay)."""
     ids = scratch(ids.distinct(), label)
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs["doc_id"] == ids["__id"], "left_anti")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs["doc_id"] == ids["__id"], how)
+
+
+def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) with the columns of docs: doc_id and text as work leaves them, the others as they came, whatever their names."""
+    own = ("doc_id", "text")
+    aside = {c: f"__aside{i}" for i, c in enumerate(docs.columns) if c not in own}
+    out = work(docs.select(*own, *[F.col(f"`{c}`").alias(n) for c, n in aside.items()]))
+    return out.select(*[F.col(aside[c]).alias(c) if c in aside else F.col(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     field = train_field(docs, table(spark, sf_dir, "labels"))
-    return quality_rules(docs, field, keep_text=True).where("kept").select(*docs.columns)
+    return shielded(docs, lambda d: quality_rules(d, field, keep_text=True).where("kept"))
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document holds; n_chars follows."""
-    out = dedup_lines(docs).withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, least: int = MIN_WORDS) -> DataFrame:
+    """Documents without the lines that an earlier document holds; n_chars follows.
+
+    A document that loses lines and keeps under ``least`` words, the quality rules' own minimum, goes whole: what is left of a
+    copy is no document.
+    """
+
+    def work(d: DataFrame) -> DataFrame:
+        out = dedup_lines(d).where((F.col("n_dropped") == 0) | (F.col("words_left") >= least))
+        return out.withColumnRenamed("kept_text", "text")
+
+    out = shielded(docs, work)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each component of near copies."""
-    groups = jaccard_components(docs)
-    return without(docs, groups.where("component_id < doc_id").select(F.col("doc_id").alias("__id")), "pipeline-near")
+    """One document, the one of the least id, of each component of near copies.
+
+    Line dedup has cut lines out of near copies, and what it left of them links no more.  So the
+    documents at hand are joined by their texts in ``documents`` first, and those that stay by the texts they have now.
+    """
+    source = table(spark, sf_dir, "documents").select("doc_id", "text")
+    source = listed(source, docs.select(F.col("doc_id").alias("__id")).where("__id is not null"), "pipeline-kept", "left_semi")
+    for texts in (source, None):
+        groups = jaccard_components(docs if texts is None else texts)
+        copies = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__id"))
+        docs = listed(docs, copies, "pipeline-near", "left_anti")
+    return docs
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that hold a passage of the benchmark."""
     leaks = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, leaks.select(F.col("doc_id").alias("__id")), "pipeline-leaks")
+    return listed(docs, leaks.select(F.col("doc_id").alias("__id")), "pipeline-leaks", "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
