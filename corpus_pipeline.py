@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import stages
-from quarry.llm.common import scratch, table
+from quarry.llm.common import drop_path, mark, new_scratch_path, release, scratch_at, table
 
 STAGES = [
     ("quality_rules", stages.quality),
@@ -20,8 +20,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to ``documents``; every result but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply STAGES to ``documents``; every result but the last is written and read again, and goes once the next one is written."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        since, path = mark(), new_scratch_path(spark, f"pipeline-{name}")
+        docs = scratch_at(stage(spark, docs, sf_dir), path)
+        release(spark, since, (path,))
+        if held:
+            drop_path(spark, held)
+        held = path
     return STAGES[-1][1](spark, docs, sf_dir)
