@@ -3,22 +3,33 @@
 Questions: (question_id, question).  Chunks: (id, text) with optional title; ties go to the
 smaller ``order`` column, by default the id.  Every retriever gives (question_id, id, score, rank).
 Scores are rounded to six decimals before ranking, so the order of summation can't swap ranks.
+
+A chunk is one row, so nothing of it needs to travel: ``match`` reads and tokenises the chunks once, counts the questions' terms
+in each of them and writes (id, length, terms, counts), a fraction of the texts.  Document frequencies and the mean length come from
+that table, and both rankings score it in place: a task keeps the k best of each question, and only those are shuffled.
+Up to BROADCAST_ROWS terms of questions are broadcast; more go through postings and joins.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set, tokens
+from ..storage import broadcast, scratch
 from .common import is_small, small, top_k
 
 BM25_K1, BM25_B = 1.5, 0.75
 RRF_K, RRF_DEPTH = 60, 30
 DIGITS = 6
+BLOCK_CHUNKS, BLOCK_QUESTIONS = 512, 4096  # scored at once: 16 MB
+_TOKEN = re.compile("[a-z0-9]+")
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -26,9 +37,9 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _body(chunks: DataFrame) -> DataFrame:
+def _body(chunks: DataFrame, order: str = "id") -> DataFrame:
     text = F.concat_ws(" ", F.col("title"), F.col("text")) if "title" in chunks.columns else F.col("text")
-    return chunks.select("id", text.alias("body"))
+    return chunks.select(*dict.fromkeys(("id", order)), text.alias("body"))
 
 
 def matched_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
@@ -57,33 +68,178 @@ def term_stats(postings: DataFrame, n: int) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
 
 
-def fill_zeros(scored: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, order: str) -> DataFrame:
+@dataclass
+class Matches:
+    """Where chunks hold the terms of questions.  table: id, order, dl, terms (numbers) and tfs of every chunk."""
+
+    table: DataFrame
+    order: str
+    questions: list  # ids
+    asked: list  # (question's place, term's number, times it is asked)
+    n: int
+    mean: float
+    df: np.ndarray  # of each term
+
+
+def match(questions: DataFrame, chunks: DataFrame, order: str = "id") -> Matches | None:
+    """One pass over the chunks for all questions; None where the questions' terms are too many to broadcast."""
+    from pyspark.sql import types as T
+
+    asked = question_terms(questions)
+    if not is_small(asked):
+        return None
+    spark = chunks.sparkSession
+    rows = asked.collect()  # BROADCAST_ROWS at most
+    ids = sorted({r.question_id for r in rows})
+    place = {q: i for i, q in enumerate(ids)}
+    number: dict[str, int] = {}
+    pairs = [(place[r.question_id], number.setdefault(r.term, len(number)), r.qtf) for r in rows]
+    shared = broadcast(spark, number)
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = shared.value
+        for b in batches:
+            lengths, offsets, terms, counts = [], [0], [], []
+            for text in b.column(2).to_pylist():
+                words = _TOKEN.findall((text or "").lower())
+                held = Counter(words)
+                found = sorted((known[w], c) for w, c in held.items() if w in known)
+                lengths.append(len(words))
+                terms += [t for t, _ in found]
+                counts += [c for _, c in found]
+                offsets.append(len(terms))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (terms, counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lengths, pa.int32()), *lists], ["id", "order", "dl", "terms", "tfs"])
+
+    kinds = [T.StructField(n, chunks.schema[c].dataType) for n, c in (("id", "id"), ("order", order))]
+    numbers = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*kinds, T.StructField("dl", T.IntegerType()), T.StructField("terms", numbers), T.StructField("tfs", numbers)])
+    body = _body(chunks, order).select("id", F.col(order).alias("order"), "body")
+    table = scratch(body.mapInArrow(run, schema), "matches")
+    n, mean = table.agg(F.count("*"), F.avg("dl")).first()
+    df = np.zeros(len(number))
+    for t, c in table.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each term
+        df[t] = c
+    return Matches(table, order, ids, pairs, n, mean or 0.0, df)
+
+
+def best_of(found: Matches, k: int, weight: np.ndarray, value: Callable) -> DataFrame:
+    """(question_id, id, order, score) of each task's k best chunks of each question.
+
+    A chunk's score is the sum of weight (of an asked term) times value(tf, dl).
+    """
+    from pyspark.sql import types as T
+
+    asked = np.array(found.asked, dtype=np.int64).reshape(-1, 3)
+    blocks = []
+    for low in range(0, len(found.questions), BLOCK_QUESTIONS):
+        mine = np.flatnonzero((asked[:, 0] >= low) & (asked[:, 0] < low + BLOCK_QUESTIONS))
+        mine = mine[np.argsort(asked[mine, 1], kind="stable")]
+        first = np.searchsorted(asked[mine, 1], np.arange(len(found.df) + 1))
+        blocks.append((low, min(BLOCK_QUESTIONS, len(found.questions) - low), first, asked[mine, 0] - low, weight[mine]))
+    shared = broadcast(found.table.sparkSession, (found.questions, blocks))
+    fields = [found.table.schema["id"], found.table.schema["order"]]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        questions, blocks = shared.value
+        kinds = [to_arrow_type(f.dataType) for f in fields]
+        held = [(np.zeros(0, int), np.zeros(0), np.zeros(0, object), np.zeros(0, object)) for _ in blocks]
+
+        def first_k(q, score, order, ids):
+            """The k best of each question."""
+            at = sorted(range(len(q)), key=lambda i: (q[i], -score[i], order[i])) if order.dtype == object else np.lexsort((order, -score, q))
+            q, score, order, ids = q[at], score[at], order[at], ids[at]
+            start = np.searchsorted(q, q, "left")
+            on = np.arange(len(q)) - start < k
+            return q[on], score[on], order[on], ids[on]
+
+        for b in batches:
+            ids, orders = (plain(b.column(i)) for i in (0, 1))
+            dl = b.column(2).to_numpy(zero_copy_only=False)
+            sizes = np.diff(b.column(3).offsets.to_numpy())
+            offsets = np.concatenate(([0], np.cumsum(sizes)))
+            terms, tfs = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (3, 4))
+            for low in range(0, len(ids), BLOCK_CHUNKS):
+                high = min(len(ids), low + BLOCK_CHUNKS)
+                a, z = offsets[low], offsets[high]
+                chunk = np.repeat(np.arange(high - low), sizes[low:high])
+                values = value(tfs[a:z].astype(float), np.repeat(dl[low:high], sizes[low:high]).astype(float))
+                for n, (_, width, first, who, w) in enumerate(blocks):
+                    times = first[terms[a:z] + 1] - first[terms[a:z]]
+                    at = np.repeat(first[terms[a:z]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    cell = np.repeat(chunk, times) * width + who[at]
+                    sums = np.bincount(cell, np.repeat(values, times) * w[at], (high - low) * width).reshape(high - low, width)
+                    sums = np.round(np.where(np.bincount(cell, minlength=sums.size).reshape(sums.shape) > 0, sums, -1.0), DIGITS)
+                    least = np.zeros(width) if high - low <= k else np.maximum(0.0, -np.partition(-sums, k - 1, axis=0)[k - 1])
+                    c, q = np.nonzero(sums >= least)
+                    old = held[n]
+                    new = (q, sums[c, q], orders[low:high][c], ids[low:high][c])
+                    held[n] = first_k(*(np.concatenate(x) if len(x[0]) else x[1] for x in zip(old, new, strict=True)))
+        for (low, *_), (q, score, order, ids) in zip(blocks, held, strict=True):
+            names = [questions[low + i] for i in q]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.array(ids.tolist(), kinds[0]), pa.array(order.tolist(), kinds[1]), pa.array(score)], ["question_id", "id", "order", "score"]
+            )
+
+    kind = T._infer_type(found.questions[0]) if found.questions else T.LongType()
+    schema = T.StructType([T.StructField("question_id", kind), *fields, T.StructField("score", T.DoubleType())])
+    return found.table.mapInArrow(run, schema)
+
+
+def plain(column) -> np.ndarray:
+    """An Arrow column as a numpy array; strings as objects."""
+    import pyarrow as pa
+
+    if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    out = np.empty(len(column), dtype=object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def fill_zeros(best: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, order: str) -> DataFrame:
     """Rank by score; questions with under k scored chunks get the first others, scored 0.
 
-    Of the first k chunks in corpus order at most the scored ones can't serve, so no others are needed.
+    best: (question_id, id, order, score), the k best scored ones of each question at least.  Of the first k chunks in corpus order
+    at most the scored ones can't serve, so no others are needed.
     """
-    first = [r[0] for r in chunks.orderBy(order).limit(k).select("id").collect()]  # k ids
-    ids = F.array(*[F.lit(i) for i in first]) if first else F.array().cast(f"array<{chunks.schema['id'].dataType.simpleString()}>")
-    blank = questions.select("question_id", F.explode(ids).alias("id")).join(scored.select("question_id", "id"), ["question_id", "id"], "left_anti")
-    both = scored.unionByName(blank.withColumn("score", F.lit(0.0)))
-    if order != "id":
-        both = both.join(chunks.select("id", order), "id")
-    out = top_k(both, ["question_id"], [F.desc("score"), F.asc(order)], k)
-    return out.select("question_id", "id", "score", "rank")
-
-
-def lexical(questions: DataFrame, chunks: DataFrame, k: int = 10, zero_fill: bool = True) -> DataFrame:
-    """Number of distinct question tokens that text and title hold; ties by id."""
-    asked = questions.select("question_id", F.explode(token_set(F.col("question"))).alias("term"))
-    docs = _body(chunks).select("id", F.explode(token_set(F.col("body"))).alias("term"))
-    scored = docs.join(small(asked), "term").groupBy("question_id", "id").agg(F.count("*").cast("double").alias("score"))
+    first = chunks.select("id", F.col(order).alias("__order")).orderBy("__order").limit(k).collect()  # k ids
+    kinds = f"array<struct<id:{chunks.schema['id'].dataType.simpleString()},order:{chunks.schema[order].dataType.simpleString()}>>"
+    rows = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(o).alias("order")) for i, o in first]).cast(kinds) if first else F.array().cast(kinds)
+    blank = questions.select("question_id", F.inline(rows)).join(best.select("question_id", "id"), ["question_id", "id"], "left_anti")
+    return best.unionByName(blank.withColumn("score", F.lit(0.0)))
+
+
+def ranked(best: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, order: str, zero_fill: bool) -> DataFrame:
     if zero_fill:
-        return fill_zeros(scored, questions, chunks, k, "id")
-    return top_k(scored, ["question_id"], [F.desc("score"), F.asc("id")], k)
+        best = fill_zeros(best, questions, chunks, k, order)
+    return top_k(best, ["question_id"], [F.desc("score"), F.asc("order")], k).select("question_id", "id", "score", "rank")
+
+
+def with_order(scored: DataFrame, chunks: DataFrame, order: str) -> DataFrame:
+    return scored.join(chunks.select("id", F.col(order).alias("order")), "id") if order != "id" else scored.withColumn("order", F.col("id"))
+
+
+def lexical(questions: DataFrame, chunks: DataFrame, k: int = 10, zero_fill: bool = True, matches: Matches | None = None) -> DataFrame:
+    """Number of distinct question tokens that text and title hold; ties by id.  matches: of these questions and chunks, to share one pass."""
+    matches = matches or match(questions, chunks)
+    if matches:
+        best = best_of(matches, k, np.ones(len(matches.asked)), lambda tf, dl: np.ones_like(tf))
+    else:
+        asked = questions.select("question_id", F.explode(token_set(F.col("question"))).alias("term"))
+        docs = _body(chunks).select("id", F.explode(token_set(F.col("body"))).alias("term"))
+        scored = docs.join(small(asked), "term").groupBy("question_id", "id").agg(F.count("*").cast("double").alias("score"))
+        best = with_order(scored, chunks, "id")
+    return ranked(best, questions, chunks, k, "id", zero_fill)
 
 
 def bm25_scores(questions: DataFrame, chunks: DataFrame, k1: float = BM25_K1, b: float = BM25_B, postings: DataFrame | None = None) -> DataFrame:
-    """(question_id, id, score) of chunks that hold a question token; repeated question tokens count again."""
+    """(question_id, id, score) of all chunks that hold a question token, by joins; repeated question tokens count again."""
     n, mean = corpus_stats(chunks)
     asked = question_terms(questions)
     hint = F.broadcast if is_small(asked) else lambda df: df  # what is joined below has no more rows than asked
@@ -96,64 +252,88 @@ def bm25_scores(questions: DataFrame, chunks: DataFrame, k1: float = BM25_K1, b:
     return joined.groupBy("question_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, k: int = 10, zero_fill: bool = True, order: str = "id", postings: DataFrame | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Okapi BM25; with zero_fill every question gets k chunks if there are so many."""
-    scored = bm25_scores(questions, chunks, k1, b, postings)
-    if zero_fill:
-        return fill_zeros(scored, questions, chunks, k, order)
-    if order != "id":
-        scored = scored.join(chunks.select("id", order), "id")
-    return top_k(scored, ["question_id"], [F.desc("score"), F.asc(order)], k).select("question_id", "id", "score", "rank")
+def bm25(
+    questions: DataFrame, chunks: DataFrame, k: int = 10, zero_fill: bool = True, order: str = "id", postings: DataFrame | None = None, k1: float = BM25_K1, b: float = BM25_B,
+    matches: Matches | None = None,
+) -> DataFrame:
+    """Okapi BM25; with zero_fill every question gets k chunks if there are so many.
 
-
-def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = False, block_rows: int = 4096) -> DataFrame:
+    matches: of these questions and chunks, to share one pass.  postings: the whole inverted list, written before.
+    """
+    matches = matches or (match(questions, chunks, order) if postings is None else None)
+    if matches and matches.order == order:
+        idf = np.maximum(0.0, np.log(1 + (matches.n - matches.df + 0.5) / (matches.df + 0.5)))
+        weight = np.array([qtf * idf[t] for _, t, qtf in matches.asked])
+        mean = matches.mean or 1.0
+        best = best_of(matches, k, weight, lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)))
+    else:
+        best = with_order(bm25_scores(questions, chunks, k1, b, postings), chunks, order)
+    return ranked(best, questions, chunks, k, order, zero_fill)
+
+
+def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = False, block_rows: int = 65_536) -> DataFrame:
     """Exact cosine top k.  question_vectors: (question_id, embedding), vectors: (id, embedding).
 
-    Questions are broadcast in blocks of ``block_rows``; each Arrow batch of vectors is one matrix
-    product and sends its own k best of each question.  Ties go to the smaller id; a zero vector scores 0.
+    Questions are broadcast in blocks of ``block_rows``, each of which reads the vectors once; a task takes matrix
+    products of 1,024 questions at a time and keeps its own k best of each.  Ties go to the smaller id; a zero vector scores 0.
     """
     spark = vectors.sparkSession
     kinds = [question_vectors.schema["question_id"].dataType, vectors.schema["id"].dataType]
     schema = f"question_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
 
-    def unit(rows) -> np.ndarray:
-        m = np.array(rows, dtype=np.float64)
+    def unit(m: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
     def search(block):
-        ids = [r[0] for r in block]
-        shared = spark.sparkContext.broadcast((ids, unit([r[1] for r in block])))
+        asked = plain_ids([r[0] for r in block])
+        shared = broadcast(spark, (asked, unit(np.array([r[1] for r in block], dtype=np.float64)).reshape(len(block), -1)))
 
         def run(batches):
             import pyarrow as pa
             from pyspark.sql.pandas.types import to_arrow_type
 
             arrow = [to_arrow_type(k) for k in kinds]
-            ids, q = shared.value
+            asked, questions = shared.value
             for b in batches:
-                keys = np.array(b.column(0).to_pylist())
-                scores = np.round(q @ unit(b.column(1).to_pylist()).T, DIGITS)
-                rows = []
-                for i, question in enumerate(ids):
-                    on = keys != question if exclude_self else np.ones(len(keys), dtype=bool)
-                    best = np.lexsort((keys[on], -scores[i, on]))[:k]
-                    rows += [(question, key, s) for key, s in zip(keys[on][best].tolist(), scores[i, on][best].tolist(), strict=True)]
-                cols = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], arrow[0]), pa.array(cols[1], arrow[1]), pa.array(cols[2], pa.float64())], ["question_id", "id", "score"])
-
-        return vectors.select("id", "embedding").mapInArrow(run, schema)
+                keys = plain(b.column(0))
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                v = unit(v.reshape(len(keys), -1))
+                for low in range(0, len(asked), 1024):
+                    names = asked[low : low + 1024]
+                    scores = np.round(questions[low : low + 1024] @ v.T, DIGITS)
+                    if exclude_self:
+                        scores[names[:, None] == keys[None, :]] = -np.inf
+                    least = np.full(len(names), -2.0) if len(keys) <= k else -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                    q, c = np.nonzero(scores >= np.maximum(least, -2.0)[:, None])
+                    at = np.lexsort((keys[c], -scores[q, c], q)) if keys.dtype != object else np.array(sorted(range(len(q)), key=lambda i: (q[i], -scores[q[i], c[i]], keys[c[i]])), dtype=int)
+                    q, c = q[at], c[at]
+                    on = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+                    q, c = q[on], c[on]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), arrow[0]), pa.array(keys[c].tolist(), arrow[1]), pa.array(scores[q, c])], ["question_id", "id", "score"])
+
+        return vectors.select("id", "embedding").where("size(embedding) > 0").mapInArrow(run, schema)
 
     out, block = None, []
-    for r in question_vectors.select("question_id", "embedding").toLocalIterator():
+    for r in question_vectors.select("question_id", "embedding").where("size(embedding) > 0").toLocalIterator():
         block.append(r)
         if len(block) == block_rows:
             out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
+    if block:
         out = search(block) if out is None else out.unionByName(search(block))
+    if out is None:
+        out = spark.createDataFrame([], schema)
     return top_k(out, ["question_id"], [F.desc("score"), F.asc("id")], k)
 
 
+def plain_ids(ids: list) -> np.ndarray:
+    if all(isinstance(i, int) for i in ids):
+        return np.array(ids, dtype=np.int64)
+    out = np.empty(len(ids), dtype=object)
+    out[:] = ids
+    return out
+
+
 def fuse(rankings: list[DataFrame], k: int = 10, depth: int = RRF_DEPTH, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of the first ``depth`` of each ranking; ties by id."""
     votes = None
@@ -165,9 +345,9 @@ def fuse(rankings: list[DataFrame], k: int = 10, depth: int = RRF_DEPTH, rrf_k:
     return top_k(fused, ["question_id"], [F.desc("score"), F.asc("id")], k)
 
 
-def hybrid(questions: DataFrame, chunks: DataFrame, first: Callable[[int], DataFrame], k: int = 10, depth: int = RRF_DEPTH) -> DataFrame:
-    """Fusion of another ranking (first(depth)) with BM25, fillers included."""
-    return fuse([first(depth), bm25(questions, chunks, depth)], k, depth)
+def hybrid(questions: DataFrame, chunks: DataFrame, first: Callable[[int], DataFrame], k: int = 10, depth: int = RRF_DEPTH, matches: Matches | None = None) -> DataFrame:
+    """Fusion of another ranking (first(depth)) with BM25, fillers included: they earn votes as any other place does."""
+    return fuse([first(depth), bm25(questions, chunks, depth, matches=matches)], k, depth)
 
 
 def rerank(ranked: DataFrame, scorer, depth: int = 30, k: int = 5) -> DataFrame:
