@@ -1,15 +1,27 @@
-"""Shared helpers: table access, scratch tables and null-safe column helpers."""
+"""Shared helpers: table access, and intermediate tables from the engine's storage."""
 
 from __future__ import annotations
 
-import itertools
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import (  # noqa: F401
+    broadcast,
+    buckets_for,
+    drop_path,
+    fewer,
+    input_bytes,
+    mark,
+    new_scratch_path,
+    new_table,
+    release,
+    scratch,
+    scratch_at,
+    shared_dir,
+)
+
 #: The six ASCII white-space characters that separate words and are stripped from line keys.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,112 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only on a single machine (tests) a temporary folder stands in where the session has none; a
-    cluster without that setting is an error, as executors would not see the driver's folders.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_serial = itertools.count()
-_live: dict[str, int] = {}  # paths that this driver wrote, with their order
-_broadcasts: list = []
-_tables: dict[str, str] = {}  # catalogue tables over such paths
-
-
-def new_scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/quarry/{label}-{uuid.uuid4().hex}"
-    _live[path] = next(_serial)
-    return path
-
-
-def new_table(path: str) -> str:
-    """A name for a catalogue table whose files stand at a scratch path."""
-    name = "quarry_run_" + path.rsplit("-", 1)[1]
-    _tables[path] = name
-    return name
-
-
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts lineage with files every executor can reread, so a lost executor costs a
-    reread and not a recomputation.
-    """
-    return scratch_at(df, new_scratch_path(df.sparkSession, label))
-
-
-def scratch_at(df: DataFrame, path: str) -> DataFrame:
-    """As scratch, at a path that the caller may drop."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Bytes of stored input that one bucket of an array exchange may stand for; its task holds a small multiple in memory.
-BUCKET_BYTES = 128 << 20
-
-
-UNKNOWN_BYTES = 1 << 60  # Spark's stand-in for leaves without statistics is above it
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes that the plan's leaves hold, from the files' sizes alone: nothing is read.  Leaves of unknown size don't count."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(n for n in sizes if n < UNKNOWN_BYTES)
-
-
-def buckets_for(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """spark.sql.shuffle.partitions, or more where these would be too few for the input's size."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bucket_bytes))
-
-
-def fewer(df: DataFrame, by: int = 8) -> DataFrame:
-    """df in a ``by``-th of the shuffle partitions: for tables that are small beside what made them."""
-    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete one scratch path, and the table over it, through Hadoop's file system layer."""
-    if path in _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")  # an external table: its files stay
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _live.pop(path, None)
-
-
-def broadcast(spark: SparkSession, value):
-    """A broadcast variable whose copies on executors go with release."""
-    out = spark.sparkContext.broadcast(value)
-    _broadcasts.append(out)
-    return out
-
-
-def mark() -> int:
-    """A point in time for release: what is written from now on."""
-    return next(_serial)
-
-
-def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
-    """Delete what this driver wrote since a mark, but for ``keep``; call once results are written."""
-    paths = [p for p, n in _live.items() if n >= since and p not in keep]
-    for path in paths:
-        drop_path(spark, path)
-    while _broadcasts:
-        _broadcasts.pop().unpersist()  # a plan that still needs one fetches it again
-    return len(paths)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z only; for short strings such as host names."""
     return F.translate(c, UPPER, LOWER)
