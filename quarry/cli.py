@@ -14,6 +14,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
+from .operators import answers as answering
 from .operators import chunks as chunking
 from .operators import metrics, plugins, review, threads, validate
 from .plans import ask as asking
@@ -46,8 +47,9 @@ def silent_grader():
 
 
 def corpus_of(spark, args):
-    chunks = readers.read_corpus(spark, args.corpus)
-    validate.require_none(validate.duplicate_ids(chunks), "duplicate chunk ids")
+    rows = readers.indexable(readers.read_located_jsonl(spark, args.corpus, readers.CHUNK))
+    validate.require_none(validate.duplicate_places(rows), "duplicate chunk ids")
+    chunks = rows.drop("file", "line")
     validate.require_none(validate.chunk_violations(chunks), "invalid chunks")
     return chunks
 
@@ -75,10 +77,36 @@ def ask(spark, args) -> int:
     if args.json:
         show(rows)
         return 0
+    given = spark.createDataFrame([(r.question_id, r.citations) for r in rows], "question_id long, citations array<string>")
+    sources: dict = {r.question_id: [] for r in rows}
+    for s in answering.resolve_citations(given, chunks).orderBy("question_id", "place").collect():
+        sources[s.question_id].append(s)
     for r in rows:
         print(r.text)
-        for c in r.retrieved if args.show_retrieved else r.citations:
-            print(f"  {'*' if c in r.citations else ' '} {c}")
+        if sources[r.question_id]:
+            print("Sources:")
+        elif not r.refused:
+            print("Sources: none cited")
+        for n, s in enumerate(sources[r.question_id], 1):
+            print(f"  [{n}] {s.title}\n      {s.url}  ({', '.join(filter(None, (s.source_type, (s.published or '')[:10])))})")
+        if args.show_retrieved:
+            print("Retrieved:")
+            for c in r.retrieved:
+                print(f"  {'*' if c in r.citations else ' '} {c}")
+        print(f"[{r.strategy}, {'refused' if r.refused else f'confidence {r.confidence:.2f}'}, {r.answer_ms} ms]")
+    return 0
+
+
+def serve(spark, args) -> int:
+    from .service import Service
+
+    server = Service(corpus_of(spark, args), load(args.drafter) or quoting_drafter, load(args.embedder), args.log).server(args.host, args.port)
+    print(f"http://{args.host}:{server.server_port}", flush=True)
+    try:
+        server.serve_forever()
+    except KeyboardInterrupt:
+        pass
+    server.server_close()
     return 0
 
 
@@ -114,15 +142,20 @@ def eval_answers(spark, args) -> int:
         cases = cases.orderBy("id").limit(args.limit)
     questions = cases.select(F.col("id").alias("question_id"), "question")
     drafter = load(args.drafter) or quoting_drafter
-    if args.strategy == "refuse":
-        from .operators.answers import refusals
-
-        given = refusals(questions)
+    if args.endpoint:
+        given = asking.ask_endpoint(questions, args.endpoint, args.strategy, args.max_chunks)
+    elif args.strategy == "refuse":
+        given = answering.refusals(questions)
+    elif args.strategy == "stuffed":
+        given = asking.ask_stuffed(questions, chunks, drafter)
     else:
         given = asking.ask(questions, chunks, drafter, args.strategy, args.max_chunks, searcher(args.strategy, load(args.embedder)))
+    given = given.cache()  # answers are asked for once, whatever the report reads them for
     report = asking.evaluate_answers(cases, given, chunks, load(args.grader) or silent_grader)
     rows = report["by_category"].orderBy("category").collect()
     show(rows)
+    if "run" in report:
+        show(report["run"].collect())
     if args.out:
         writers.write_report(report, args.out)
     return int(any(r.citation_failures for r in rows))
@@ -138,6 +171,23 @@ def review_candidates(spark, args) -> int:
         writers.write_chunks(accepted, args.out, append=True)
         writers.append_rejections(refused, args.out_rejected, at)
         yes, no = yes.unionByName(ids(args.approve)), no.unionByName(ids(args.reject))
+    if args.interactive:
+        chosen: dict[str, list[str]] = {"a": [], "r": []}
+        for r in review.pending(candidates, yes, no).select("id", "title", "text").orderBy("id").toLocalIterator():
+            print(f"{r.id}: {r.title}\n{r.text}\n")
+            key = ""
+            while key not in ("a", "r", "s", "q"):
+                key = input("[a]pprove, [r]eject, [s]kip, [q]uit: ").strip().lower()
+            if key == "q":
+                break
+            chosen.setdefault(key, []).append(r.id)
+        at = now()
+        accepted, refused = review.decide(candidates, ids(chosen["a"]), ids(chosen["r"]), F.lit(at))
+        if chosen["a"]:
+            writers.write_chunks(accepted, args.out, append=True)
+        if chosen["r"]:
+            writers.append_rejections(refused, args.out_rejected, at)
+        yes, no = yes.unionByName(ids(chosen["a"])), no.unionByName(ids(chosen["r"]))
     show(review.pending(candidates, yes, no).select("id", "title", "text").orderBy("id").collect())
     show(review.tally(candidates, yes, no).collect())
     return 0
@@ -164,9 +214,13 @@ def ingest(spark, args) -> int:
         strings = spark.read.text(args.strings, wholetext=True).select(F.explode(F.from_json("value", "faq map<string,string>")["faq"]).alias("name", "value"))
         out = chunking.faq_chunks(readers.faq_pairs(readers.question_keys(spark.read.text(args.source, wholetext=True)), strings), args.base_url)
     elif args.kind == "blog":
-        posts = readers.article_registry(spark.read.text(args.registry, wholetext=True))
+        registry = spark.read.text(args.registry, wholetext=True)
+        posts = readers.article_registry(registry)
+        for r in readers.missing_components(registry).collect():
+            print(f"{r.slug}: no import of {r.component}", file=sys.stderr)
         pages = whole(args.source).withColumn("file", F.regexp_extract("path", r"([^/]+)\.\w+$", 1)).join(posts.select("file", "slug"), "file")
         out = chunking.article_chunks(posts, chunking.article_sections(pages.select("slug", "source"), base_url=args.site), args.base_url)
+        out = chunking.by_date(out, posts)
     elif args.kind == "guidelines":
         out = chunking.guideline_chunks(chunking.card_sections(whole(args.source), base_url=args.site), args.base_url)
     elif args.kind == "terms":
@@ -179,6 +233,9 @@ def ingest(spark, args) -> int:
             kind = "is_qa boolean, question string, answer string, answer_event_index long, self_contained boolean, is_product_question boolean, confidence double, reason string"
             pairs = plugins.call(out, "rendered", kind, load(args.extractor)).where("result is not null").select("thread", "result.*")
             out = threads.to_candidates(threads.keep_extractions(pairs), members, F.current_timestamp(), args.base_url + "/%s")
+    if args.repo:
+        state = readers.repository_state(args.repo)
+        out = out.withColumn("provenance", F.struct(*(F.lit(v).cast("string").alias(k) for k, v in state.items())))
     n = out.count()
     if not n:
         print("nothing parsed: the source has probably changed", file=sys.stderr)
@@ -207,14 +264,15 @@ def parser() -> argparse.ArgumentParser:
     command("eval-retrieval", eval_retrieval, corpus, cases, strategy, ("--out", {}), *plugs)
     command(
         "eval-answers", eval_answers, corpus, cases, strategy, ("--poison", {}), ("--limit", {"type": int}), ("--category", {"action": "append"}), ("--max-chunks", {"type": int, "default": 5}),
-        ("--grader", {}), ("--out", {}), *plugs,
+        ("--grader", {}), ("--endpoint", {}), ("--out", {}), *plugs,
     )
     many = {"nargs": "*", "default": []}
-    command("review-candidates", review_candidates, ("--candidates", {"required": True}), ("--approved", {}), ("--rejected", {}), ("--approve", many), ("--reject", many), ("--out", {}), ("--out-rejected", {}))
+    command("review-candidates", review_candidates, ("--candidates", {"required": True}), ("--approved", {}), ("--rejected", {}), ("--approve", many), ("--reject", many), ("--interactive", {"action": "store_true"}), ("--out", {}), ("--out-rejected", {}))
+    command("serve", serve, corpus, ("--host", {"default": "127.0.0.1"}), ("--port", {"type": int, "default": 8000}), ("--log", {}), *plugs)
     command("add-answer", add_answer, ("-q --question", {"required": True}), ("-a --answer", {"required": True}), ("-u --url", {"required": True}), ("--id", {}), ("--author", {}), ("--existing", {}), ("--out", {"required": True}), ("--force", {"action": "store_true"}))
     command(
         "ingest", ingest, ("kind", {"choices": ["faq", "blog", "guidelines", "terms", "help"]}), ("--source", {"required": True}), ("--strings", {}), ("--registry", {}), ("--base-url", {"default": ""}),
-        ("--site", {"default": ""}), ("--extractor", {}), ("--out", {"required": True}),
+        ("--site", {"default": ""}), ("--extractor", {}), ("--repo", {}), ("--out", {"required": True}),
     )
     return p
 

@@ -85,6 +85,121 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
+#: Fixed names of the components that articles use, and the attribute that each is about.
+MARKDOWN, SCREENSHOT, LINKS = ("Markdown", "text"), ("BlogScreenshot", "caption"), {"ExternalLink": "href", "Link": "path"}
+_TAG = re.compile(r"<(/?)([A-Za-z][\w.:-]*)")
+_ATTRIBUTE = re.compile(r"\s*([^\s=/>{}\"']+)\s*(=?)\s*")
+_DIRECTIVE = re.compile(r"\{[#/:@][^}]*\}")
+_CALL = re.compile(r"""\w+\(\s*(["'])(.*?)\1\s*\)""", re.S)
+
+
+def _braced(source: str, at: int) -> int:
+    """The place behind the brace that closes the one at ``at``; braces in quotes don't count."""
+    depth, quote = 0, ""
+    for i in range(at, len(source)):
+        c = source[i]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'`":
+            quote = c
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            if not depth:
+                return i + 1
+    return len(source)
+
+
+def _attributes(source: str, at: int) -> tuple[list[tuple[str, str, bool]], bool, int]:
+    """(name, value, whether it is an expression) of a tag's attributes, whether it closes itself, and the place behind it."""
+    out: list[tuple[str, str, bool]] = []
+    while at < len(source):
+        if source[at] == ">":
+            return out, False, at + 1
+        if source.startswith("/>", at):
+            return out, True, at + 2
+        if source[at] == "{":  # a spread or a short form
+            at = _braced(source, at)
+            continue
+        m = _ATTRIBUTE.match(source, at)
+        if not m:
+            at += 1
+            continue
+        at = m.end()
+        if not m[2]:
+            out.append((m[1], "", False))
+        elif source.startswith("{", at):
+            stop = _braced(source, at)
+            out.append((m[1], source[at + 1 : stop - 1].strip(), True))
+            at = stop
+        elif source[at : at + 1] in ("'", '"'):
+            stop = source.find(source[at], at + 1)
+            stop = len(source) if stop < 0 else stop
+            out.append((m[1], source[at + 1 : stop], False))
+            at = stop + 1
+        else:
+            stop = at
+            while stop < len(source) and not source[stop].isspace() and source[stop] != ">":
+                stop += 1
+            out.append((m[1], source[at:stop], False))
+            at = stop
+    return out, False, at
+
+
+def _plain(name: str, value: str, expression: bool, base_url: str) -> str | None:
+    """An attribute as HTML has it; None for directives and handlers."""
+    if name.startswith("class:") or (expression and name.startswith("on")):
+        return None
+    if expression:
+        call = _CALL.fullmatch(value)
+        if name == "href" and call:
+            value = base_url + call[2]
+        elif value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1:
+            value = value[1:-1]
+    value = value.replace('"', "&quot;")
+    return f' {name}="{value}"'
+
+
+def plain_components(source: str, base_url: str = "") -> str:
+    """Component markup as HTML that any parser reads.
+
+    The source is read tag by tag, braces and quotes in attributes included.  Scripts and styles go; a Markdown component
+    is its text in a pre block, a screenshot its caption, a link component an anchor; class directives, event handlers and template
+    blocks go; an expression is its own text, an address that a helper makes is its argument under base_url.
+    """
+    out: list[str] = []
+    at = 0
+    while at < len(source):
+        m = _TAG.search(source, at)
+        comment = source.find("<!--", at)
+        if comment >= 0 and (not m or comment < m.start()):
+            stop = source.find("-->", comment)
+            stop = len(source) if stop < 0 else stop + 3
+            out += [_DIRECTIVE.sub("", source[at:comment]), source[comment:stop]]
+            at = stop
+            continue
+        if not m:
+            out.append(_DIRECTIVE.sub("", source[at:]))
+            break
+        out.append(_DIRECTIVE.sub("", source[at : m.start()]))
+        closing, name = m[1], m[2]
+        attributes, ended, at = _attributes(source, m.end())
+        values = {n: v for n, v, _ in attributes}
+        if name.lower() in ("script", "style") and not closing:
+            stop = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+            at = at if ended else stop.end() if stop else len(source)
+        elif name == MARKDOWN[0]:
+            out.append("" if closing else f"<pre>{values.get(MARKDOWN[1], '')}</pre>")
+        elif name == SCREENSHOT[0]:
+            out.append(f'<p class="figure">Screenshot: {values[SCREENSHOT[1]]}</p>' if SCREENSHOT[1] in values and not closing else "")
+        else:
+            if name in LINKS:
+                attributes = [("href" if n == LINKS[name] else n, v, e) for n, v, e in attributes]
+                name = "a"
+            shown = "".join(filter(None, (_plain(n, v, e, base_url) for n, v, e in attributes)))
+            out.append(f"<{closing}{name}{shown}{' /' if ended else ''}>")
+    return "".join(out)
+
+
 def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)

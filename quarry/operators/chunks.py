@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions.chunking import merge_short, split_clauses, split_paragraphs, split_prose
-from ..functions.text import breadcrumb, component_markup, content_key, inline_links, inline_markdown, slug
+from ..functions.text import breadcrumb, content_key, inline_links, inline_markdown, slug
 
 
 def _map_rows(df: DataFrame, key: str, source: str, schema: str, rows) -> DataFrame:
@@ -26,24 +26,21 @@ def _map_rows(df: DataFrame, key: str, source: str, schema: str, rows) -> DataFr
 
 
 def article_sections(df: DataFrame, key: str = "slug", source: str = "source", base_url: str = "") -> DataFrame:
-    prepared = df.withColumn(source, component_markup(F.col(source), base_url=base_url))
-    return _map_rows(prepared, key, source, "heading string, subheading string, text string", lambda s: markup.article_sections(s, base_url))
+    return _map_rows(df, key, source, "heading string, subheading string, text string", lambda s: markup.article_sections(markup.plain_components(s, base_url), base_url))
 
 
 def rendered(df: DataFrame, key: str, source: str = "html", base_url: str = "") -> DataFrame:
     """(key, position 0, text): whole documents as markdown-like text."""
-    prepared = df.withColumn(source, component_markup(F.col(source), base_url=base_url))
-    return _map_rows(prepared, key, source, "text string", lambda s: [(markup.to_markdown(s, base_url),)])
+    return _map_rows(df, key, source, "text string", lambda s: [(markup.to_markdown(markup.plain_components(s, base_url), base_url),)])
 
 
 def card_sections(df: DataFrame, key: str = "path", source: str = "source", base_url: str = "") -> DataFrame:
-    prepared = df.withColumn(source, component_markup(F.col(source), base_url=base_url))
-    return _map_rows(prepared, key, source, "number string, title string, text string", lambda s: markup.card_sections(s, base_url))
+    return _map_rows(df, key, source, "number string, title string, text string", lambda s: markup.card_sections(markup.plain_components(s, base_url), base_url))
 
 
 def clause_sections(df: DataFrame, key: str = "path", source: str = "source", base_url: str = "", least: int = 40) -> DataFrame:
-    prepared = df.withColumn(source, component_markup(F.col(source), base_url=base_url))
-    return _map_rows(prepared, key, source, "section_id string, section_title string, clause_group string, text string", lambda s: markup.clause_sections(s, base_url=base_url, least=least))
+    kind = "section_id string, section_title string, clause_group string, text string"
+    return _map_rows(df, key, source, kind, lambda s: markup.clause_sections(markup.plain_components(s, base_url), base_url=base_url, least=least))
 
 
 def _finish(df: DataFrame) -> DataFrame:
@@ -87,6 +84,14 @@ def article_chunks(posts: DataFrame, sections: DataFrame, base_url: str, limit:
     return _finish(out)
 
 
+def by_date(chunks: DataFrame, posts: DataFrame) -> DataFrame:
+    """Article chunks in the order of their posts: the latest first, posts of one day as the registry has them."""
+    place = posts.select(F.col("slug").alias("__slug"), F.col("date").alias("__date"), F.col("position").alias("__position"))
+    joined = chunks.join(place, F.col("meta.slug") == F.col("__slug"))
+    order = [F.desc("__date"), "__position", F.col("meta.section_index"), F.col("meta.part")]
+    return joined.orderBy(*order).select(*chunks.columns)
+
+
 def guideline_chunks(cards: DataFrame, base_url: str, root: str = "Guidelines", limit: int = 1500) -> DataFrame:
     """cards: number, title, text.  Ids have a part suffix, from 0, where a card has several parts."""
     parts = cards.withColumn("parts", split_paragraphs(F.col("text"), limit))

@@ -24,3 +24,11 @@ def top_k(df: DataFrame, group: list[str], order: list, k: int, rank: str = "ran
     w = Window.partitionBy(*group).orderBy(*order)
     first = df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
     return first.withColumn(rank, F.col(rank).cast("bigint"))
+
+
+def by_and_total(df: DataFrame, by: str, measures: list) -> DataFrame:
+    """Measures of each value of ``by`` and of all rows (``by`` is null), in one aggregation; all of no rows are zeros."""
+    sets = df.groupingSets([[by], []], by).agg(*measures)
+    total = df.sparkSession.range(1).select(F.lit(None).cast(df.schema[by].dataType).alias("__total"))
+    both = sets.join(total, sets[by].eqNullSafe(total["__total"]), "full_outer")
+    return both.select(by, *[F.coalesce(c, F.lit(0).cast(sets.schema[c].dataType)).alias(c) for c in sets.columns if c != by])

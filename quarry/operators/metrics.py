@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank import recall_at_k, reciprocal_rank
+from .common import by_and_total
 
 KS = (1, 3, 5, 10)
 
@@ -25,11 +26,10 @@ def score_cases(cases: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
 
 
 def summarise(scored: DataFrame, by: str, ks: tuple[int, ...] = KS) -> DataFrame:
-    """Means overall and by ``by`` (null: overall), rounded to four decimals."""
+    """Means overall and by ``by`` (null: overall), rounded to four decimals, in one aggregation."""
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
     measures = [F.count("*").alias("cases"), *(mean(f"recall_{k}").alias(f"recall_{k}") for k in ks), mean("rr").alias("mrr")]
-    total = scored.agg(*measures).withColumn(by, F.lit(None).cast("string"))
-    return scored.groupBy(by).agg(*measures).unionByName(total)
+    return by_and_total(scored, by, measures)
 
 
 def micro_by_source(cases: DataFrame, chunks: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:

@@ -7,6 +7,8 @@ task.  Rows that a plugin fails on twice come back null.
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,26 +18,38 @@ from pyspark.sql import functions as F
 from ..functions.text import content_key
 
 
-def call(df: DataFrame, column: str, schema: str, make: Callable, attempts: int = 2) -> DataFrame:
-    """``df`` with ``result``: make() gives a function of one value; null after ``attempts`` failures."""
+def call(df: DataFrame, column: str, schema: str, make: Callable, attempts: int = 2, timed: str | None = None, strict: bool = False) -> DataFrame:
+    """``df`` with ``result``: make() gives a function of one value; null after ``attempts`` failures.
+
+    A tuple may lack the schema's last fields.  timed: a column for the milliseconds that a row took.  strict: a failure ends the run.
+    """
     from pyspark.sql import types as T
 
     result = T._parse_datatype_string(schema)
-    out = T.StructType([*df.schema.fields, T.StructField("result", result)])
+    width = len(result.fields) if isinstance(result, T.StructType) else 0
+    out = T.StructType([*df.schema.fields, T.StructField("result", result), *([T.StructField(timed, T.LongType())] if timed else [])])
 
     def run(batches):
         f = make()
 
         def one(x):
-            for _ in range(attempts):
+            for attempt in range(attempts):
                 try:
-                    return f(x)
+                    found = f(x)
+                    return (*found, *[None] * (width - len(found))) if width and isinstance(found, tuple) else found
                 except Exception:  # a failed call or an answer that doesn't parse
-                    continue
+                    if strict and attempt == attempts - 1:
+                        raise
             return None
 
         for pdf in batches:
-            yield pdf.assign(result=pd.Series([one(x) for x in pdf[column]], index=pdf.index, dtype=object))
+            results, took = [], []
+            for x in pdf[column]:
+                began = time.perf_counter()
+                results.append(one(x))
+                took.append(int(1000 * (time.perf_counter() - began)))
+            columns = {"result": pd.Series(results, index=pdf.index, dtype=object)} | ({timed: took} if timed else {})
+            yield pdf.assign(**columns)
 
     return df.mapInPandas(run, out)
 
@@ -69,3 +83,21 @@ def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str, make: Calla
     new = missed.select(F.lit(model).alias("model"), "key", F.col("result").alias("embedding"))
     known = cache.where(F.col("model") == model).unionByName(new)
     return items.join(known, "key").select("key", "text", "embedding"), new
+
+
+def http_answerer(base_url: str, strategy: str, max_chunks: int = 5, timeout: float = 180.0) -> Callable:
+    """Plugin from a question to (text, citations, refused, confidence) of a running service; an HTTP error is raised."""
+
+    def make():
+        from urllib.request import Request, urlopen
+
+        def answer(question: str) -> tuple:
+            body = json.dumps({"question": question, "strategy": strategy, "max_chunks": max_chunks}).encode()
+            request = Request(base_url.rstrip("/") + "/ask", body, {"Content-Type": "application/json"})
+            with urlopen(request, timeout=timeout) as response:
+                data = json.load(response)
+            return data["answer"], [c["chunk_id"] for c in data["citations"]], data["refused"], float(data["confidence"])
+
+        return answer
+
+    return make

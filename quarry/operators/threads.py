@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import from_millis, is_stale, iso_utc
 from ..functions.text import content_key, is_question
+from .common import is_small
 
 GAP_MINUTES, MAX_MESSAGES, MIN_ANSWER_CHARS = 45, 40, 60
+ONE_CHANNEL = 5_000_000  # messages of one channel, ordered in one task
 MAX_HOPS, MIN_CONFIDENCE, STALE_DAYS = 10, 0.7, 270
 
 
@@ -52,9 +54,11 @@ def build_threads(events: DataFrame, channel: str | None = None) -> DataFrame:
     """(thread, index, ...) of cleaned events: edge threads first, loose messages by time gap.
 
     channel: column whose values are separate streams (indexes must then be unique over all of
-    them); without it the loose messages of the one channel are ordered in one task.
+    them); without it the loose messages of the one channel are ordered in one task, up to ONE_CHANNEL of them.
     """
     by = [channel] if channel else []
+    if not channel and not is_small(events, ONE_CHANNEL):
+        raise ValueError(f"over {ONE_CHANNEL} messages: name the column of their channel")
     roots = thread_roots(events)
     placed = roots.where("root is not null").select(F.col("root").alias("thread"), "index")
     heads = placed.select("thread").distinct().join(events.select(F.col("index").alias("thread")), "thread", "left_semi").select("thread", F.col("thread").alias("index"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schemas import CATEGORIES, CATEGORY_MINIMUMS, LEAST_CASES, SOURCE_TYPES
@@ -49,6 +49,12 @@ def duplicate_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.groupBy(id_col).count().where("count > 1")
 
 
+def duplicate_places(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, file, line) of every row (with file and line) whose id an earlier one has."""
+    w = Window.partitionBy(id_col).orderBy("file", "line")
+    return rows.select(id_col, "file", "line", F.row_number().over(w).alias("__n")).where("__n > 1").drop("__n")
+
+
 def unresolved_expected(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     """(case_id, chunk_id) of every alternate that no chunk has."""
     wanted = cases.select(F.col("id").alias("case_id"), F.explode(F.flatten("expected_chunk_ids")).alias("chunk_id"))

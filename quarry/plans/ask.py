@@ -10,49 +10,71 @@ from pyspark.sql import functions as F
 from ..operators import answers, plugins
 from ..operators.retrieve import retriever
 
-DRAFT = "response_type string, answer string, citations array<string>, confidence double"
+DRAFT = "response_type string, answer string, citations array<string>, confidence double, tokens_in bigint, tokens_out bigint"
+ANSWER = "text string, citations array<string>, refused boolean, confidence double"
+
+
+def _answered(prompts: DataFrame, drafter: Callable, strategy: str) -> DataFrame:
+    """Drafts of prompts (question_id, retrieved, context, question) as answers."""
+    prompts = prompts.withColumn("prompt", answers.answer_prompt(F.col("context"), F.col("question")))
+    drafts = plugins.call(prompts, "prompt", DRAFT, drafter, timed="answer_ms").select("question_id", "retrieved", "answer_ms", "result.*")
+    return answers.normalise_drafts(drafts).select(
+        "question_id", "text", F.col("kept_citations").alias("citations"), "refused", F.col("clamped_confidence").alias("confidence"), F.lit(strategy).alias("strategy"),
+        "retrieved", "dropped_citations", "answer_ms", F.col("response_type").isNull().alias("parse_failed"), "tokens_in", "tokens_out",
+    )
 
 
 def ask(questions: DataFrame, chunks: DataFrame, drafter: Callable, strategy: str = "bm25", max_chunks: int = answers.MAX_CHUNKS, search: Callable | None = None) -> DataFrame:
-    """Answers (question_id, text, citations, refused, confidence, strategy, retrieved, dropped_citations).
+    """Answers (question_id, text, citations, refused, confidence, strategy, retrieved, dropped_citations, answer_ms, parse_failed, tokens_in, tokens_out).
 
-    drafter: plugin from a prompt to DRAFT.  search: (questions, chunks, k) to a ranking, for
-    strategies that need more than these, such as dense.
+    drafter: plugin from a prompt to DRAFT, whose token counts may be missing.  search: (questions, chunks, k) to a ranking, for
+    strategies that need more than these, such as dense.  A question without any chunk is asked with an empty context.
     """
     ranking = (search or retriever(strategy))(questions, chunks, max_chunks)
-    prompts = answers.render_prompts(ranking, chunks, max_chunks).join(questions, "question_id")
-    prompts = prompts.withColumn("prompt", F.concat(F.col("context"), F.lit("\n\n"), F.col("question")))
-    drafts = plugins.call(prompts, "prompt", DRAFT, drafter).select("question_id", "retrieved", "result.*")
-    done = answers.normalise_drafts(drafts)
-    return done.select(
-        "question_id", "text", F.col("kept_citations").alias("citations"), "refused", F.col("clamped_confidence").alias("confidence"),
-        F.lit(strategy).alias("strategy"), "retrieved", "dropped_citations",
-    )
+    prompts = questions.join(answers.render_prompts(ranking, chunks, max_chunks), "question_id", "left")
+    none = F.array().cast("array<string>")
+    return _answered(prompts.withColumns({"context": F.coalesce("context", F.lit("")), "retrieved": F.coalesce("retrieved", none)}), drafter, strategy)
 
 
 def ask_stuffed(questions: DataFrame, chunks: DataFrame, drafter: Callable) -> DataFrame:
     """As ask, with the whole corpus in the prompt; nothing counts as retrieved, so no citation is dropped."""
     prompts = questions.join(F.broadcast(answers.stuffed_prompt(chunks)))
-    prompts = prompts.withColumn("prompt", F.concat(F.col("context"), F.lit("\n\n"), F.col("question")))
-    drafts = plugins.call(prompts, "prompt", DRAFT, drafter).select("question_id", F.array().cast("array<string>").alias("retrieved"), "result.*")
-    done = answers.normalise_drafts(drafts)
-    return done.select("question_id", "text", F.col("kept_citations").alias("citations"), "refused", F.col("clamped_confidence").alias("confidence"), F.lit("stuffed").alias("strategy"), "retrieved", "dropped_citations")
+    return _answered(prompts.withColumn("retrieved", F.array().cast("array<string>")), drafter, "stuffed")
+
+
+def ask_endpoint(questions: DataFrame, base_url: str, strategy: str, max_chunks: int = answers.MAX_CHUNKS) -> DataFrame:
+    """As ask, by a running service; what it retrieved is not told, and an HTTP error ends the run."""
+    make = plugins.http_answerer(base_url, strategy, max_chunks)
+    done = plugins.call(questions, "question", ANSWER, make, attempts=1, timed="answer_ms", strict=True)
+    zero = F.lit(None).cast("bigint")
+    return done.select(
+        "question_id", "result.*", F.lit(f"http-{strategy}").alias("strategy"), F.array().cast("array<string>").alias("retrieved"), F.lit(0).alias("dropped_citations"),
+        "answer_ms", F.lit(False).alias("parse_failed"), zero.alias("tokens_in"), zero.alias("tokens_out"),
+    )
 
 
 GRADE = "grounded boolean, correct boolean, cited boolean, appropriate_refusal boolean, rationale string"
 
 
 def evaluate_answers(cases: DataFrame, given: DataFrame, chunks: DataFrame, grader: Callable) -> dict[str, DataFrame]:
-    """per_case and by_category of answers (question_id = case id); grader: plugin from an answer's text to GRADE."""
+    """per_case, by_category and run of answers (question_id = case id); grader: plugin from answers.grader_prompt to GRADE.
+
+    run: latency, parse failures and tokens, if ``given`` has them.
+    """
     joined = cases.join(given.withColumnRenamed("question_id", "id"), "id")
     known = chunks.select(F.col("id").alias("cid"))
     cited = joined.select("id", F.explode("citations").alias("cid"))
     missing = cited.join(known, "cid", "left_anti").groupBy("id").agg(F.collect_list("cid").alias("lost"))
-    joined = joined.join(missing, "id", "left")
+    blocks = answers.cited_chunks(joined.select(F.col("id").alias("case"), "citations"), chunks, "case")
+    joined = joined.join(missing, "id", "left").join(blocks.select(F.col("case").alias("id"), F.col("cited").alias("blocks")), "id", "left")
     found = F.array_except("citations", F.coalesce("lost", F.array().cast("array<string>")))
-    checked = answers.deterministic_checks(joined, found)
-    graded = plugins.call(checked, "text", GRADE, grader).select("*", F.col("result").isNull().alias("grading_failed"), "result.*").drop("result", "lost")
-    return {"per_case": graded, "by_category": answers.summarise_grades(graded, "category")}
+    column = lambda c: F.col(c) if c in joined.columns else F.lit(None).cast("string")
+    blocks = F.coalesce("blocks", F.array().cast(joined.schema["blocks"].dataType))
+    prompt = answers.grader_prompt(column("category"), column("notes"), column("question"), F.col("refused"), F.col("text"), blocks)
+    checked = answers.deterministic_checks(joined, found).withColumn("grading", prompt).drop("blocks")
+    graded = plugins.call(checked, "grading", GRADE, grader).select("*", F.col("result").isNull().alias("grading_failed"), "result.*").drop("result", "lost", "grading")
+    out = {"per_case": graded, "by_category": answers.summarise_grades(graded, "category")}
+    return out | ({"run": answers.run_report(given)} if "answer_ms" in given.columns else {})
 
 
 def health(chunks: DataFrame, strategies: list[str], index_build_ms: int) -> DataFrame:

@@ -17,17 +17,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return reader.option("mode", "FAILFAST").json(path) if strict else reader.option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
-def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with corpus_ord: (file name, line) in order, as one sortable number per row.
+def read_located_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with their file and line (from 1); blank lines are skipped.
 
     A file is one row here, so this suits hand-kept corpora and not large exports.
     """
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "json"))
-    lines = lines.where(F.trim("json") != "")
-    files = lines.select("file").distinct()
-    rank = files.select("file", F.row_number().over(_by("file")).alias("n"))
-    parsed = lines.join(rank, "file").select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("c"), (F.col("n") * 2**32 + F.col("line")).alias("corpus_ord"))
-    return parsed.select("c.*", "corpus_ord")
+    parsed = lines.where(F.trim("json") != "").select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("c"), "file", (F.col("line") + 1).alias("line"))
+    return parsed.select("c.*", "file", "line")
+
+
+def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with corpus_ord: (file name, line) in order, as one sortable number per row; hand-kept corpora, as read_located_jsonl."""
+    lines = read_located_jsonl(spark, path, schema)
+    rank = lines.select("file").distinct().select("file", F.row_number().over(_by("file")).alias("n"))  # a row for each file
+    return lines.join(rank, "file").withColumn("corpus_ord", F.col("n") * 2**32 + F.col("line") - 1).drop("file", "line")
 
 
 def _by(column: str):
@@ -119,3 +123,23 @@ def article_registry(source: DataFrame) -> DataFrame:
     entries = source.select(F.posexplode(zipped).alias("position", "e")).select("position", "e.*")
     date = rolled_date(F.col("y").cast("int"), F.col("m").cast("int"), F.col("d").cast("int"))
     return entries.join(known, "component").select("position", "slug", F.replace("title", F.lit('\\"'), F.lit('"')).alias("title"), "author", date.alias("date"), "file")
+
+
+def missing_components(source: DataFrame) -> DataFrame:
+    """(slug, component) of registry entries whose component no import names: they are left out of article_registry."""
+    all_of = lambda p, i: F.regexp_extract_all("value", F.lit(p), F.lit(i))
+    known = source.select(F.explode(all_of(IMPORT, 1)).alias("component"))
+    return source.select(F.inline(F.arrays_zip(all_of(ENTRY, 1).alias("slug"), all_of(ENTRY, 7).alias("component")))).join(known, "component", "left_anti").select("slug", "component")
+
+
+def repository_state(path: str) -> dict[str, str | None]:
+    """Commit and its time of a checkout, for provenance; nothing where there is none."""
+    import subprocess
+
+    def git(*args: str) -> str | None:
+        try:
+            return subprocess.run(["git", "-C", path, *args], capture_output=True, text=True, check=True, timeout=30).stdout.strip() or None
+        except (OSError, subprocess.SubprocessError):
+            return None
+
+    return {"commit": git("rev-parse", "HEAD"), "committed_at": git("log", "-1", "--format=%cI")}

@@ -30,3 +30,11 @@ def write_report(sections: dict[str, DataFrame], path: str) -> None:
     """Every section of a report as a folder of JSON lines under ``path``."""
     for name, df in sections.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def append_log(records: DataFrame, path: str) -> None:
+    """Request-log records as JSON lines, as read_request_log and read_log_stream take them."""
+    from .schemas import LOG
+
+    names = [f.split()[0] for f in LOG.split(", ")]
+    records.select(*names).write.mode("append").json(path)

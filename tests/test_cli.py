@@ -33,7 +33,8 @@ def test_ask(spark, corpus, capsys, strategy):
 
 def test_ask_prints_and_validates(spark, corpus, capsys):
     main(["ask", "vote", "--corpus", corpus, "--show-retrieved", "--max-chunks", "2"], spark)
-    assert capsys.readouterr().out.strip().split("\n") == ["how to vote", "  * faq:c", "    faq:a"]
+    out = capsys.readouterr().out.strip().split("\n")
+    assert out[:-1] == ["how to vote", "Sources:", "  [1] t", "      https://x  (faq)", "Retrieved:", "  * faq:c", "    faq:a"] and out[-1].startswith("[bm25, confidence 0.50, ")
     with pytest.raises(ValidationError):
         main(["ask", "x" * 2001, "--corpus", corpus], spark)
 
@@ -48,7 +49,10 @@ def test_evaluations(spark, corpus, tmp_path, capsys):
     out = lines(capsys)
     assert out[0]["category"] is None and out[0]["cases"] == 1 and out[0]["mrr"] == 1.0
     assert main(["eval-answers", "--corpus", corpus, "--cases", cases], spark) == 0
-    total = lines(capsys)[0]
+    total, *_, run = lines(capsys)
+    assert (run["cases"], run["parse_failures"], run["dropped_citations"]) == (2, 0, 0) and run["max_ms"] >= run["mean_ms"] >= 0
+    assert main(["eval-answers", "--corpus", corpus, "--cases", cases, "--strategy", "stuffed"], spark) == 0
+    assert lines(capsys)[0]["cases"] == 2
     assert (total["cases"], total["must_mention_failures"], total["must_not_mention_failures"], total["grading_failures"]) == (2, 0, 1, 2)
     assert main(["eval-answers", "--corpus", corpus, "--cases", cases, "--strategy", "refuse", "--category", "answerable", "--limit", "1"], spark) == 0
 
@@ -85,3 +89,100 @@ def test_ingest(spark, tmp_path, capsys):
     (tmp_path / "ev.json").write_text(json.dumps(events))
     assert main(["ingest", "help", "--source", str(tmp_path / "ev.json"), "--out", str(tmp_path / "o4")], spark) == 0
     assert "user1: How do I?" in spark.read.json(str(tmp_path / "o4")).first().rendered
+
+
+def test_duplicates_are_named_with_their_place(spark, tmp_path):
+    row = {"id": "faq:a", "source_type": "faq", "title": "t", "text": "x", "url": "u", "meta": {}, "provenance": {}, "content_hash": "h"}
+    (tmp_path / "a.jsonl").write_text(json.dumps(row) + "\n\n" + json.dumps(row | {"id": "faq:b"}))
+    (tmp_path / "b.jsonl").write_text("\n" + json.dumps(row))
+    with pytest.raises(ValidationError, match=r"faq:a.*b\.jsonl.*'line': 2"):
+        main(["ask", "x", "--corpus", str(tmp_path)], spark)
+
+
+def test_interactive_review(spark, tmp_path, capsys, monkeypatch):
+    base = {"source_type": "help_channel", "title": "t", "text": "x", "url": "u", "meta": {}, "provenance": {}, "content_hash": "h", "status": "pending"}
+    cand = write(tmp_path / "c.jsonl", [{"id": f"help:{i}", **base} for i in range(4)])
+    keys = iter(["?", "a", "r", "s", "q"])
+    monkeypatch.setattr("builtins.input", lambda prompt: next(keys))
+    out, rej = str(tmp_path / "out"), str(tmp_path / "rej")
+    assert main(["review-candidates", "--candidates", cand, "--interactive", "--out", out, "--out-rejected", rej], spark) == 0
+    assert lines(capsys)[-1] == {"approved": 1, "rejected": 1, "undecided": 2}
+    assert [r.id for r in spark.read.json(out).collect()] == ["help:0"]
+
+
+@pytest.fixture(scope="module")
+def service(spark, corpus, tmp_path_factory):
+    from threading import Thread
+
+    from quarry.cli import quoting_drafter
+    from quarry.service import Service
+    from quarry.sources.readers import read_corpus
+
+    log = str(tmp_path_factory.mktemp("log"))
+    server = Service(read_corpus(spark, corpus), quoting_drafter, log=log).server(port=0)
+    Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", log
+    server.shutdown()
+
+
+def post(url, body):
+    import urllib.error
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode())) as r:
+            return r.status, json.load(r)
+    except urllib.error.HTTPError as e:
+        return e.code, json.load(e)
+
+
+def test_service(spark, service):
+    import urllib.request
+
+    url, log = service
+    health = json.load(urllib.request.urlopen(url + "/health"))
+    assert health["status"] == "ok" and health["corpus_chunks"] == 3 and "bm25" in health["strategies"]
+    status, body = post(url + "/ask", {"question": "reset wallet", "max_chunks": 2})
+    assert status == 200 and body["answer"] == "reset the wallet here" and not body["refused"]
+    assert body["citations"] == [{"chunk_id": "faq:a", "url": "https://x", "title": "t", "source_type": "faq", "published": None}]
+    assert post(url + "/ask", {"question": ""})[0] == 422 and post(url + "/ask", {"question": "x", "strategy": "magic"})[0] == 422
+    assert post(url + "/ask", {"question": "x", "max_chunks": 21})[0] == 422 and post(url + "/nothing", {})[0] == 404
+    from quarry.sources.readers import read_request_log
+
+    rows = read_request_log(spark, log).collect()
+    assert [(r.question, r.cited, r.unresolved_citations) for r in rows] == [("reset wallet", ["faq:a"], [])]
+
+
+@pytest.fixture(scope="module")
+def endpoint():
+    """Another application's service: one that shares this test's cores could not answer its own tasks."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    class Stub(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = {"answer": "reset the wallet here", "citations": [{"chunk_id": "faq:a"}], "refused": False, "confidence": 0.5}
+            data = json.dumps(body).encode()
+            self.send_response(200 if asked["strategy"] == "bm25" and asked["max_chunks"] == 5 else 422)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_answers_of_an_endpoint(spark, endpoint, corpus, tmp_path, capsys):
+    rows = [{"id": "g001", "category": "answerable", "question": "wallet", "expected_chunk_ids": ["faq:a"], "must_mention": ["wallet"], "must_not_mention": [], "notes": ""}]
+    cases = write(tmp_path / "g.jsonl", rows)
+    assert main(["eval-answers", "--corpus", corpus, "--cases", cases, "--endpoint", endpoint], spark) == 0
+    total, *_, run = lines(capsys)
+    assert total["cases"] == 1 and total["must_mention_failures"] == 0 and run["tokens_in"] == 0
+    with pytest.raises(Exception, match="422"):
+        main(["eval-answers", "--corpus", corpus, "--cases", cases, "--endpoint", endpoint, "--strategy", "magic"], spark)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import answers, metrics, plugins
@@ -82,6 +83,28 @@ def test_ask_end_to_end(spark):
     assert stuffed[1].citations == ["c1", "invented"] and stuffed[1].retrieved == []
 
 
+def test_prompts_hold_the_rules_and_runs_are_measured(spark):
+    chunks = spark.createDataFrame(CHUNKS, "id string, source_type string, title string, text string")
+    questions = spark.createDataFrame([(1, "wallet reset"), (2, "vote")], "question_id long, question string")
+
+    def drafter():
+        def draft(prompt):
+            assert prompt.startswith(answers.RULES) and "Reference chunks:" in prompt and prompt.endswith("</question>")
+            if "vote\n</question>" in prompt:
+                return ("answer", "so", ["c3", "ghost"], 1.0, 100, 7)
+            raise ValueError
+
+        return draft
+
+    done = ask.ask(questions, chunks, drafter, "bm25", 2).cache()
+    run = ask.answers.run_report(done).first()
+    assert (run.cases, run.parse_failures, run.tokens_in, run.tokens_out, run.dropped_citations) == (2, 1, 100, 7, 1) and run.max_ms >= run.mean_ms
+    empty = {r.question_id: r for r in ask.ask(questions, chunks.limit(0), drafter, "bm25", 2).collect()}
+    assert set(empty) == {1, 2} and empty[1].refused and empty[1].retrieved == [] and empty[2].citations == ["c3", "ghost"]
+    with pytest.raises(ValueError, match="one prompt"):
+        answers.stuffed_prompt(chunks, limit=5)
+
+
 def test_prompt_keeps_rank_order(spark):
     chunks = spark.createDataFrame(CHUNKS, "id string, source_type string, title string, text string")
     ranking = spark.createDataFrame([(1, "c3", 1), (1, "c1", 2), (1, "c2", 3)], "question_id long, id string, rank int")
@@ -91,14 +114,17 @@ def test_prompt_keeps_rank_order(spark):
 
 
 def test_evaluate_answers(spark):
-    cases = spark.createDataFrame([("g001", "answerable", ["vote"], []), ("g002", "refusal", [], [])], "id string, category string, must_mention array<string>, must_not_mention array<string>")
+    cases = spark.createDataFrame([("g001", "answerable", "how?", ["vote"], []), ("g002", "refusal", "why?", [], [])], "id string, category string, question string, must_mention array<string>, must_not_mention array<string>")
     given = spark.createDataFrame([("g001", "you vote", ["c1", "ghost"], False), ("g002", "no", [], True)], "question_id string, text string, citations array<string>, refused boolean")
     chunks = spark.createDataFrame(CHUNKS, "id string, source_type string, title string, text string")
 
     def grader():
-        def grade(text):
-            if text == "no":
+        def grade(prompt):
+            assert prompt.startswith(answers.GRADING)
+            if "<answer>\nno\n</answer>" in prompt:
                 raise RuntimeError
+            assert prompt.endswith("Refused: false\n<answer>\nyou vote\n</answer>\n\nCited chunks:\n<chunk id=\"c1\">\nreset the wallet\n</chunk>")
+            assert "Category: answerable\nNotes: (none)\n\n<question>\nhow?\n</question>" in prompt
             return (True, True, None, True, "")
 
         return grade

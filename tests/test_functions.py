@@ -3,7 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions import chunking, dates, rank, text
+from quarry.functions import chunking, dates, markup, rank, text
 
 
 @pytest.fixture
@@ -56,14 +56,23 @@ def test_tidy_and_markdown(one):
     assert [(x.label, x.url) for x in links] == [("one", "https://e.x/1"), ("two", "https://e.x/2")]
 
 
-def test_component_markup(one):
+def test_component_markup():
     src = """<script>var x</script><Markdown text="a &lt; b" /><BlogScreenshot src={x} caption="Cap" /><ExternalLink href="u">t</ExternalLink><Link path="/p">q</Link>
 {#if x}<p class:on={y} onclick={z} id={w}>k</p>{/if}<a href={getUrl("/terms")}>T</a>"""
-    out = one(text.component_markup(lit(src), base_url="https://b"))
+    out = markup.plain_components(src, "https://b")
     assert out.splitlines()[0] == '<pre>a &lt; b</pre><p class="figure">Screenshot: Cap</p><a href="u">t</a><a href="/p">q</a>'
     assert out.splitlines()[1] == '<p id="w">k</p><a href="https://b/terms">T</a>'
 
 
+def test_component_markup_with_nested_braces_and_plain_text():
+    plain = lambda s: markup.plain_components(s, "https://b")
+    assert plain("<Link on:click={() => go({a: '}'})} path={p(\"/x\")} {...rest}>a</Link> if a < b {x}") == '<a href="https://b/x">a</a> if a < b {x}'
+    assert plain('<!-- <Link path="x"> --><br/><img alt="a > b" src={pic}>') == '<!-- <Link path="x"> --><br /><img alt="a > b" src="pic">'
+    assert plain("<style lang='x'>p { a > b }</style ><p style={\"--a: 'x'\"}>t</p>{@html y}{:else}{/each}") == "<p style=\"--a: 'x'\">t</p>"
+    assert plain("<p a='1' b=2 c>x") == '<p a="1" b="2" c="">x' and plain("<p unfinished") == '<p unfinished="">'
+    assert plain('<Markdown\n  text="a\n  b &quot;c&quot;"\n></Markdown>') == "<pre>a\n  b &quot;c&quot;</pre>"
+
+
 def test_breadcrumb(one):
     assert one(text.breadcrumb(lit("a"), lit(None).cast("string"), lit(""), lit("b"))) == "a > b"
 
