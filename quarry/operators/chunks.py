@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import markup
 from ..functions.chunking import merge_short, split_clauses, split_paragraphs, split_prose
 from ..functions.text import breadcrumb, content_key, inline_links, inline_markdown, slug
+from ..storage import broadcast
 
 
 def _map_rows(df: DataFrame, key: str, source: str, schema: str, rows) -> DataFrame:
@@ -130,6 +131,44 @@ def terms_chunks(clauses: DataFrame, base_url: str, root: str = "Terms of use",
     )
 
 
+#: Items that are looked for in every chunk at once.
+HELD_ITEMS, HELD_WORDS = 200_000, 4
+
+
+def holders(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, item_id) of chunks (id, text) whose text holds an item's (item_id, item) as it stands.
+
+    The second to fifth word of an item are looked up among the chunk's words, and what is met is compared in full.
+    Shorter items are compared with every chunk.  Items are broadcast; more than HELD_ITEMS are an error.
+    """
+    rows = items.where("item is not null").limit(HELD_ITEMS + 1).collect()
+    if len(rows) > HELD_ITEMS:
+        raise ValueError(f"over {HELD_ITEMS} items: look for them in parts")
+    known: dict[tuple, list] = {}
+    short = []
+    for r in rows:
+        words = r["item"].split()
+        place = known.setdefault(tuple(words[1 : 1 + HELD_WORDS]), []) if len(words) > HELD_WORDS + 1 else short
+        place.append((r["item_id"], r["item"]))
+    shared = broadcast(chunks.sparkSession, (known, short))
+    kinds = chunks.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        known, short = shared.value
+        for pdf in batches:
+            out = []
+            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+                words = (text or "").split()
+                met = {key for key in zip(*(words[j:] for j in range(HELD_WORDS)), strict=False) if key in known}
+                out += [(i, item_id) for key in met for item_id, item in known[key] if item in text]
+                out += [(i, item_id) for item_id, item in short if item in (text or "")]
+            yield pd.DataFrame(out, columns=["id", "item_id"])
+
+    return chunks.select("id", "text").mapInPandas(run, f"id {kinds[0]}, item_id {kinds[1]}")
+
+
 def size_stats(chunks: DataFrame, by: str, text: str = "text") -> DataFrame:
     n = F.length(text)
     return chunks.groupBy(by).agg(F.count("*").alias("chunks"), F.min(n).cast("bigint").alias("min_chars"), F.max(n).cast("bigint").alias("max_chars"), F.floor(F.avg(n)).cast("bigint").alias("mean_chars"))

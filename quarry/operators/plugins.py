@@ -76,6 +76,11 @@ def cache_misses(items: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     return items.dropDuplicates(["key"]).join(have, "key", "left_anti")
 
 
+def cache_hits(asked: DataFrame, cache: DataFrame, model: str, order: str = "pos") -> DataFrame:
+    """asked (key, and its place among the requests) with the cached vectors of ``model``, in the order of the requests."""
+    return asked.join(cache.where(F.col("model") == model).drop("model"), "key").orderBy(order)
+
+
 def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str, make: Callable) -> tuple[DataFrame, DataFrame]:
     """(all vectors by key, new vectors to append): only misses are embedded.  texts: (text)."""
     items = texts.select(content_key(F.col("text")).alias("key"), "text")

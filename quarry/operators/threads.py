@@ -136,3 +136,8 @@ def to_candidates(pairs: DataFrame, members: DataFrame, as_of: Column, link: str
         content_key(text).alias("content_hash"),
         F.lit("pending").alias("status"),
     )
+
+
+def mining_counts(pairs: DataFrame) -> DataFrame:
+    """One row on extracted pairs (kept, stale): kept and rejected ones, and stale ones among the kept."""
+    return pairs.agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("rejected"), F.count_if(F.col("kept") & F.col("stale")).alias("stale"))

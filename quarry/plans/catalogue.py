@@ -34,12 +34,12 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table of few files over all cores: tokenising costs more than moving so little text.
+    """Rows of a table that is read in fewer tasks than there are cores over all cores: tokenising costs more than moving so little text.
 
-    Tables of at least as many files as cores are left where they are.
+    Larger tables are read in more tasks and stay where they are.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def as_chunks(spark, sf) -> DataFrame:
@@ -152,22 +152,22 @@ def _(spark, sf):
 
 @query(
     "slug_ids",
-    r"""WITH s AS (SELECT doc_id, left(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40) AS s FROM documents)
+    r"""WITH s AS (SELECT doc_id, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40) AS s FROM documents)
         SELECT doc_id, concat(CASE WHEN s = '' THEN 'entry' ELSE s END, ':', doc_id) AS id FROM s""",
 )
 def _(spark, sf):
     d = t(spark, sf, "documents")
-    return d.select("doc_id", F.concat(text.slug(F.substring("text", 1, 60)), F.lit(":"), "doc_id").alias("id"))
+    return d.select("doc_id", F.concat(text.slug(F.col("text")), F.lit(":"), "doc_id").alias("id"))
 
 
 @query(
     "breadcrumb",
-    "SELECT doc_id, concat_ws(' > ', lang, nullif(source, 'src0'), left(text, 20)) AS title FROM documents",
+    "SELECT doc_id, sha256(concat_ws(' > ', lang, nullif(source, 'src0'), nullif(text, ''))) AS sha FROM documents",
 )
 def _(spark, sf):
     d = t(spark, sf, "documents")
     source = F.when(F.col("source") == "src0", "").otherwise(F.col("source"))
-    return d.select("doc_id", text.breadcrumb(F.col("lang"), source, F.substring("text", 1, 20)).alias("title"))
+    return d.select("doc_id", F.sha2(text.breadcrumb(F.col("lang"), source, F.col("text")), 256).alias("sha"))
 
 
 @query(
@@ -186,24 +186,58 @@ def _(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.size(chunking.sentences(F.col("text"))).cast("bigint").alias("sentences"))
 
 
-@query("para_pack")
+def _packed(pieces: str, joiner: str, gap: int, limit: int) -> str:
+    """SQL of greedy packing: one string folds the pieces, chr(1) between its parts."""
+    last = "string_split(a, chr(1))[-1]"
+    fold = f"""list_reduce({pieces}, lambda a, p: CASE WHEN {last} = '' THEN a || p WHEN length({last}) + length(p) + {gap} > {limit} THEN a || chr(1) || p ELSE a || {joiner} || p END, '')"""
+    return f"list_filter(list_transform(string_split({fold}, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+_SENTENCES = r"string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query(
+    "para_pack",
+    f"""WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
+       c AS (SELECT doc_id, CASE WHEN length(text) <= 1500 THEN [text] ELSE {_packed("string_split(text, chr(10) || chr(10))", "chr(10) || chr(10)", 2, 1500)} END AS parts, length(text) <= 1500 AS whole FROM d),
+       u AS (SELECT doc_id, whole, unnest(parts) AS p, generate_subscripts(parts, 1) AS n FROM c),
+       s AS (SELECT doc_id, n, CASE WHEN whole OR length(p) <= 1500 THEN [p] ELSE {_packed(_SENTENCES, "' '", 1, 1500)} END AS fine FROM u),
+       f AS (SELECT doc_id, n, unnest(fine) AS body, generate_subscripts(fine, 1) AS m FROM s)
+       SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, m) - 1 AS part, length(body) AS chars, sha256(body) AS sha FROM f""",
+)
 def _(spark, sf):
     parts = F.posexplode(chunking.split_prose(F.regexp_replace("text", "\n", "\n\n")))
     return t(spark, sf, "documents").select("doc_id", parts.alias("part", "body")).select("doc_id", "part", F.length("body").alias("chars"), F.sha2("body", 256).alias("sha"))
 
 
-@query("clause_pack")
+@query(
+    "clause_pack",
+    f"""WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN [text] ELSE {_packed("string_split(text, chr(10))", "chr(10)", 1, 2000)} END AS parts FROM documents),
+       u AS (SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) AS n FROM c)
+       SELECT doc_id, n - 1 AS part, length(body) AS chars, sha256(body) AS sha FROM u""",
+)
 def _(spark, sf):
     parts = F.posexplode(chunking.split_clauses(F.col("text")))
     return t(spark, sf, "documents").select("doc_id", parts.alias("part", "body")).select("doc_id", "part", F.length("body").alias("chars"), F.sha2("body", 256).alias("sha"))
 
 
-@query("short_merge")
+_LAST = "string_split(a, chr(1))[-1]"
+
+
+@query(
+    "short_merge",
+    f"""WITH c AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines FROM documents),
+       m AS (SELECT doc_id, string_split(list_reduce(lines, lambda a, p: CASE WHEN length({_LAST}) < 250
+              THEN left(a, length(a) - length({_LAST})) || regexp_replace({_LAST} || chr(10) || chr(10) || p, '^\\s+|\\s+$', '', 'g') ELSE a || chr(1) || p END), chr(1)) AS parts FROM c WHERE len(lines) > 0),
+       u AS (SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) AS n FROM m)
+       SELECT doc_id, n - 1 AS section_no, length(body) AS chars, sha256(body) AS sha FROM u""",
+)
 def _(spark, sf):
     d = t(spark, sf, "documents")
     none = F.lit(None).cast("string")
     sections = F.transform(F.split("text", "\n"), lambda x: F.struct(none.alias("heading"), none.alias("subheading"), x.alias("text")))
-    return d.select("doc_id", F.posexplode(chunking.merge_short(sections)).alias("section_no", "s")).select("doc_id", "section_no", F.length("s.text").alias("chars"))
+    merged = d.select("doc_id", F.posexplode(chunking.merge_short(sections)).alias("section_no", "s"))
+    return merged.select("doc_id", "section_no", F.length("s.text").alias("chars"), F.sha2("s.text", 256).alias("sha"))
 
 
 # --- retrieval ------------------------------------------------------------------------------
@@ -249,14 +283,14 @@ def _(spark, sf):
     return retrieve.bm25(as_questions(spark, sf).unionByName(none), as_chunks(spark, sf), 30)
 
 
-_DENSE = """WITH q AS (SELECT vec_id AS question_id, embedding AS a FROM embeddings WHERE vec_id < 50),
+_DENSE = """WITH q AS (SELECT vec_id AS question_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
   s AS (SELECT question_id, vec_id AS id, round(list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> question_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM s)"""
 
 
 def _dense(spark, sf, k=10):
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieve.dense(e.where("id < 50").withColumnRenamed("id", "question_id"), e, k, exclude_self=True)
+    return retrieve.dense(e.where("id % 50 = 0").withColumnRenamed("id", "question_id"), e, k, exclude_self=True)
 
 
 @query("dense_topk", _DENSE + " SELECT question_id, id, score, rank FROM r WHERE rank <= 10")
@@ -277,19 +311,35 @@ def _(spark, sf):
     return r.groupBy("question_id").agg(F.count_if(hit).alias("hits"), F.coalesce(1.0 / F.min(F.when(hit, F.col("rank"))), F.lit(0.0)).alias("rr"))
 
 
+_NONE = """, qq AS (SELECT item_id AS question_id, text FROM benchmark UNION ALL SELECT -1, 'zzzzqqqq xxxxyyyy')"""
+_FILLED = """, f AS (SELECT qq.question_id, doc_id AS id, coalesce(score, 0) AS score FROM qq CROSS JOIN documents LEFT JOIN bs ON bs.question_id = qq.question_id AND bs.id = doc_id),
+  fr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM f)"""
+
+
+def _with_none(spark, sf) -> DataFrame:
+    """The questions and one that no document has a word of: its ranks are fillers alone."""
+    return as_questions(spark, sf).unionByName(spark.createDataFrame([(-1, "zzzzqqqq xxxxyyyy")], "question_id long, question string"))
+
+
 @query(
     "rrf_topk",
     _BM
-    + ", "
-    + _LEX.replace("WITH q AS", "lq AS").replace("FROM q JOIN d", "FROM lq JOIN ld").replace("\n  d AS", "\n  ld AS").replace("\n  s AS", "\n  ls AS").replace("\n  r AS", "\n  lr AS").replace("FROM s)", "FROM ls)")
-    + """, v AS (SELECT question_id, id, rank FROM lr WHERE rank <= 30 UNION ALL SELECT question_id, id, rank FROM br WHERE rank <= 30),
+    + _NONE
+    + _FILLED
+    + """, lq AS (SELECT question_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM qq),
+  ld AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents),
+  lm AS (SELECT question_id, id, count(*) AS score FROM lq JOIN ld USING (term) GROUP BY ALL),
+  ls AS (SELECT qq.question_id, doc_id AS id, coalesce(score, 0) AS score FROM qq CROSS JOIN documents LEFT JOIN lm ON lm.question_id = qq.question_id AND lm.id = doc_id),
+  lr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM ls),
+  v AS (SELECT question_id, id, rank FROM lr WHERE rank <= 30 UNION ALL SELECT question_id, id, rank FROM fr WHERE rank <= 30),
   fs AS (SELECT question_id, id, round(sum(1.0 / (60 + rank)), 8) AS score FROM v GROUP BY ALL),
-  fr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM fs)
-  SELECT question_id, id, score, rank FROM fr WHERE rank <= 10""",
+  xr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM fs)
+  SELECT question_id, id, score, rank FROM xr WHERE rank <= 10""",
 )
 def _(spark, sf):
-    q, c = as_questions(spark, sf), as_chunks(spark, sf)
-    return retrieve.fuse([retrieve.lexical(q, c, 30), retrieve.bm25(q, c, 30, zero_fill=False)], 10)
+    q, c = _with_none(spark, sf), as_chunks(spark, sf)
+    both = retrieve.match(q, c)
+    return retrieve.hybrid(q, c, lambda depth: retrieve.lexical(q, c, depth, matches=both), 10, 30, matches=both)
 
 
 # --- metrics --------------------------------------------------------------------------------
@@ -311,9 +361,10 @@ _CASES = (
 
 
 def _cases(spark, sf) -> DataFrame:
-    b, d = t(spark, sf, "benchmark"), t(spark, sf, "documents")
-    held = d.join(F.broadcast(b.select("item_id", F.col("text").alias("item"))) if b.count() <= 100_000 else b.select("item_id", F.col("text").alias("item")), F.contains("text", "item"))
-    groups = held.groupBy(F.col("item_id").alias("case_id")).agg(F.array(F.array(F.min("doc_id"), F.max("doc_id")), F.array(F.first("item_id"))).alias("expected"))
+    """Benchmark items with the first and last document that holds their text, and their ranked documents."""
+    b, d = t(spark, sf, "benchmark"), spread(t(spark, sf, "documents"))
+    held = chunks.holders(d.select(F.col("doc_id").alias("id"), "text"), b.select("item_id", F.col("text").alias("item")))
+    groups = held.groupBy(F.col("item_id").alias("case_id")).agg(F.array(F.array(F.min("id"), F.max("id")), F.array(F.first("item_id"))).alias("expected"))
     lists = metrics.ranked_ids(retrieve.bm25(as_questions(spark, sf), as_chunks(spark, sf), 10, zero_fill=False)).withColumnRenamed("question_id", "case_id")
     return groups.withColumn("category", F.when(F.col("case_id") % 3 == 0, "a").otherwise("b")).join(lists, "case_id", "left")
 
@@ -541,15 +592,29 @@ def _(spark, sf):
     return threads.thread_roots(e)
 
 
+_ASKED = "CASE WHEN role = 'user' AND conv_id % 2 = 0 THEN text || '?' ELSE text END"
+
+
+def _asked(spark, sf) -> DataFrame:
+    """Conversations in which the users of every other one ask."""
+    c = t(spark, sf, "conversations")
+    return c.withColumn("text", F.when((F.col("role") == "user") & (F.col("conv_id") % 2 == 0), F.concat("text", F.lit("?"))).otherwise(F.col("text")))
+
+
 @query(
     "shortlist",
-    r"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    rf"""WITH c AS (SELECT conv_id, turn, role, {_ASKED} AS text FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM c)
         SELECT conv_id, count(*) AS messages FROM r GROUP BY conv_id
         HAVING count(*) >= 2 AND bool_or(n = 1 AND regexp_matches(text, '(?i)(\?|^how\b|^why\b|^what\b|^where\b|^when\b|^can i\b|^is it\b|^does\b|^anyone know\b)'))
            AND max(CASE WHEN n > 1 THEN length(text) END) >= 60 AND count(DISTINCT role) >= 2""",
 )
 def _(spark, sf):
-    return threads.shortlist(t(spark, sf, "conversations"), "conv_id", "turn", "role")
+    return threads.shortlist(_asked(spark, sf), "conv_id", "turn", "role")
+
+
+@query("question_hints", rf"SELECT conv_id, turn, regexp_matches({_ASKED}, '(?i)(\?|^how\b|^why\b|^what\b|^where\b|^when\b|^can i\b|^is it\b|^does\b|^anyone know\b)') AS asks FROM conversations")
+def _(spark, sf):
+    return _asked(spark, sf).select("conv_id", "turn", text.is_question(F.col("text")).alias("asks"))
 
 
 @query(
@@ -605,22 +670,25 @@ def _(spark, sf):
     return r.select("page_id", "position", "heading", "subheading", F.length("text").alias("chars"))
 
 
-@query("session_stream")
+@query(
+    "session_stream",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 2700000000 THEN 0 ELSE 1 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+       s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
+       a AS (SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 2700000000 AS finish_us, count(*) AS messages FROM s GROUP BY user_id, n)
+       SELECT * FROM a WHERE finish_us <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events)""",
+)
 def _(spark, sf):
     """Gap sessions of the events of users as a stream that has read all there is."""
     import uuid
 
+    from ..storage import shared_dir
     from ..streaming.streams import gap_session_stream, run_to_files
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="quarry-stream-")
+    base = f"{shared_dir(spark)}/quarry-stream/{uuid.uuid4().hex}"
     kind = t(spark, sf, "events").schema
     stream = spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    run = uuid.uuid4().hex
-    return run_to_files(gap_session_stream(stream, "ts", "user_id"), f"{base}/quarry-stream/{run}/out", f"{base}/quarry-stream/{run}/state")
+    out = run_to_files(gap_session_stream(stream, "ts", "user_id"), f"{base}/out", f"{base}/state")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("finish").alias("finish_us"), "messages")
 
 
 # --- general relational shapes ----------------------------------------------------------------
@@ -647,18 +715,25 @@ def _(spark, sf):
 # --- further operators ------------------------------------------------------------------------
 
 
+_CHATTER = ["gm", " +1 ", "/cmd now", "Thanks", "!!!", "é", "an answer", "  ", "ty all", "/x"]
+
+
 @query(
     "event_cleaning",
-    r"""SELECT conv_id, turn FROM (SELECT conv_id, turn, role, left(text, CAST(turn * 2 + 1 AS INTEGER)) AS body FROM conversations)
+    rf"""WITH e AS (SELECT conv_id, turn, role, text AS body FROM conversations UNION ALL SELECT conv_id, -1, 'user', {_CHATTER!r}[conv_id % 10 + 1] FROM conversations WHERE turn = 0)
+        SELECT conv_id, turn FROM e
         WHERE role <> 'system' AND trim(body, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND NOT starts_with(ltrim(body, chr(32) || chr(9) || chr(10) || chr(13)), '/')
-          AND NOT regexp_full_match(body, '(?is)\s*(/\w+|[^\pL\pN]{1,4}|gm|ty|thanks|thx|lol|\+1)\s*')""",
+          AND NOT regexp_full_match(body, '(?is)\s*(/\w+|[^\pL\pN]{{1,4}}|gm|ty|thanks|thx|lol|\+1)\s*')""",
 )
 def _(spark, sf):
+    """Whole messages, and one of _CHATTER before each conversation."""
     from ..sources.readers import clean_events
 
     c = t(spark, sf, "conversations")
-    body = F.substring("text", F.lit(1), (F.col("turn") * 2 + 1).cast("int"))
-    e = c.select("conv_id", "turn", body.alias("text"), F.lit(None).cast("boolean").alias("deleted"), (F.col("role") == "system").alias("isBot"))
+    words = F.array(*[F.lit(w) for w in _CHATTER])
+    short = c.where("turn = 0").select("conv_id", F.lit(-1).cast("bigint").alias("turn"), F.lit("user").alias("role"), F.get(words, (F.col("conv_id") % 10).cast("int")).alias("text"))
+    e = c.select("conv_id", "turn", "role", "text").unionByName(short)
+    e = e.select("conv_id", "turn", "text", F.lit(None).cast("boolean").alias("deleted"), (F.col("role") == "system").alias("isBot"))
     return clean_events(e).select("conv_id", "turn")
 
 
@@ -713,13 +788,13 @@ def _(spark, sf):
 @query(
     "category_shortfalls",
     """WITH l(category, least) AS (VALUES ('answerable', 25), ('refusal', 8), ('ambiguous', 4), ('injection', 3), ('all', 40)),
-       c AS (SELECT CASE WHEN item_id % 10 < 5 THEN 'answerable' WHEN item_id % 10 < 7 THEN 'refusal' ELSE 'ambiguous' END AS category FROM benchmark WHERE item_id < 30),
+       c AS (SELECT CASE WHEN item_id % 10 < 5 THEN 'answerable' WHEN item_id % 10 < 7 THEN 'refusal' ELSE 'ambiguous' END AS category FROM benchmark),
        n AS (SELECT category, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM c)
        SELECT l.category, coalesce(n, 0) AS cases, CAST(least AS BIGINT) AS least FROM l LEFT JOIN n USING (category) WHERE coalesce(n, 0) < least""",
 )
 def _(spark, sf):
     k = F.col("item_id") % 10
-    c = t(spark, sf, "benchmark").where("item_id < 30").select(F.when(k < 5, "answerable").when(k < 7, "refusal").otherwise("ambiguous").alias("category"))
+    c = t(spark, sf, "benchmark").select(F.when(k < 5, "answerable").when(k < 7, "refusal").otherwise("ambiguous").alias("category"))
     return validate.category_shortfalls(c)
 
 
@@ -738,7 +813,11 @@ def _(spark, sf):
     return health(as_chunks(spark, sf), ["dense", "bm25"], 5).withColumn("strategies", F.array_join("strategies", ","))
 
 
-@query("help_candidates")
+@query(
+    "help_candidates",
+    """WITH p AS (SELECT conv_id, arg_min(text, turn) AS question, arg_max(text, turn) AS answer, min(conv_id * 1000 + turn) AS root, max(conv_id * 1000 + turn) AS last, count(*) AS n FROM conversations GROUP BY conv_id)
+       SELECT 'help:' || root AS id, 'chat/' || last AS url, left(sha256(question || chr(10) || chr(10) || answer), 16) AS content_hash, 'pending' AS status, n AS thread_size FROM p""",
+)
 def _(spark, sf):
     """Pending chunks of conversations whose first turn stands for a question and whose last for its answer."""
     c = t(spark, sf, "conversations")
@@ -750,3 +829,189 @@ def _(spark, sf):
     )
     out = threads.to_candidates(pairs, members, F.timestamp_millis(F.lit(0)), "chat/%s")
     return out.select("id", "url", "content_hash", "status", F.col("meta.thread_size").alias("thread_size"))
+
+
+@query(
+    "kept_extractions",
+    "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 3 <> 0 AND source <> 'src1' AND (doc_id % 10) / 10.0 >= 0.7",
+)
+def _(spark, sf):
+    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
+    i = F.col("doc_id")
+    pairs = d.select("doc_id", (F.col("quality") == 1).alias("is_qa"), (i % 3 != 0).alias("self_contained"), (F.col("source") != "src1").alias("is_product_question"), (i % 10 / 10.0).alias("confidence"))
+    return threads.keep_extractions(pairs).select("doc_id")
+
+
+@query("question_keys", "SELECT item_id, 'q:' || left(sha256(text), 16) AS key FROM benchmark")
+def _(spark, sf):
+    return t(spark, sf, "benchmark").select("item_id", text.question_key(F.col("text")).alias("key"))
+
+
+_SQUASH = r"regexp_replace(lower({}), '[\s\-]+', '', 'g')"
+_MENTIONS = "(contains(lower(text), lower(x)) OR contains(" + _SQUASH.format("text") + ", " + _SQUASH.format("x") + "))"
+
+
+@query(
+    "answer_checks",
+    f"""WITH c AS (SELECT doc_id, text, [doc_id, doc_id * 7, -doc_id - 1] AS citations, doc_id % 4 = 0 AS refused, ['the-and', 'rights reserved', 'th e'] AS must, ['LICENSE', 'not there at all'] AS never FROM documents),
+       k AS (SELECT doc_id, list(x) AS known FROM (SELECT doc_id, unnest(citations) AS x FROM c) WHERE x IN (SELECT doc_id FROM documents) GROUP BY doc_id)
+       SELECT doc_id, array_to_string(list_filter(citations, lambda x: NOT list_contains(known, x)), ',') AS unresolved, len(list_filter(citations, lambda x: NOT list_contains(known, x))) = 0 AS resolved,
+         CASE WHEN refused THEN '' ELSE array_to_string(list_filter(must, lambda x: NOT {_MENTIONS}), ',') END AS missing, array_to_string(list_filter(never, lambda x: {_MENTIONS}), ',') AS hit
+       FROM c JOIN k USING (doc_id)""",
+)
+def _(spark, sf):
+    i = F.col("doc_id")
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    d = t(spark, sf, "documents")
+    cases = d.select(
+        "doc_id", "text", F.array(i, i * 7, -i - 1).alias("citations"), (i % 4 == 0).alias("refused"),
+        words("the-and", "rights reserved", "th e").alias("must_mention"), words("LICENSE", "not there at all").alias("must_not_mention"),
+    )
+    cited = cases.select("doc_id", F.explode("citations").alias("c")).join(d.select(F.col("doc_id").alias("c")), "c", "left_semi")
+    cases = cases.join(cited.groupBy("doc_id").agg(F.collect_list("c").alias("known")), "doc_id")
+    out = answers.deterministic_checks(cases, F.col("known"))
+    joined = lambda c: F.array_join(c, ",")
+    return out.select(
+        "doc_id", joined(F.col("unresolved_citations").cast("array<string>")).alias("unresolved"), F.col("citations_resolve").alias("resolved"),
+        joined("must_mention_missing").alias("missing"), joined("must_not_mention_hit").alias("hit"),
+    )
+
+
+@query(
+    "char_counts",
+    """SELECT doc_id, length('Guidelines > ' || doc_id || '. ' || source || chr(10) || chr(10) || text) AS chars FROM documents WHERE length(text) <= 1500""",
+)
+def _(spark, sf):
+    """Guideline chunks count their breadcrumb as well; texts that make one part."""
+    d = t(spark, sf, "documents").where(F.length("text") <= 1500)
+    out = chunks.guideline_chunks(d.select(F.col("doc_id").cast("string").alias("number"), F.col("source").alias("title"), "text"), "https://g")
+    return out.select(F.col("meta.section_number").cast("bigint").alias("doc_id"), F.col("meta.char_count").cast("bigint").alias("chars"))
+
+
+@query("iso_times", "SELECT event_id, strftime(make_timestamp(event_id * 86399000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at FROM events")
+def _(spark, sf):
+    return t(spark, sf, "events").select("event_id", dates.iso_utc(dates.from_millis(F.col("event_id") * 86399000)).alias("at"))
+
+
+@query(
+    "answer_links",
+    """WITH m AS (SELECT conv_id, turn, conv_id * 1000 + turn AS i, CASE WHEN turn % 2 = 0 THEN turn * 10 END AS message FROM conversations),
+       p AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN conv_id * 1000 + 1 WHEN conv_id % 3 = 1 THEN -5 END AS named, max(i) AS last FROM m GROUP BY conv_id),
+       a AS (SELECT p.conv_id, coalesce((SELECT i FROM m WHERE m.conv_id = p.conv_id AND m.i = p.named), p.last) AS i FROM p)
+       SELECT a.conv_id, a.i AS answer_index, 'https://chat/' || coalesce(m.message, m.i) AS url FROM a JOIN m ON m.conv_id = a.conv_id AND m.i = a.i""",
+)
+def _(spark, sf):
+    """Permalinks of named answers; an answer that is not in its thread falls back to the last message."""
+    c = t(spark, sf, "conversations")
+    i = F.col("conv_id") * 1000
+    index = i + F.col("turn")
+    members = c.select(F.col("conv_id").alias("thread"), index.alias("index"), F.when(F.col("turn") % 2 == 0, F.col("turn") * 10).alias("messageIndex"), index.alias("timestamp"))
+    named = F.when(F.col("conv_id") % 3 == 0, i + 1).when(F.col("conv_id") % 3 == 1, F.lit(-5).cast("bigint"))
+    pairs = c.select("conv_id").distinct().select(
+        F.col("conv_id").alias("thread"), F.lit("q").alias("question"), F.lit("a").alias("answer"), named.alias("answer_event_index"), F.lit(0.9).alias("confidence"), F.lit(True).alias("self_contained"), F.lit("").alias("reason"),
+    )
+    out = threads.to_candidates(pairs, members, F.timestamp_millis(F.lit(0)), "https://chat/%s")
+    at = F.col("provenance.answer_event_index")
+    return out.select(F.floor(F.col("provenance.root_event_index") / 1000).alias("conv_id"), at.alias("answer_index"), "url")
+
+
+@query(
+    "inline_links",
+    r"""SELECT page_id, CAST(unnest(range(len(a.hrefs))) AS BIGINT) AS place, unnest(a.hrefs) AS url, unnest(list_transform(a.labels, lambda x: regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g'))) AS label
+       FROM (SELECT page_id, struct_pack(hrefs := regexp_extract_all(html, '(?is)<a\b[^>]*?href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1), labels := regexp_extract_all(html, '(?is)<a\b[^>]*?href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2)) AS a FROM pages)""",
+)
+def _(spark, sf):
+    """Anchors in order, with repeats; the pages have no other markdown links than those their anchors become."""
+    p = t(spark, sf, "pages").select("page_id", F.posexplode(text.inline_links(F.col("html"))).alias("place", "l"))
+    return p.select("page_id", F.col("place").cast("bigint").alias("place"), "l.url", "l.label")
+
+
+@query(
+    "mining_counts",
+    """SELECT count(*) FILTER (WHERE quality = 1) AS kept, count(*) FILTER (WHERE quality <> 1) AS rejected,
+              count(*) FILTER (WHERE quality = 1 AND o_orderdate < TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 270 DAY) AS stale FROM labels JOIN orders ON o_orderkey = doc_id""",
+)
+def _(spark, sf):
+    rows = t(spark, sf, "labels").join(t(spark, sf, "orders"), F.col("doc_id") == F.col("o_orderkey"))
+    at = F.lit("1998-08-02 00:00:00").cast("timestamp")
+    return threads.mining_counts(rows.select((F.col("quality") == 1).alias("kept"), dates.is_stale(F.col("o_orderdate").cast("timestamp"), at).alias("stale")))
+
+
+@query(
+    "cache_hits",
+    """SELECT row_number() OVER (ORDER BY i.item_id) - 1 AS pos, left(sha256(i.text), 16) AS key, v.vec_id FROM benchmark i JOIN embeddings v ON v.vec_id = i.item_id WHERE i.item_id % 2 = 0""",
+)
+def _(spark, sf):
+    """Cached vectors of requests, in the order of the requests; every other request is cached."""
+    from ..operators.plugins import cache_hits
+
+    asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), text.content_key(F.col("text")).alias("key"))
+    cache = asked.where("pos % 2 = 0").join(t(spark, sf, "embeddings"), F.col("pos") == F.col("vec_id")).select(F.lit("m").alias("model"), "key", "embedding", "vec_id")
+    return cache_hits(asked, cache, "m").select(F.floor(F.col("pos") / 2).alias("pos"), "key", "vec_id")
+
+
+@query("id_clashes", "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT item_id * 3 FROM benchmark)")
+def _(spark, sf):
+    new = t(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    return review.id_clashes(new, t(spark, sf, "benchmark").select((F.col("item_id") * 3).alias("id")))
+
+
+@query(
+    "posts_by_date",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS place FROM orders""",
+)
+def _(spark, sf):
+    """Chunks of posts, the latest post first: the order of the written file, as a number."""
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("slug"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").alias("position"))
+    made = o.select("slug", F.struct("slug", F.lit(0).alias("section_index"), F.lit(0).alias("part")).alias("meta"))
+    ordered = chunks.by_date(made, o).withColumn("n", F.monotonically_increasing_id())  # partition after partition of the sorted rows
+    return ordered.select(F.col("slug").cast("bigint").alias("o_orderkey"), F.row_number().over(Window.orderBy("n")).alias("place"))
+
+
+def _sql(literal: str) -> str:
+    return "'" + literal.replace("'", "''") + "'"
+
+
+@query(
+    "grader_prompt",
+    f"""WITH c AS (SELECT item_id, text, [item_id, item_id * 13 + 5, item_id * 1000003] AS ids FROM benchmark),
+       u AS (SELECT item_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS place FROM c),
+       b AS (SELECT item_id, string_agg('<chunk id="' || id || '">' || chr(10) || d.text || chr(10) || '</chunk>', chr(10) || chr(10) ORDER BY place) AS blocks FROM u JOIN documents d ON d.doc_id = id GROUP BY item_id)
+       SELECT item_id, sha256({_sql(answers.GRADING)} || chr(10) || chr(10) || 'Category: ' || CASE WHEN item_id % 2 = 0 THEN 'answerable' ELSE 'refusal' END || chr(10) || 'Notes: '
+         || CASE WHEN item_id % 5 = 0 THEN 'a note' ELSE '(none)' END || chr(10) || chr(10) || '<question>' || chr(10) || text || chr(10) || '</question>' || chr(10) || chr(10) || 'Refused: '
+         || CASE WHEN item_id % 3 = 0 THEN 'true' ELSE 'false' END || chr(10) || '<answer>' || chr(10) || 'answer ' || item_id || chr(10) || '</answer>' || chr(10) || chr(10) || 'Cited chunks:' || chr(10)
+         || coalesce(blocks, '(no chunks cited)')) AS sha FROM c LEFT JOIN b USING (item_id)""",
+)
+def _(spark, sf):
+    i = F.col("item_id")
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    c = t(spark, sf, "benchmark").withColumn("citations", F.array(i, i * 13 + 5, i * 1000003))
+    c = c.join(answers.cited_chunks(c.select("item_id", "citations"), d, "item_id"), "item_id", "left")
+    cited = F.coalesce("cited", F.array().cast(c.schema["cited"].dataType))
+    prompt = answers.grader_prompt(
+        F.when(i % 2 == 0, "answerable").otherwise("refusal"), F.when(i % 5 == 0, "a note"), F.col("text"), i % 3 == 0, F.concat(F.lit("answer "), i), cited
+    )
+    return c.select("item_id", F.sha2(prompt, 256).alias("sha"))
+
+
+@query(
+    "answer_prompt",
+    f"""SELECT item_id, sha256({_sql(answers.RULES)} || chr(10) || chr(10) || 'Reference chunks:' || chr(10) || chr(10) || '<chunk id="' || doc_id || '" source="' || source || '" title="">' || chr(10) || d.text
+         || chr(10) || '</chunk>' || chr(10) || chr(10) || '<question>' || chr(10) || b.text || chr(10) || '</question>') AS sha FROM benchmark b JOIN documents d ON doc_id = item_id""",
+)
+def _(spark, sf):
+    b = t(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    ranking = b.select("question_id", F.col("question_id").alias("id"), F.lit(1).alias("rank"))
+    p = answers.render_prompts(ranking, as_chunks(spark, sf)).join(b, "question_id")
+    return p.select(F.col("question_id").alias("item_id"), F.sha2(answers.answer_prompt(F.col("context"), F.col("question")), 256).alias("sha"))
+
+
+@query(
+    "answer_report",
+    """SELECT count(*) AS cases, CAST(floor(avg(n_chars % 977)) AS BIGINT) AS mean_ms, CAST(max(n_chars % 977) AS BIGINT) AS max_ms, count(*) FILTER (WHERE doc_id % 11 = 0) AS parse_failures,
+              CAST(sum(n_chars) AS BIGINT) AS tokens_in, CAST(sum(n_chars % 7) AS BIGINT) AS tokens_out, CAST(sum(doc_id % 3) AS BIGINT) AS dropped_citations FROM documents""",
+)
+def _(spark, sf):
+    d, i = t(spark, sf, "documents"), F.col("doc_id")
+    rows = d.select((F.col("n_chars") % 977).alias("answer_ms"), (i % 11 == 0).alias("parse_failed"), F.col("n_chars").alias("tokens_in"), (F.col("n_chars") % 7).alias("tokens_out"), (i % 3).alias("dropped_citations"))
+    return answers.run_report(rows)
