@@ -135,11 +135,7 @@ def eval_answers(spark, args) -> int:
     chunks = corpus_of(spark, args)
     if args.poison:
         chunks = chunks.unionByName(readers.read_jsonl(spark, args.poison, readers.CHUNK))
-    cases = cases_of(spark, args, chunks)
-    if args.category:
-        cases = cases.where(F.col("category").isin(*args.category))
-    if args.limit:
-        cases = cases.orderBy("id").limit(args.limit)
+    cases = asking.select_cases(cases_of(spark, args, chunks), args.category, args.limit)
     questions = cases.select(F.col("id").alias("question_id"), "question")
     drafter = load(args.drafter) or quoting_drafter
     if args.endpoint:

@@ -53,6 +53,13 @@ def ask_endpoint(questions: DataFrame, base_url: str, strategy: str, max_chunks:
     )
 
 
+def select_cases(cases: DataFrame, categories: list[str] | None = None, limit: int | None = None, key: str = "id") -> DataFrame:
+    """Cases of the named categories, and of these the first ``limit`` by id."""
+    if categories:
+        cases = cases.where(F.col("category").isin(*categories))
+    return cases.orderBy(key).limit(limit) if limit else cases
+
+
 GRADE = "grounded boolean, correct boolean, cited boolean, appropriate_refusal boolean, rationale string"
 
 

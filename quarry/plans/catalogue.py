@@ -1015,3 +1015,83 @@ def _(spark, sf):
     d, i = t(spark, sf, "documents"), F.col("doc_id")
     rows = d.select((F.col("n_chars") % 977).alias("answer_ms"), (i % 11 == 0).alias("parse_failed"), F.col("n_chars").alias("tokens_in"), (F.col("n_chars") % 7).alias("tokens_out"), (i % 3).alias("dropped_citations"))
     return answers.run_report(rows)
+
+
+@query(
+    "rerank_topk",
+    _BM
+    + """, s AS (SELECT br.question_id, br.id, -abs(length(b.text) - length(d.text))::DOUBLE AS score FROM br JOIN benchmark b ON b.item_id = br.question_id JOIN documents d ON d.doc_id = br.id WHERE br.rank <= 30),
+  r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM s) SELECT question_id, id, score, rank FROM r WHERE rank <= 5""",
+)
+def _(spark, sf):
+    """The first 30 by BM25 again by how close a text's length is to the question's."""
+    q, c = as_questions(spark, sf), as_chunks(spark, sf)
+    ranked = retrieve.bm25(q, c, 30, zero_fill=False).join(q, "question_id").join(c.select("id", "text"), "id")
+    return retrieve.rerank(ranked, lambda a, b: -F.abs(F.length(a) - F.length(b)).cast("double"), 30, 5).select("question_id", "id", "score", "rank")
+
+
+@query(
+    "faq_pairs",
+    """SELECT i.item_id AS position, 'k' || i.item_id AS key, sha256(q.text || chr(10) || a.text) AS sha FROM benchmark i
+       JOIN documents q ON q.doc_id = i.item_id AND q.doc_id % 4 <> 1 JOIN documents a ON a.doc_id = i.item_id * 3 AND a.doc_id % 5 <> 0 WHERE q.text <> '' AND a.text <> ''""",
+)
+def _(spark, sf):
+    """Keys whose question and answer string both exist."""
+    from ..sources.readers import faq_pairs
+
+    d, i = t(spark, sf, "documents"), F.col("doc_id")
+    keys = t(spark, sf, "benchmark").select(F.col("item_id").alias("position"), F.concat(F.lit("k"), "item_id").alias("key"))
+    name = lambda n, side: F.concat(F.lit("k"), n.cast("string"), F.lit(side)).alias("name")
+    strings = d.where(i % 4 != 1).select(name(i, "_q"), F.col("text").alias("value")).unionByName(
+        d.where((i % 3 == 0) & (i % 5 != 0)).select(name(F.floor(i / 3), "_a"), F.col("text").alias("value"))
+    )
+    return faq_pairs(keys, strings).select("position", "key", F.sha2(F.concat("question", F.lit("\n"), "answer"), 256).alias("sha"))
+
+
+@query(
+    "paragraph_pack",
+    f"""WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
+       c AS (SELECT doc_id, CASE WHEN length(text) <= 1500 THEN [text] ELSE {_packed("string_split(text, chr(10) || chr(10))", "chr(10) || chr(10)", 2, 1500)} END AS parts FROM d),
+       u AS (SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) AS n FROM c)
+       SELECT doc_id, n - 1 AS part, length(body) AS chars, sha256(body) AS sha FROM u""",
+)
+def _(spark, sf):
+    parts = F.posexplode(chunking.split_paragraphs(F.regexp_replace("text", "\n", "\n\n")))
+    return t(spark, sf, "documents").select("doc_id", parts.alias("part", "body")).select("doc_id", "part", F.length("body").alias("chars"), F.sha2("body", 256).alias("sha"))
+
+
+@query(
+    "thread_members",
+    """WITH RECURSIVE m AS (SELECT conv_id * 1000 + turn AS idx, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN conv_id * 1000 + lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS parent FROM conversations),
+       w(idx, up, d) AS (SELECT idx, parent, 1 FROM m WHERE parent IS NOT NULL UNION ALL SELECT w.idx, m.parent, d + 1 FROM w JOIN m ON m.idx = w.up WHERE m.parent IS NOT NULL AND d < 11),
+       r AS (SELECT idx, arg_max(up, d) AS root FROM w GROUP BY idx),
+       l AS (SELECT idx FROM m WHERE idx NOT IN (SELECT idx FROM r) AND idx NOT IN (SELECT root FROM r)),
+       g AS (SELECT idx, CASE WHEN idx - lag(idx) OVER (ORDER BY idx) > 45 THEN 1 ELSE 0 END AS brk FROM l),
+       s AS (SELECT idx, sum(brk) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) AS n FROM g),
+       a AS (SELECT root AS thread, idx FROM r UNION SELECT root, root FROM r UNION SELECT min(idx) OVER (PARTITION BY n), idx FROM s)
+       SELECT thread, idx AS index FROM (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY idx) AS k FROM a) WHERE k <= 40""",
+)
+def _(spark, sf):
+    """Threads of conversations whose answers are replies in every other one; the rest goes by gaps, a minute an index."""
+    c = t(spark, sf, "conversations")
+    base = F.col("conv_id") * 1000
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    nothing = F.lit(None).cast("bigint")
+    reply = F.when((F.col("role") == "assistant") & (F.col("conv_id") % 2 == 0), base + before)
+    index = base + F.col("turn")
+    e = c.select(index.alias("index"), nothing.alias("messageIndex"), nothing.alias("threadRootMessageIndex"), reply.alias("repliesToEventIndex"), (index * 60_000).alias("timestamp"))
+    return threads.build_threads(e).select("thread", "index")
+
+
+@query(
+    "case_selection",
+    """SELECT item_id, category FROM (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'answerable' WHEN 1 THEN 'refusal' WHEN 2 THEN 'ambiguous' ELSE 'injection' END AS category FROM benchmark)
+       WHERE category IN ('refusal', 'injection') ORDER BY item_id LIMIT 10""",
+)
+def _(spark, sf):
+    """The first cases of some categories; the limit is the option's."""
+    from .ask import select_cases
+
+    k = F.col("item_id") % 4
+    c = t(spark, sf, "benchmark").select("item_id", F.when(k == 0, "answerable").when(k == 1, "refusal").when(k == 2, "ambiguous").otherwise("injection").alias("category"))
+    return select_cases(c, ["refusal", "injection"], 10, "item_id")
