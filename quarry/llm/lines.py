@@ -90,10 +90,12 @@ class LineStore:
         return self.spark.table(name).where("fresh").select("h1", "h2", "owner")
 
     def _write(self, df: DataFrame, label: str) -> tuple[str, str]:
-        """One file a bucket, by its place in the order of the key; df comes in one partition a bucket."""
+        """One file a bucket, by its place in the order of the key; df's own exchange makes a partition of each bucket."""
         path = new_scratch_path(self.spark, f"lines-{label}")
         name = new_table(path)
-        with sorted_runs(self.spark):
+        with sorted_runs(self.spark, self.buckets):
+            if int(self.spark.conf.get(PARTITIONS)) != self.buckets:
+                df = df.repartition(self.buckets, "h1", "h2")
             df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         return name, path
 
@@ -114,8 +116,6 @@ class LineStore:
         owner = F.coalesce(held, "first")
         lost = (F.col("first") != owner) | (F.col("last") != owner)
         merged = merged.select("h1", "h2", owner.alias("owner"), held.isNull().alias("fresh"), lost.alias("lost"))
-        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
-            merged = merged.repartition(self.buckets, "h1", "h2")
         self._put(0, self._write(merged, "run"))
         verdict = self.spark.table(self.levels[0][-1][0]).where("lost").select("h1", "h2", "owner")
         small = verdict.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
@@ -152,11 +152,15 @@ class LineStore:
 IN_PLACE = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
 @contextmanager
-def sorted_runs(spark: SparkSession):
-    """Plans that are made inside neither exchange the runs nor sort them again."""
-    before = {k: spark.conf.get(k) for k in IN_PLACE}
-    for k, v in IN_PLACE.items():
+def sorted_runs(spark: SparkSession, partitions: int | None = None):
+    """Plans that are made inside neither exchange the runs nor sort them again; exchanges have as many partitions as runs have buckets."""
+    wanted = IN_PLACE | ({PARTITIONS: str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -214,7 +218,9 @@ def dedup_lines(
     hashed = scratch_at(hashed, path)  # 24 bytes a line; texts are read once more, at the end
     cuts = hashed.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    store = LineStore(spark, fanout, max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    with sorted_runs(spark, max(4, int(spark.conf.get(PARTITIONS)) // 4)):  # keys are a fraction of the texts
+        buckets = int(spark.conf.get(PARTITIONS))  # a session may hold on to its number
+    store = LineStore(spark, fanout, buckets)
     lost = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = hashed
