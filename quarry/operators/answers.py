@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank import kept_citations, unresolved
-from ..functions.text import mentions
+from ..functions.text import squash
 from .common import by_and_total
 
 REFUSAL_TEXT = "The indexed material does not answer this question."
@@ -123,10 +123,12 @@ def deterministic_checks(cases: DataFrame, known: Column) -> DataFrame:
     Missing mentions count only when the answer is no refusal, forbidden ones always.
     """
     text = F.coalesce("text", F.lit(""))
-    missing = F.filter(F.coalesce("must_mention", F.array().cast("array<string>")), lambda t: ~mentions(text, t))
-    hit = F.filter(F.coalesce("must_not_mention", F.array().cast("array<string>")), lambda t: mentions(text, t))
-    return cases.select(
-        "*",
+    held = lambda t: F.contains("__lower", F.lower(t)) | F.contains("__tight", squash(t))
+    missing = F.filter(F.coalesce("must_mention", F.array().cast("array<string>")), lambda t: ~held(t))
+    hit = F.filter(F.coalesce("must_not_mention", F.array().cast("array<string>")), held)
+    prepared = cases.withColumns({"__lower": F.lower(text), "__tight": squash(text)})  # once for all terms
+    return prepared.select(
+        *cases.columns,
         unresolved(F.col("citations"), known).alias("unresolved_citations"),
         F.when(F.col("refused"), F.array().cast("array<string>")).otherwise(missing).alias("must_mention_missing"),
         hit.alias("must_not_mention_hit"),
