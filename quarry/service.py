@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Lock
 
 from pyspark.sql import DataFrame
 
@@ -19,6 +20,7 @@ from .plans import ask as asking
 from .plans.search import STRATEGIES, searcher
 from .sources import writers
 from .sources.schemas import LOG
+from .storage import mark, release
 
 
 class RequestError(Exception):
@@ -36,6 +38,7 @@ class Service:
         began = time.perf_counter()
         self.spark, self.chunks, self.log = chunks.sparkSession, chunks.cache(), log
         self.drafter, self.embedder = drafter, embedder
+        self.turn = Lock()  # one request at a time: each removes the intermediate tables that it wrote
         self.strategies = sorted([*STRATEGIES, "stuffed", "refuse"])
         self.size = self.chunks.count()
         self.index_build_ms = int(1000 * (time.perf_counter() - began))
@@ -44,6 +47,14 @@ class Service:
         return {"status": "ok", "corpus_chunks": self.size, "index_build_ms": self.index_build_ms, "strategies": self.strategies}
 
     def ask(self, request: dict) -> dict:
+        with self.turn:
+            since = mark()
+            try:
+                return self.answer(request)
+            finally:
+                release(self.spark, since)
+
+    def answer(self, request: dict) -> dict:
         question, strategy, max_chunks = request.get("question"), request.get("strategy", "bm25"), request.get("max_chunks", answers.MAX_CHUNKS)
         if not isinstance(question, str) or not isinstance(strategy, str) or not isinstance(max_chunks, int):
             raise RequestError(422, "question and strategy are strings, max_chunks is a number")
