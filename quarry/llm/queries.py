@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, licenses, lines, packing, rules, secrets, sharding, spans, urls
+from . import decontamination, jaccard, licenses, lines, mixing, packing, rules, secrets, sharding, spans, turns, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_url_filters": urls.op8_url_filters,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_source_mixing": mixing.op11_source_mixing,
+        "op12_conversation_repair": turns.op12_conversation_repair,
     }
 
 
@@ -25,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": lines.SQL,
         "op5_jaccard_join": jaccard.SQL,
         "op8_url_filters": urls.SQL,
+        "op11_source_mixing": mixing.SQL,
     }
