@@ -170,9 +170,14 @@ def _(spark, sf):
     return d.select("doc_id", F.sha2(text.breadcrumb(F.col("lang"), source, F.col("text")), 256).alias("sha"))
 
 
+def tidy_sql(text: str) -> str:
+    """SQL of text.tidy."""
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({text}, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
 @query(
     "tidy_text",
-    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS sha FROM documents""",
+    f"SELECT doc_id, sha256({tidy_sql('text')}) AS sha FROM documents",
 )
 def _(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.sha2(text.tidy(F.col("text")), 256).alias("sha"))
@@ -186,22 +191,27 @@ def _(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.size(chunking.sentences(F.col("text"))).cast("bigint").alias("sentences"))
 
 
-def _packed(pieces: str, joiner: str, gap: int, limit: int) -> str:
+def packed_sql(pieces: str, joiner: str, gap: int, limit: int) -> str:
     """SQL of greedy packing: one string folds the pieces, chr(1) between its parts."""
     last = "string_split(a, chr(1))[-1]"
     fold = f"""list_reduce({pieces}, lambda a, p: CASE WHEN {last} = '' THEN a || p WHEN length({last}) + length(p) + {gap} > {limit} THEN a || chr(1) || p ELSE a || {joiner} || p END, '')"""
     return f"list_filter(list_transform(string_split({fold}, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 
 
-_SENTENCES = r"string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+def sentences_sql(text: str) -> str:
+    """SQL of chunking.sentences."""
+    return rf"string_split(regexp_replace({text}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+_SENTENCES = sentences_sql("p")
 
 
 @query(
     "para_pack",
     f"""WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
-       c AS (SELECT doc_id, CASE WHEN length(text) <= 1500 THEN [text] ELSE {_packed("string_split(text, chr(10) || chr(10))", "chr(10) || chr(10)", 2, 1500)} END AS parts, length(text) <= 1500 AS whole FROM d),
+       c AS (SELECT doc_id, CASE WHEN length(text) <= 1500 THEN [text] ELSE {packed_sql("string_split(text, chr(10) || chr(10))", "chr(10) || chr(10)", 2, 1500)} END AS parts, length(text) <= 1500 AS whole FROM d),
        u AS (SELECT doc_id, whole, unnest(parts) AS p, generate_subscripts(parts, 1) AS n FROM c),
-       s AS (SELECT doc_id, n, CASE WHEN whole OR length(p) <= 1500 THEN [p] ELSE {_packed(_SENTENCES, "' '", 1, 1500)} END AS fine FROM u),
+       s AS (SELECT doc_id, n, CASE WHEN whole OR length(p) <= 1500 THEN [p] ELSE {packed_sql(_SENTENCES, "' '", 1, 1500)} END AS fine FROM u),
        f AS (SELECT doc_id, n, unnest(fine) AS body, generate_subscripts(fine, 1) AS m FROM s)
        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, m) - 1 AS part, length(body) AS chars, sha256(body) AS sha FROM f""",
 )
@@ -212,7 +222,7 @@ def _(spark, sf):
 
 @query(
     "clause_pack",
-    f"""WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN [text] ELSE {_packed("string_split(text, chr(10))", "chr(10)", 1, 2000)} END AS parts FROM documents),
+    f"""WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN [text] ELSE {packed_sql("string_split(text, chr(10))", "chr(10)", 1, 2000)} END AS parts FROM documents),
        u AS (SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) AS n FROM c)
        SELECT doc_id, n - 1 AS part, length(body) AS chars, sha256(body) AS sha FROM u""",
 )
@@ -265,6 +275,11 @@ _BM = (
 )
 
 
+def bm25_sql() -> str:
+    """SQL of the postings (post), the BM25 scores (bs) and the ranks (br) of the benchmark in the documents."""
+    return _BM
+
+
 @query("bm25_topk", _BM + " SELECT question_id, id, score, rank FROM br WHERE rank <= 10")
 def _(spark, sf):
     return retrieve.bm25(as_questions(spark, sf), as_chunks(spark, sf), 10, zero_fill=False)
@@ -1051,7 +1066,7 @@ def _(spark, sf):
 @query(
     "paragraph_pack",
     f"""WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
-       c AS (SELECT doc_id, CASE WHEN length(text) <= 1500 THEN [text] ELSE {_packed("string_split(text, chr(10) || chr(10))", "chr(10) || chr(10)", 2, 1500)} END AS parts FROM d),
+       c AS (SELECT doc_id, CASE WHEN length(text) <= 1500 THEN [text] ELSE {packed_sql("string_split(text, chr(10) || chr(10))", "chr(10) || chr(10)", 2, 1500)} END AS parts FROM d),
        u AS (SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) AS n FROM c)
        SELECT doc_id, n - 1 AS part, length(body) AS chars, sha256(body) AS sha FROM u""",
 )
