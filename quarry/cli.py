@@ -1,7 +1,8 @@
 """Command line: python -m quarry <command> ...
 
 Corpora are folders of JSON lines.  --embedder and --drafter name a plugin factory as module:function;
-without them deterministic stand-ins are used (hashed tokens; the first retrieved chunk quoted).
+without them deterministic stand-ins are used (hashed tokens; the first retrieved chunk quoted).  --kept names a folder that keeps
+vectors, drafts and grades by model, so that nothing is asked twice between runs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .operators import answers as answering
 from .operators import chunks as chunking
-from .operators import metrics, plugins, review, threads, validate
+from .operators import metrics, review, threads, validate
+from .operators.results import vector_store
 from .plans import ask as asking
 from .plans.search import STRATEGIES, searcher
 from .session import build_session
@@ -30,6 +32,16 @@ def load(name: str | None):
     return getattr(importlib.import_module(module), attr)
 
 
+def kept(spark, args, kind: str) -> dict:
+    """Where results of the plugin ``kind`` are kept, and whose they are."""
+    return {"ledger": args.kept, "model": f"{kind} {getattr(args, kind) or 'stand-in'}"}
+
+
+def search_of(spark, args):
+    store = vector_store(spark, args.kept, f"embedder {args.embedder or 'stand-in'}") if args.kept else None
+    return searcher(args.strategy, load(args.embedder), store)
+
+
 def quoting_drafter():
     """Answers with the first chunk of the prompt and cites it; refuses without one."""
 
@@ -70,9 +82,9 @@ def ask(spark, args) -> int:
     validate.require_none(bad.select("question_id", "error"), "invalid requests")
     drafter = load(args.drafter) or quoting_drafter
     if args.strategy == "stuffed":
-        out = asking.ask_stuffed(questions, chunks, drafter)
+        out = asking.ask_stuffed(questions, chunks, drafter, **kept(spark, args, "drafter"))
     else:
-        out = asking.ask(questions, chunks, drafter, args.strategy, args.max_chunks, searcher(args.strategy, load(args.embedder)))
+        out = asking.ask(questions, chunks, drafter, args.strategy, args.max_chunks, search_of(spark, args), **kept(spark, args, "drafter"))
     rows = out.orderBy("question_id").collect()
     if args.json:
         show(rows)
@@ -100,7 +112,8 @@ def ask(spark, args) -> int:
 def serve(spark, args) -> int:
     from .service import Service
 
-    server = Service(corpus_of(spark, args), load(args.drafter) or quoting_drafter, load(args.embedder), args.log).server(args.host, args.port)
+    store = vector_store(spark, args.kept, f"embedder {args.embedder or 'stand-in'}") if args.kept else None
+    server = Service(corpus_of(spark, args), load(args.drafter) or quoting_drafter, load(args.embedder), args.log, store).server(args.host, args.port)
     print(f"http://{args.host}:{server.server_port}", flush=True)
     try:
         server.serve_forever()
@@ -121,7 +134,7 @@ def eval_retrieval(spark, args) -> int:
     chunks = corpus_of(spark, args)
     cases = cases_of(spark, args, chunks).select(F.col("id").alias("case_id"), "category", "question", F.col("expected_chunk_ids").alias("expected"))
     scored = cases.where(F.size("expected") > 0)
-    ranking = searcher(args.strategy, load(args.embedder))(scored.select(F.col("case_id").alias("question_id"), "question"), chunks, 10)
+    ranking = search_of(spark, args)(scored.select(F.col("case_id").alias("question_id"), "question"), chunks, 10)
     report = metrics.run_retrieval_eval(scored, ranking, chunks)
     show(report["by_category"].orderBy("category").collect())
     show(report["by_source_type"].orderBy("source_type").collect())
@@ -143,11 +156,10 @@ def eval_answers(spark, args) -> int:
     elif args.strategy == "refuse":
         given = answering.refusals(questions)
     elif args.strategy == "stuffed":
-        given = asking.ask_stuffed(questions, chunks, drafter)
+        given = asking.ask_stuffed(questions, chunks, drafter, **kept(spark, args, "drafter"))
     else:
-        given = asking.ask(questions, chunks, drafter, args.strategy, args.max_chunks, searcher(args.strategy, load(args.embedder)))
-    given = given.cache()  # answers are asked for once, whatever the report reads them for
-    report = asking.evaluate_answers(cases, given, chunks, load(args.grader) or silent_grader)
+        given = asking.ask(questions, chunks, drafter, args.strategy, args.max_chunks, search_of(spark, args), **kept(spark, args, "drafter"))
+    report = asking.evaluate_answers(cases, given, chunks, load(args.grader) or silent_grader, **kept(spark, args, "grader"))
     rows = report["by_category"].orderBy("category").collect()
     show(rows)
     if "run" in report:
@@ -227,7 +239,7 @@ def ingest(spark, args) -> int:
         out = threads.render_threads(members.join(picked.select("thread"), "thread", "left_semi"))
         if args.extractor:
             kind = "is_qa boolean, question string, answer string, answer_event_index long, self_contained boolean, is_product_question boolean, confidence double, reason string"
-            pairs = plugins.call(out, "rendered", kind, load(args.extractor)).where("result is not null").select("thread", "result.*")
+            pairs = asking.called(out, "rendered", kind, load(args.extractor), **kept(spark, args, "extractor")).where("result is not null").select("thread", "result.*")
             out = threads.to_candidates(threads.keep_extractions(pairs), members, F.current_timestamp(), args.base_url + "/%s")
     if args.repo:
         state = readers.repository_state(args.repo)
@@ -254,7 +266,7 @@ def parser() -> argparse.ArgumentParser:
 
     corpus = ("--corpus", {"required": True})
     strategy = ("--strategy", {"default": "bm25"})
-    plugs = [("--embedder", {}), ("--drafter", {})]
+    plugs = [("--embedder", {}), ("--drafter", {}), ("--kept", {})]
     command("ask", ask, ("question", {"nargs": "+"}), corpus, strategy, ("--max-chunks", {"type": int, "default": 5}), ("--json", {"action": "store_true"}), ("--show-retrieved", {"action": "store_true"}), *plugs)
     cases = ("--cases", {"required": True})
     command("eval-retrieval", eval_retrieval, corpus, cases, strategy, ("--out", {}), *plugs)
@@ -268,7 +280,7 @@ def parser() -> argparse.ArgumentParser:
     command("add-answer", add_answer, ("-q --question", {"required": True}), ("-a --answer", {"required": True}), ("-u --url", {"required": True}), ("--id", {}), ("--author", {}), ("--existing", {}), ("--out", {"required": True}), ("--force", {"action": "store_true"}))
     command(
         "ingest", ingest, ("kind", {"choices": ["faq", "blog", "guidelines", "terms", "help"]}), ("--source", {"required": True}), ("--strings", {}), ("--registry", {}), ("--base-url", {"default": ""}),
-        ("--site", {"default": ""}), ("--extractor", {}), ("--repo", {}), ("--out", {"required": True}),
+        ("--site", {"default": ""}), ("--extractor", {}), ("--kept", {}), ("--repo", {}), ("--out", {"required": True}),
     )
     return p
 

@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_key
-
 
 def call(df: DataFrame, column: str, schema: str, make: Callable, attempts: int = 2, timed: str | None = None, strict: bool = False) -> DataFrame:
     """``df`` with ``result``: make() gives a function of one value; null after ``attempts`` failures.
@@ -81,15 +79,6 @@ def cache_hits(asked: DataFrame, cache: DataFrame, model: str, order: str = "pos
     return asked.join(cache.where(F.col("model") == model).drop("model"), "key").orderBy(order)
 
 
-def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str, make: Callable) -> tuple[DataFrame, DataFrame]:
-    """(all vectors by key, new vectors to append): only misses are embedded.  texts: (text)."""
-    items = texts.select(content_key(F.col("text")).alias("key"), "text")
-    missed = call(cache_misses(items, cache, model), "text", "array<float>", make)
-    new = missed.select(F.lit(model).alias("model"), "key", F.col("result").alias("embedding"))
-    known = cache.where(F.col("model") == model).unionByName(new)
-    return items.join(known, "key").select("key", "text", "embedding"), new
-
-
 def http_answerer(base_url: str, strategy: str, max_chunks: int = 5, timeout: float = 180.0) -> Callable:
     """Plugin from a question to (text, citations, refused, confidence) of a running service; an HTTP error is raised."""
 

@@ -271,10 +271,10 @@ def bm25(
     return ranked(best, questions, chunks, k, order, zero_fill)
 
 
-def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = False, block_rows: int = 65_536) -> DataFrame:
+def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = False, block_bytes: int = 64 << 20) -> DataFrame:
     """Exact cosine top k.  question_vectors: (question_id, embedding), vectors: (id, embedding).
 
-    Questions are broadcast in blocks of ``block_rows``, each of which reads the vectors once; a task takes matrix
+    Questions are broadcast in blocks of up to ``block_bytes``, each of which reads the vectors once; a task takes matrix
     products of 1,024 questions at a time and keeps its own k best of each.  Ties go to the smaller id; a zero vector scores 0.
     """
     spark = vectors.sparkSession
@@ -314,11 +314,12 @@ def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_
 
         return vectors.select("id", "embedding").where("size(embedding) > 0").mapInArrow(run, schema)
 
-    out, block = None, []
+    out, block, held = None, [], 0
     for r in question_vectors.select("question_id", "embedding").where("size(embedding) > 0").toLocalIterator():
         block.append(r)
-        if len(block) == block_rows:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
+        held += 8 * len(r[1])
+        if held >= block_bytes:
+            out, block, held = search(block) if out is None else out.unionByName(search(block)), [], 0
     if block:
         out = search(block) if out is None else out.unionByName(search(block))
     if out is None:

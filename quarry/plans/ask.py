@@ -8,44 +8,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import answers, plugins
+from ..operators.results import ResultStore
 from ..operators.retrieve import retriever
+from ..storage import new_scratch_path, scratch
 
 DRAFT = "response_type string, answer string, citations array<string>, confidence double, tokens_in bigint, tokens_out bigint"
 ANSWER = "text string, citations array<string>, refused boolean, confidence double"
 
 
-def _answered(prompts: DataFrame, drafter: Callable, strategy: str) -> DataFrame:
+def called(df: DataFrame, column: str, kind: str, make: Callable, ledger: str | None, model: str, **options) -> DataFrame:
+    """plugins.call, each distinct prompt once, and the results written before anybody reads them.
+
+    ledger: a folder that keeps them for later runs; without one they go with the other intermediate tables.
+    """
+    spark = df.sparkSession
+    store = ResultStore(spark, ledger or new_scratch_path(spark, "ledger"), model, kind)
+    return store.ask(scratch(df, "prompts"), column, make, **options)
+
+
+def _answered(prompts: DataFrame, drafter: Callable, strategy: str, ledger: str | None = None, model: str = "drafter") -> DataFrame:
     """Drafts of prompts (question_id, retrieved, context, question) as answers."""
     prompts = prompts.withColumn("prompt", answers.answer_prompt(F.col("context"), F.col("question")))
-    drafts = plugins.call(prompts, "prompt", DRAFT, drafter, timed="answer_ms").select("question_id", "retrieved", "answer_ms", "result.*")
+    drafts = called(prompts, "prompt", DRAFT, drafter, ledger, model, timed="answer_ms").select("question_id", "retrieved", "answer_ms", "result.*")
     return answers.normalise_drafts(drafts).select(
         "question_id", "text", F.col("kept_citations").alias("citations"), "refused", F.col("clamped_confidence").alias("confidence"), F.lit(strategy).alias("strategy"),
         "retrieved", "dropped_citations", "answer_ms", F.col("response_type").isNull().alias("parse_failed"), "tokens_in", "tokens_out",
     )
 
 
-def ask(questions: DataFrame, chunks: DataFrame, drafter: Callable, strategy: str = "bm25", max_chunks: int = answers.MAX_CHUNKS, search: Callable | None = None) -> DataFrame:
+def ask(
+    questions: DataFrame, chunks: DataFrame, drafter: Callable, strategy: str = "bm25", max_chunks: int = answers.MAX_CHUNKS, search: Callable | None = None,
+    ledger: str | None = None, model: str = "drafter",
+) -> DataFrame:
     """Answers (question_id, text, citations, refused, confidence, strategy, retrieved, dropped_citations, answer_ms, parse_failed, tokens_in, tokens_out).
 
     drafter: plugin from a prompt to DRAFT, whose token counts may be missing.  search: (questions, chunks, k) to a ranking, for
-    strategies that need more than these, such as dense.  A question without any chunk is asked with an empty context.
+    strategies that need more than these, such as dense.  A question without any chunk is asked with an empty context.  Every distinct prompt is
+    asked once, here and not when the answers are read; ledger and model: where drafts are kept for later runs, and whose they are.
     """
     ranking = (search or retriever(strategy))(questions, chunks, max_chunks)
     prompts = questions.join(answers.render_prompts(ranking, chunks, max_chunks), "question_id", "left")
     none = F.array().cast("array<string>")
-    return _answered(prompts.withColumns({"context": F.coalesce("context", F.lit("")), "retrieved": F.coalesce("retrieved", none)}), drafter, strategy)
+    return _answered(prompts.withColumns({"context": F.coalesce("context", F.lit("")), "retrieved": F.coalesce("retrieved", none)}), drafter, strategy, ledger, model)
 
 
-def ask_stuffed(questions: DataFrame, chunks: DataFrame, drafter: Callable) -> DataFrame:
+def ask_stuffed(questions: DataFrame, chunks: DataFrame, drafter: Callable, ledger: str | None = None, model: str = "drafter") -> DataFrame:
     """As ask, with the whole corpus in the prompt; nothing counts as retrieved, so no citation is dropped."""
     prompts = questions.join(F.broadcast(answers.stuffed_prompt(chunks)))
-    return _answered(prompts.withColumn("retrieved", F.array().cast("array<string>")), drafter, "stuffed")
+    return _answered(prompts.withColumn("retrieved", F.array().cast("array<string>")), drafter, "stuffed", ledger, model)
 
 
 def ask_endpoint(questions: DataFrame, base_url: str, strategy: str, max_chunks: int = answers.MAX_CHUNKS) -> DataFrame:
     """As ask, by a running service; what it retrieved is not told, and an HTTP error ends the run."""
     make = plugins.http_answerer(base_url, strategy, max_chunks)
-    done = plugins.call(questions, "question", ANSWER, make, attempts=1, timed="answer_ms", strict=True)
+    done = scratch(plugins.call(questions, "question", ANSWER, make, attempts=1, timed="answer_ms", strict=True), "endpoint")
     zero = F.lit(None).cast("bigint")
     return done.select(
         "question_id", "result.*", F.lit(f"http-{strategy}").alias("strategy"), F.array().cast("array<string>").alias("retrieved"), F.lit(0).alias("dropped_citations"),
@@ -63,10 +79,10 @@ def select_cases(cases: DataFrame, categories: list[str] | None = None, limit: i
 GRADE = "grounded boolean, correct boolean, cited boolean, appropriate_refusal boolean, rationale string"
 
 
-def evaluate_answers(cases: DataFrame, given: DataFrame, chunks: DataFrame, grader: Callable) -> dict[str, DataFrame]:
+def evaluate_answers(cases: DataFrame, given: DataFrame, chunks: DataFrame, grader: Callable, ledger: str | None = None, model: str = "grader") -> dict[str, DataFrame]:
     """per_case, by_category and run of answers (question_id = case id); grader: plugin from answers.grader_prompt to GRADE.
 
-    run: latency, parse failures and tokens, if ``given`` has them.
+    run: latency, parse failures and tokens, if ``given`` has them.  Grades are asked for once, as drafts are in ask().
     """
     joined = cases.join(given.withColumnRenamed("question_id", "id"), "id")
     known = chunks.select(F.col("id").alias("cid"))
@@ -79,7 +95,7 @@ def evaluate_answers(cases: DataFrame, given: DataFrame, chunks: DataFrame, grad
     blocks = F.coalesce("blocks", F.array().cast(joined.schema["blocks"].dataType))
     prompt = answers.grader_prompt(column("category"), column("notes"), column("question"), F.col("refused"), F.col("text"), blocks)
     checked = answers.deterministic_checks(joined, found).withColumn("grading", prompt).drop("blocks")
-    graded = plugins.call(checked, "grading", GRADE, grader).select("*", F.col("result").isNull().alias("grading_failed"), "result.*").drop("result", "lost", "grading")
+    graded = called(checked, "grading", GRADE, grader, ledger, model).select("*", F.col("result").isNull().alias("grading_failed"), "result.*").drop("result", "lost", "grading")
     out = {"per_case": graded, "by_category": answers.summarise_grades(graded, "category")}
     return out | ({"run": answers.run_report(given)} if "answer_ms" in given.columns else {})
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking, dates, text
 from ..operators import answers, chunks, metrics, retrieve, review, threads, validate
 from ..operators.common import top_k
+from ..storage import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -557,6 +558,53 @@ def _(spark, sf):
     return cache_misses(d.select("key", "text"), cache, "m").select("key")
 
 
+def _counting_embedder():
+    return lambda text: [float(len(text) % 97), float(text.count("e"))]
+
+
+@query(
+    "embedding_store",
+    """SELECT doc_id, substr(sha256(text), 1, 16) AS key, CAST(length(text) % 97 AS DOUBLE) AS e0, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS e1,
+              text NOT IN (SELECT text FROM documents WHERE lang = 'en') AS later FROM documents""",
+)
+def _(spark, sf):
+    """Vectors of all documents: the English ones are delivered and merged first, then all, of which only new texts are embedded."""
+    from ..operators.results import vector_store
+
+    d = t(spark, sf, "documents")
+    store = vector_store(spark, new_scratch_path(spark, "vectors"), "counts")
+    key = text.content_key(F.col("text"))
+    store.fill(d.where("lang = 'en'").select(key.alias("key"), "text"), _counting_embedder)
+    store.compact()
+    found = store.ask(d.select("doc_id", "text", key.alias("key")), "text", _counting_embedder, key=F.col("key"))
+    first = store.merged(store.snapshot()[0]).select("key", F.lit(False).alias("later"))
+    e = F.col("result").cast("array<double>")
+    return found.join(first, "key", "left").select("doc_id", "key", F.get(e, F.lit(0)).alias("e0"), F.get(e, F.lit(1)).alias("e1"), F.coalesce("later", F.lit(True)).alias("later"))
+
+
+def _counting_drafter():
+    return lambda prompt: ("answer", str(len(prompt)), [prompt[-20:]], 0.5)
+
+
+_AROUND = "\n\nReference chunks:\n\n\n\n<question>\n\n</question>"  # of a prompt without chunks
+
+
+@query(
+    "call_ledger",
+    f"""SELECT item_id, 'answer' AS response_type, CAST(length(text) + {len(answers.RULES + _AROUND)} AS VARCHAR) AS answer, count(*) OVER (PARTITION BY text) AS sharing FROM benchmark""",
+)
+def _(spark, sf):
+    """Drafts for every item from one ledger, which two runs fill: the second asks nothing."""
+    from .ask import DRAFT, called
+
+    asked = as_questions(spark, sf).withColumn("prompt", answers.answer_prompt(F.lit(""), F.col("question")))
+    folder = new_scratch_path(spark, "ledger")
+    for _ in range(2):
+        found = called(asked, "prompt", DRAFT, _counting_drafter, folder, "m")
+    sharing = F.count("*").over(Window.partitionBy("prompt"))
+    return found.select(F.col("question_id").alias("item_id"), "result.response_type", "result.answer", sharing.alias("sharing"))
+
+
 @query("replace_latest", "SELECT doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'old' ELSE 'new' END AS version FROM documents d LEFT JOIN labels l USING (doc_id)".replace("l.doc_id IS NULL", "l.quality IS NULL"))
 def _(spark, sf):
     old = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("old").alias("version"))

@@ -16,11 +16,13 @@ from threading import Lock
 from pyspark.sql import DataFrame
 
 from .operators import answers, validate
+from .operators.plugins import hashed_embedding
+from .operators.results import ResultStore
 from .plans import ask as asking
-from .plans.search import STRATEGIES, searcher
+from .plans.search import STRATEGIES, chunk_vectors, searcher
 from .sources import writers
 from .sources.schemas import LOG
-from .storage import mark, release
+from .storage import mark, release, scratch
 
 
 class RequestError(Exception):
@@ -32,12 +34,15 @@ class RequestError(Exception):
 
 
 class Service:
-    """chunks: an indexable corpus.  drafter and embedder: plugins.  log: a folder that request records are appended to."""
+    """chunks: an indexable corpus.  drafter and embedder: plugins.  log: a folder that request records are appended to.  store: vectors kept between services.
 
-    def __init__(self, chunks: DataFrame, drafter: Callable, embedder: Callable | None = None, log: str | None = None):
+    The corpus is embedded once, for the first request that needs it; a request embeds its question.
+    """
+
+    def __init__(self, chunks: DataFrame, drafter: Callable, embedder: Callable | None = None, log: str | None = None, store: ResultStore | None = None):
         began = time.perf_counter()
         self.spark, self.chunks, self.log = chunks.sparkSession, chunks.cache(), log
-        self.drafter, self.embedder = drafter, embedder
+        self.drafter, self.embedder, self.store, self.vectors = drafter, embedder or hashed_embedding(256), store, None
         self.turn = Lock()  # one request at a time: each removes the intermediate tables that it wrote
         self.strategies = sorted([*STRATEGIES, "stuffed", "refuse"])
         self.size = self.chunks.count()
@@ -48,6 +53,8 @@ class Service:
 
     def ask(self, request: dict) -> dict:
         with self.turn:
+            if request.get("strategy") in ("dense", "hybrid") and self.vectors is None:
+                self.vectors = scratch(chunk_vectors(self.chunks, self.embedder, self.store), "service-vectors")
             since = mark()
             try:
                 return self.answer(request)
@@ -68,7 +75,7 @@ class Service:
         elif strategy == "stuffed":
             done = asking.ask_stuffed(one, self.chunks, self.drafter)
         else:
-            done = asking.ask(one, self.chunks, self.drafter, strategy, max_chunks, searcher(strategy, self.embedder))
+            done = asking.ask(one, self.chunks, self.drafter, strategy, max_chunks, searcher(strategy, self.embedder, self.store, self.vectors))
         answer = done.first()
         took = int(1000 * (time.perf_counter() - began))
         given = self.spark.createDataFrame([(0, answer.citations)], "question_id long, citations array<string>")

@@ -136,11 +136,8 @@ def test_evaluate_answers(spark):
     assert (total.cases, total.grading_failures, total.citation_failures, total.grounded_graded) == (2, 1, 1, 1)
 
 
-def test_embedding_cache_only_asks_for_misses(spark):
-    texts = spark.createDataFrame([("a b",), ("c",), ("a b",)], "text string")
-    cache = spark.createDataFrame([], "model string, key string, embedding array<float>")
-    all_, new = plugins.embed_with_cache(texts, cache, "m", plugins.hashed_embedding(4))
-    assert all_.count() == 3 and new.count() == 2
-    again = plugins.cache_misses(all_.select("key", "text"), new.select("model", "key", "embedding"), "m")
-    assert again.count() == 0
-    assert plugins.cache_misses(all_.select("key", "text"), new, "other").count() == 2
+def test_cache_misses(spark):
+    items = spark.createDataFrame([("k1", "a b"), ("k2", "c"), ("k2", "c")], "key string, text string")
+    cache = spark.createDataFrame([("m", "k1", [1.0])], "model string, key string, embedding array<float>")
+    assert [r.key for r in plugins.cache_misses(items, cache, "m").collect()] == ["k2"]
+    assert plugins.cache_misses(items, cache, "other").count() == 2

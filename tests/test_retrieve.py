@@ -68,7 +68,7 @@ def test_dense_order_ties_and_zero_vectors(spark):
     q = spark.createDataFrame([(1, [3.0, 0.0]), (9, [0.0, 5.0])], "question_id long, embedding array<float>")
     out = retrieve.dense(q, v, 4)
     assert ranking(out, 1) == [1, 2, 3, 4] and ranking(out, 9) == [3, 1, 2, 4]
-    assert ranking(retrieve.dense(q, v, 2, exclude_self=True, block_rows=1), 1) == [2, 3]
+    assert ranking(retrieve.dense(q, v, 2, exclude_self=True, block_bytes=1), 1) == [2, 3]
 
 
 def test_fusion_prefers_two_seconds_to_one_first(spark):
