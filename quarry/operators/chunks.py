@@ -9,6 +9,7 @@ from ..functions import markup
 from ..functions.chunking import merge_short, split_clauses, split_paragraphs, split_prose
 from ..functions.text import breadcrumb, content_key, inline_links, inline_markdown, slug
 from ..storage import broadcast
+from .ordered import numbered
 
 
 def _map_rows(df: DataFrame, key: str, source: str, schema: str, rows) -> DataFrame:
@@ -85,11 +86,16 @@ def article_chunks(posts: DataFrame, sections: DataFrame, base_url: str, limit:
     return _finish(out)
 
 
-def by_date(chunks: DataFrame, posts: DataFrame) -> DataFrame:
-    """Article chunks in the order of their posts: the latest first, posts of one day as the registry has them."""
-    place = posts.select(F.col("slug").alias("__slug"), F.col("date").alias("__date"), F.col("position").alias("__position"))
-    joined = chunks.join(place, F.col("meta.slug") == F.col("__slug"))
-    order = [F.desc("__date"), "__position", F.col("meta.section_index"), F.col("meta.part")]
+def by_date(chunks: DataFrame, posts: DataFrame, place: str | None = None) -> DataFrame:
+    """Article chunks in the order of their posts: the latest first, posts of one day as the registry has them.
+
+    place: a column for the number in that order, from 1; the rows then come in any order.
+    """
+    by = posts.select(F.col("slug").alias("__slug"), F.col("date").alias("__date"), F.col("position").alias("__position"))
+    joined = chunks.join(by, F.col("meta.slug") == F.col("__slug"))
+    order = [F.desc("__date"), F.col("__position"), F.col("meta.section_index"), F.col("meta.part")]
+    if place:
+        return numbered(joined, order, place, "by-date").select(*chunks.columns, place)
     return joined.orderBy(*order).select(*chunks.columns)
 
 

@@ -42,3 +42,29 @@ def running_sums(df: DataFrame, order: list, sums: dict[str, Column], label: str
 def numbered(df: DataFrame, order: list, name: str = "n", label: str = "ranged") -> DataFrame:
     """``df`` with its place in ``order``, from 1."""
     return running_sums(df, order, {name: F.lit(1).cast("long")}, label)
+
+
+def gap_runs(df: DataFrame, ts: str, order: list[str], by: list[str], micros: int, mark: str, label: str = "gap-runs") -> DataFrame:
+    """``df`` with __run and __first: runs end where ``by`` changes or more than ``micros`` lie between a row's ``ts`` and the one before.
+
+    __run rises from 1 along (by, order); __first is ``mark`` of the run's first row.  Each range passes on its last row, its number of runs and the mark of its
+    open run, so a stream or a run of any length is spread over the ranges that it fills.
+    """
+    rows = ranged(df, [*by, *order], label)
+    local, here = Window.partitionBy(PART).orderBy(AT), F.struct(F.unix_micros(ts).alias("ts"), *by)
+    ends = rows.groupBy(PART).agg(F.max_by(here, AT).alias("__last"))
+    ends = ends.select(PART, F.lag("__last").over(Window.orderBy(PART)).alias("__link"))  # one row for each range
+    before = F.coalesce(F.lag(here).over(local), F.col("__link"))
+    seen = rows.join(F.broadcast(ends), PART).withColumn("__before", before).drop("__link")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col("__before")[c])
+    new = F.col("__before").isNull() | ~same | (F.unix_micros(ts) - F.col("__before.ts") > micros)
+    seen = seen.withColumn("__new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("__mark", F.when(F.col("__new") == 1, F.col(mark))).drop("__before")
+    seen = scratch(seen, label)
+    totals = seen.groupBy(PART).agg(F.sum("__new").alias("__runs"), F.max_by("__mark", F.when(F.col("__new") == 1, F.col(AT))).alias("__open"))
+    earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(PART, F.coalesce(F.sum("__runs").over(earlier), F.lit(0)).alias("__base"), F.last("__open", True).over(earlier).alias("__held"))
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    out = seen.withColumns({"__n": F.sum("__new").over(upto), "__m": F.last("__mark", True).over(upto)}).join(F.broadcast(carried), PART)
+    return out.select(*df.columns, (F.col("__n") + F.col("__base")).alias("__run"), F.coalesce("__m", "__held").alias("__first"))

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import from_millis, is_stale, iso_utc
 from ..functions.text import content_key, is_question
-from .common import is_small
+from ..storage import scratch
+from .ordered import gap_runs
 
 GAP_MINUTES, MAX_MESSAGES, MIN_ANSWER_CHARS = 45, 40, 60
-ONE_CHANNEL = 5_000_000  # messages of one channel, ordered in one task
 MAX_HOPS, MIN_CONFIDENCE, STALE_DAYS = 10, 0.7, 270
 
 
-def gap_sessions(df: DataFrame, ts: str, order: list, by: list[str] | None = None, minutes: int = GAP_MINUTES, name: str = "session") -> DataFrame:
+def gap_sessions(df: DataFrame, ts: str, order: list, by: list[str], minutes: int = GAP_MINUTES, name: str = "session") -> DataFrame:
     """``df`` with a running number that rises where more than ``minutes`` passed since the row before.
 
-    by: partition columns; without them all rows are one stream, which suits one channel.
+    by: columns of the streams, each of which one task scans; ordered.gap_runs is for streams of any length.
     """
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+    w = Window.partitionBy(*by).orderBy(*order)
     apart = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) > minutes * 60_000_000
     return df.withColumn("__new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn(name, F.sum("__new").over(w)).drop("__new")
 
@@ -29,7 +29,7 @@ def thread_roots(events: DataFrame) -> DataFrame:
 
     A thread edge leads to its message in one step, or nowhere.  Reply edges are followed while
     parents exist, MAX_HOPS times at most; the last step may be a parent's thread edge.
-    Index 0 is a root like any other.
+    Index 0 is a root like any other.  The steps are taken by pointer doubling: 1, 2 and 8 of them, and none where no walk goes on.
     """
     e = events.select("index", "messageIndex", "threadRootMessageIndex", "repliesToEventIndex")
     by_message = e.where("messageIndex is not null").groupBy(F.col("messageIndex").alias("m")).agg(F.max("index").alias("at"))
@@ -39,34 +39,38 @@ def thread_roots(events: DataFrame) -> DataFrame:
     edges = direct.join(ids, F.col("repliesToEventIndex") == F.col("p"), "left").select(
         "index", F.col("threadRootMessageIndex").isNotNull().alias("threaded"), F.col("at").alias("target"), F.col("p").alias("parent")
     )
+    # The walk goes to the parent and on.  A visit of a node gives the root so far and the node to visit next; visits are doubled.
+    here = F.when(F.col("threaded") & F.col("target").isNotNull(), F.col("target")).otherwise(F.col("index"))
+    visit = scratch(edges.select(F.col("index").alias("at"), here.alias("found"), F.when(~F.col("threaded"), F.col("parent")).alias("then")), "visits")
     state = edges.select("index", F.when(F.col("threaded"), F.col("target")).alias("root"), F.when(~F.col("threaded"), F.col("parent")).alias("next"))
-    look = edges.select(F.col("index").alias("i"), "threaded", "target", "parent")
-    for _ in range(MAX_HOPS + 1):
-        # root so far: the furthest ancestor; a threaded ancestor ends the walk at its target.
-        joined = state.join(look, state["next"] == look["i"], "left")
-        here = F.col("next").isNotNull()
-        root = F.when(here & F.col("threaded") & F.col("target").isNotNull(), F.col("target")).when(here, F.col("next")).otherwise(F.col("root"))
-        state = joined.select("index", root.alias("root"), F.when(here & ~F.col("threaded"), F.col("parent")).alias("next"))
+    left, hops = MAX_HOPS + 1, 1
+    while left and not state.where("next is not null").isEmpty():
+        if left & hops:
+            met = state.join(visit, state["next"] == visit["at"], "left")
+            went = F.col("next").isNotNull()
+            state = scratch(met.select("index", F.when(went, F.col("found")).otherwise(F.col("root")).alias("root"), F.col("then").alias("next")), "roots")
+            left -= hops
+        if left:
+            on = visit.select(F.col("at").alias("a2"), F.col("found").alias("f2"), F.col("then").alias("t2"))
+            two = visit.join(on, F.col("then") == F.col("a2"), "left")
+            visit = scratch(two.select("at", F.coalesce("f2", "found").alias("found"), F.col("t2").alias("then")), "visits")
+            hops *= 2
     return state.select("index", "root")
 
 
 def build_threads(events: DataFrame, channel: str | None = None) -> DataFrame:
     """(thread, index, ...) of cleaned events: edge threads first, loose messages by time gap.
 
-    channel: column whose values are separate streams (indexes must then be unique over all of
-    them); without it the loose messages of the one channel are ordered in one task, up to ONE_CHANNEL of them.
+    channel: column whose values are separate streams (indexes must then be unique over all of them); without it all messages are one.  Loose messages get
+    a global order by ranges, so a channel may hold all of them.
     """
     by = [channel] if channel else []
-    if not channel and not is_small(events, ONE_CHANNEL):
-        raise ValueError(f"over {ONE_CHANNEL} messages: name the column of their channel")
     roots = thread_roots(events)
     placed = roots.where("root is not null").select(F.col("root").alias("thread"), "index")
     heads = placed.select("thread").distinct().join(events.select(F.col("index").alias("thread")), "thread", "left_semi").select("thread", F.col("thread").alias("index"))
     loose = roots.where("root is null").select("index").join(heads.select("index"), "index", "left_anti").join(events, "index")
     timed = loose.select("index", *by, from_millis(F.col("timestamp")).alias("__ts"))
-    gaps = gap_sessions(timed, "__ts", ["index"], by, name="__s")
-    first = Window.partitionBy(*by, "__s")
-    loose = gaps.select(F.min("index").over(first).alias("thread"), "index")
+    loose = gap_runs(timed, "__ts", ["index"], by, GAP_MINUTES * 60_000_000, "index").select(F.col("__first").alias("thread"), "index")
     members = placed.unionByName(heads).unionByName(loose).distinct()
     return cap_threads(members.join(events, "index"))
 

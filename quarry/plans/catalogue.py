@@ -1027,8 +1027,7 @@ def _(spark, sf):
     """Chunks of posts, the latest post first: the order of the written file, as a number."""
     o = t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("slug"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").alias("position"))
     made = o.select("slug", F.struct("slug", F.lit(0).alias("section_index"), F.lit(0).alias("part")).alias("meta"))
-    ordered = chunks.by_date(made, o).withColumn("n", F.monotonically_increasing_id())  # partition after partition of the sorted rows
-    return ordered.select(F.col("slug").cast("bigint").alias("o_orderkey"), F.row_number().over(Window.orderBy("n")).alias("place"))
+    return chunks.by_date(made, o, "place").select(F.col("slug").cast("bigint").alias("o_orderkey"), "place")
 
 
 def _sql(literal: str) -> str:
