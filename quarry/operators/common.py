@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import scratch
+
 #: Rows up to which a side is broadcast.  Beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 200_000
 
@@ -19,6 +21,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+def held(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, computed once: a local table with a broadcast hint if it is small, else written."""
+    rows = df.limit(limit + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else scratch(df, label)
+
+
 def top_k(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark limits groups before and after the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)

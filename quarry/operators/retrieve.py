@@ -49,10 +49,34 @@ def matched_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.join(terms, "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+POSTINGS_AT_ONCE = 100_000  # rows of a batch
+
+
 def build_postings(chunks: DataFrame) -> DataFrame:
-    """The whole inverted list (term, id, tf, dl), to be written once and searched often."""
-    docs = _body(chunks).select("id", tokens(F.col("body")).alias("words"))
-    return docs.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """The whole inverted list (term, id, tf, dl).  Terms are counted where the text is, so nothing is shuffled."""
+    from pyspark.sql import types as T
+
+    def run(batches):
+        import pyarrow as pa
+
+        def batch(places, terms, tfs, dls, ids):
+            taken = ids.take(pa.array(places, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), taken, pa.array(tfs, pa.int64()), pa.array(dls, pa.int32())], ["term", "id", "tf", "dl"])
+
+        for b in batches:
+            rows = [], [], [], []
+            for place, text in enumerate(b.column(1)):
+                words = _TOKEN.findall((text.as_py() or "").lower())
+                held = Counter(words)
+                for column, values in zip(rows, ([place] * len(held), held.keys(), held.values(), [len(words)] * len(held)), strict=True):
+                    column.extend(values)
+                if len(rows[0]) >= POSTINGS_AT_ONCE:
+                    yield batch(*rows, b.column(0))
+                    rows = [], [], [], []
+            yield batch(*rows, b.column(0))
+
+    schema = T.StructType([T.StructField("term", T.StringType()), chunks.schema["id"], T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType())])
+    return _body(chunks).select("id", "body").mapInArrow(run, schema)
 
 
 def corpus_stats(chunks: DataFrame) -> tuple[int, float]:

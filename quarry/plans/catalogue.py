@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking, dates, text
 from ..operators import answers, chunks, metrics, retrieve, review, threads, validate
 from ..operators.common import top_k
+from ..operators.postings import PostingIndex
 from ..storage import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,8 +148,7 @@ _POSTINGS = """WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text)
 @query("term_df_idf", _POSTINGS + " SELECT term, df, round(idf, 6) AS idf FROM idf")
 def _(spark, sf):
     c = as_chunks(spark, sf)
-    n, _ = retrieve.corpus_stats(c)
-    return retrieve.term_stats(retrieve.build_postings(c), n).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieve.term_stats(retrieve.build_postings(c), t(spark, sf, "documents").count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -286,6 +286,16 @@ def _(spark, sf):
     return retrieve.bm25(as_questions(spark, sf), as_chunks(spark, sf), 10, zero_fill=False)
 
 
+@query("bm25_index_topk", _BM + " SELECT question_id, id, score, rank FROM br WHERE rank <= 10")
+def _(spark, sf):
+    """bm25_topk from an index that was written in two deliveries, the English documents first."""
+    index = PostingIndex(spark, new_scratch_path(spark, "postings"))
+    english = spread(t(spark, sf, "documents")).withColumn("english", F.coalesce(F.col("lang") == "en", F.lit(False)))
+    for part in ("english", "not english"):
+        index.add(english.where(part).select(F.col("doc_id").alias("id"), "text"))
+    return index.search(as_questions(spark, sf), 10)
+
+
 @query(
     "bm25_zero_fill",
     _BM

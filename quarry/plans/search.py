@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import question_key
 from ..operators import plugins, retrieve
+from ..operators.postings import PostingIndex
 from ..operators.results import ResultStore
 
 STRATEGIES = ("stub", "bm25", "dense", "hybrid")
@@ -29,10 +30,11 @@ def chunk_vectors(chunks: DataFrame, embedder: Callable, store: ResultStore | No
     return embedded(chunks, "id", "text", embedder, store, F.col("content_hash") if "content_hash" in chunks.columns else None)
 
 
-def searcher(strategy: str, embedder: Callable | None = None, store: ResultStore | None = None, vectors: DataFrame | None = None) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+def searcher(strategy: str, embedder: Callable | None = None, store: ResultStore | None = None, vectors: DataFrame | None = None, index: PostingIndex | None = None) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
     """(questions, chunks, k) to a ranking.  dense and hybrid embed the chunks' text with ``embedder``.
 
     store: where vectors of chunks and questions are kept between searches.  vectors: (id, embedding) of the chunks, if they are there already.
+    index: kept postings of the chunks, for bm25.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {sorted(STRATEGIES)}")
@@ -46,4 +48,6 @@ def searcher(strategy: str, embedder: Callable | None = None, store: ResultStore
         return dense
     if strategy == "hybrid":
         return lambda q, c, k: retrieve.hybrid(q, c, lambda depth: dense(q, c, depth), k)
+    if strategy == "bm25" and index:
+        return lambda q, c, k: retrieve.ranked(index.search(q, k).select("question_id", "id", F.col("id").alias("order"), "score"), q, c, k, "id", True)
     return lambda q, c, k: retrieve.retriever(strategy)(q, c, k)
