@@ -13,7 +13,10 @@ the template has.  A very long text goes through in overlapping stretches.  Text
 many of the template's words that the coverage can't be reached are turned away by one set
 intersection.
 
-A license has several templates: a short note (TEMPLATES), and its standard header or permission text (TEXTS).
+A license has several templates: a short note (TEMPLATES), and its standard header or permission text (TEXTS).  Each has words that name it (NAMING): its phrases
+that a template holds must be matched word by word and next to each other, so that a near miss, such as another version or a name with one part more, is not
+taken for it, however much of the rest is equal.  Permission texts that name nothing go by their coverage alone.  A text that lacks the words which every
+alignment needs (a naming word, or one of so many rare ones that the coverage can't do without them all) is not taken apart.
 
 Defined results: null or empty texts match nothing; words are compared in lower case and without
 punctuation at their ends; every place where a license stands is a row;
@@ -27,6 +30,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +53,17 @@ TEMPLATES = {
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "Proprietary": "All rights reserved.",
+    "ISC": "Released under the ISC License.",
+    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-3.0": "Licensed under CC BY 3.0.",
+    "CC-BY-SA-3.0": "Licensed under CC BY-SA 3.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "Zlib": "Released under the zlib License.",
+    "EPL-2.0": "This program is made available under the terms of the Eclipse Public License 2.0.",
 }
 _GNU = """This {kind} is free software: you can redistribute it and/or modify it under the terms of the GNU {gnu}General Public License
 as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.
@@ -68,9 +83,13 @@ disclaimer. 2. Redistributions in binary form must reproduce the above copyright
 the documentation and/or other materials provided with the distribution."""
 _NAME = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
 this software without specific prior written permission."""
-_CC = "licensed under a Creative Commons {name} 4.0 International License."
-_CC_THE = "licensed under the Creative Commons {name} 4.0 International License. To view a copy of this license, visit"
-_CC_NAMES = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives"}
+_CC = "licensed under a Creative Commons {name} {version} License."
+_CC_THE = "licensed under the Creative Commons {name} {version} License. To view a copy of this license, visit"
+_CC_NAMES = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_CC_VERSIONS = {"4.0": "4.0 International", "3.0": "3.0 Unported"}
 
 #: Standard headers and permission texts, several a license.
 TEXTS = {
@@ -83,6 +102,20 @@ TEXTS = {
         )
         for short, gnu, v in (("", "", 3), ("", "", 2), ("L", "Lesser ", 3), ("A", "Affero ", 3))
     },
+    "LGPL-2.1": tuple(t.format(kind="library", gnu="Lesser ", v="2.1") for t in (_GNU, _GNU_SHORT, _GNU_ONLY)),
+    "ISC": (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies.""",
+    ),
+    "BSL-1.0": (
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+        covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software""",
+    ),
+    "Zlib": (
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions""",
+    ),
     "Apache-2.0": (
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You
         may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
@@ -106,9 +139,26 @@ TEXTS = {
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
         file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     ),
-    **{f"CC-{short}-4.0": (_CC.format(name=name), _CC_THE.format(name=name)) for short, name in _CC_NAMES.items()},
+    **{f"CC-{short}-{v}": tuple(t.format(name=name, version=full) for t in (_CC, _CC_THE)) for short, name in _CC_NAMES.items() for v, full in _CC_VERSIONS.items()},
 }
 LICENSES = {name: (*((TEMPLATES[name],) if name in TEMPLATES else ()), *TEXTS.get(name, ())) for name in {**TEMPLATES, **TEXTS}}
+#: The phrases that name a license; those that a template holds must stand in the text as they are.
+NAMING = {
+    **{f"{short}GPL-{v}": (f"gnu {gnu}general public license", f"version {v.removesuffix('.0')}") for short, gnu, v in (("", "", "3.0"), ("", "", "2.0"), ("L", "lesser ", "3.0"), ("L", "lesser ", "2.1"), ("A", "affero ", "3.0"))},
+    **{f"CC-{short}-{v}": (f"cc {short.lower()} {v}", f"creative commons {name.lower()} {v}") for short, name in _CC_NAMES.items() for v in _CC_VERSIONS},
+    "CC0-1.0": ("cc0",),
+    "Apache-2.0": ("apache license version 2.0",),
+    "MIT": ("mit license",),
+    "ISC": ("isc license",),
+    "BSD-2-Clause": ("bsd 2-clause",),
+    "BSD-3-Clause": ("bsd 3-clause",),
+    "MPL-2.0": ("mozilla public license", "version 2.0"),
+    "EPL-2.0": ("eclipse public license 2.0",),
+    "BSL-1.0": ("boost software license version 1.0",),
+    "Zlib": ("zlib license",),
+    "Unlicense": ("free and unencumbered software",),
+    "Proprietary": ("all rights reserved",),
+}
 MIN_COVERAGE, MIN_DENSITY = 0.75, 0.6
 SCHEMA = "doc_id long, license string, coverage double, matched long, template_words long, start long, n_words long, n_anchors long"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,25 +237,41 @@ def align(text: list[str], template: list[str], a: int, b: int, c: int, d: int)
 
 
 class Template:
-    def __init__(self, name: str, text: str, rarity: Counter):
+    """phrases: places in the template of each phrase that names the license; naming: their words, the rarest first."""
+
+    def __init__(self, name: str, text: str, rarity: Counter, naming: tuple[str, ...] = ()):
         self.name, self.words = name, words_of(text)
         self.vocabulary = set(self.words)
-        self.rarest = sorted(self.vocabulary, key=lambda w: (rarity[w], -len(w), w))
+        order = lambda w: (rarity[w], -len(w), w)
+        self.rarest = sorted(self.vocabulary, key=order)
+        found = ([(i, len(p)) for i in range(len(self.words)) if self.words[i : i + len(p)] == p] for p in map(words_of, naming))
+        self.phrases = [places for places in found if places]
+        self.naming = sorted({w for places in self.phrases for i, n in places[:1] for w in self.words[i : i + n]}, key=order)
+
+    def seeds(self, min_coverage: float) -> list[str]:
+        """Words one of which any alignment that is good enough holds: a naming word, or so many rare ones that the rest can't make up the coverage."""
+        if self.naming:
+            return self.naming[:1]
+        counts, spare, out = Counter(self.words), len(self.words) - int(-(-len(self.words) * min_coverage // 1)), []
+        for w in self.rarest:
+            out.append(w)
+            spare -= counts[w]
+            if spare < 0:
+                break
+        return out
+
+    def named(self, matches: list[tuple[int, int]]) -> bool:
+        """Whether each phrase is matched somewhere, and unbroken."""
+        at = dict(matches)
+        unbroken = lambda i, n: i in at and all(at.get(i + j) == at[i] + j for j in range(n))
+        return all(any(unbroken(i, n) for i, n in places) for places in self.phrases)
 
 
 def alignments(text: list[str], where: dict[str, list[int]], t: Template, min_coverage: float, min_density: float):
     """(matched, start, n_words, anchors) of every window that is good enough."""
     m = len(t.words)
     required = -(-m * min_coverage // 1)
-    missing = m - int(required)
-    counts = Counter(t.words)
-    # Any alignment that is good enough holds one of these words: the rest can't make up the coverage.
-    seeds, spare = [], 0
-    for w in t.rarest:
-        seeds.append(w)
-        spare += counts[w]
-        if spare > missing:
-            break
+    seeds = t.seeds(min_coverage)
     places = sorted({p for w in seeds for p in where.get(w, ())})
     last = -1
     for p in places:
@@ -226,7 +292,7 @@ def alignments(text: list[str], where: dict[str, list[int]], t: Template, min_co
                     break
                 head, tail = matches[1][1] - matches[0][1], matches[-1][1] - matches[-2][1]
                 matches = matches[1:] if head >= tail else matches[:-1]
-            if len(matches) >= required:
+            if len(matches) >= required and t.named(matches):
                 yield len(matches), matches[0][1], matches[-1][1] - matches[0][1] + 1, anchors
                 break
 
@@ -243,20 +309,31 @@ def clear_of(hits: list[tuple]) -> list[tuple]:
     return out
 
 
-def scan(templates: dict[str, str | tuple[str, ...]], min_coverage: float, min_density: float, best_only: bool, block_words: int = 200_000):
+def scan(templates: dict[str, str | tuple[str, ...]], min_coverage: float, min_density: float, best_only: bool, block_words: int = 200_000, naming: dict[str, tuple[str, ...]] = NAMING):
     def run(batches):
         texts = [(n, text) for n, t in templates.items() for text in ((t,) if isinstance(t, str) else t)]
         rarity = Counter(w for _, text in texts for w in words_of(text))
         rarity += Counter({w: 1000 for w in ("the", "is", "under", "this", "to", "of", "all", "by", "in")})
-        known = [Template(n, text, rarity) for n, text in texts]
+        known = [Template(n, text, rarity, naming.get(n, ())) for n, text in texts]
+        # A template can only stand in a text that has all its naming words, or enough of its own if it names nothing: one pass finds which are there.
+        spotted = []
+        for t in known:
+            words = set(t.naming) or {w for w in t.vocabulary if len(w) > 3}  # short words stand in every text
+            least = len(t.vocabulary) - len(t.words) + int(-(-len(t.words) * min_coverage // 1)) - (len(t.vocabulary) - len(words))
+            spotted.append((t, words, len(words) if t.naming else least))
+        spotter = ahocorasick.Automaton()
+        for w in {w for _, words, _ in spotted for w in words}:
+            spotter.add_word(w, w)
+        if known:
+            spotter.make_automaton()
         vocabulary = set().union(*(t.vocabulary for t in known)) if known else set()
         longest = max((len(t.words) for t in known), default=1)
 
-        def search(words: list[str]):
+        def search(words: list[str], chosen: list[Template]):
             here = vocabulary.intersection(words)
             where: dict[str, list[int]] | None = None
-            for t in known if here else ():
-                if len(t.vocabulary & here) < min_coverage * len(t.vocabulary) - (len(t.words) - len(t.vocabulary)):
+            for t in chosen if here else ():
+                if not here.issuperset(t.naming) or len(t.vocabulary & here) < min_coverage * len(t.vocabulary) - (len(t.words) - len(t.vocabulary)):
                     continue
                 if where is None:
                     where = {}
@@ -266,15 +343,15 @@ def scan(templates: dict[str, str | tuple[str, ...]], min_coverage: float, min_d
                 for hit in alignments(words, where, t, min_coverage, min_density):
                     yield t, hit
 
-        def every(words: list[str]):
+        def every(words: list[str], chosen: list[Template]):
             """All hits; with best_only of those that share words the best, then again in the words between those."""
             if not best_only:
-                yield from search(words)
+                yield from search(words, chosen)
                 return
             todo = [(0, len(words))]
             while todo:
                 a, b = todo.pop()
-                found = clear_of([*search(words[a:b])])
+                found = clear_of([*search(words[a:b], chosen)])
                 at = a
                 for t, (n, start, size, anchors) in sorted(found, key=lambda x: x[1][1]):
                     yield t, (n, a + start, size, anchors)
@@ -286,7 +363,12 @@ def scan(templates: dict[str, str | tuple[str, ...]], min_coverage: float, min_d
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                hits = [(t, (hit[0], hit[1] + base, *hit[2:])) for base, words in blocks_of(text.as_py() or "", max(block_words, 8 * longest), 4 * longest) for t, hit in every(words)]
+                text = text.as_py() or ""
+                held = {w for _, w in spotter.iter(text.lower())} if known else ()
+                chosen = [t for t, words, least in spotted if len(words.intersection(held)) >= least]
+                if not chosen:
+                    continue
+                hits = [(t, (hit[0], hit[1] + base, *hit[2:])) for base, words in blocks_of(text, max(block_words, 8 * longest), 4 * longest) for t, hit in every(words, chosen)]
                 # Stretches of a long text overlap: a hit in two of them is one.
                 for t, hit in clear_of(hits) if best_only else sorted(dict.fromkeys(hits), key=lambda x: (x[1][1], x[0].name)):
                     rows.append((doc_id, t.name, hit[0] / len(t.words), hit[0], len(t.words), *hit[1:]))
@@ -305,12 +387,13 @@ def scan_licenses(
     min_coverage: float = MIN_COVERAGE,
     min_density: float = MIN_DENSITY,
     best_only: bool = True,
+    naming: dict[str, tuple[str, ...]] = NAMING,
 ) -> DataFrame:
     """One row per place where a license stands in a document: coverage of the template, and where (in words).
 
-    best_only: of alignments that share words the best one.
+    best_only: of alignments that share words the best one.  naming: phrases that must stand unbroken, by license; licenses without any need none.
     """
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan(templates, min_coverage, min_density, best_only), SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan(templates, min_coverage, min_density, best_only, naming=naming), SCHEMA)
 
 
 def op9_license_scan(spark, sf_dir):
