@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import deal, deal_owned, exchange, gather, runs, schema_of
-from .common import buckets_for, fewer, mark, new_scratch_path, release, scratch, scratch_at, table
+from .common import buckets_for, mark, new_scratch_path, release, scratch, scratch_at, table
 from .components import connected_components
 from .vectext import mix, shingle_hashes, text_bytes, word_hashes
 
@@ -400,14 +400,14 @@ def jaccard_components(
     required = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * num / den), F.ceil(F.col("n") / SAMPLE)) - 1)
     met = all_docs.join(shared_counts(texts, k, num, den, partitions), "id").where(F.col("shared") >= required)
     active = classes.join(met.select("p1", "p2").distinct(), ["p1", "p2"]).select(F.col("class_id").alias("__id"))
-    active = scratch(fewer(active.distinct()), "jaccard-active")
+    active = scratch(active.distinct(), "jaccard-active")
     few = active.count() <= broadcast_ids
     chosen = texts.withColumn("__id", F.coalesce(F.col(id_col), F.lit(NO_ID))).join(
-        F.broadcast(active) if few else active.hint("shuffle_hash"), "__id", "left_semi"
+        F.broadcast(active) if few else active, "__id", "left_semi"
     )
     sets = scratch(chosen.select(id_col, text_col).mapInArrow(set_rows(k), "id long, tokens array<long>"), "jaccard-sets")
     loose = connected_components(cluster_edges(sets, num, den, partitions))
-    placed = sets.join(loose.hint("shuffle_hash"), "id")
+    placed = sets.join(loose, "id")
     mass = placed.groupBy("component").agg(F.sum(F.size("tokens")).alias("mass"))
     large = scratch(mass.where(F.col("mass") > block_tokens).select("component", F.ceil(2 * F.col("mass") / block_tokens).cast("int").alias("blocks")), "jaccard-large")
     n_large = large.count()
@@ -415,11 +415,11 @@ def jaccard_components(
         placed, near = around_pivots(placed, large, num, den)
         mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         parts = F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine), lambda j: F.least(j, mine) * 65536 + F.greatest(j, mine)
+            F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine), lambda j: F.least(j, mine).cast("long") * 2**31 + F.greatest(j, mine)
         )
-        placed = placed.withColumn("part", F.explode(F.when(F.col("blocks") > 1, parts).otherwise(F.array(F.lit(0)))))
+        placed = placed.withColumn("part", F.explode(F.when(F.col("blocks") > 1, parts).otherwise(F.array(F.lit(0).cast("long")))))
     else:
-        placed = placed.withColumn("part", F.lit(0))
+        placed = placed.withColumn("part", F.lit(0).cast("long"))
     links = (
         placed.select("component", "part", "id", "tokens")
         .repartition(partitions, "component", "part")
