@@ -38,7 +38,11 @@ ASSIGN_VALUE, ACCESS_MIN, HEX_MIN = 6, 20, 24
 
 #: Weak kinds.
 LOGIN = r"""(?<![A-Za-z0-9])(?i:client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
-OPAQUE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_])"
+#: Base64 and base64url, 32 characters or more with a digit and both cases, but for a '-' at the end; or a signed token, whose parts are joined by dots.
+OPAQUE = (
+    r"(?<![A-Za-z0-9+/_.-])(?:(?=[A-Za-z_-]*[0-9])(?=[a-z0-9_-]*[A-Z])(?=[A-Z0-9_-]*[a-z])[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,}){2,}"
+    r"|(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{31,}[A-Za-z0-9+/_]={0,2})(?![A-Za-z0-9+/=_])"
+)
 ENDPOINT = r"""(?i:https?|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}"""
 
 KINDS = ("assign", "access", "hex", "login", "opaque", "endpoint")
