@@ -1,7 +1,7 @@
 """The corpus pipeline's stages: each takes documents and gives documents, the last one pieces.
 
-Defined results, for every stage but the last: the columns of documents and no others, rows of equal ids judged one by one
-in quality rules and line dedup, and together where a decision is an id's (near copies, leaks); a null id stays unless its own text is rejected; a null
+Defined results, for every stage but the last: the columns of documents and no others; every row is judged by its own text, whatever its id, as stages
+number the rows that they decide on: of equal rows and of rows without an id one stays where they are copies, and none where they leak; a null
 text counts as empty and fails the quality rules; an empty table gives an empty table; columns that a stage uses inside
 never reach its result, and clashing ones pass through as they came.
 """
@@ -24,11 +24,16 @@ from .rules import MIN_WORDS, quality_rules, train_field
 BROADCAST_IDS = 1_000_000
 
 
-def listed(docs: DataFrame, ids: DataFrame, label: str, how: str) -> DataFrame:
-    """docs whose doc_id is in ids (one column, __id; how: left_semi), or is not (left_anti: null ids stay)."""
+def listed(docs: DataFrame, ids: DataFrame, label: str, how: str, key: str = "doc_id") -> DataFrame:
+    """docs whose key is in ids (one column, __id; how: left_semi), or is not (left_anti: null keys stay)."""
     ids = scratch(ids.distinct(), label)
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs["doc_id"] == ids["__id"], how)
+    return docs.join(F.broadcast(ids) if few else ids, docs[key] == ids["__id"], how)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written, with a number for each row."""
+    return scratch(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -64,21 +69,35 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document, the one of the least id, of each component of near copies.
 
     Line dedup has cut lines out of near copies, and what it left of them links no more.  So the
-    documents at hand are joined by their texts in ``documents`` first, and those that stay by the texts they have now.
+    documents at hand are joined by their texts in ``documents`` first, where ids lead, and the rows that stay by the texts they have now.
     """
     source = table(spark, sf_dir, "documents").select("doc_id", "text")
     source = listed(source, docs.select(F.col("doc_id").alias("__id")).where("__id is not null"), "pipeline-kept", "left_semi")
-    for texts in (source, None):
-        groups = jaccard_components(docs if texts is None else texts)
-        copies = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__id"))
-        docs = listed(docs, copies, "pipeline-near", "left_anti")
-    return docs
+    copies = jaccard_components(source).where("component_id < doc_id")
+    docs = listed(docs, copies.select(F.col("doc_id").alias("__id")), "pipeline-near", "left_anti")
+
+    def work(d: DataFrame) -> DataFrame:
+        rows = numbered(d)
+        groups = jaccard_components(rows, "__row").where("n_shingles > 0").select(F.col("__row").alias("__id"), "component_id")
+        met = groups.join(groups.where("__id <> component_id").select("component_id").distinct(), "component_id", "left_semi")  # of several rows
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+        named = met.join(rows.select(F.col("__row").alias("__id"), order.alias("order")), "__id")
+        first = named.groupBy("component_id").agg(F.min("order").alias("first"))
+        gone = named.join(first, "component_id").where(F.col("__id") != F.col("first.__row")).select("__id")
+        return listed(rows, gone, "pipeline-copies", "left_anti", "__row")
+
+    return shielded(docs, work)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that hold a passage of the benchmark."""
-    leaks = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return listed(docs, leaks.select(F.col("doc_id").alias("__id")), "pipeline-leaks", "left_anti")
+
+    def work(d: DataFrame) -> DataFrame:
+        rows = numbered(d)
+        leaks = decontaminate(rows, table(spark, sf_dir, "benchmark"), "__row")
+        return listed(rows, leaks.select(F.col("doc_id").alias("__id")), "pipeline-leaks", "left_anti", "__row")
+
+    return shielded(docs, work)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
