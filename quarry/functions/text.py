@@ -67,9 +67,12 @@ MD_LINK = r"\[([^\]]*)\]\(([^)\s]+)[^)]*\)"
 
 
 def inline_markdown(html: Column) -> Column:
-    """Anchors as markdown links, other tags dropped, spacing collapsed."""
-    out = F.regexp_replace(html, ANCHOR, "[$2]($1)")
-    out = F.regexp_replace(out, "<[^>]+>", "")
+    """Anchors as markdown links with label and address stripped, other tags dropped, spacing collapsed."""
+    found = lambda group: F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(group))
+    label = lambda x: strip(F.regexp_replace(x, "<[^>]+>", ""))
+    links = F.zip_with(found(2), found(1), lambda x, url: F.concat(F.lit("["), label(x), F.lit("]("), strip(url), F.lit(")")))
+    pieces = F.zip_with(F.split(html, ANCHOR, -1), links, lambda piece, link: F.concat(piece, F.coalesce(link, F.lit(""))))
+    out = F.regexp_replace(F.array_join(pieces, ""), "<[^>]+>", "")
     out = F.regexp_replace(out, r"[ \t]+", " ")
     return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 

@@ -873,10 +873,12 @@ def _(spark, sf):
 
 @query(
     "inline_markdown",
-    r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<a\b[^>]*?href=["'']([^"'']+)["''][^>]*>(.*?)</a>', '[\2](\1)', 'g'), '<[^>]+>', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9) || chr(13))) AS sha FROM pages""",
+    r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, '</a>', chr(10) || ' </a>'), '(?is)<a\b[^>]*?href=["'']\s*([^"'']+?)\s*["''][^>]*>\s*(.*?)\s*</a>', '[\2](\1)', 'g'), '<[^>]+>', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9) || chr(13))) AS sha FROM pages""",
 )
 def _(spark, sf):
-    return t(spark, sf, "pages").select("page_id", F.sha2(text.inline_markdown(F.col("html")), 256).alias("sha"))
+    """Pages whose links have padded labels."""
+    padded = F.regexp_replace("html", "</a>", "\n </a>")
+    return t(spark, sf, "pages").select("page_id", F.sha2(text.inline_markdown(padded), 256).alias("sha"))
 
 
 @query("corpus_health", "SELECT count(*) AS corpus_size, 5 AS index_build_ms, 'bm25,dense' AS strategies FROM documents")
@@ -952,13 +954,15 @@ def _(spark, sf):
 
 @query(
     "char_counts",
-    """SELECT doc_id, length('Guidelines > ' || doc_id || '. ' || source || chr(10) || chr(10) || text) AS chars FROM documents WHERE length(text) <= 1500""",
+    f"""WITH c AS (SELECT doc_id, source, CASE WHEN length(text) <= 1500 THEN [text] ELSE {packed_sql("string_split(text, chr(10) || chr(10))", "chr(10) || chr(10)", 2, 1500)} END AS parts FROM documents),
+       u AS (SELECT doc_id, source, unnest(parts) AS body, generate_subscripts(parts, 1) - 1 AS part FROM c)
+       SELECT doc_id, part, length('Guidelines > ' || doc_id || '. ' || source || chr(10) || chr(10) || body) AS chars FROM u""",
 )
 def _(spark, sf):
-    """Guideline chunks count their breadcrumb as well; texts that make one part."""
-    d = t(spark, sf, "documents").where(F.length("text") <= 1500)
+    """Guideline chunks count their breadcrumb as well."""
+    d = t(spark, sf, "documents")
     out = chunks.guideline_chunks(d.select(F.col("doc_id").cast("string").alias("number"), F.col("source").alias("title"), "text"), "https://g")
-    return out.select(F.col("meta.section_number").cast("bigint").alias("doc_id"), F.col("meta.char_count").cast("bigint").alias("chars"))
+    return out.select(F.col("meta.section_number").cast("bigint").alias("doc_id"), F.col("meta.part").cast("bigint").alias("part"), F.col("meta.char_count").cast("bigint").alias("chars"))
 
 
 @query("iso_times", "SELECT event_id, strftime(make_timestamp(event_id * 86399000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at FROM events")

@@ -52,6 +52,8 @@ def test_tidy_and_markdown(one):
     assert one(text.tidy(lit("  a \t b \n\n\n\n c  \n"))) == "a b\n\nc"
     html = 'See <a class="x" href="https://e.x/1"><b>one</b></a> and [two](https://e.x/2) or [one](https://e.x/1) <i>x</i>'
     assert one(text.inline_markdown(lit(html))) == "See [one](https://e.x/1) and [two](https://e.x/2) or [one](https://e.x/1) x"
+    assert one(text.inline_markdown(lit('<a href=" /x ">  the <b> guide</b>  </a>, <A class="c" HREF=\'/y\'>z</A> and <a>none</a>'))) == "[the  guide](/x), [z](/y) and none".replace("  ", " ")
+    assert one(text.inline_markdown(lit("no links < 3"))) == "no links < 3"
     links = one(text.inline_links(lit(html)))
     assert [(x.label, x.url) for x in links] == [("one", "https://e.x/1"), ("two", "https://e.x/2")]
 
