@@ -381,6 +381,30 @@ def rerank(ranked: DataFrame, scorer, depth: int = 30, k: int = 5) -> DataFrame:
     return top_k(scored, ["question_id"], [F.desc("score"), F.asc("id")], k)
 
 
+def rerank_by_model(ranked: DataFrame, make: Callable, depth: int = 30, k: int = 5, pairs: int = 64) -> DataFrame:
+    """As rerank, by a model that scores many pairs at once: make() loads it, once for each task, and gives a function of (questions, texts) to scores.
+
+    A task hands it ``pairs`` pairs at a time, those of like length together, and puts the scores back in their rows.
+    """
+    from pyspark.sql import types as T
+
+    first = ranked.where(F.col("rank") <= depth).drop("rank", "score")
+    schema = T.StructType([*first.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        score = make()
+        for pdf in batches:
+            order = np.argsort(pdf["text"].str.len().fillna(0).to_numpy(), kind="stable")
+            scores = np.empty(len(pdf))
+            for low in range(0, len(pdf), pairs):
+                at = order[low : low + pairs]
+                part = pdf.iloc[at]
+                scores[at] = score(part["question"].tolist(), part["text"].tolist())
+            yield pdf.assign(score=np.round(scores, DIGITS))
+
+    return top_k(first.mapInPandas(run, schema), ["question_id"], [F.desc("score"), F.asc("id")], k)
+
+
 RETRIEVERS: dict[str, Callable] = {"stub": lexical, "bm25": bm25, "dense": dense, "hybrid": hybrid}
 
 

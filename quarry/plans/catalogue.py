@@ -1093,6 +1093,10 @@ def _(spark, sf):
     return answers.run_report(rows)
 
 
+def _length_model():
+    return lambda questions, texts: [-float(abs(len(q) - len(t))) for q, t in zip(questions, texts, strict=True)]
+
+
 @query(
     "rerank_topk",
     _BM
@@ -1103,7 +1107,7 @@ def _(spark, sf):
     """The first 30 by BM25 again by how close a text's length is to the question's."""
     q, c = as_questions(spark, sf), as_chunks(spark, sf)
     ranked = retrieve.bm25(q, c, 30, zero_fill=False).join(q, "question_id").join(c.select("id", "text"), "id")
-    return retrieve.rerank(ranked, lambda a, b: -F.abs(F.length(a) - F.length(b)).cast("double"), 30, 5).select("question_id", "id", "score", "rank")
+    return retrieve.rerank_by_model(ranked, _length_model, 30, 5).select("question_id", "id", "score", "rank")
 
 
 @query(

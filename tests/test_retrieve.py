@@ -95,3 +95,28 @@ def test_rerank(spark):
 def test_unknown_retriever():
     with pytest.raises(ValueError):
         retrieve.retriever("magic")
+
+
+def test_rerank_by_model(spark, tmp_path):
+    """The model is loaded once for each task, sees few pairs at a time, and its scores come back to their rows."""
+    rows = [(q, i, f"question {q}", "x" * ((i * 7 + q) % 23), i) for q in (1, 2) for i in range(1, 31)] + [(3, 1, "q", None, 1)]
+    ranked = spark.createDataFrame(rows, "question_id long, id long, question string, text string, rank int").coalesce(1)
+    log = str(tmp_path / "log")
+
+    def make():
+        open(log, "a").write("loaded\n")
+
+        def score(questions, texts):
+            open(log, "a").write(f"{len(texts)}\n")
+            return [len(t or "") / 100 for t in texts]
+
+        return score
+
+    got = [(r.question_id, r.id, r.score, r["rank"]) for r in retrieve.rerank_by_model(ranked, make, depth=20, k=3, pairs=8).orderBy("question_id", "rank").collect()]
+    want = []
+    for q in (1, 2):
+        best = sorted(((-(((i * 7 + q) % 23) / 100), i) for i in range(1, 21)))[:3]
+        want += [(q, i, -s, n) for n, (s, i) in enumerate(best, 1)]
+    assert got == [*want, (3, 1, 0.0, 1)]
+    lines = open(log).read().split()
+    assert lines.count("loaded") == 1 and sum(map(int, lines[1:])) == 41 and max(map(int, lines[1:])) == 8
