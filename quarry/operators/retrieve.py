@@ -295,6 +295,22 @@ def bm25(
     return ranked(best, questions, chunks, k, order, zero_fill)
 
 
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay."""
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def best_cells(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best scores of each row, ties to the smaller key; -inf is none."""
+    least = np.full(len(scores), -2.0) if len(keys) <= k else -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    q, c = np.nonzero(scores >= np.maximum(least, -2.0)[:, None])
+    at = np.lexsort((keys[c], -scores[q, c], q)) if keys.dtype != object else np.array(sorted(range(len(q)), key=lambda i: (q[i], -scores[q[i], c[i]], keys[c[i]])), dtype=int)
+    q, c = q[at], c[at]
+    on = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    return q[on], c[on]
+
+
 def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = False, block_bytes: int = 64 << 20) -> DataFrame:
     """Exact cosine top k.  question_vectors: (question_id, embedding), vectors: (id, embedding).
 
@@ -305,10 +321,6 @@ def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_
     kinds = [question_vectors.schema["question_id"].dataType, vectors.schema["id"].dataType]
     schema = f"question_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
     def search(block):
         asked = plain_ids([r[0] for r in block])
         shared = broadcast(spark, (asked, unit(np.array([r[1] for r in block], dtype=np.float64)).reshape(len(block), -1)))
@@ -328,12 +340,7 @@ def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_
                     scores = np.round(questions[low : low + 1024] @ v.T, DIGITS)
                     if exclude_self:
                         scores[names[:, None] == keys[None, :]] = -np.inf
-                    least = np.full(len(names), -2.0) if len(keys) <= k else -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                    q, c = np.nonzero(scores >= np.maximum(least, -2.0)[:, None])
-                    at = np.lexsort((keys[c], -scores[q, c], q)) if keys.dtype != object else np.array(sorted(range(len(q)), key=lambda i: (q[i], -scores[q[i], c[i]], keys[c[i]])), dtype=int)
-                    q, c = q[at], c[at]
-                    on = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
-                    q, c = q[on], c[on]
+                    q, c = best_cells(scores, keys, k)
                     yield pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), arrow[0]), pa.array(keys[c].tolist(), arrow[1]), pa.array(scores[q, c])], ["question_id", "id", "score"])
 
         return vectors.select("id", "embedding").where("size(embedding) > 0").mapInArrow(run, schema)

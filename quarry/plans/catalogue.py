@@ -15,6 +15,7 @@ from ..functions import chunking, dates, text
 from ..operators import answers, chunks, metrics, retrieve, review, threads, validate
 from ..operators.common import top_k
 from ..operators.postings import PostingIndex
+from ..operators.vectors import VectorIndex
 from ..storage import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -324,6 +325,15 @@ def _(spark, sf):
     return _dense(spark, sf)
 
 
+@query("dense_index_topk", _DENSE + " SELECT question_id, id, score, rank FROM r WHERE rank <= 10")
+def _(spark, sf):
+    """dense_topk from vectors kept around centres."""
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex(spark, new_scratch_path(spark, "centres"))
+    index.build(e)
+    return index.search(e.where("id % 50 = 0").withColumnRenamed("id", "question_id"), 10, exclude_self=True)
+
+
 @query(
     "dense_by_label",
     _DENSE
