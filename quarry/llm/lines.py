@@ -235,7 +235,7 @@ def dedup_lines(
     lost = lost.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))  # at most a document's own lines
     rest = [c for c in docs.columns if c != text_col]
     joined = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"))
-    joined = joined.join(lost.hint("shuffle_hash"), "__id", "left").drop("__id")
+    joined = joined.join(lost, "__id", "left").drop("__id")
     long = [T.StructField(n, T.LongType()) for n in OUTPUT[:4]]
     schema = T.StructType([*(docs.schema[c] for c in rest), *long, T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
     return joined.mapInArrow(drop_lines(min_chars), schema)

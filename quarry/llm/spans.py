@@ -342,7 +342,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> D
     lost = spans.groupBy("row_no").agg(F.collect_list(F.struct("start", "n_words")).alias("__gone"))  # at most a text's own stretches
     rest = [c for c in docs.columns if c not in (text_col, "kept_text", "__text", "__gone", ROW)]
     joined = numbered(docs).select(ROW, *[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__text"))
-    joined = joined.join(lost.hint("shuffle_hash").withColumnRenamed("row_no", ROW), ROW, "left").drop(ROW)
+    joined = joined.join(lost.withColumnRenamed("row_no", ROW), ROW, "left").drop(ROW)
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("kept_text", T.StringType())])
     return joined.mapInArrow(_cut, schema)
 
