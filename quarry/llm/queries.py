@@ -28,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard_join": jaccard.SQL,
         "op8_url_filters": urls.SQL,
         "op11_source_mixing": mixing.SQL,
+        "op12_conversation_repair": turns.SQL,
     }

@@ -397,3 +397,71 @@ def op12_conversation_repair(spark, sf_dir):
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     sha = F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256")
     return ids.join(found, "conv", "left").join(sums, "conv", "left").select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), sha)
+
+
+#: The same by dynamic programming over (row, state) in recursive tables: the hash of id and turn, the cheapest audits, and the walk along them.
+SQL = r"""
+WITH RECURSIVE crc_steps(i, c, k) AS (
+  SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8
+), crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), hit AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key) + 1), lambda p: CAST(ascii(substr(key, p, 1)) AS BIGINT))),
+                         lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), CAST(4294967295 AS BIGINT)) % 20 AS k
+  FROM keyed, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS n
+  FROM hit WHERE k <> 0
+), placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || ':' || text)) AS rn FROM damaged
+), judged AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS seen,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) || initial AS pair FROM placed
+), r AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, initial, rn, pair, blank, seen AND NOT blank AS duplicate, blank OR seen AS gone,
+         NOT blank AND NOT seen AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS truncated FROM judged
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id
+), forced(state, after) AS (VALUES ('E', 'U'), ('S', 'U'), ('U', 'A'), ('A', 'U')
+), inserts(state, reached, dear, letters) AS (
+  SELECT state, state, 0, '' FROM forced UNION ALL SELECT state, after, 2, 'I' FROM forced
+  UNION ALL SELECT a.state, b.after, 4, 'II' FROM forced a JOIN forced b ON b.state = a.after
+), ways(conv_id, rn, state, best) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), reached, struct_pack(cost := CAST(dear AS BIGINT), audit := letters) FROM counts, inserts WHERE state = 'E'
+  UNION ALL
+  SELECT conv_id, rn, state, min(best) FROM (
+    SELECT w.conv_id, r.rn, i.reached AS state, struct_pack(cost := w.best.cost + o.cost + i.dear, audit := w.best.audit || o.letter || i.letters) AS best
+    FROM ways w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.rn = w.rn + 1 JOIN forced f ON f.state = w.state,
+    LATERAL (SELECT 'D' AS letter, 3 AS cost, w.state AS state
+             UNION ALL SELECT 'R', 2 + CAST(r.truncated AS INTEGER), f.after WHERE NOT r.gone
+             UNION ALL SELECT 'K', CAST(r.truncated AS INTEGER), upper(r.initial)
+             WHERE NOT r.gone AND ((r.initial = 's' AND w.state = 'E') OR (r.initial IN ('u', 'a') AND upper(r.initial) = f.after))) o
+    JOIN inserts i ON i.state = o.state
+  ) GROUP BY conv_id, rn, state
+), solved AS (
+  SELECT c.conv_id, min(best) AS best FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.rn WHERE state IN ('E', 'A') GROUP BY c.conv_id
+), walk(conv_id, p, rn, state, audit, lines) AS (
+  SELECT conv_id, 0, CAST(0 AS BIGINT), 'E', best.audit, CAST([] AS VARCHAR[]) FROM solved
+  UNION ALL
+  SELECT w.conv_id, w.p + 1, w.rn + CAST(letter <> 'I' AS INTEGER), CASE letter WHEN 'D' THEN w.state WHEN 'K' THEN upper(r.initial) ELSE f.after END, w.audit,
+         CASE letter WHEN 'D' THEN w.lines WHEN 'K' THEN list_append(w.lines, r.role || ':' || r.text)
+                     ELSE list_append(w.lines, CASE f.after WHEN 'U' THEN 'user' ELSE 'assistant' END || ':' || CASE letter WHEN 'I' THEN '' ELSE r.text END) END
+  FROM (SELECT *, substr(audit, p + 1, 1) AS letter FROM walk WHERE p < length(audit)) w JOIN forced f ON f.state = w.state
+  LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.rn = w.rn + 1
+), told AS (
+  SELECT conv_id, sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM walk WHERE p = length(audit)
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(s.best.cost, 0) AS cost, coalesce(s.best.audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM i.conv_id
+"""

@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from quarry.llm import turns
@@ -125,6 +126,15 @@ def test_whole_tables(spark, sf):
     assert found == brute(rows)
 
 
+def test_sql_equals_brute_force(sf):
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    for rows in (corpus(random.Random(12)), con.sql(f"select conv_id, turn, role, text from '{sf}/conversations.parquet'").fetchall()):
+        con.execute("delete from conversations")
+        con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+        assert {r[0]: r[1:] for r in con.execute(turns.SQL).fetchall()} == brute(rows)
+
+
 def test_product_is_associative():
     rng = random.Random(3)
     for _ in range(200):
