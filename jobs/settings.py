@@ -31,6 +31,7 @@ def command(name: str, paths: dict[str, str], config: Path, run: Callable) -> Ca
         parser.add_argument("--config", default=str(config), help="settings as TOML")
         args = parser.parse_args(argv)
         logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
+        logging.getLogger("py4j").setLevel(logging.WARNING)
         given = tomllib.loads(Path(args.config).read_text())
         spark = build_session(name)
         try:
