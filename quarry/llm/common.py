@@ -11,7 +11,6 @@ from ..storage import (  # noqa: F401
     broadcast,
     buckets_for,
     drop_path,
-    fewer,
     input_bytes,
     mark,
     new_scratch_path,
