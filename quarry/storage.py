@@ -82,11 +82,6 @@ def buckets_for(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bucket_bytes))
 
 
-def fewer(df: DataFrame, by: int = 8) -> DataFrame:
-    """df in a ``by``-th of the shuffle partitions: for tables that are small beside what made them."""
-    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete one scratch path, and the table over it, through Hadoop's file system layer."""
     if path in _tables:
