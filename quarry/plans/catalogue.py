@@ -1185,3 +1185,18 @@ def _(spark, sf):
     k = F.col("item_id") % 4
     c = t(spark, sf, "benchmark").select("item_id", F.when(k == 0, "answerable").when(k == 1, "refusal").when(k == 2, "ambiguous").otherwise("injection").alias("category"))
     return select_cases(c, ["refusal", "injection"], 10, "item_id")
+
+
+@query("event_arrays", "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations")
+def _(spark, sf):
+    """Turns written as files of one JSON array each (200 conversations and turns at most of each), and read in splits."""
+    from ..sources.splits import array_elements
+
+    c = t(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    bucket = [F.floor(F.col(k) / 200).alias(f"{k}_bucket") for k in ("conv_id", "turn")]
+    arrays = c.groupBy(*bucket).agg(F.array_join(F.collect_list(F.to_json(F.struct(*c.columns))), ",\n").alias("rows"))
+    path = new_scratch_path(spark, "event-arrays")
+    arrays.select(F.concat(F.lit("["), "rows", F.lit("]"))).write.option("maxRecordsPerFile", 1).text(path)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema)
+    rows = array_elements(spark, path).select(F.from_json("json", kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return rows.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import rolled_date
 from ..functions.rank import normalise_expected
 from ..functions.text import is_noise, strip
+from . import splits
 from .schemas import CASE, CHUNK, EMBEDDING, EVENT, LOG  # noqa: F401
 
 
@@ -18,17 +19,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
 
 
 def read_located_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with their file and line (from 1); blank lines are skipped.
-
-    A file is one row here, so this suits hand-kept corpora and not large exports.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "json"))
-    parsed = lines.where(F.trim("json") != "").select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("c"), "file", (F.col("line") + 1).alias("line"))
-    return parsed.select("c.*", "file", "line")
+    """JSON lines with their file and line (from 1); blank lines are skipped.  Files are read in splits."""
+    lines = splits.numbered_lines(spark, path).where(F.col("value").rlike(r"\S"))
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("c"), "file", "line").select("c.*", "file", "line")
 
 
 def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with corpus_ord: (file name, line) in order, as one sortable number per row; hand-kept corpora, as read_located_jsonl."""
+    """JSON lines with corpus_ord: (file name, line) in order, as one sortable number per row."""
     lines = read_located_jsonl(spark, path, schema)
     rank = lines.select("file").distinct().select("file", F.row_number().over(_by("file")).alias("n"))  # a row for each file
     return lines.join(rank, "file").withColumn("corpus_ord", F.col("n") * 2**32 + F.col("line") - 1).drop("file", "line")
@@ -56,12 +53,13 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Chat events from a JSON array, cleaned."""
-    return clean_events(spark.read.schema(EVENT).option("multiLine", True).json(path))
+    """Chat events from files of one JSON array each, cleaned; a large file is read by many tasks."""
+    events = splits.array_elements(spark, path).select(F.from_json("json", EVENT, {"mode": "FAILFAST"}).alias("e"))
+    return clean_events(events.select("e.*"))
 
 
 def read_event_export(spark: SparkSession, path: str) -> DataFrame:
-    """As read_events, for exports with a header object around the array."""
+    """As read_events, for exports with a header object around the array; a file is one task."""
     fields = ", ".join(f"{f.split(' ', 1)[0]}: {f.split(' ', 1)[1]}" for f in EVENT.split(", "))
     whole = spark.read.schema(f"events array<struct<{fields}>>").option("multiLine", True).json(path)
     return clean_events(whole.select(F.inline("events")))
