@@ -1200,3 +1200,40 @@ def _(spark, sf):
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema)
     rows = array_elements(spark, path).select(F.from_json("json", kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     return rows.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "thread_stream",
+    """WITH RECURSIVE m AS (SELECT conv_id // 50 AS channel, conv_id * 1000 + turn AS idx, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN conv_id * 1000 + lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS parent
+                           FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+       w(channel, idx, up, d) AS (SELECT channel, idx, parent, 1 FROM m WHERE parent IS NOT NULL
+                                  UNION ALL SELECT w.channel, w.idx, m.parent, d + 1 FROM w JOIN m ON m.idx = w.up WHERE m.parent IS NOT NULL AND d < 11),
+       r AS (SELECT channel, idx, arg_max(up, d) AS root FROM w GROUP BY channel, idx),
+       l AS (SELECT channel, idx FROM m WHERE idx NOT IN (SELECT idx FROM r) AND idx NOT IN (SELECT root FROM r)),
+       g AS (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY channel ORDER BY idx) > 45 THEN 1 ELSE 0 END AS brk FROM l),
+       s AS (SELECT *, sum(brk) OVER (PARTITION BY channel ORDER BY idx ROWS UNBOUNDED PRECEDING) AS n FROM g),
+       f AS (SELECT channel, min(idx) OVER (PARTITION BY channel, n) AS thread, idx FROM s),
+       e AS (SELECT max(idx) - 60 AS mark FROM m),
+       a AS (SELECT channel, root AS thread, idx FROM r, e WHERE idx < mark UNION SELECT channel, root, root FROM r, e WHERE idx < mark
+             UNION SELECT channel, thread, idx FROM f, e WHERE idx + 1440 < mark)
+       SELECT channel, thread, idx AS index FROM (SELECT *, row_number() OVER (PARTITION BY channel, thread ORDER BY idx) AS k FROM a) WHERE k <= 40""",
+)
+def _(spark, sf):
+    """The messages of thread_members as a stream in channels of 50 conversations: what is settled when all has been read."""
+    from ..streaming.streams import run_to_files
+    from ..streaming.threads import thread_stream
+
+    c = t(spark, sf, "conversations").where("conv_id is not null and turn is not null")
+    index, nothing = F.col("conv_id") * 1000 + F.col("turn"), F.lit(None).cast("bigint")
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    reply = F.when((F.col("role") == "assistant") & (F.col("conv_id") % 2 == 0), F.col("conv_id") * 1000 + before)
+    e = c.select(
+        F.floor(F.col("conv_id") / 50).alias("channel"), F.timestamp_millis((index + 1440) * 60_000).alias("ts"), index.alias("index"),  # a row at the epoch is late from the start
+       
+        nothing.alias("messageIndex"), nothing.alias("threadRootMessageIndex"), reply.alias("repliesToEventIndex"),
+    )
+    base = new_scratch_path(spark, "thread-stream")
+    e.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+    out = run_to_files(thread_stream(stream, "ts", "channel"), f"{base}/out", f"{base}/state")
+    return out.select(F.col("channel").cast("long").alias("channel"), "thread", "index")
