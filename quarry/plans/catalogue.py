@@ -1228,10 +1228,13 @@ def _(spark, sf):
     before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
     reply = F.when((F.col("role") == "assistant") & (F.col("conv_id") % 2 == 0), F.col("conv_id") * 1000 + before)
     e = c.select(
-        F.floor(F.col("conv_id") / 50).alias("channel"), F.timestamp_millis((index + 1440) * 60_000).alias("ts"), index.alias("index"),  # a row at the epoch is late from the start
-       
-        nothing.alias("messageIndex"), nothing.alias("threadRootMessageIndex"), reply.alias("repliesToEventIndex"),
-    )
+        F.floor(F.col("conv_id") / 50).alias("channel"),
+        F.timestamp_millis((index + 1440) * 60_000).alias("ts"),  # a row at the epoch would be late from the start
+        index.alias("index"),
+        nothing.alias("messageIndex"),
+        nothing.alias("threadRootMessageIndex"),
+        reply.alias("repliesToEventIndex"),
+    )
     base = new_scratch_path(spark, "thread-stream")
     e.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(e.schema).parquet(f"{base}/in")
