@@ -49,16 +49,16 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
     ends from the braces outside strings.  An empty array has no elements.  What is no such array is an error where it can be told by its
     frame (no end, something between the objects); the objects themselves are checked by whoever parses them.
     """
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
-    opens = lambda text: F.length(text) - F.length(F.translate(text, "{", ""))
-    outside = lambda text: F.regexp_replace(text, r'"[^"]*("|$)', "")
-    cut = pieces(spark, path, "}").withColumn("__bare", bare)
-    # For both cases, start outside (0) and inside (1) a string: the change of depth, the } at the end included.
-    odd = (F.length("__bare") - F.length(F.translate("__bare", '"', ""))) % 2
-    rows = cut.withColumn("__odd", odd).select(
-        "value", FILE, BLOCK, AT, "__odd",
-        (opens(outside(F.col("__bare"))) - F.when(F.col("__odd") == 0, 1).otherwise(0)).alias("__d0"),
-        (opens(outside(F.concat(F.lit('"'), "__bare"))) - F.when(F.col("__odd") == 1, 1).otherwise(0)).alias("__d1"),
+    # Between quotes lie, in turn, what is outside strings and what is inside.  For both cases, start outside (0) and inside (1) a string: the
+    # change of depth, the } at the end included.
+    bare = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    opens = lambda side: F.length(F.regexp_replace(F.array_join(F.filter("__parts", lambda _, i: i % 2 == side), ""), r"[^{]+", ""))
+    cut = pieces(spark, path, "}").withColumn("__parts", F.split(bare, '"'))
+    odd = (F.size("__parts") - 1) % 2
+    rows = cut.select(
+        "value", FILE, BLOCK, AT, odd.alias("__odd"),
+        (opens(0) - F.when(odd == 0, 1).otherwise(0)).alias("__d0"),
+        (opens(1) - F.when(odd == 1, 1).otherwise(0)).alias("__d1"),
     )
     rows = scratch(rows, "array-pieces")
     last = rows.groupBy(FILE).agg(F.max(F.struct(BLOCK, AT)).alias("__last"))
