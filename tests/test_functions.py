@@ -30,6 +30,13 @@ def test_question_hints(one, s, asks):
     assert one(text.is_question(lit(s))) is asks
 
 
+@pytest.mark.parametrize("s,asks", [("Howé", True), ("how_", False), ("i\u017f it", True), ("doe\u017f", False), ("doe\u017fx", True), ("anyone \u212anow", True), ("\u0131s it", False), ("wherë", False)])
+def test_question_hints_end_as_in_sql(one, s, asks):
+    sql = __spark_entry__.oracle_sql()["question_hints"]
+    rows = duckdb.sql(sql.replace("FROM conversations", "FROM (SELECT 1 AS conv_id, 0 AS turn, 'user' AS role, $s AS text)"), params={"s": s}).fetchall()
+    assert one(text.is_question(lit(s))) is asks is rows[0][2]
+
+
 def test_tokens_and_keys(one):
     assert one(text.tokens(lit("A b2-B é a"))) == ["a", "b2", "b", "a"]
     assert one(text.token_set(lit("a A b"))) == ["a", "b"]
