@@ -7,9 +7,10 @@ fixes a diagonal (document position minus item position), and along it words are
 around the hit: the stretch of the best score (+1 a match, ``-mismatch`` a substitution) is a
 leak if it has ``min_match`` equal words and at least ``min_identity`` of its words are equal.
 
-Items of the same words are one class, named by its least id.  A hash stands for the first class that holds it, with the
-number of classes that do: a passage that many items share is one candidate and one row, and not one for each of them.
-Of stretches of a document that lie for the most part in each other the one of most equal words is reported.
+Items of the same words are one class, named by its least id.  A hash stands for every class and every place that hold it, and all of them are
+compared.  Hashes that the same classes hold at the same distances, as the windows of a shared passage do, are one group, so that a document meets
+their items once and not once for each window.  Of stretches of a document that lie for the most part in each other the one of most equal words is reported, so a
+passage that many items share is one row, with the number of classes that hold it.
 
 Up to ``broadcast_bytes`` of item texts, their hashes (under 20 bytes a word and mask) are broadcast and met where the documents are read, so
 texts are never shuffled.  A larger benchmark meets the documents in one join of hashes, of whatever size: document windows that
@@ -46,8 +47,10 @@ MIN_MATCH, MIN_IDENTITY, MISMATCH = 10, 0.6, 1.0
 MIN_SHARE, EXACT_BELOW, INSIDE = 0.8, 8, 5
 SHORT = 14  # words of items that are hashed whole as well, so that none is lost by its place of changed words
 BROADCAST_BYTES = 4 << 20
+PART_ITEMS, PART_WORDS = 4096, 1 << 20  # of a group's members that meet documents, and of a document's candidates that are compared, in one row
 BITMAP_BITS = 1 << 28  # of the bitmap that is broadcast in the join of a large benchmark: 32 MB
 CHUNK = 2 << 20
+EXPANDED = 1 << 20  # candidates of a document that are told apart at once
 PUNCTUATION = b".,;:!?\"'()[]"
 SCHEMA = "doc_id long, item_id long, start long, length long, matched long, item_words long, n_items long"
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -111,12 +114,14 @@ class Rules:
         return [k for k, (_, _, least, most) in enumerate(self.shapes) if ((sizes >= least) & ((sizes <= most) if most else True)).any()]
 
     def verify(self, words: np.ndarray, candidates) -> list[tuple]:
-        """(start, length, matched, item id, item words, n_items) of a document's leaks.  candidates: (item words, item id, diagonal, n_items)."""
+        """(start, length, matched, item id, item words, n_items) of a document's stretches.  candidates: (item words, item id, diagonal, n_items)."""
         found = []
         for item, item_id, diagonal, n_items in candidates:
             low, high = max(0, diagonal), min(len(words), diagonal + len(item))
             equal = words[low:high] == item[low - diagonal : high - diagonal]
             need = self.needed(len(item))
+            if np.count_nonzero(equal) < need:
+                continue
             if len(item) <= SHORT:  # a short item counts from its first equal word to its last
                 same = np.flatnonzero(equal)
                 a, b = (int(same[0]), int(same[-1]) + 1) if len(same) else (0, 0)
@@ -127,7 +132,21 @@ class Rules:
             matched = int(equal[a:b].sum())
             if matched >= need and matched >= self.min_identity * (b - a):
                 found.append((low + a, b - a, matched, item_id, len(item), n_items))
-        return apart(found)
+        return one_of_each(found)
+
+
+def rank(f: tuple) -> tuple:
+    """Order of stretches (start, length, matched, id, ...): the best first."""
+    return -f[2], f[3] is None, f[3] or 0, f[0], f[4]
+
+
+def one_of_each(found: list[tuple]) -> list[tuple]:
+    """The best of equal stretches, with the most items that one of them is shared by."""
+    best: dict[tuple, tuple] = {}
+    for f in found:
+        old = best.setdefault(f[:2], f)
+        best[f[:2]] = (*min(f, old, key=rank)[:5], max(f[5], old[5]))
+    return list(best.values())
 
 
 def apart(found: list[tuple]) -> list[tuple]:
@@ -135,11 +154,10 @@ def apart(found: list[tuple]) -> list[tuple]:
     if len(found) < 2:
         return found
     out: list[list] = []
-    covered: set[int] = set()
-    for f in sorted(found, key=lambda f: (-f[2], f[3] is None, f[3] or 0, f[0])):
-        places = range(f[0], f[0] + f[1])
-        if 2 * sum(p in covered for p in places) < f[1]:
-            covered.update(places)
+    covered = np.zeros(max(f[0] + f[1] for f in found), dtype=bool)
+    for f in sorted(one_of_each(found), key=rank):
+        if 2 * np.count_nonzero(covered[f[0] : f[0] + f[1]]) < f[1]:
+            covered[f[0] : f[0] + f[1]] = True
             out.append([*f])
         else:  # what it has in common with a better one, that one shares with as many items
             for k in out:
@@ -148,14 +166,59 @@ def apart(found: list[tuple]) -> list[tuple]:
     return sorted(map(tuple, out), key=lambda f: f[0])
 
 
-def first_of_each(h: np.ndarray, item: np.ndarray, place: np.ndarray):
-    """Distinct hashes in order, the first (item, place) of each, and how many items hold it."""
-    order = np.lexsort((place, item, h))
-    h, item, place = h[order], item[order], place[order]
-    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-    other = new.copy()
-    other[1:] |= item[1:] != item[:-1]
-    return h[new], item[new], place[new], np.add.reduceat(other.astype(np.int64), np.flatnonzero(new)) if len(h) else place
+def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the rows in order, and where there a row differs from the one before."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return order, new
+
+
+class Holders:
+    """Who holds which hash: of each hash (in order) a group and a place; of each group its members, (item, place from there) from ``ends[g]`` to ``ends[g + 1]``, and how many items they are."""
+
+    def __init__(self, h: np.ndarray, item: np.ndarray, place: np.ndarray):
+        order, _ = distinct(h, item, place)
+        h, item, place = h[order], item[order], place[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        other = new.copy()
+        other[1:] |= item[1:] != item[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(h)))
+        self.hashes, self.place = h[new], place[new].astype(np.int32)
+        away = place - np.repeat(place[new], size)
+        sums = [np.zeros(0, np.uint64)] * 2
+        if len(h):  # 128 bits of a hash's set of members
+            sums = [np.add.reduceat(mix(mix(item.astype(np.uint64) * _STEP + np.uint64(salt)) + away.astype(np.uint64)), first) for salt in (1, 2)]
+        order, new = distinct(*sums)
+        self.group = np.empty(len(first), dtype=np.int32)
+        self.group[order] = np.cumsum(new) - 1
+        one = order[new]  # a hash of each group
+        self.ends = np.concatenate(([0], np.cumsum(size[one])))
+        at = np.repeat(first[one] - self.ends[:-1], size[one]) + np.arange(self.ends[-1])
+        self.item, self.away = item[at].astype(np.int32), away[at].astype(np.int32)
+        self.count = np.add.reduceat(other.astype(np.int64), first)[one].astype(np.int32) if len(h) else np.zeros(0, np.int32)
+
+    def candidates(self, group: np.ndarray, base: np.ndarray, most: int = EXPANDED) -> np.ndarray:
+        """(item, diagonal, items that share it) as rows of an array, of a document's distinct (group, base)."""
+        out = np.zeros((3, 0), dtype=np.int64)
+        sizes = np.diff(self.ends)[group]
+        part = np.cumsum(sizes) // most
+        for p in np.unique(part):
+            mine = np.flatnonzero(part == p)
+            n = sizes[mine]
+            at = np.repeat(self.ends[group[mine]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            some = np.stack([self.item[at], np.repeat(base[mine], n) - self.away[at], np.repeat(self.count[group[mine]], n)]).astype(np.int64)
+            out = np.concatenate([out, some], axis=1)
+            order = np.lexsort((-out[2], out[1], out[0]))
+            out = out[:, order]
+            new = np.ones(out.shape[1], dtype=bool)
+            new[1:] = (out[:2, 1:] != out[:2, :-1]).any(0)
+            out = out[:, new]
+        return out.T
 
 
 class Seeds:
@@ -179,8 +242,8 @@ class Seeds:
         h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         place = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, int)
-        self.hashes, item, place, count = first_of_each(h, item, place)
-        self.item, self.place, self.count = item.astype(np.int32), place.astype(np.int32), count.astype(np.int32)
+        self.held = Holders(h, item, place)
+        self.hashes = self.held.hashes
         self.shapes = rules.used(np.array([len(w) for w in self.items], dtype=int))
         self.bitmap = bitmap_of(self.hashes, max(16, int(np.ceil(np.log2(len(self.hashes) + 1))) + 5))
 
@@ -256,16 +319,15 @@ def _search(shared, rules: Rules):
                 doc, at, entry, _ = windows(words, offsets, rules, seeds.shapes, seeds.hits)
                 if not len(doc):
                     continue
-                item, diagonal, count = seeds.item[entry], at - seeds.place[entry], seeds.count[entry]
-                order = np.lexsort((-count, diagonal, item, doc))
-                key = np.stack([doc[order], item[order], diagonal[order]])
-                new = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0)))
-                candidates: dict[int, list] = {}
-                for d, i, g, c in zip(*key[:, new].tolist(), count[order][new].tolist(), strict=True):
-                    candidates.setdefault(d, []).append((seeds.items[i], seeds.ids[i], g, c))
-                for d, some in candidates.items():
-                    for start, length, matched, item_id, size, n in rules.verify(words[offsets[d] : offsets[d + 1]], some):
-                        rows.append((ids[first + d], item_id, start, length, matched, size, n))
+                group, base = seeds.held.group[entry], at - seeds.held.place[entry]
+                order, new = distinct(doc, group, base)
+                doc, group, base = doc[order][new], group[order][new], base[order][new]
+                bounds = [*np.flatnonzero(np.diff(doc, prepend=-1)).tolist(), len(doc)]
+                for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                    d = int(doc[low])
+                    some = seeds.held.candidates(group[low:high], base[low:high])
+                    found = rules.verify(words[offsets[d] : offsets[d + 1]], ((seeds.items[i], seeds.ids[i], g, c) for i, g, c in some.tolist()))
+                    rows += [(ids[first + d], item_id, start, length, matched, size, n) for start, length, matched, item_id, size, n in apart(found)]
             yield record(rows)
 
     return run
@@ -285,8 +347,7 @@ def joined(texts: DataFrame, items: DataFrame, rules: Rules, bitmap_bits: int, b
         for b in batches:
             for item, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h, place, _ = rules.seeds(words.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                h, at = np.unique(h, return_index=True)  # the first place of each hash
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item)), pa.array(place[at].astype(np.int32))], ["h", "item", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item, np.int64)), pa.array(place.astype(np.int32))], ["h", "item", "place"])
 
     def doc_seeds(bitmap, shapes):
         def run(batches):
@@ -311,42 +372,68 @@ def joined(texts: DataFrame, items: DataFrame, rules: Rules, bitmap_bits: int, b
             d = digests(b.column(1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["id", "text", "d1", "d2"])
 
+    stretch = "start long, length long, matched long, item_id long, item_words long, n_items long"
+    names = [f.split()[0] for f in stretch.split(", ")]
+
+    def of_text(rows):
+        """Rows (d1, d2, *stretch) as a batch."""
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(2 + len(names))], ["d1", "d2", *names])
+
     def verify(batches):
+        for b in batches:
+            rows = []
+            for i, row in enumerate(b.column(3)):
+                words, _ = plain_words(b.column(2).slice(i, 1))
+                some = ((c["words"].values.to_numpy(zero_copy_only=False).view(np.uint64), c["item_id"].as_py(), c["diagonal"].as_py(), c["n_items"].as_py()) for c in row)
+                rows += [(b.column(0)[i].as_py(), b.column(1)[i].as_py(), *f) for f in rules.verify(words, some)]
+            yield of_text(rows)
+
+    def choose(batches):
         for b in batches:
             rows = []
             for i, row in enumerate(b.column(2).to_pylist()):
-                words, _ = plain_words(b.column(1).slice(i, 1))
-                some = [(np.array(c["words"], dtype=np.int64).view(np.uint64), c["item_id"], c["diagonal"], c["n_items"]) for c in row]
-                rows += [(b.column(0)[i].as_py(), item_id, start, length, matched, size, n) for start, length, matched, item_id, size, n in rules.verify(words, some)]
-            yield record(rows)
+                rows += [(b.column(0)[i].as_py(), b.column(1)[i].as_py(), *f) for f in apart([tuple(c[n] for n in names) for c in row])]
+            yield of_text(rows)
 
     classes = items.mapInArrow(item_words, "item_id long, words array<long>").where(F.size("words") > 0)
     classes = classes.groupBy("words").agg(F.min("item_id").alias("item_id")).select(F.xxhash64("words").alias("item"), "item_id", "words")
     classes = scratch(classes, "leaks-items")
-    # A hash stands for its first class; of every class it has one row, so their number is the number of classes.
-    seeds = classes.select("item", "words").mapInArrow(item_seeds, "h long, item long, place int")
-    seeds = seeds.join(classes.select("item", "item_id"), "item")
-    order = F.struct(F.col("item_id").isNull(), "item_id", "item", "place")
-    seeds = seeds.groupBy("h").agg(F.min_by(F.struct("item", "place"), order).alias("rep"), F.count("*").alias("n_items")).select("h", "rep.*", "n_items")
-    seeds = scratch(seeds, "leaks-seeds")
+    seeds = scratch(classes.select("item", "words").mapInArrow(item_seeds, "h long, item long, place int"), "leaks-seeds")
+    heads = seeds.groupBy("h", "item").agg(F.min("place").alias("place")).groupBy("h").agg(F.min(F.struct("item", "place")).alias("first"), F.count("*").alias("n_items"))
+    seeds = seeds.join(heads.select("h", F.col("first.place").alias("zero"), "n_items"), "h").withColumn("away", F.col("place") - F.col("zero"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(salt), "item", "away")).alias(name) for salt, name in ((1, "g1"), (2, "g2"))]  # 128 bits of a hash's set of members
+    hashes = seeds.groupBy("h").agg(*marks, F.first("zero").alias("zero"), F.first("n_items").alias("n_items"), F.count("*").alias("n"))
+    hashes = scratch(hashes.withColumn("parts", F.ceil(F.col("n") / PART_ITEMS).cast("int")).drop("n"), "leaks-hashes")
+    one = hashes.groupBy("g1", "g2").agg(F.min_by(F.struct("h", "parts"), "h").alias("one")).select("g1", "g2", "one.*")
+    members = seeds.select("h", "item", "away").join(one, "h").select("g1", "g2", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int").alias("part"), "item", "away")
+    members = scratch(members, "leaks-members")
     sizes = np.array([r[0] for r in classes.select(F.least(F.size("words"), F.lit(64))).distinct().collect()], dtype=int)  # 64 at most
     bit = F.col("h").bitwiseAND(F.lit(bitmap_bits - 1))
-    words_of_bits = seeds.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("v")).toArrow()
+    words_of_bits = hashes.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("v")).toArrow()
     bitmap = np.zeros(bitmap_bits // 32, np.uint32)
     bitmap[words_of_bits["at"].to_numpy()] = words_of_bits["v"].to_numpy().astype(np.uint32)
     shared = broadcast(spark, bitmap.astype("<u4").view(np.uint8))
-    met = texts.mapInArrow(doc_seeds(shared, rules.used(sizes)), "h long, d1 long, d2 long, at int").join(seeds, "h")
-    hits = met.groupBy("d1", "d2", "item", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.max("n_items").alias("n_items"))
-    found = hits.join(classes, "item").groupBy("d1", "d2").agg(  # at most a text's own windows
-        F.collect_list(F.struct("words", "item_id", "diagonal", "n_items")).alias("found")
-    )
-    found = scratch(found, "leaks-found")
-    few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
-    keys = found.select("d1", "d2")
-    texts = texts.mapInArrow(with_digest, "id long, text string, d1 long, d2 long")
+    met = texts.mapInArrow(doc_seeds(shared, rules.used(sizes)), "h long, d1 long, d2 long, at int").join(hashes, "h")
+    met = met.groupBy("d1", "d2", "g1", "g2", (F.col("at") - F.col("zero")).alias("base")).agg(F.max("n_items").alias("n_items"), F.max("parts").alias("parts"))
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(members, ["g1", "g2", "part"])
+    hits = met.groupBy("d1", "d2", "item", (F.col("base") - F.col("away")).alias("diagonal")).agg(F.max("n_items").alias("n_items"))
+    hits = scratch(hits.join(classes.select("item", F.size("words").alias("n_words")), "item"), "leaks-hits")
+    shares = hits.groupBy("d1", "d2").agg(F.ceil(F.sum("n_words") / PART_WORDS).cast("int").alias("shares"))  # a row for each text with a hit
+    shares = scratch(shares, "leaks-shares")
+    few = shares.limit(broadcast_rows + 1).count() <= broadcast_rows
+    near = texts.mapInArrow(with_digest, "id long, text string, d1 long, d2 long")
     if few:
-        texts = texts.join(F.broadcast(keys), ["d1", "d2"], "left_semi")  # only texts with a hit travel
-    return texts.join(found, ["d1", "d2"]).select("id", "text", "found").mapInArrow(verify, SCHEMA)
+        near = near.join(F.broadcast(shares.select("d1", "d2")), ["d1", "d2"], "left_semi")  # only texts with a hit travel
+    near = scratch(near, "leaks-near")
+    share = F.pmod(F.xxhash64("item", "diagonal"), F.col("shares")).alias("share")
+    found = hits.join(shares, ["d1", "d2"]).select("d1", "d2", "item", "diagonal", "n_items", share).join(classes, "item")
+    found = found.groupBy("d1", "d2", "share").agg(F.collect_list(F.struct("words", "item_id", "diagonal", "n_items")).alias("found"))  # PART_WORDS, about
+    bodies = near.groupBy("d1", "d2").agg(F.first("text").alias("text"))
+    leaks = bodies.join(found, ["d1", "d2"]).select("d1", "d2", "text", "found").mapInArrow(verify, f"d1 long, d2 long, {stretch}")
+    leaks = leaks.groupBy("d1", "d2").agg(F.collect_list(F.struct(*names)).alias("found"))  # distinct stretches of one text, of each share
+    leaks = leaks.mapInArrow(choose, f"d1 long, d2 long, {stretch}")
+    out = near.select(F.col("id").alias("doc_id"), "d1", "d2").join(leaks, ["d1", "d2"])
+    return out.select(*[f.split()[0] for f in SCHEMA.split(", ")])
 
 
 def digests(column) -> np.ndarray:

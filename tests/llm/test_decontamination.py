@@ -179,3 +179,40 @@ def test_short_items_with_changed_words(spark, n):
         assert got == want
     else:  # longer ones rest on the masks: those with few changes are found
         assert got <= want and {i for i in want if sum(w.startswith("new") for w in rows[i][1].split()) <= 1} <= got
+
+
+def test_items_that_share_their_windows_are_all_compared(spark):
+    """An item that holds another's windows doesn't stand for it, nor a passage's first place in an item for its second."""
+    new = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    eight = new("e", 8)
+    other = [*new("o", 3), *eight[3:]]  # of the same shape, so that they share the hash of their last words
+    run, left, right = new("r", 8), new("l", 6), new("t", 20)
+    twice = [*run, *left, *run, *right]
+    items = [(1, other), (2, eight), (3, [*new("a", 12), *new("s", 9)]), (4, [*new("b", 12), *new("s", 9), *new("c", 4)]), (5, twice)]
+    docs = [
+        (1, [eight[0], "changed", *eight[2:]]),  # item 2 with a word changed, in the part that items 1 and 2 don't share
+        (2, [*new("b", 12)[9:], *new("s", 9), *new("c", 4)]),
+        (3, [*run, *(w if i % 4 else "other" for i, w in enumerate(right))]),  # the second place of run in item 5
+    ]
+    items, docs = ([(i, " ".join(w)) for i, w in rows] for rows in (items, docs))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 20, 0):
+        got = decontaminate(*frames, broadcast_bytes=limit, bitmap_bits=1 << 16).collect()
+        assert sorted((r.doc_id, r.item_id, r.matched) for r in got) == [(1, 2, 7), (2, 4, 16), (3, 5, 23)]
+        assert all(r.matched == brute(docs[r.doc_id - 1][1], items[r.item_id - 1][1]) for r in got)
+
+
+def test_candidates_in_parts_give_the_same(spark, monkeypatch):
+    """A passage of many items, with members and candidates dealt in small parts."""
+    from quarry.llm import decontamination
+
+    rng = random.Random(3)
+    shared = prose(rng, 20)
+    items = [(i, " ".join([*prose(rng, 8), *shared, *shared[:9], *prose(rng, 8)])) for i in range(40)]
+    docs = [(d, " ".join([*prose(rng, 5), *items[7 * d % 40][1].split()[rng.randrange(8) :]])) for d in range(12)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate(*frames).collect()))
+    monkeypatch.setattr(decontamination, "PART_ITEMS", 3)
+    monkeypatch.setattr(decontamination, "PART_WORDS", 200)
+    assert one == sorted(map(tuple, decontaminate(*frames, broadcast_bytes=0, bitmap_bits=1 << 16).collect()))
+    assert {(d, 7 * d % 40) for d in range(12)} <= {r[:2] for r in one}
