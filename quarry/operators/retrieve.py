@@ -29,6 +29,7 @@ BM25_K1, BM25_B = 1.5, 0.75
 RRF_K, RRF_DEPTH = 60, 30
 DIGITS = 6
 BLOCK_CHUNKS, BLOCK_QUESTIONS = 512, 4096  # scored at once: 16 MB
+DENSE_QUESTIONS, DENSE_VECTORS = 1024, 512  # of a matrix product: 4 MB
 _TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -311,11 +312,34 @@ def best_cells(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray
     return q[on], c[on]
 
 
+def best_products(asked: np.ndarray, questions: np.ndarray, keys: np.ndarray, v: np.ndarray, k: int, exclude_self: bool):
+    """(places of questions, places of vectors, scores): the k best vectors of each question, from products of DENSE_QUESTIONS by DENSE_VECTORS."""
+    for low in range(0, len(asked), DENSE_QUESTIONS):
+        names, block = asked[low : low + DENSE_QUESTIONS], questions[low : low + DENSE_QUESTIONS]
+        q, at, held, least = np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.full(len(names), -2.0)
+        for first in range(0, len(keys), DENSE_VECTORS):
+            mine = keys[first : first + DENSE_VECTORS]
+            scores = np.round(block @ v[first : first + DENSE_VECTORS].T, DIGITS)
+            if exclude_self:
+                scores[names[:, None] == mine[None, :]] = -np.inf
+            new, c = np.nonzero(scores >= least[:, None]) if first else (q, at)
+            if not first or len(new) > 4 * k * len(names):
+                new, c = best_cells(scores, mine, k)
+            q, at, held = np.concatenate([q, new]), np.concatenate([at, c + first]), np.concatenate([held, scores[new, c]])
+            if first:
+                o = np.lexsort((keys[at], -held, q)) if keys.dtype != object else np.array(sorted(range(len(q)), key=lambda i: (q[i], -held[i], keys[at[i]])), dtype=int)  # noqa: B023
+                o = o[np.arange(len(o)) - np.searchsorted(q[o], q[o], "left") < k]
+                q, at, held = q[o], at[o], held[o]
+            full = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q, "left") == k - 1)
+            least[q[full]] = held[full]  # what a later vector must reach
+        yield q + low, at, held
+
+
 def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = False, block_bytes: int = 64 << 20) -> DataFrame:
     """Exact cosine top k.  question_vectors: (question_id, embedding), vectors: (id, embedding).
 
     Questions are broadcast in blocks of up to ``block_bytes``, each of which reads the vectors once; a task takes matrix
-    products of 1,024 questions at a time and keeps its own k best of each.  Ties go to the smaller id; a zero vector scores 0.
+    products of 1,024 questions and 512 vectors at a time and keeps the k best of each question in a batch.  Ties go to the smaller id; a zero vector scores 0.
     """
     spark = vectors.sparkSession
     kinds = [question_vectors.schema["question_id"].dataType, vectors.schema["id"].dataType]
@@ -335,13 +359,8 @@ def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_
                 keys = plain(b.column(0))
                 v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 v = unit(v.reshape(len(keys), -1))
-                for low in range(0, len(asked), 1024):
-                    names = asked[low : low + 1024]
-                    scores = np.round(questions[low : low + 1024] @ v.T, DIGITS)
-                    if exclude_self:
-                        scores[names[:, None] == keys[None, :]] = -np.inf
-                    q, c = best_cells(scores, keys, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), arrow[0]), pa.array(keys[c].tolist(), arrow[1]), pa.array(scores[q, c])], ["question_id", "id", "score"])
+                for q, c, scores in best_products(asked, questions, keys, v, k, exclude_self):
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[q].tolist(), arrow[0]), pa.array(keys[c].tolist(), arrow[1]), pa.array(scores)], ["question_id", "id", "score"])
 
         return vectors.select("id", "embedding").where("size(embedding) > 0").mapInArrow(run, schema)
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..storage import broadcast
 from .common import top_k
-from .retrieve import DIGITS, best_cells, plain, plain_ids, unit
+from .retrieve import best_products, plain, plain_ids, unit
 
 CENTRES = 64  # vectors of the data, the first by a hash of their ids: a documented, bounded sample
 PROBES = 2  # centres that each question opens first
@@ -68,15 +68,9 @@ class VectorIndex:
                 v = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1))
                 for c in np.unique(centre):
                     mine = np.flatnonzero(centre == c)
-                    for low in range(0, len(wanted[c]), 1024):
-                        who = wanted[c][low : low + 1024]
-                        scores = np.round(questions[who] @ v[mine].T, DIGITS)
-                        if exclude_self:
-                            scores[asked[who][:, None] == keys[mine][None, :]] = -np.inf
-                        q, at = best_cells(scores, keys[mine], k)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(asked[who[q]].tolist(), arrow[0]), pa.array(keys[mine[at]].tolist(), arrow[1]), pa.array(scores[q, at])], schema.names
-                        )
+                    who = wanted[c]
+                    for q, at, scores in best_products(asked[who], questions[who], keys[mine], v[mine], k, exclude_self):
+                        yield pa.RecordBatch.from_arrays([pa.array(asked[who[q]].tolist(), arrow[0]), pa.array(keys[mine[at]].tolist(), arrow[1]), pa.array(scores)], schema.names)
 
         return rows.where(F.col("centre").isin([int(c) for c in wanted])).select("id", "embedding", "centre").mapInArrow(run, schema)
 

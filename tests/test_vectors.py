@@ -36,3 +36,22 @@ def test_nothing_but_zero_vectors(spark, tmp_path):
     index.build(df)
     q = spark.createDataFrame([(9, [1.0, 0.0])], "question_id long, embedding array<float>")
     assert rows_of(index.search(q, 3)) == rows_of(retrieve.dense(q, df, 3)) == [(9, 1, 1, 0.0), (9, 2, 2, 0.0)]
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_products_are_taken_in_small_blocks(monkeypatch, kind):
+    """No matrix of scores is larger than a block, however many vectors a batch has, and the best are those of one product."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-1, 2, size=(3000, 6)).astype(float)  # with many ties
+    keys = retrieve.plain_ids([kind(i) for i in rng.permutation(3000).tolist()])
+    asked, q = keys[:1500], v[:1500]
+    sizes, cells = [], retrieve.best_cells
+    monkeypatch.setattr(retrieve, "best_cells", lambda s, *a: sizes.append(s.shape) or cells(s, *a))
+    for k in (3, 700):
+        some = slice(0, 1500 if k == 3 else 40)
+        found = [np.concatenate(x) for x in zip(*retrieve.best_products(asked[some], q[some], keys, v, k, True), strict=True)]
+        scores = np.round(q[some] @ v.T, retrieve.DIGITS)
+        scores[asked[some][:, None] == keys[None, :]] = -np.inf
+        rows, columns = cells(scores, keys, k)
+        assert (found[0] == rows).all() and (found[1] == columns).all() and (found[2] == scores[rows, columns]).all()
+    assert max(a for a, _ in sizes) == 1024 and max(b for _, b in sizes) == 512
