@@ -9,6 +9,7 @@ from ..functions import markup
 from ..functions.chunking import merge_short, split_clauses, split_paragraphs, split_prose
 from ..functions.text import breadcrumb, content_key, inline_links, inline_markdown, slug
 from ..storage import broadcast
+from .common import parts_of
 from .ordered import numbered
 
 
@@ -147,6 +148,8 @@ def holders(chunks: DataFrame, items: DataFrame) -> DataFrame:
     The second to fifth word of an item are looked up among the chunk's words, and what is met is compared in full.
     Shorter items are compared with every chunk.  Items are broadcast; more than HELD_ITEMS are an error.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     rows = items.where("item is not null").limit(HELD_ITEMS + 1).collect()
     if len(rows) > HELD_ITEMS:
         raise ValueError(f"over {HELD_ITEMS} items: look for them in parts")
@@ -159,20 +162,25 @@ def holders(chunks: DataFrame, items: DataFrame) -> DataFrame:
     shared = broadcast(chunks.sparkSession, (known, short))
     kinds = chunks.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
 
+    kind = to_arrow_type(items.schema["item_id"].dataType)
+
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         known, short = shared.value
-        for pdf in batches:
-            out = []
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                words = (text or "").split()
+        for b in parts_of(batches):
+            places, found = [], []
+            for place, text in enumerate(b.column(1)):
+                text = text.as_py() or ""
+                words = text.split()
                 met = {key for key in zip(*(words[j:] for j in range(HELD_WORDS)), strict=False) if key in known}
-                out += [(i, item_id) for key in met for item_id, item in known[key] if item in text]
-                out += [(i, item_id) for item_id, item in short if item in (text or "")]
-            yield pd.DataFrame(out, columns=["id", "item_id"])
+                mine = [item_id for key in met for item_id, item in known[key] if item in text]
+                mine += [item_id for item_id, item in short if item in text]
+                places += [place] * len(mine)
+                found += mine
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places, pa.int64())), pa.array(found, kind)], ["id", "item_id"])
 
-    return chunks.select("id", "text").mapInPandas(run, f"id {kinds[0]}, item_id {kinds[1]}")
+    return chunks.select("id", "text").mapInArrow(run, f"id {kinds[0]}, item_id {kinds[1]}")
 
 
 def size_stats(chunks: DataFrame, by: str, text: str = "text") -> DataFrame:

@@ -21,6 +21,16 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+ROWS_AT_ONCE = 512  # of an Arrow batch, for what Python makes of each
+
+
+def parts_of(batches):
+    """Arrow batches in parts of ROWS_AT_ONCE rows: what Python makes of a part doesn't grow with the batches that a task is given."""
+    for b in batches:
+        for first in range(0, len(b), ROWS_AT_ONCE):
+            yield b.slice(first, ROWS_AT_ONCE)
+
+
 def held(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, computed once: a local table with a broadcast hint if it is small, else written."""
     rows = df.limit(limit + 1).collect()

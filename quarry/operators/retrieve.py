@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import token_set, tokens
 from ..storage import broadcast, scratch
-from .common import is_small, small, top_k
+from .common import is_small, parts_of, small, top_k
 
 BM25_K1, BM25_B = 1.5, 0.75
 RRF_K, RRF_DEPTH = 60, 30
@@ -125,10 +125,10 @@ def match(questions: DataFrame, chunks: DataFrame, order: str = "id") -> Matches
         import pyarrow as pa
 
         known = shared.value
-        for b in batches:
+        for b in parts_of(batches):
             lengths, offsets, terms, counts = [], [0], [], []
-            for text in b.column(2).to_pylist():
-                words = _TOKEN.findall((text or "").lower())
+            for text in b.column(2):
+                words = _TOKEN.findall((text.as_py() or "").lower())
                 held = Counter(words)
                 found = sorted((known[w], c) for w, c in held.items() if w in known)
                 lengths.append(len(words))

@@ -120,3 +120,47 @@ def test_rerank_by_model(spark, tmp_path):
     assert got == [*want, (3, 1, 0.0, 1)]
     lines = open(log).read().split()
     assert lines.count("loaded") == 1 and sum(map(int, lines[1:])) == 41 and max(map(int, lines[1:])) == 8
+
+
+def test_texts_become_python_objects_a_few_at_a_time(spark, questions, chunks, monkeypatch):
+    """What match and holders hold of a batch of 20 MB of text, besides the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quarry.operators.chunks import holders
+
+    class Taken(Exception):
+        pass
+
+    class Given:  # a DataFrame that keeps what its tasks would run
+        def __init__(self, df):
+            self.df = df
+
+        def __getattr__(self, name):
+            return getattr(self.df, name)
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            raise Taken
+
+        def mapInPandas(self, run, schema):
+            self.run = lambda batches: run(b.to_pandas() for b in batches)
+            raise Taken
+
+    given = Given(chunks)
+    monkeypatch.setattr(retrieve, "_body", lambda *_: given)
+    ids, texts = pa.array(range(4000)), pa.array([f"reset your wallet {i} " * 200 for i in range(4000)])
+    for start, columns in ((lambda: retrieve.match(questions, given), "iob"), (lambda: holders(given, questions.selectExpr("question_id item_id", "question item")), "it")):
+        with pytest.raises(Taken):
+            start()
+        batch = pa.RecordBatch.from_arrays([ids] * (len(columns) - 1) + [texts], list(columns))
+        tracemalloc.start()
+        for _ in given.run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 5e6
