@@ -22,8 +22,9 @@ from ..storage import buckets_for, drop_path, scratch
 from .common import small
 from .plugins import call
 
-#: Calls that one task makes and then hands over.
+#: Calls that one task makes and then hands over, or more where that would be over CORE_TASKS tasks a core: each has its cost, and a file.
 TASK_CALLS = 64
+CORE_TASKS = 32
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
@@ -93,7 +94,8 @@ class ResultStore:
         lacking = scratch(self.missing(items), "results-missing")
         n = lacking.count()
         if n:
-            texts = items.join(small(lacking), "key", "left_semi").dropDuplicates(["key"]).repartition(-(-n // TASK_CALLS), "key")
+            tasks = min(-(-n // TASK_CALLS), CORE_TASKS * self.spark.sparkContext.defaultParallelism)
+            texts = items.join(small(lacking), "key", "left_semi").dropDuplicates(["key"]).repartition(tasks, "key")
             asked = call(texts.select("key", "text"), "text", self.kind, make, attempts, timed="took_ms", strict=strict)
             out = asked.select("key", "result", "took_ms").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
             out.parquet(f"{self.root}/writes/write={uuid.uuid4().hex}")

@@ -171,3 +171,12 @@ def test_a_run_that_dies_keeps_finished_tasks(spark, tmp_path, log, monkeypatch)
     before = calls(log)
     assert store.ask(df, "text", counted(log, lambda x: x)).where("result is null").count() == 0
     assert calls(log) - before == 13 - kept
+
+
+def test_tasks_of_a_fill_stay_a_number_of_times_the_cores(spark, tmp_path, log, monkeypatch):
+    monkeypatch.setattr(results, "TASK_CALLS", 1)
+    store = results.ResultStore(spark, str(tmp_path / "ledger"), "m", "string")
+    df = spark.range(600).select(F.concat(F.lit("t"), "id").alias("text"))
+    assert store.ask(df, "text", counted(log, lambda x: x.upper())).where("result = upper(text)").count() == 600
+    assert calls(log) == 600
+    assert len(list((tmp_path / "ledger").rglob("write=*/part-*.parquet"))) <= results.CORE_TASKS * spark.sparkContext.defaultParallelism
