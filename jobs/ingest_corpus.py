@@ -53,10 +53,17 @@ def problem_of(least_chars: int) -> Column:
     return F.when(F.col("doc_id").isNull(), "no id").when(F.length(F.coalesce("body", F.lit(""))) < least_chars, "no text")
 
 
-def chunked(docs: DataFrame, limit: int) -> DataFrame:
-    """Chunks of documents with their tidied text ``body``; a missing source is ``unknown``."""
+def maybe_rejected(least_chars: int) -> Column:
+    """False where a text has enough characters that tidying keeps, which is seen at its start; other documents must be tidied to know."""
+    if least_chars > 100:  # too long a pattern
+        return F.lit(True)
+    return F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(rf"(?s)^(?:[^!-~]*+[!-~]){{{least_chars}}}")
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """Chunks of documents from their ``pieces``; a missing source is ``unknown``."""
     source = F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown"))
-    parts = docs.select("doc_id", "lang", source.alias("source"), F.posexplode(split_prose(F.col("body"), limit)).alias("part", "text"))
+    parts = docs.select("doc_id", "lang", source.alias("source"), F.posexplode("pieces").alias("part", "text"))
     return parts.withColumns({"chars": F.length("text"), "content_hash": content_key(F.col("text"))})
 
 
@@ -77,15 +84,17 @@ def ingest_batch(docs: DataFrame, number: int, output: str, config: dict) -> Non
     if not read(spark, output, "report").where(F.col("batch") > number).isEmpty():
         raise RuntimeError(f"{output} has batches after {number}: it was written with another checkpoint")
     seen = Observation(f"documents-{number}")
+    rejects = docs.where(maybe_rejected(config["least_chars"])).withColumn("body", tidy(F.col("text"))).withColumn("problem", problem_of(config["least_chars"]))
     docs = docs.withColumn("body", tidy(F.col("text"))).withColumn("problem", problem_of(config["least_chars"]))
-    docs = docs.observe(seen, F.count(F.lit(1)).alias("docs"), F.count("problem").alias("rejected"), F.sum(F.when(F.col("problem").isNull(), F.size(split_prose(F.col("body"), config["chunk_chars"])))).alias("pieces"))
-    chunks = chunked(docs.where("problem is null"), config["chunk_chars"])
+    docs = docs.withColumn("pieces", F.when(F.col("problem").isNull(), split_prose(F.col("body"), config["chunk_chars"])))
+    docs = docs.observe(seen, F.count(F.lit(1)).alias("docs"), F.count("problem").alias("rejected"), F.sum(F.when(F.col("problem").isNull(), F.size("pieces"))).alias("pieces"))
+    chunks = chunked(docs.where("problem is null"))
     first = scratch(top_k(chunks, ["content_hash"], [F.col("doc_id"), F.col("part"), F.col("source")], 1).drop("rank"), "ingest")
     counts = seen.get
     new = unknown_only(first, read(spark, output, "chunks").where(F.col("batch") < number))
     new = new.select(F.concat_ws(":", "source", "doc_id", "content_hash").alias("id"), "doc_id", "part", "lang", "text", "chars", "content_hash", F.lit(number).cast("long").alias("batch"), "source")
     _write(new.hint("rebalance", "source"), output, "chunks", ["batch", "source"])
-    _write(docs.where("problem is not null").select("doc_id", "problem", F.lit(number).cast("long").alias("batch")), output, "rejects", ["batch"])
+    _write(rejects.where("problem is not null").select("doc_id", "problem", F.lit(number).cast("long").alias("batch")), output, "rejects", ["batch"])
     written = read(spark, output, "chunks").where(F.col("batch") == number).count()
     row = (counts["docs"], counts["rejected"], written, (counts["pieces"] or 0) - written, number)
     _write(spark.createDataFrame([row], REPORT).coalesce(1), output, "report", ["batch"])

@@ -160,3 +160,17 @@ def test_short_sections_merge(spark):
     df = spark.createDataFrame([(rows,)], "s array<struct<heading:string,subheading:string,text:string>>")
     got = df.select(chunking.merge_short(F.col("s")).alias("m")).first().m
     assert [(x.heading, x.subheading, len(x.text)) for x in got] == [("h1", "s2", 402), ("h3", "s4", 22)]
+
+
+def test_strip_and_tidy_as_their_patterns(spark):
+    """All characters of the first plane at both ends, and mixed blanks; strip looks at the ends only."""
+    codes = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    blanks = [a + b + c + "x" + d + a + "y" + b for a in " \t\n\xa0" for b in " \t\n\r" for c in " \t\n" for d in " \t\n"]
+    df = spark.createDataFrame([(c + c + "a" + c + "a" + c,) for c in codes] + [(b,) for b in blanks] + [("  \n",), ("",), (None,)], "t string").coalesce(2)
+    stripped = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    spaced = F.regexp_replace(F.regexp_replace("t", r"[ \t]+", " "), r" *\n *", "\n")
+    tidied = F.regexp_replace(F.regexp_replace(spaced, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+    wrong = df.where(~text.strip(F.col("t")).eqNullSafe(stripped) | ~text.tidy(F.col("t")).eqNullSafe(tidied))
+    assert wrong.count() == 0
+    plan = df.select(text.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan

@@ -153,3 +153,20 @@ def test_queries_equal_their_sql(spark, sf, name, caplog):
     spelled = lambda v: "%.9g" % v if isinstance(v, float) else str(v)
     assert sorted(tuple(spelled(r[c]) for c in theirs) for r in df.collect()) == sorted(tuple(map(spelled, r)) for r in cur.fetchall())
     assert "read" in caplog.text and "chunks to" in caplog.text or "cases to" in caplog.text
+
+
+def test_texts_are_split_once_and_tidied_for_rejects_only_where_needed(spark, places, monkeypatch):
+    landing, corpus, checkpoint = places
+    odd = ["a  b", " a \t é ", "\xa0\xa0\xa0\xa0", "éé é", "ab", "", None, "abc", "\x1c\x1c\x1c", " \n\n\n x　"]
+    land(spark, landing, "odd", [(i, t, "en", "a") for i, t in enumerate(odd)])
+    splits = []
+    split, tidy = ingest_corpus.split_prose, ingest_corpus.tidy
+    monkeypatch.setattr(ingest_corpus, "split_prose", lambda *a: splits.append(a) or split(*a))
+    ingest_corpus.run(spark, str(landing), corpus, checkpoint, {"least_chars": 3})
+    assert len(splits) == 1
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    least = docs.withColumn("body", tidy(F.col("text"))).where(ingest_corpus.problem_of(3).isNotNull())
+    assert {r.doc_id for r in ingest_corpus.read(spark, corpus, "rejects").collect()} == {r.doc_id for r in least.collect()} == {2, 4, 5, 6, 9}
+    usual = docs.where(~ingest_corpus.maybe_rejected(3))  # no need to tidy these to know
+    assert {r.doc_id for r in usual.collect()} == {7}
+    assert docs.where(ingest_corpus.maybe_rejected(101)).count() == len(odd)
