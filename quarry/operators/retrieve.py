@@ -12,6 +12,7 @@ Up to BROADCAST_ROWS terms of questions are broadcast; more go through postings
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -313,23 +314,33 @@ def best_cells(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 def best_products(asked: np.ndarray, questions: np.ndarray, keys: np.ndarray, v: np.ndarray, k: int, exclude_self: bool):
-    """(places of questions, places of vectors, scores): the k best vectors of each question, from products of DENSE_QUESTIONS by DENSE_VECTORS."""
+    """(places of questions, places of vectors, scores): the k best vectors of each question, from products of DENSE_QUESTIONS by DENSE_VECTORS.
+
+    Past the first product only scores that can reach a question's k-th are rounded and kept, and the kept are ranked anew once they are twice the wanted.
+    """
     for low in range(0, len(asked), DENSE_QUESTIONS):
         names, block = asked[low : low + DENSE_QUESTIONS], questions[low : low + DENSE_QUESTIONS]
         q, at, held, least = np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.full(len(names), -2.0)
         for first in range(0, len(keys), DENSE_VECTORS):
             mine = keys[first : first + DENSE_VECTORS]
-            scores = np.round(block @ v[first : first + DENSE_VECTORS].T, DIGITS)
+            scores = block @ v[first : first + DENSE_VECTORS].T
             if exclude_self:
                 scores[names[:, None] == mine[None, :]] = -np.inf
-            new, c = np.nonzero(scores >= least[:, None]) if first else (q, at)
-            if not first or len(new) > 4 * k * len(names):
+            near = np.flatnonzero(scores >= (least - 10**-DIGITS)[:, None]) if first else None  # what may be rounded up to the k-th, too
+            if near is None or len(near) > 4 * k * len(names):
+                scores = np.round(scores, DIGITS)
                 new, c = best_cells(scores, mine, k)
-            q, at, held = np.concatenate([q, new]), np.concatenate([at, c + first]), np.concatenate([held, scores[new, c]])
-            if first:
+                found = scores[new, c]
+            else:
+                new, c = np.divmod(near, len(mine))
+                found = np.round(scores.ravel()[near], DIGITS)
+            q, at, held = np.concatenate([q, new]), np.concatenate([at, c + first]), np.concatenate([held, found])
+            if first and (len(q) > 2 * k * len(names) or first + DENSE_VECTORS >= len(keys)):
                 o = np.lexsort((keys[at], -held, q)) if keys.dtype != object else np.array(sorted(range(len(q)), key=lambda i: (q[i], -held[i], keys[at[i]])), dtype=int)  # noqa: B023
                 o = o[np.arange(len(o)) - np.searchsorted(q[o], q[o], "left") < k]
                 q, at, held = q[o], at[o], held[o]
+            elif first:
+                continue
             full = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q, "left") == k - 1)
             least[q[full]] = held[full]  # what a later vector must reach
         yield q + low, at, held
@@ -377,6 +388,43 @@ def dense(question_vectors: DataFrame, vectors: DataFrame, k: int = 10, exclude_
     return top_k(out, ["question_id"], [F.desc("score"), F.asc("id")], k)
 
 
+def neighbours(vectors: DataFrame, k: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """Exact cosine top k of every vector of ``vectors`` (id, embedding) among the vectors of other ids: (question_id, id, score, rank), ties and zero vectors as in ``dense``.
+
+    Vectors are packed into blocks of about ``block_bytes`` by a hash of their ids, and each pair of blocks is one task: a task holds two blocks whatever the table's size, the vectors
+    are shuffled once for all pairs, and none pass through the driver.  The work is the square of the number of vectors, as every pair is scored.
+    """
+    spark = vectors.sparkSession
+    kind = vectors.schema["id"].dataType
+    schema = f"question_id {kind.simpleString()}, id {kind.simpleString()}, score double"
+    rows = vectors.select("id", "embedding").where("id is not null and size(embedding) > 0")
+    n, parts = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    tasks = 3 * spark.sparkContext.defaultParallelism  # pairs of blocks, where there are vectors enough for so many
+    blocks = max(1, -(-8 * n * parts // block_bytes), min(math.isqrt(tasks - 1) + 1, -(-n // DENSE_VECTORS)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
+    packed = scratch(dealt.groupBy("block").agg(F.collect_list(F.struct("id", "embedding")).alias("held")), "vectors").repartitionById(blocks, "block")
+    pairs = packed.toDF("block", "asked").hint("shuffle_replicate_nl").crossJoin(packed.toDF("other", "held"))
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        arrow = to_arrow_type(kind)
+
+        def unpacked(cell):
+            keys = plain(cell.values.field(0))
+            return keys, unit(cell.values.field(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1))
+
+        for b in batches:
+            for one, asked, other, held in zip(*b.columns, strict=True):
+                names, questions = unpacked(asked)
+                keys, v = unpacked(held)
+                for q, c, scores in best_products(names, questions, keys, v, k, one == other):  # equal ids are in one block
+                    yield pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), arrow), pa.array(keys[c].tolist(), arrow), pa.array(scores)], ["question_id", "id", "score"])
+
+    return top_k(pairs.mapInArrow(run, schema), ["question_id"], [F.desc("score"), F.asc("id")], k)
+
+
 def plain_ids(ids: list) -> np.ndarray:
     if all(isinstance(i, int) for i in ids):
         return np.array(ids, dtype=np.int64)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import retrieve
 from quarry.operators.vectors import VectorIndex
+from quarry.plans import catalogue
 
 
 def rows_of(df):
@@ -55,3 +56,27 @@ def test_products_are_taken_in_small_blocks(monkeypatch, kind):
         rows, columns = cells(scores, keys, k)
         assert (found[0] == rows).all() and (found[1] == columns).all() and (found[2] == scores[rows, columns]).all()
     assert max(a for a, _ in sizes) == 1024 and max(b for _, b in sizes) == 512
+
+
+@pytest.mark.parametrize("kind", [int, str])
+@pytest.mark.parametrize("block_bytes", [16 << 20, 5000])
+def test_neighbours_of_every_vector(spark, kind, block_bytes):
+    """Every vector asks, whatever its id, in one block or in pairs of some: ties, equal and zero vectors, one without components, one without an id."""
+    rng = np.random.default_rng(7)
+    v = rng.integers(-1, 2, size=(600, 6)).astype(float).tolist() + [[1.0] * 6] * 40 + [[0.0] * 6] * 3
+    rows = [(kind(i), x) for i, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, (kind(9000), []), (None, v[0])], f"id {'long' if kind is int else 'string'}, embedding array<float>").repartition(3)
+    unit, keys = retrieve.unit(np.array(v)), [r[0] for r in rows]
+    scores = np.round(unit @ unit.T, retrieve.DIGITS)
+    want = []
+    for i, key in enumerate(keys):
+        best = sorted((-scores[i, j] + 0.0, other) for j, other in enumerate(keys) if j != i)[:7]
+        want += [(key, n, other, -s + 0.0) for n, (s, other) in enumerate(best, 1)]
+    assert [(a, n, b, s + 0.0) for a, n, b, s in rows_of(retrieve.neighbours(df, 7, block_bytes))] == sorted(want)
+    assert retrieve.neighbours(df.limit(0), 7).count() == 0
+
+
+@pytest.mark.parametrize("name", ["dense_by_label"])
+def test_queries_ask_every_vector(spark, sf, name):
+    asked = catalogue.QUERIES[name](spark, sf).select("question_id").distinct()
+    assert asked.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
