@@ -320,19 +320,14 @@ def _neighbours(spark, sf, k=10):
     return retrieve.neighbours(t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), k)
 
 
-def _dense(spark, sf, k=10):
-    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieve.dense(e.where("id % 50 = 0").withColumnRenamed("id", "question_id"), e, k, exclude_self=True)
-
-
-@query("dense_topk", _DENSE + " SELECT question_id, id, score, rank FROM r WHERE rank <= 10")
+@query("dense_topk", _DENSE_ALL + " SELECT question_id, id, score, rank FROM r WHERE rank <= 10")
 def _(spark, sf):
-    return _dense(spark, sf)
+    return _neighbours(spark, sf)
 
 
 @query("dense_index_topk", _DENSE + " SELECT question_id, id, score, rank FROM r WHERE rank <= 10")
 def _(spark, sf):
-    """dense_topk from vectors kept around centres."""
+    """dense_topk of every 50th id, from vectors kept around centres."""
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     index = VectorIndex(spark, new_scratch_path(spark, "centres"))
     index.build(e)

@@ -76,7 +76,7 @@ def test_neighbours_of_every_vector(spark, kind, block_bytes):
     assert retrieve.neighbours(df.limit(0), 7).count() == 0
 
 
-@pytest.mark.parametrize("name", ["dense_by_label"])
+@pytest.mark.parametrize("name", ["dense_by_label", "dense_topk"])
 def test_queries_ask_every_vector(spark, sf, name):
     asked = catalogue.QUERIES[name](spark, sf).select("question_id").distinct()
     assert asked.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
